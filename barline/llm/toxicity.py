@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import append_columns, field, held_out, labelled_sample, read
 
 BUCKETS = 1 << 20
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 5000
 THRESHOLD = 0.3
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -39,10 +39,10 @@ def sentence_words(text: str) -> list[tuple[int, int, set[str]]]:
     return [x for x in found if x[2]]
 
 
-def fit_noisy_or(bags: np.ndarray, rows: np.ndarray, features: np.ndarray, y: np.ndarray, rounds: int = 160, rate: float = 0.15, ridge: float = 6e-5) -> tuple[np.ndarray, float]:
+def fit_noisy_or(bags: np.ndarray, rows: np.ndarray, features: np.ndarray, y: np.ndarray, rounds: int = 120, rate: float = 0.15, ridge: float = 6e-5) -> tuple[np.ndarray, float]:
     """Weights and bias that fit the bag labels y. rows: the sentence of each feature; bags: the bag of each sentence."""
     seen = np.bincount(features, minlength=BUCKETS) > 0
-    used, features = np.flatnonzero(seen), (np.cumsum(seen, dtype=np.int32) - 1)[features]
+    used, features = np.flatnonzero(seen), (np.cumsum(seen) - 1)[features]
     w, b, n = np.zeros(len(used) + 1), -4.0, len(bags)
     m, v = np.zeros_like(w), np.zeros_like(w)
     positive = y[bags] == 1
