@@ -1,16 +1,18 @@
 """The registered queries of this subpackage and, where SQL can express one, its SQL."""
 
-from . import decontam, quality, toxicity, warc
+from . import chat, decontam, quality, token_store, toxicity, warc
 
 
 def queries():
     return {
         "op1_toxicity": toxicity.op1_toxicity,
+        "op5_chat": chat.op5_chat,
         "op6_quality": quality.op6_quality,
         "op8_warc": warc.op8_warc,
         "op9_decontamination": decontam.op9_decontamination,
+        "op10_token_store": token_store.op10_token_store,
     }
 
 
 def oracle_sql():
-    return {"op8_warc": warc.OP8_SQL}
+    return {"op5_chat": chat.OP5_SQL, "op8_warc": warc.OP8_SQL}
