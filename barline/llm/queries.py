@@ -1,13 +1,15 @@
 """The registered queries of this subpackage and, where SQL can express one, its SQL."""
 
-from . import chat, decontam, quality, token_store, toxicity, warc
+from . import chat, decontam, quality, token_store, toxicity, unigram, warc
 
 
 def queries():
     return {
         "op1_toxicity": toxicity.op1_toxicity,
+        "op3_token_counts": unigram.op3_token_counts,
         "op5_chat": chat.op5_chat,
         "op6_quality": quality.op6_quality,
+        "op7_sentencepiece": unigram.op7_sentencepiece,
         "op8_warc": warc.op8_warc,
         "op9_decontamination": decontam.op9_decontamination,
         "op10_token_store": token_store.op10_token_store,
