@@ -1,11 +1,12 @@
 """The registered queries of this subpackage and, where SQL can express one, its SQL."""
 
-from . import chat, decontam, quality, token_store, toxicity, unigram, warc
+from . import chat, decontam, jaccard, quality, token_store, toxicity, unigram, warc
 
 
 def queries():
     return {
         "op1_toxicity": toxicity.op1_toxicity,
+        "op2_jaccard_join": jaccard.op2_jaccard_join,
         "op3_token_counts": unigram.op3_token_counts,
         "op5_chat": chat.op5_chat,
         "op6_quality": quality.op6_quality,
