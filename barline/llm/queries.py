@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and, where SQL can express one, its SQL."""
 
-from . import chat, decontam, jaccard, quality, token_store, toxicity, unigram, warc
+from . import chat, decontam, jaccard, quality, token_store, toxicity, unigram, vectors, warc
 
 
 def queries():
@@ -8,6 +8,7 @@ def queries():
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_jaccard_join": jaccard.op2_jaccard_join,
         "op3_token_counts": unigram.op3_token_counts,
+        "op4_embedding_dedup": vectors.op4_embedding_dedup,
         "op5_chat": chat.op5_chat,
         "op6_quality": quality.op6_quality,
         "op7_sentencepiece": unigram.op7_sentencepiece,
@@ -18,4 +19,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op5_chat": chat.OP5_SQL, "op8_warc": warc.OP8_SQL}
+    return {"op4_embedding_dedup": vectors.OP4_SQL, "op5_chat": chat.OP5_SQL, "op8_warc": warc.OP8_SQL}
