@@ -1 +1,57 @@
-"""Session analytics on Spark DataFrames."""
+"""Column helpers shared by the operators. All are built-in expressions and stay in generated code."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def stamp(ts) -> Column:
+    """A timestamp as text, the same in any session zone."""
+    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
+
+
+def r6(x) -> Column:
+    """Rounded to six places, with no negative zero."""
+    return F.round(x, 6) + F.lit(0.0)
+
+
+def latest(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """The first row of each key by a total order."""
+    return df.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__k = 1").drop("__k")
+
+
+def islands(df: DataFrame, keys: list[str], order: str, step) -> DataFrame:
+    """Numbers runs (column run) in which `order` grows by `step` from row to row."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    broken = F.when(F.col(order) - F.lag(order).over(w) == step, 0).otherwise(1)
+    return df.withColumn("__b", broken).withColumn("run", F.sum("__b").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__b")
+
+
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str], strict: bool = False) -> DataFrame:
+    """left with the values of right's last row of the same keys at or before (strict: before) its time.
+
+    One union, one shuffle on the keys and one window: no range join, and a key's rows stream through it sorted.
+    """
+    l = left.select("*", F.col(left_time).alias("__t"), F.lit(0 if strict else 1).alias("__side"), F.lit(None).cast(right.select(F.struct(right_time, *values)).schema[0].dataType).alias("__r"))
+    r = right.select(*[(F.col(c) if c in keys else F.lit(None).cast(left.schema[c].dataType)).alias(c) for c in left.columns], F.col(right_time).alias("__t"), F.lit(1 if strict else 0).alias("__side"), F.struct(right_time, *values).alias("__r"))
+    w = Window.partitionBy(*keys).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    side = 0 if strict else 1
+    joined = l.unionAll(r).withColumn("__m", F.last("__r", ignorenulls=True).over(w)).where(F.col("__side") == side)
+    return joined.select(*left.columns, *[F.col(f"__m.{c}").alias(c) for c in [right_time, *values]])
+
+
+def ema(column: str, keys: list[str], order: str, length: int, warmup: int) -> Column:
+    """Exponential average with alpha = 2 / (length + 1), seeded with the first of at most `warmup` rows before."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-warmup, 0)
+    a = 2.0 / (length + 1)
+    return F.aggregate(F.collect_list(F.col(column).cast("double")).over(w), F.lit(None).cast("double"), lambda s, x: F.when(s.isNull(), x).otherwise(F.lit(a) * x + F.lit(1 - a) * s))
+
+
+def wilder(column: str, keys: list[str], order: str, period: int, rows: int) -> Column:
+    """Wilder's average of the last `rows` values: the mean of the first `period`, then (n - 1) parts old and one new; null before."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-(rows - 1), 0)
+    values = F.collect_list(column).over(w)
+    seed = F.aggregate(F.slice(values, 1, period), F.lit(0.0), lambda s, x: s + x) / period
+    folded = F.aggregate(F.slice(values, period + 1, rows), seed, lambda s, x: (s * (period - 1) + x) / period)
+    return F.when(F.size(values) == rows, folded)

@@ -1 +1,20 @@
-"""Session analytics on Spark DataFrames."""
+"""How a query is registered: a function of (spark, sf_dir), with SQL for the same rows beside it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+
+def register(queries: dict, sql: dict) -> Callable:
+    """A decorator: query(name, sql=None) puts the function and its SQL into a module's tables."""
+
+    def query(name: str, text: str | None = None) -> Callable:
+        def add(function: Callable) -> Callable:
+            queries[name] = function
+            if text:
+                sql[name] = text
+            return function
+
+        return add
+
+    return query

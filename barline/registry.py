@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: list[str] = []
+MODULES = ["store", "calendar", "coverage", "indicators", "labels", "matching", "forecasts", "fan", "features", "scoring"]
+
+
+def modules():
+    return [import_module(f"barline.operators.{m}") for m in MODULES] + [import_module("barline.streaming.bars")]
 
 
 def queries() -> dict:
-    return {k: v for m in MODULES for k, v in import_module(m).QUERIES.items()}
+    return {k: v for m in modules() for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {k: v for m in MODULES for k, v in import_module(m).SQL.items()}
+    return {k: v for m in modules() for k, v in m.SQL.items()}

@@ -1 +1,59 @@
-"""Session analytics on Spark DataFrames."""
+"""Tables: reading, bars built from the event stream, and the session columns all operators use."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+NEW_YORK = "America/New_York"
+#: Regular hours and the session's evening start, in minutes of the New York day.
+RTH_OPEN, RTH_CLOSE, EVENING = 570, 960, 1080
+EVERY = "hour"
+
+#: The same bars for the SQL that checks the queries (January: New York is five hours behind).
+BARS_SQL = """
+bars AS (SELECT event_type AS instrument, date_trunc('hour', ts) AS bar_start, arg_min(value, (ts, event_id)) AS open, max(value) AS high,
+  min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS volume FROM events GROUP BY 1, 2),
+ny AS (SELECT *, bar_start - INTERVAL 5 HOUR AS ny_ts, CAST(extract(hour FROM bar_start - INTERVAL 5 HOUR) * 60 + extract(minute FROM bar_start - INTERVAL 5 HOUR) AS INT) AS minute,
+  isodow(bar_start - INTERVAL 5 HOUR) AS dow FROM bars),
+sb AS (SELECT instrument, bar_start, open, high, low, close, volume, minute, CAST((minute - 1080 + 1440) % 1440 AS INT) AS slot,
+  CASE WHEN dow <= 5 AND minute >= 570 AND minute < 960 THEN 'RTH' ELSE 'ETH' END AS session_scope,
+  CAST(ny_ts AS DATE) + CASE WHEN dow <> 6 AND minute >= 1080 THEN 1 ELSE 0 END AS trading_day FROM ny)
+"""
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bars_from_events(events: DataFrame, every: str = EVERY) -> DataFrame:
+    """Bars of an event stream: an instrument for each event type, the price is the value, the volume the count.
+
+    One shuffle with partial aggregates; open and close are the values of the first and last event (ties by event_id).
+    """
+    at = F.struct("ts", "event_id")
+    return events.groupBy(F.col("event_type").alias("instrument"), F.date_trunc(every, "ts").cast("timestamp_ntz").alias("bar_start")).agg(
+        F.min_by("value", at).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", at).alias("close"), F.count("*").alias("volume")
+    )
+
+
+def with_sessions(bars: DataFrame) -> DataFrame:
+    """Adds minute (of the New York day), slot (minutes since 18:00), session_scope and trading_day.
+
+    A bar at or after 18:00 belongs to the next day's session, except on Saturday.
+    """
+    ny = F.convert_timezone(F.lit("UTC"), F.lit(NEW_YORK), F.col("bar_start"))
+    out = bars.withColumn("__ny", ny).withColumn("minute", (F.hour("__ny") * 60 + F.minute("__ny")).cast("int")).withColumn("__dow", F.weekday("__ny"))
+    return out.withColumns({
+        "slot": F.pmod(F.col("minute") - EVENING, F.lit(1440)).cast("int"),
+        "session_scope": F.when((F.col("__dow") < 5) & (F.col("minute") >= RTH_OPEN) & (F.col("minute") < RTH_CLOSE), "RTH").otherwise("ETH"),
+        "trading_day": F.date_add(F.to_date("__ny"), F.when((F.col("__dow") != 5) & (F.col("minute") >= EVENING), 1).otherwise(0)),
+    }).drop("__ny", "__dow")
+
+
+def bars(spark: SparkSession, sf_dir: str, every: str = EVERY) -> DataFrame:
+    return bars_from_events(table(spark, sf_dir, "events"), every)
+
+
+def session_bars(spark: SparkSession, sf_dir: str, every: str = EVERY) -> DataFrame:
+    return with_sessions(bars(spark, sf_dir, every))
