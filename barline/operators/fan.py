@@ -1,2 +1,135 @@
+"""Group I: the distribution of the price some slots ahead, scaled by seasonal and recent variance."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import r6
+from ..plans import register
+from .calendar import GRID_SQL, PHASE_SQL, phase, returns
+
 QUERIES: dict = {}
 SQL: dict = {}
+query = register(QUERIES, SQL)
+SESSIONS, LEAST = 40, 5
+LEVEL_PRIOR, LEVEL_BOUNDS = 4.0, (0.25, 4.0)
+TAUS = [0.05, 0.25, 0.5, 0.75, 0.95]
+
+
+def seasonal_variance(r: DataFrame) -> DataFrame:
+    """Mean squared return of each slot over the SESSIONS sessions before (LEAST at least), smoothed over the slots of its phase within one slot's reach."""
+    days = Window.partitionBy("instrument", "slot").orderBy("trading_day").rowsBetween(-SESSIONS, -1)
+    r2 = F.col("r") * F.col("r")
+    s = r.withColumn("raw", F.when(F.count(r2).over(days) >= LEAST, F.avg(r2).over(days))).withColumn("phase", phase(F.col("slot")))
+    near = Window.partitionBy("instrument", "trading_day", "phase").orderBy("slot").rangeBetween(-60, 60)
+    return s.withColumn("s", F.avg("raw").over(near))
+
+
+SEASON_SQL = f"""{GRID_SQL}, rw AS (SELECT *, CASE WHEN count(r) OVER d >= 5 THEN avg(r * r) OVER d END AS raw, {PHASE_SQL} AS phase FROM ret WINDOW d AS (PARTITION BY instrument, slot ORDER BY trading_day ROWS BETWEEN 40 PRECEDING AND 1 PRECEDING)),
+sv AS (SELECT *, avg(raw) OVER (PARTITION BY instrument, trading_day, phase ORDER BY slot RANGE BETWEEN 60 PRECEDING AND 60 FOLLOWING) AS s FROM rw)"""
+
+
+def seasonal(spark, sf_dir) -> DataFrame:
+    return seasonal_variance(returns(spark, sf_dir))
+
+
+@query("i3_seasonal_variance", f"WITH {SEASON_SQL} SELECT instrument, CAST(trading_day AS VARCHAR) AS trading_day, slot, round(s, 6) AS s FROM sv WHERE s IS NOT NULL")
+def i3(spark, sf_dir):
+    return seasonal(spark, sf_dir).where("s IS NOT NULL").select("instrument", F.col("trading_day").cast("string").alias("trading_day"), "slot", r6("s").alias("s"))
+
+
+@query("i7_long_level", f"""WITH {SEASON_SQL}, d AS (SELECT instrument, trading_day, sum(r * r) FILTER (r IS NOT NULL AND s IS NOT NULL) AS real, sum(s) FILTER (r IS NOT NULL AND s IS NOT NULL) AS expected FROM sv GROUP BY 1, 2)
+SELECT instrument, CAST(trading_day AS VARCHAR) AS trading_day, round(least(4.0, greatest(0.25, coalesce(sum(real) OVER w / nullif(sum(expected) OVER w, 0), 1.0))), 6) AS level FROM d WINDOW w AS (PARTITION BY instrument ORDER BY trading_day ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)""")
+def i7(spark, sf_dir):
+    """Realised over expected variance of the five sessions before, within bounds."""
+    both = F.col("r").isNotNull() & F.col("s").isNotNull()
+    d = seasonal(spark, sf_dir).groupBy("instrument", "trading_day").agg(F.sum(F.when(both, F.col("r") * F.col("r"))).alias("real"), F.sum(F.when(both, F.col("s"))).alias("expected"))
+    w = Window.partitionBy("instrument").orderBy("trading_day").rowsBetween(-5, -1)
+    level = F.coalesce(F.sum("real").over(w) / F.nullif(F.sum("expected").over(w), F.lit(0.0)), F.lit(1.0))
+    return d.select("instrument", F.col("trading_day").cast("string").alias("trading_day"), r6(F.least(F.lit(LEVEL_BOUNDS[1]), F.greatest(F.lit(LEVEL_BOUNDS[0]), level))).alias("level"))
+
+
+def short_level(s: DataFrame) -> DataFrame:
+    """I8: trailing realised over expected variance at every origin, with a prior worth LEVEL_PRIOR mean slots."""
+    w = Window.partitionBy("instrument", "trading_day").orderBy("slot").rowsBetween(-3, 0)
+    both = F.col("r").isNotNull() & F.col("s").isNotNull()
+    real, expected = F.sum(F.when(both, F.col("r") * F.col("r")).otherwise(0.0)).over(w), F.sum(F.when(both, F.col("s")).otherwise(0.0)).over(w)
+    prior = F.avg("s").over(Window.partitionBy("instrument", "trading_day")) * LEVEL_PRIOR
+    level = (real + prior) / F.nullif(expected + prior, F.lit(0.0))
+    return s.withColumn("level", level).withColumn("level", F.when(F.col("level").isNotNull(), F.least(F.lit(LEVEL_BOUNDS[1]), F.greatest(F.lit(LEVEL_BOUNDS[0]), F.col("level")))))
+
+
+SHORT_SQL = f"""{SEASON_SQL}, sl0 AS (SELECT *, sum(CASE WHEN r IS NOT NULL AND s IS NOT NULL THEN r * r ELSE 0 END) OVER w AS real, sum(CASE WHEN r IS NOT NULL AND s IS NOT NULL THEN s ELSE 0 END) OVER w AS expected, 4.0 * avg(s) OVER (PARTITION BY instrument, trading_day) AS prior
+  FROM sv WINDOW w AS (PARTITION BY instrument, trading_day ORDER BY slot ROWS 3 PRECEDING)), sl AS (SELECT *, CASE WHEN expected + prior <> 0 THEN least(4.0, greatest(0.25, (real + prior) / (expected + prior))) END AS level FROM sl0)"""
+
+
+@query("i8_short_level", f"WITH {SHORT_SQL} SELECT instrument, CAST(trading_day AS VARCHAR) AS trading_day, slot, round(level, 6) AS level FROM sl WHERE level IS NOT NULL")
+def i8(spark, sf_dir):
+    return short_level(seasonal(spark, sf_dir)).where("level IS NOT NULL").select("instrument", F.col("trading_day").cast("string").alias("trading_day"), "slot", r6("level").alias("level"))
+
+
+def horizons(s: DataFrame, ahead: list[int]) -> DataFrame:
+    """The variance over the next h slots (prefix sums differenced, scaled by the level) and the standardised error."""
+    w = Window.partitionBy("instrument", "trading_day").orderBy("slot")
+    s = s.withColumn("cum", F.sum(F.coalesce("s", F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("lp", F.when(F.col("last_price") > 0, F.log("last_price")))
+    made = s.select("instrument", "trading_day", "slot", "phase", F.array(*[F.struct(F.lit(h).alias("h"), ((F.lead("cum", h).over(w) - F.col("cum")) * F.col("level")).alias("var"), (F.lead("lp", h).over(w) - F.col("lp")).alias("y")) for h in ahead]).alias("xs"))
+    return made.select("instrument", "trading_day", "slot", "phase", F.explode("xs").alias("x")).select("instrument", "trading_day", "slot", "phase", "x.h", "x.var", "x.y").where("var > 0 AND y IS NOT NULL").withColumn("z", F.col("y") / F.sqrt("var"))
+
+
+HOR_SQL = f"""{SHORT_SQL}, pf AS (SELECT *, sum(coalesce(s, 0)) OVER (PARTITION BY instrument, trading_day ORDER BY slot ROWS UNBOUNDED PRECEDING) AS cum, CASE WHEN last_price > 0 THEN ln(last_price) END AS lp FROM sl),
+hz0 AS (SELECT instrument, trading_day, slot, phase, unnest([1, 4]) AS h, unnest([(lead(cum, 1) OVER w - cum) * level, (lead(cum, 4) OVER w - cum) * level]) AS var, unnest([lead(lp, 1) OVER w - lp, lead(lp, 4) OVER w - lp]) AS y FROM pf WINDOW w AS (PARTITION BY instrument, trading_day ORDER BY slot)),
+hz AS (SELECT *, y / sqrt(var) AS z FROM hz0 WHERE var > 0 AND y IS NOT NULL)"""
+
+
+def scored_origins(spark, sf_dir) -> DataFrame:
+    return horizons(short_level(seasonal(spark, sf_dir)), [1, 4])
+
+
+@query("i10_horizon_variance", f"WITH {HOR_SQL} SELECT instrument, CAST(trading_day AS VARCHAR) AS trading_day, slot, h, round(var, 6) AS var FROM hz")
+def i10(spark, sf_dir):
+    return scored_origins(spark, sf_dir).select("instrument", F.col("trading_day").cast("string").alias("trading_day"), "slot", "h", r6("var").alias("var"))
+
+
+@query("i12_standardised_errors", f"WITH {HOR_SQL} SELECT instrument, h, count(*) AS n, round(avg(z), 6) AS mean_z, round(sqrt(avg(z * z)), 6) AS rms_z FROM hz GROUP BY 1, 2")
+def i12(spark, sf_dir):
+    return scored_origins(spark, sf_dir).groupBy("instrument", "h").agg(F.count("*").alias("n"), r6(F.avg("z")).alias("mean_z"), r6(F.sqrt(F.avg(F.col("z") * F.col("z")))).alias("rms_z"))
+
+
+def quantile_shape(z: DataFrame, keys: list[str]) -> DataFrame:
+    """Symmetric quantiles of the standardised errors: (q(tau) - q(1 - tau)) / 2."""
+    q = z.groupBy(*keys).agg(F.percentile("z", F.array(*[F.lit(t) for t in TAUS])).alias("q"), F.count("*").alias("n"))
+    return q.withColumn("shape", F.transform("q", lambda x, i: (x - F.element_at("q", F.lit(len(TAUS)) - i)) / 2))
+
+
+SHAPE_SQL = f"{HOR_SQL}, sh AS (SELECT instrument, h, count(*) AS n, quantile_cont(z, [0.05, 0.25, 0.5, 0.75, 0.95]) AS q FROM hz GROUP BY 1, 2)"
+
+
+@query("i13_quantile_shape", f"WITH {SHAPE_SQL} SELECT instrument, h, n, round((q[4] - q[2]) / 2, 6) AS q75, round((q[5] - q[1]) / 2, 6) AS q95 FROM sh")
+def i13(spark, sf_dir):
+    q = quantile_shape(scored_origins(spark, sf_dir), ["instrument", "h"])
+    return q.select("instrument", "h", "n", r6(F.element_at("shape", 4)).alias("q75"), r6(F.element_at("shape", 5)).alias("q95"))
+
+
+@query("i14_shape_interpolated", f"""WITH {SHAPE_SQL}, k AS (SELECT instrument, max((q[5] - q[1]) / 2) FILTER (h = 1) AS a, max((q[5] - q[1]) / 2) FILTER (h = 4) AS b FROM sh GROUP BY 1)
+SELECT instrument, CAST(h AS INT) AS h, round(a + (b - a) * ln(h) / ln(4), 6) AS q95 FROM k, (SELECT unnest([1, 2, 3, 4]) AS h) WHERE a IS NOT NULL AND b IS NOT NULL""")
+def i14(spark, sf_dir):
+    """Any horizon's quantile between two knots, linear in the logarithm of time."""
+    q = quantile_shape(scored_origins(spark, sf_dir), ["instrument", "h"]).withColumn("x", F.element_at("shape", 5))
+    k = q.groupBy("instrument").agg(F.max(F.when(F.col("h") == 1, F.col("x"))).alias("a"), F.max(F.when(F.col("h") == 4, F.col("x"))).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    k = k.withColumn("h", F.explode(F.array(*[F.lit(h) for h in (1, 2, 3, 4)])))
+    return k.select("instrument", "h", r6(F.col("a") + (F.col("b") - F.col("a")) * F.log("h") / F.log(F.lit(4.0))).alias("q95"))
+
+
+@query("i17_phase_scale", f"WITH {HOR_SQL} SELECT phase, h, count(*) AS n, round(median(abs(z)), 6) AS scale FROM hz GROUP BY 1, 2")
+def i17(spark, sf_dir):
+    return scored_origins(spark, sf_dir).groupBy("phase", "h").agg(F.count("*").alias("n"), r6(F.median(F.abs("z"))).alias("scale"))
+
+
+@query("i19_constant_scale", f"""WITH {HOR_SQL}, g AS (SELECT h, m, avg(abs(abs(y) - m * sqrt(var))) AS loss FROM hz, (SELECT unnest([0.25, 0.5, 0.75, 1.0, 1.5, 2.0]) AS m) GROUP BY 1, 2)
+SELECT h, CAST(arg_min(m, (loss, m)) AS DOUBLE) AS scale, round(min(loss), 6) AS loss FROM g GROUP BY 1""")
+def i19(spark, sf_dir):
+    """The best of a fixed grid of multipliers, scored on all origins in one pass."""
+    o = scored_origins(spark, sf_dir).withColumn("m", F.explode(F.array(*[F.lit(m) for m in (0.25, 0.5, 0.75, 1.0, 1.5, 2.0)])))
+    g = o.groupBy("h", "m").agg(F.avg(F.abs(F.abs("y") - F.col("m") * F.sqrt("var"))).alias("loss"))
+    return g.groupBy("h").agg(F.min_by("m", F.struct("loss", "m")).alias("scale"), r6(F.min("loss")).alias("loss"))

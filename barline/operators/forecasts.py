@@ -1,2 +1,149 @@
+"""Group H: class-distribution forecasts from counts: smoothing, ties, priors, quantisation."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import r6
+from ..plans import register
+from .indicators import REFS_SQL, overnight_references, weekday_bars
+from .labels import FWD_SQL, forward_labels
+from .matching import TOP_SQL, matches
+
 QUERIES: dict = {}
 SQL: dict = {}
+query = register(QUERIES, SQL)
+CLASSES = ["bearish", "bullish", "neutral_band"]
+
+
+def labelled(spark, sf_dir) -> DataFrame:
+    """Every labelled forward window: instrument, trading_day, slot, label."""
+    return forward_labels(weekday_bars(spark, sf_dir), 2, 10.0).where("label IS NOT NULL").select("instrument", "trading_day", "slot", "label", "move")
+
+
+LAB_SQL = f"{FWD_SQL}, lab AS (SELECT instrument, trading_day, slot, label, move FROM fw WHERE label IS NOT NULL), cls AS (SELECT unnest(['bearish', 'bullish', 'neutral_band']) AS label)"
+
+
+def with_classes(df: DataFrame) -> DataFrame:
+    """df crossed with the class vocabulary (a fixed list): one row a class."""
+    return df.withColumn("label", F.explode(F.array(*[F.lit(c) for c in CLASSES])))
+
+
+def smoothed(rows: DataFrame, keys: list[str], k: float = 1.0) -> DataFrame:
+    """H1: (count + k) / (n + classes * k) for every class of every key; counts are pre-aggregated before the shuffle."""
+    counts = rows.groupBy(*keys, "label").agg(F.count("*").alias("c"))
+    full = with_classes(counts.select(*keys).distinct()).join(counts, [*keys, "label"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    return full.withColumn("n", F.sum("c").over(Window.partitionBy(*keys))).withColumn("p", (F.col("c") + k) / (F.col("n") + k * len(CLASSES)))
+
+
+DIST_SQL = f"""{LAB_SQL}, ct AS (SELECT instrument, slot, label, count(*) AS c FROM lab GROUP BY 1, 2, 3), di AS (SELECT k.instrument, k.slot, cls.label, coalesce(c, 0) AS c, CAST(sum(coalesce(c, 0)) OVER (PARTITION BY k.instrument, k.slot) AS BIGINT) AS n
+  FROM (SELECT DISTINCT instrument, slot FROM ct) k CROSS JOIN cls LEFT JOIN ct ON ct.instrument = k.instrument AND ct.slot = k.slot AND ct.label = cls.label), ds AS (SELECT *, (c + 1) / (n + 3) AS p FROM di)"""
+
+
+def distribution(spark, sf_dir) -> DataFrame:
+    return smoothed(labelled(spark, sf_dir), ["instrument", "slot"])
+
+
+@query("h1_smoothed_distribution", f"WITH {DIST_SQL} SELECT instrument, slot, label, c, n, round(p, 6) AS p FROM ds")
+def h1(spark, sf_dir):
+    return distribution(spark, sf_dir).select("instrument", "slot", "label", "c", "n", r6("p").alias("p"))
+
+
+@query("h2_argmax_ties", f"WITH {DIST_SQL}, r AS (SELECT *, rank() OVER (PARTITION BY instrument, slot ORDER BY c DESC) AS k FROM ds) SELECT instrument, slot, CASE WHEN count(*) = 1 THEN min(label) END AS predicted, CASE WHEN count(*) = 1 THEN 'predicted' ELSE 'ambiguous' END AS status FROM r WHERE k = 1 GROUP BY 1, 2")
+def h2(spark, sf_dir):
+    """The most likely class; exact ties of counts are ambiguous."""
+    r = distribution(spark, sf_dir).withColumn("k", F.rank().over(Window.partitionBy("instrument", "slot").orderBy(F.desc("c")))).where("k = 1")
+    return r.groupBy("instrument", "slot").agg(F.when(F.count("*") == 1, F.min("label")).alias("predicted"), F.when(F.count("*") == 1, "predicted").otherwise("ambiguous").alias("status"))
+
+
+@query("h3_nearest_levels", f"""WITH {REFS_SQL}, l AS (SELECT instrument, trading_day, cutoff_price, unnest(['on_open', 'on_high', 'on_low']) AS name, unnest([on_open, on_high, on_low]) AS level FROM refs WHERE cutoff_price IS NOT NULL),
+m AS (SELECT instrument, trading_day, cutoff_price, level, string_agg(name, '+' ORDER BY name) AS names FROM l GROUP BY 1, 2, 3, 4), r AS (SELECT *, CASE WHEN level >= cutoff_price THEN 'above' ELSE 'below' END AS side FROM m),
+q AS (SELECT *, row_number() OVER (PARTITION BY instrument, trading_day, side ORDER BY abs(level - cutoff_price), level) AS k FROM r)
+SELECT instrument, CAST(trading_day AS VARCHAR) AS trading_day, side, CAST(k AS INT) AS k, names, level FROM q WHERE k <= 2""")
+def h3(spark, sf_dir):
+    """The two nearest levels on each side of the cutoff price; equal ones are merged."""
+    names = ["on_open", "on_high", "on_low"]
+    r = overnight_references(weekday_bars(spark, sf_dir)).where("cutoff_price IS NOT NULL")
+    long = r.select("instrument", "trading_day", "cutoff_price", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("level")) for n in names])).alias("x"))
+    merged = long.groupBy("instrument", "trading_day", "cutoff_price", F.col("x.level").alias("level")).agg(F.array_join(F.array_sort(F.collect_list("x.name")), "+").alias("names"))
+    merged = merged.withColumn("side", F.when(F.col("level") >= F.col("cutoff_price"), "above").otherwise("below"))
+    w = Window.partitionBy("instrument", "trading_day", "side").orderBy(F.abs(F.col("level") - F.col("cutoff_price")), "level")
+    return merged.withColumn("k", F.row_number().over(w)).where("k <= 2").select("instrument", F.col("trading_day").cast("string").alias("trading_day"), "side", "k", "names", "level")
+
+
+@query("h4_eligibility", f"WITH {REFS_SQL} SELECT CASE WHEN on_bars = 0 THEN 'no overnight bars' WHEN cutoff_slot < 840 THEN 'stale cutoff' WHEN on_high = on_low THEN 'no range' ELSE 'eligible' END AS reason, count(*) AS n FROM refs GROUP BY 1")
+def h4(spark, sf_dir):
+    r = overnight_references(weekday_bars(spark, sf_dir))
+    return r.groupBy(F.when(F.col("on_bars") == 0, "no overnight bars").when(F.col("cutoff_slot") < 840, "stale cutoff").when(F.col("on_high") == F.col("on_low"), "no range").otherwise("eligible").alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("h5_frozen_evidence", f"""WITH {TOP_SQL}, mv AS (SELECT instrument, trading_day, CASE WHEN arg_max(close, slot) > arg_min(open, slot) THEN 'up' ELSE 'down' END AS label FROM wd WHERE session_scope = 'RTH' GROUP BY 1, 2),
+s AS (SELECT tp.instrument, tp.trading_day, count(label) AS members, count(*) FILTER (label = 'up') AS up FROM tp LEFT JOIN mv ON mv.instrument = tp.instrument AND mv.trading_day = tp.earlier GROUP BY 1, 2),
+p AS (SELECT s.*, count(mv.label) AS prior_n, count(*) FILTER (mv.label = 'up') AS prior_up FROM s LEFT JOIN mv ON mv.instrument = s.instrument AND mv.trading_day < s.trading_day GROUP BY ALL)
+SELECT instrument, CAST(trading_day AS VARCHAR) AS trading_day, members, up, prior_n, prior_up, round((up + 4 * (prior_up + 1) / (prior_n + 2)) / (members + 4), 6) AS p_up FROM p""")
+def h5(spark, sf_dir):
+    """Members' labels and the prior of all earlier sessions, blended with four pseudo-counts. The prior is a running sum, not a range join."""
+    b = weekday_bars(spark, sf_dir)
+    out = b.where("session_scope = 'RTH'").groupBy("instrument", "trading_day").agg(F.when(F.max_by("close", "slot") > F.min_by("open", "slot"), 1).otherwise(0).alias("up"))
+    m = matches(spark, sf_dir).join(out.select("instrument", F.col("trading_day").alias("earlier"), "up"), ["instrument", "earlier"], "left")
+    s = m.groupBy("instrument", "trading_day").agg(F.count("up").alias("members"), F.count_if(F.col("up") == 1).alias("up"))
+    days = b.select("instrument", "trading_day").distinct().join(out.withColumnRenamed("up", "u"), ["instrument", "trading_day"], "left")
+    w = Window.partitionBy("instrument").orderBy("trading_day").rowsBetween(Window.unboundedPreceding, -1)
+    prior = days.select("instrument", "trading_day", F.count("u").over(w).alias("prior_n"), F.coalesce(F.sum("u").over(w), F.lit(0)).alias("prior_up"))
+    j = s.join(prior, ["instrument", "trading_day"])
+    p = (F.col("up") + 4 * (F.col("prior_up") + 1) / (F.col("prior_n") + 2)) / (F.col("members") + 4)
+    return j.select("instrument", F.col("trading_day").cast("string").alias("trading_day"), "members", "up", "prior_n", "prior_up", r6(p).alias("p_up"))
+
+
+@query("h11_conditional_prior", f"""WITH {LAB_SQL}, g AS (SELECT instrument, label, count(*) AS c, sum(count(*)) OVER (PARTITION BY instrument) AS n FROM lab GROUP BY 1, 2), k AS (SELECT instrument, slot, label, count(*) AS c, sum(count(*)) OVER (PARTITION BY instrument, slot) AS n FROM lab GROUP BY 1, 2, 3)
+SELECT k.instrument, k.slot, k.label, round((k.c + 20 * (g.c / g.n)) / (k.n + 20), 6) AS p FROM k JOIN g USING (instrument, label)""")
+def h11(spark, sf_dir):
+    """A prior by clock, shrunk to the instrument's own."""
+    c = labelled(spark, sf_dir).groupBy("instrument", "slot", "label").agg(F.count("*").alias("c"))
+    k = c.withColumn("n", F.sum("c").over(Window.partitionBy("instrument", "slot")))
+    g = c.groupBy("instrument", "label").agg(F.sum("c").alias("gc")).withColumn("gn", F.sum("gc").over(Window.partitionBy("instrument")))
+    return k.join(g, ["instrument", "label"]).select("instrument", "slot", "label", r6((F.col("c") + 20 * (F.col("gc") / F.col("gn"))) / (F.col("n") + 20)).alias("p"))
+
+
+@query("h12_quantised", f"""WITH {DIST_SQL}, f AS (SELECT *, CAST(c + 1 AS BIGINT) * 1000000 // (n + 3) AS units, CAST(c + 1 AS BIGINT) * 1000000 % (n + 3) AS rest FROM ds), r AS (SELECT *, 1000000 - sum(units) OVER w AS missing, row_number() OVER (w ORDER BY rest DESC, label) AS k FROM f WINDOW w AS (PARTITION BY instrument, slot))
+SELECT instrument, slot, label, CAST(units + CASE WHEN k <= missing THEN 1 ELSE 0 END AS BIGINT) AS units FROM r""")
+def h12(spark, sf_dir):
+    """Probabilities in millionths that sum exactly: whole parts first, then the largest remainders. Integers throughout."""
+    d = distribution(spark, sf_dir)
+    num, den = (F.col("c") + 1) * 1_000_000, F.col("n") + 3
+    d = d.withColumns({"units": F.expr("((c + 1) * 1000000) div (n + 3)"), "rest": num % den})
+    w = Window.partitionBy("instrument", "slot")
+    d = d.withColumns({"missing": 1_000_000 - F.sum("units").over(w), "k": F.row_number().over(w.orderBy(F.desc("rest"), "label"))})
+    return d.select("instrument", "slot", "label", (F.col("units") + F.when(F.col("k") <= F.col("missing"), 1).otherwise(0)).cast("long").alias("units"))
+
+
+@query("h13_temperature", f"WITH {DIST_SQL}, z AS (SELECT *, CASE WHEN label = 'neutral_band' AND slot >= 1200 THEN 0 ELSE p END AS q FROM ds) SELECT instrument, slot, label, round(pow(q, 0.8) / sum(pow(q, 0.8)) OVER (PARTITION BY instrument, slot), 6) AS p FROM z")
+def h13(spark, sf_dir):
+    """Structural zeros, then a temperature, then renormalised within each forecast."""
+    q = F.when((F.col("label") == "neutral_band") & (F.col("slot") >= 1200), 0.0).otherwise(F.col("p"))
+    z = distribution(spark, sf_dir).withColumn("q", F.pow(q, F.lit(0.8)))
+    return z.select("instrument", "slot", "label", r6(F.col("q") / F.sum("q").over(Window.partitionBy("instrument", "slot"))).alias("p"))
+
+
+@query("h17_contract_violations", f"WITH {DIST_SQL} SELECT count(*) AS forecasts, count(*) FILTER (classes <> 3) AS wrong_classes, count(*) FILTER (abs(total - 1) > 1e-9) AS wrong_sum FROM (SELECT instrument, slot, count(*) AS classes, sum(p) AS total FROM ds GROUP BY 1, 2)")
+def h17(spark, sf_dir):
+    """Forecasts that break the contract: the full vocabulary and a sum of one."""
+    g = distribution(spark, sf_dir).groupBy("instrument", "slot").agg(F.count("*").alias("classes"), F.sum("p").alias("total"))
+    return g.agg(F.count("*").alias("forecasts"), F.count_if(F.col("classes") != 3).alias("wrong_classes"), F.count_if(F.abs(F.col("total") - 1) > 1e-9).alias("wrong_sum"))
+
+
+@query("h18_symmetrised", f"WITH {DIST_SQL} SELECT instrument, slot, label, round(avg(p) OVER (PARTITION BY instrument, slot, label = 'neutral_band'), 6) AS p FROM ds")
+def h18(spark, sf_dir):
+    w = Window.partitionBy("instrument", "slot", F.col("label") == "neutral_band")
+    return distribution(spark, sf_dir).select("instrument", "slot", "label", r6(F.avg("p").over(w)).alias("p"))
+
+
+@query("h21_expanding_prior", f"""WITH {LAB_SQL}, d AS (SELECT instrument, trading_day, count(*) AS n, count(*) FILTER (label = 'bullish') AS b FROM lab GROUP BY 1, 2)
+SELECT instrument, CAST(trading_day AS VARCHAR) AS trading_day, round((coalesce(sum(b) OVER w, 0) + 1) / (coalesce(sum(n) OVER w, 0) + 3), 6) AS p FROM d WINDOW w AS (PARTITION BY instrument ORDER BY trading_day ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING)""")
+def h21(spark, sf_dir):
+    """The share of a class in all sessions up to an embargo of one before each: a running sum."""
+    d = labelled(spark, sf_dir).groupBy("instrument", "trading_day").agg(F.count("*").alias("n"), F.count_if(F.col("label") == "bullish").alias("b"))
+    w = Window.partitionBy("instrument").orderBy("trading_day").rowsBetween(Window.unboundedPreceding, -2)
+    total = lambda c: F.coalesce(F.sum(c).over(w), F.lit(0))
+    return d.select("instrument", F.col("trading_day").cast("string").alias("trading_day"), r6((total("b") + 1) / (total("n") + 3)).alias("p"))

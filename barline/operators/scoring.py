@@ -1,2 +1,235 @@
+"""Group L: proper scores, tallies, reliability, block-bootstrap intervals and comparisons of forecasts."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import r6
+from ..plans import register
+from ..sources import table
+from .fan import HOR_SQL, scored_origins
+from .features import TOTALS_SQL, daily_totals
+from .forecasts import DIST_SQL, distribution, labelled
+
 QUERIES: dict = {}
 SQL: dict = {}
+query = register(QUERIES, SQL)
+#: The constants of the usual rational approximation of the error function (7.1.26 in the handbook of mathematical functions).
+ERF = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+ERF_P = 0.3275911
+
+
+def erf(x: Column) -> Column:
+    a = F.abs(x)
+    t = 1.0 / (1.0 + ERF_P * a)
+    poly = F.lit(0.0)
+    for c in reversed(ERF):
+        poly = (poly + c) * t
+    return F.signum(x) * (1.0 - poly * F.exp(-a * a))
+
+
+def crps_normal(y: Column, sigma: Column) -> Column:
+    """L3: the CRPS of N(0, sigma squared) at y, in closed form."""
+    z = y / sigma
+    return sigma * (z * erf(z / 2.0**0.5) + 2.0 * F.exp(-0.5 * z * z) / (2.0 * 3.141592653589793) ** 0.5 - 1.0 / 3.141592653589793**0.5)
+
+
+_A = "(1.0 / (1.0 + 0.3275911 * abs(z) / sqrt(2.0)))"
+_ERF_SQL = f"sign(z) * (1.0 - (((((1.061405429 * {_A} - 1.453152027) * {_A}) + 1.421413741) * {_A} - 0.284496736) * {_A} + 0.254829592) * {_A} * exp(-z * z / 2))"
+SCORE_SQL = f"{HOR_SQL}, sc AS (SELECT *, sqrt(var) AS sigma, sqrt(var) * (z * ({_ERF_SQL}) + 2.0 * exp(-0.5 * z * z) / sqrt(2 * pi()) - 1.0 / sqrt(pi())) AS crps, abs(y) AS flat FROM hz)"
+
+
+def scored(spark, sf_dir) -> DataFrame:
+    """Origins with sigma, the normal forecast's CRPS, and the absolute error of a flat forecast."""
+    return scored_origins(spark, sf_dir).withColumn("sigma", F.sqrt("var")).withColumns({"crps": crps_normal(F.col("y"), F.col("sigma")), "flat": F.abs("y")})
+
+
+def outcomes(spark, sf_dir) -> DataFrame:
+    """A row for each labelled window and class: p and whether the class was realised."""
+    d = distribution(spark, sf_dir).select("instrument", "slot", "label", "p")
+    return labelled(spark, sf_dir).withColumnRenamed("label", "realised").join(d, ["instrument", "slot"]).withColumn("hit", F.when(F.col("label") == F.col("realised"), 1.0).otherwise(0.0))
+
+
+OUT_SQL = f"{DIST_SQL}, ou AS (SELECT lab.instrument, lab.trading_day, lab.slot, lab.label AS realised, ds.label, ds.p, CASE WHEN ds.label = lab.label THEN 1.0 ELSE 0.0 END AS hit FROM lab JOIN ds ON ds.instrument = lab.instrument AND ds.slot = lab.slot)"
+CASE_SQL = f"{OUT_SQL}, cs AS (SELECT instrument, trading_day, slot, sum((p - hit) ** 2) AS brier, -ln(max(p) FILTER (hit = 1)) AS log_loss FROM ou GROUP BY 1, 2, 3)"
+
+
+def case_scores(spark, sf_dir) -> DataFrame:
+    """L1: Brier (unhalved) and log loss of every case; a zero probability has an infinite loss."""
+    p = F.max(F.when(F.col("hit") == 1, F.col("p")))
+    return outcomes(spark, sf_dir).groupBy("instrument", "trading_day", "slot").agg(F.sum((F.col("p") - F.col("hit")) ** 2).alias("brier"), F.when(p == 0, float("inf")).otherwise(-F.log(p)).alias("log_loss"))
+
+
+@query("l1_brier_log_loss", f"WITH {CASE_SQL} SELECT instrument, count(*) AS n, round(avg(brier), 6) AS brier, round(avg(log_loss), 6) AS log_loss FROM cs GROUP BY 1")
+def l1(spark, sf_dir):
+    return case_scores(spark, sf_dir).groupBy("instrument").agg(F.count("*").alias("n"), r6(F.avg("brier")).alias("brier"), r6(F.avg("log_loss")).alias("log_loss"))
+
+
+@query("l2_ranked_probability", f"""WITH {OUT_SQL}, o AS (SELECT *, CASE label WHEN 'bearish' THEN 1 WHEN 'neutral_band' THEN 2 ELSE 3 END AS k FROM ou), c AS (SELECT *, sum(p) OVER w AS cp, sum(hit) OVER w AS ch FROM o WINDOW w AS (PARTITION BY instrument, trading_day, slot ORDER BY k))
+SELECT instrument, round(avg(s), 6) AS rps FROM (SELECT instrument, trading_day, slot, sum((cp - ch) ** 2) AS s FROM c GROUP BY 1, 2, 3) GROUP BY 1""")
+def l2(spark, sf_dir):
+    """The ranked probability score over the ordered classes."""
+    k = F.when(F.col("label") == "bearish", 1).when(F.col("label") == "neutral_band", 2).otherwise(3)
+    case = ["instrument", "trading_day", "slot"]
+    g = outcomes(spark, sf_dir).groupBy(*case).agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), "p", "hit"))).alias("c"))  # three classes a case
+    total = lambda f, i: F.aggregate(F.slice(F.col("c"), 1, i), F.lit(0.0), lambda s, x: s + x[f])
+    s = sum(((total("p", i) - total("hit", i)) ** 2 for i in (1, 2, 3)), F.lit(0.0))
+    return g.select("instrument", s.alias("s")).groupBy("instrument").agg(r6(F.avg("s")).alias("rps"))
+
+
+@query("l3_normal_crps", f"WITH {SCORE_SQL} SELECT instrument, h, count(*) AS n, round(avg(crps), 6) AS crps, round(1 - avg(crps) / avg(flat), 6) AS skill FROM sc GROUP BY 1, 2")
+def l3(spark, sf_dir):
+    return scored(spark, sf_dir).groupBy("instrument", "h").agg(F.count("*").alias("n"), r6(F.avg("crps")).alias("crps"), r6(1 - F.avg("crps") / F.avg("flat")).alias("skill"))
+
+
+@query("l4_quantile_crps", f"""WITH {HOR_SQL}, q AS (SELECT h, quantile_cont(z, [0.1, 0.3, 0.5, 0.7, 0.9]) AS q FROM hz GROUP BY 1)
+SELECT h, round(avg(2 * (greatest(0.1 * (z - q[1]), -0.9 * (z - q[1])) + greatest(0.3 * (z - q[2]), -0.7 * (z - q[2])) + greatest(0.5 * (z - q[3]), -0.5 * (z - q[3])) + greatest(0.7 * (z - q[4]), -0.3 * (z - q[4])) + greatest(0.9 * (z - q[5]), -0.1 * (z - q[5]))) / 5), 6) AS crps FROM hz JOIN q USING (h) GROUP BY 1""")
+def l4(spark, sf_dir):
+    """Twice the mean pinball loss over quantile levels, as a higher-order function on the quantile array."""
+    taus = [0.1, 0.3, 0.5, 0.7, 0.9]
+    o = scored_origins(spark, sf_dir).select("h", "z")
+    q = o.groupBy("h").agg(F.percentile("z", F.array(*[F.lit(t) for t in taus])).alias("q"))
+    loss = F.aggregate(F.zip_with("q", F.array(*[F.lit(t) for t in taus]), lambda x, t: F.greatest(t * (F.col("z") - x), (t - 1) * (F.col("z") - x))), F.lit(0.0), lambda s, x: s + x)
+    return o.join(q, "h").select("h", (2 * loss / len(taus)).alias("c")).groupBy("h").agg(r6(F.avg("c")).alias("crps"))
+
+
+@query("l5_ensemble_crps", """WITH v AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS y, list_transform(embedding[2:9], lambda x: CAST(x AS DOUBLE)) AS m FROM embeddings)
+SELECT vec_id, round(list_avg(list_transform(m, lambda x: abs(x - y))) - (SELECT sum(abs(a - b)) FROM unnest(m) t(a), unnest(m) u(b)) / (2.0 * 8 * 7), 6) AS crps FROM v""")
+def l5(spark, sf_dir):
+    """The fair CRPS of an ensemble of eight members: sorted members weigh their pairwise spread in one pass."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.element_at("embedding", 1).cast("double").alias("y"), F.array_sort(F.transform(F.slice("embedding", 2, 8), lambda x: x.cast("double"))).alias("m"))
+    error = F.aggregate("m", F.lit(0.0), lambda s, x: s + F.abs(x - F.col("y"))) / 8
+    spread = F.aggregate(F.transform("m", lambda x, i: x * (2 * i - 7)), F.lit(0.0), lambda s, x: s + x) * 2
+    return v.select("vec_id", r6(error - spread / (2.0 * 8 * 7)).alias("crps"))
+
+
+@query("l6_tallies", f"""WITH {SCORE_SQL} SELECT h, phase, count(*) AS n, round(avg(crps), 6) AS crps, round(sqrt(avg(z * z)), 6) AS rms, count(*) FILTER (abs(z) <= 0.6744897501960817) AS in50, count(*) FILTER (abs(z) <= 1.6448536269514722) AS in90
+FROM sc GROUP BY GROUPING SETS ((h), (h, phase))""")
+def l6(spark, sf_dir):
+    """Counts, scores and coverage by horizon, and by horizon and phase, from one pass."""
+    s = scored(spark, sf_dir)
+    s = s.groupingSets([[F.col("h")], [F.col("h"), F.col("phase")]], "h", "phase")
+    inside = lambda q: F.count_if(F.abs("z") <= q)
+    return s.agg(F.count("*").alias("n"), r6(F.avg("crps")).alias("crps"), r6(F.sqrt(F.avg(F.col("z") * F.col("z")))).alias("rms"), inside(0.6744897501960817).alias("in50"), inside(1.6448536269514722).alias("in90"))
+
+
+@query("l8_recent_accuracy", f"""WITH {SCORE_SQL}, d AS (SELECT instrument, trading_day, h, sum(crps) AS c, sum(flat) AS f FROM sc GROUP BY 1, 2, 3)
+SELECT instrument, CAST(trading_day AS VARCHAR) AS trading_day, h, round(1 - sum(c) OVER w / nullif(sum(f) OVER w, 0), 6) AS skill FROM d WINDOW w AS (PARTITION BY instrument, h ORDER BY trading_day ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)""")
+def l8(spark, sf_dir):
+    """Skill over the five sessions before each."""
+    d = scored(spark, sf_dir).groupBy("instrument", "trading_day", "h").agg(F.sum("crps").alias("c"), F.sum("flat").alias("f"))
+    w = Window.partitionBy("instrument", "h").orderBy("trading_day").rowsBetween(-5, -1)
+    return d.select("instrument", F.col("trading_day").cast("string").alias("trading_day"), "h", r6(1 - F.sum("c").over(w) / F.nullif(F.sum("f").over(w), F.lit(0.0))).alias("skill"))
+
+
+@query("l10_paired_candidate", f"""WITH {SCORE_SQL}, d AS (SELECT h, phase, trading_day, avg(crps) AS base, avg(abs(y) * 0.9) AS cand, count(*) AS origins FROM sc GROUP BY 1, 2, 3)
+SELECT h, phase, count(*) AS sessions, CAST(sum(origins) AS BIGINT) AS origins, round(avg(base), 6) AS base, round(avg(cand), 6) AS candidate, round(avg(cand - base), 6) AS difference FROM d GROUP BY 1, 2""")
+def l10(spark, sf_dir):
+    """A candidate against the baseline on the same origins, as means of session means."""
+    d = scored(spark, sf_dir).groupBy("h", "phase", "trading_day").agg(F.avg("crps").alias("base"), F.avg(F.abs("y") * 0.9).alias("cand"), F.count("*").alias("origins"))
+    return d.groupBy("h", "phase").agg(F.count("*").alias("sessions"), F.sum("origins").alias("origins"), r6(F.avg("base")).alias("base"), r6(F.avg("cand")).alias("candidate"), r6(F.avg(F.col("cand") - F.col("base"))).alias("difference"))
+
+
+def block_bootstrap(rows: DataFrame, keys: list[str], ordinal: str, value: str, block: int, resamples: int, circular: bool = False) -> DataFrame:
+    """Percentile interval of the mean by moving (or circular) blocks; block starts come from md5, so any engine repeats them.
+
+    Each resample takes ceil(n / block) starts; a block's sum is a window sum, so rows are joined once a block, not once a
+    row. The last block is cut to keep n rows. Keys with fewer than two blocks get no interval.
+    """
+    n = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= 2 * block)
+    w = Window.partitionBy(*keys).orderBy(ordinal)
+    k = rows.withColumn("i", F.row_number().over(w) - 1)
+    prefix = k.withColumn("cum", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    total = prefix.groupBy(*keys).agg(F.max_by("cum", "i").alias("all"))
+    draws = n.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {block}"))))
+    span = F.col("n") if circular else F.col("n") - block + 1
+    draws = draws.withColumn("start", (F.conv(F.substring(F.md5(F.concat_ws("-", *keys, "b", "j")), 1, 8), 16, 10).cast("long") % span).cast("int")).withColumn("len", F.least(F.lit(block), F.col("n") - F.col("j") * block))
+    draws = draws.withColumn("stop", F.col("start") + F.col("len") - 1)
+    at = lambda name: prefix.select(*keys, F.col("i").alias(name), F.col("cum").alias(f"cum_{name}"))
+    draws = draws.withColumns({"before": (F.col("start") - 1), "last": F.when(F.col("stop") >= F.col("n"), F.col("stop") - F.col("n")).otherwise(F.col("stop"))}).withColumn("before", F.col("before").cast("int")).withColumn("last", F.col("last").cast("int"))
+    joined = draws.join(at("last"), [*keys, "last"]).join(at("before"), [*keys, "before"], "left").join(total, keys)
+    part = F.col("cum_last") - F.coalesce("cum_before", F.lit(0.0)) + F.when(F.col("stop") >= F.col("n"), F.col("all")).otherwise(0.0)
+    means = joined.groupBy(*keys, "b").agg((F.sum(part) / F.max("n")).alias("mean"))
+    out = means.groupBy(*keys).agg(F.percentile("mean", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
+    return rows.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count("*").alias("n")).join(out, keys, "left").select(*keys, "n", "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+
+def _bootstrap_sql(span: str) -> str:
+    return f"""WITH {TOTALS_SQL}, k AS (SELECT instrument, v, row_number() OVER (PARTITION BY instrument ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY instrument) AS n FROM dt),
+d AS (SELECT instrument, n, b, j, CAST(('0x' || substr(md5(instrument || '-' || b || '-' || j), 1, 8)) AS BIGINT) % ({span}) AS start FROM (SELECT DISTINCT instrument, n FROM k), (SELECT unnest(generate_series(1, 60)) AS b), LATERAL (SELECT unnest(generate_series(0, (n - 1) // 20)) AS j)),
+s AS (SELECT d.instrument, b, avg(k.v) AS mean FROM d, LATERAL (SELECT unnest(generate_series(0, least(20, n - j * 20) - 1)) AS o) JOIN k ON k.instrument = d.instrument AND k.i = (d.start + o) % d.n GROUP BY 1, 2),
+q AS (SELECT instrument, quantile_cont(mean, 0.05) AS low, quantile_cont(mean, 0.95) AS high FROM s GROUP BY 1)
+SELECT instrument, a.n, round(a.mean, 2) AS mean, round(low, 2) AS low, round(high, 2) AS high FROM (SELECT instrument, count(*) AS n, avg(v) AS mean FROM dt GROUP BY 1) a LEFT JOIN q USING (instrument)"""
+
+
+def _interval(spark, sf_dir, circular: bool) -> DataFrame:
+    b = block_bootstrap(daily_totals(spark, sf_dir), ["instrument"], "day", "v", 20, 60, circular)
+    return b.select("instrument", "n", *[F.round(c, 2).alias(c) for c in ("mean", "low", "high")])
+
+
+@query("l12_block_bootstrap", _bootstrap_sql("n - 19"))
+def l12(spark, sf_dir):
+    return _interval(spark, sf_dir, False)
+
+
+@query("l13_circular_bootstrap", _bootstrap_sql("n"))
+def l13(spark, sf_dir):
+    return _interval(spark, sf_dir, True)
+
+
+@query("l14_paired_arms", f"""WITH {CASE_SQL}, g AS (SELECT instrument, trading_day, avg(brier) AS a, avg(2.0 / 3) AS b FROM cs GROUP BY 1, 2) SELECT instrument, count(*) AS sessions, round(avg(a - b), 6) AS difference, count(*) FILTER (a < b) AS improved FROM g GROUP BY 1""")
+def l14(spark, sf_dir):
+    """Two arms on their common sessions: here against the uniform forecast, whose Brier is 2/3."""
+    g = case_scores(spark, sf_dir).groupBy("instrument", "trading_day").agg(F.avg("brier").alias("a"), F.avg(F.lit(2.0 / 3)).alias("b"))
+    return g.groupBy("instrument").agg(F.count("*").alias("sessions"), r6(F.avg(F.col("a") - F.col("b"))).alias("difference"), F.count_if(F.col("a") < F.col("b")).alias("improved"))
+
+
+@query("l16_breakdown", f"""WITH {CASE_SQL}, g AS (SELECT instrument, slot, avg(brier) AS m, count(*) AS n FROM cs GROUP BY 1, 2), t AS (SELECT *, ntile(3) OVER (PARTITION BY instrument ORDER BY n, slot) AS third FROM g)
+SELECT instrument, CAST(third AS INT) AS third, count(*) AS slots, round(avg(m), 6) AS brier FROM t GROUP BY 1, 2""")
+def l16(spark, sf_dir):
+    """Scores by thirds of an instrument's slots, ordered by how many cases they have."""
+    g = case_scores(spark, sf_dir).groupBy("instrument", "slot").agg(F.avg("brier").alias("m"), F.count("*").alias("n"))
+    t = g.withColumn("third", F.ntile(3).over(Window.partitionBy("instrument").orderBy("n", "slot")))
+    return t.groupBy("instrument", "third").agg(F.count("*").alias("slots"), r6(F.avg("m")).alias("brier"))
+
+
+@query("l17_reliability", f"WITH {OUT_SQL} SELECT label, CAST(least(floor(round(p, 9) * 10), 9) AS INT) AS bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(hit), 6) AS observed FROM ou GROUP BY 1, 2")
+def l17(spark, sf_dir):
+    """The issued probability in equal bins against the observed frequency."""
+    bin_ = F.least(F.floor(F.round("p", 9) * 10), F.lit(9)).cast("int")
+    return outcomes(spark, sf_dir).groupBy("label", bin_.alias("bin")).agg(F.count("*").alias("n"), r6(F.avg("p")).alias("mean_p"), r6(F.avg("hit")).alias("observed"))
+
+
+@query("l21_concentration", f"""WITH {CASE_SQL}, g AS (SELECT trading_day, avg(brier) - 2.0 / 3 AS d FROM cs GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY d, trading_day) AS k FROM g)
+SELECT count(*) AS sessions, round(avg(CASE WHEN d < 0 THEN 1.0 ELSE 0.0 END), 6) AS improved, round(sum(d) FILTER (k <= 5) / sum(d), 6) AS top5_share FROM r""")
+def l21(spark, sf_dir):
+    g = case_scores(spark, sf_dir).groupBy("trading_day").agg((F.avg("brier") - 2.0 / 3).alias("d"))
+    r = g.withColumn("k", F.row_number().over(Window.orderBy("d", "trading_day")))  # a row a session
+    return r.agg(F.count("*").alias("sessions"), r6(F.avg(F.when(F.col("d") < 0, 1.0).otherwise(0.0))).alias("improved"), r6(F.sum(F.when(F.col("k") <= 5, F.col("d"))) / F.sum("d")).alias("top5_share"))
+
+
+@query("l28_timing_quantiles", "SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, max(value) AS worst FROM events GROUP BY 1")
+def l28(spark, sf_dir):
+    q = F.percentile("value", F.array(F.lit(0.5), F.lit(0.9)))
+    g = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), q.alias("q"), F.max("value").alias("worst"))
+    return g.select("event_type", "n", r6(F.col("q")[0]).alias("p50"), r6(F.col("q")[1]).alias("p90"), "worst")
+
+
+@query("l36_distribution_distance", f"""WITH {DIST_SQL} SELECT a.instrument, a.slot, round(sum(abs(a.p - b.p)) / 2, 6) AS tv, round(sum(a.p * ln(a.p / b.p)), 6) AS kl FROM ds a JOIN ds b ON a.instrument = b.instrument AND a.label = b.label AND b.slot = 0 GROUP BY 1, 2""")
+def l36(spark, sf_dir):
+    """Total variation and Kullback-Leibler distance of each clock's forecast from that of the first slot."""
+    d = distribution(spark, sf_dir)
+    b = d.where("slot = 0").select("instrument", "label", F.col("p").alias("q"))
+    return d.join(b, ["instrument", "label"]).groupBy("instrument", "slot").agg(r6(F.sum(F.abs(F.col("p") - F.col("q"))) / 2).alias("tv"), r6(F.sum(F.col("p") * F.log(F.col("p") / F.col("q")))).alias("kl"))
+
+
+@query("l38_replay_parity", "SELECT 0::BIGINT AS mismatches")
+def l38(spark, sf_dir):
+    """No look-ahead: session features recomputed from bars up to a day equal those of the whole history."""
+    from .indicators import DAY, daily_ranges, weekday_bars
+
+    bars = weekday_bars(spark, sf_dir)
+    early = daily_ranges(bars.where("trading_day <= DATE '2024-01-17'")).withColumnRenamed("tr", "early_tr").select(*DAY, "early_tr")
+    both = daily_ranges(bars).where("trading_day <= DATE '2024-01-17'").join(early, DAY, "full")
+    return both.where(~F.col("tr").eqNullSafe(F.col("early_tr"))).agg(F.count("*").alias("mismatches"))

@@ -1,2 +1,97 @@
+"""Group M: the live loop as Structured Streaming queries. The event table is read as a file stream with availableNow, so
+that a streaming result can be held against the batch one; on a live source only the reader differs.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import r6, stamp
+from ..plans import register
+
 QUERIES: dict = {}
 SQL: dict = {}
+query = register(QUERIES, SQL)
+LATENESS = "2 days"
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        import tempfile
+
+        root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        spark.sparkContext.setCheckpointDir(root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table as a stream of timestamps with the watermark that bounds the state."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", LATENESS)
+
+
+def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """What the stream has emitted once all that is there has been read, from the files of its sink."""
+    spark = stream.sparkSession
+    out = shared_path(spark, name)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")  # a repeated batch replaces itself
+
+    started = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(write).start()
+    started.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows").select(*stream.columns)
+
+
+def last_emitted(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
+    """Of updates of a key, that with the largest version: updates only grow."""
+    others = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), version).alias("x")).select(*keys, "x.*")
+
+
+@query("m1_minute_bars", """SELECT event_type AS instrument, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS bar, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS volume FROM events GROUP BY 1, 2""")
+def m1(spark, sf_dir):
+    """Events to tumbling minute bars; updates are kept, the last of each bar is its value."""
+    at = F.struct("ts", "event_id")
+    bars = event_stream(spark, sf_dir).groupBy(F.col("event_type").alias("instrument"), F.window("at", "1 minute").alias("w")).agg(F.min_by("value", at).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", at).alias("close"), F.count("*").alias("volume"))
+    rows = drained(bars.select("instrument", stamp("w.start").alias("bar"), "open", "high", "low", "close", "volume"), "minute-bars", "update")
+    return last_emitted(rows, ["instrument", "bar"], "volume").select("instrument", "bar", "open", "high", "low", "close", "volume")
+
+
+@query("m2_sliding_statistics", """SELECT event_type AS instrument, strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n, round(avg(value), 6) AS mean FROM (SELECT *, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS w FROM events) GROUP BY 1, 2""")
+def m2(spark, sf_dir):
+    """Trailing two-hour statistics that slide by an hour."""
+    s = event_stream(spark, sf_dir).groupBy(F.col("event_type").alias("instrument"), F.window("at", "2 hours", "1 hour").alias("w")).agg(F.count("*").alias("n"), r6(F.avg("value")).alias("mean"))
+    rows = drained(s.select("instrument", stamp("w.start").alias("window_start"), "n", "mean"), "sliding", "update")
+    return last_emitted(rows, ["instrument", "window_start"], "n").select("instrument", "window_start", "n", "mean")
+
+
+@query("m3_session_windows", """WITH g AS (SELECT user_id, ts, CASE WHEN date_diff('microsecond', lag(ts) OVER w, ts) < 21600000000 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_at, count(*) AS n FROM r GROUP BY user_id, run HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY""")
+def m3(spark, sf_dir):
+    """Runs of a user's events separated by gaps of six hours: appended once the watermark has passed their end."""
+    s = event_stream(spark, sf_dir).groupBy("user_id", F.session_window("at", "6 hours").alias("w")).agg(F.count("*").alias("n"), F.min("ts").alias("first"))
+    return drained(s.select("user_id", stamp("first").alias("first_at"), "n"), "sessions")
+
+
+@query("m4_receipt_log", "SELECT event_type, count(*) AS receipts FROM (SELECT DISTINCT event_type, user_id, value FROM events) GROUP BY 1")
+def m4(spark, sf_dir):
+    """First sight of each (key, value): state is dropped once the watermark passes."""
+    s = event_stream(spark, sf_dir).select("event_type", "user_id", "value", "at").dropDuplicates(["event_type", "user_id", "value"])
+    return drained(s.select("event_type", "user_id", "value"), "receipts").groupBy("event_type").agg(F.count("*").alias("receipts"))
+
+
+@query("m6_settled_open", """WITH m AS (SELECT max(ts) AS newest FROM events), b AS (SELECT event_type AS instrument, date_trunc('hour', ts) AS bar FROM events GROUP BY 1, 2)
+SELECT instrument, CASE WHEN bar + INTERVAL 3 HOUR <= newest THEN 'settled' ELSE 'open' END AS state, count(*) AS bars FROM b, m GROUP BY 1, 2""")
+def m6(spark, sf_dir):
+    """Bars that ended two hours before the newest event are settled; later ones are still open."""
+    s = event_stream(spark, sf_dir).groupBy(F.col("event_type").alias("instrument"), F.window("at", "1 hour").alias("w")).agg(F.max("at").alias("last"))
+    rows = drained(s.select("instrument", F.col("w.start").alias("bar"), "last"), "open-bars", "update").groupBy("instrument", "bar").agg(F.max("last").alias("last"))
+    newest = rows.agg(F.max("last").alias("newest"))
+    settled = F.col("bar") + F.expr("INTERVAL 3 HOURS") <= F.col("newest")
+    return rows.crossJoin(F.broadcast(newest)).groupBy("instrument", F.when(settled, "settled").otherwise("open").alias("state")).agg(F.count("*").alias("bars"))  # one row is broadcast
