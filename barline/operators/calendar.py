@@ -217,3 +217,47 @@ def c7(spark, sf_dir):
     rows = o.select("o_custkey", "o_totalprice", F.to_date("o_orderdate").alias("day")).join(c.select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("symbol")), "o_custkey")
     daily = rows.groupBy("symbol", "day").agg(F.count("*").alias("orders"), F.sum("o_totalprice").alias("total"))
     return daily.join(front, ["symbol", "day"]).groupBy("contract").agg(F.sum("orders").alias("orders"), F.round(F.sum("total"), 2).alias("total"))
+
+
+@query("b11_targets_observed", f"""WITH {CALENDAR_SQL} SELECT CAST(session_date AS VARCHAR) AS session_date, count(*) AS observed FROM cal, (SELECT unnest([15, 30, 60, 390]) AS m) WHERE schedule <> 'closed' AND least(570 + m, close_minute) <= 780 GROUP BY 1""")
+def b11(spark, sf_dir):
+    """How many targets' windows have ended by 13:00; early closes cut them."""
+    c = order_calendar(spark, sf_dir).where("schedule <> 'closed'").withColumn("m", F.explode(F.array(*[F.lit(m) for m in (15, 30, 60, 390)])))
+    return c.where(F.least(RTH_OPEN + F.col("m"), F.col("close_minute")) <= 780).groupBy(F.col("session_date").cast("string").alias("session_date")).agg(F.count("*").alias("observed"))
+
+
+@query("b13_finalised_gate", f"WITH {CALENDAR_SQL} SELECT schedule, count(*) FILTER (CAST(session_date AS TIMESTAMP) + (close_minute + 120) * INTERVAL 1 MINUTE <= TIMESTAMP '1997-06-30 18:00:00') AS finalised, count(*) AS days FROM cal WHERE schedule <> 'closed' GROUP BY 1")
+def b13(spark, sf_dir):
+    """Sessions whose close lies two hours back at a given instant."""
+    end = F.timestamp_add("MINUTE", F.col("close_minute") + 120, F.col("session_date").cast("timestamp_ntz"))
+    c = order_calendar(spark, sf_dir).where("schedule <> 'closed'")
+    return c.groupBy("schedule").agg(F.count_if(end <= F.lit("1997-06-30 18:00:00").cast("timestamp_ntz")).alias("finalised"), F.count("*").alias("days"))
+
+
+@query("c2_missing_cycle_months", """WITH m AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS month FROM orders), w AS (SELECT symbol, CAST(unnest(generate_series((SELECT min(month) FROM m), (SELECT max(month) FROM m), INTERVAL 1 MONTH)) AS DATE) AS month FROM (SELECT DISTINCT c_mktsegment AS symbol FROM customer)),
+h AS (SELECT DISTINCT c_mktsegment AS symbol, date_trunc('month', o_orderdate)::DATE AS month FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority = '5-LOW' AND o_custkey % 29 = 1) SELECT symbol, CAST(month AS VARCHAR) AS month FROM w ANTI JOIN h USING (symbol, month)""")
+def c2(spark, sf_dir):
+    """Months of the cycle for which a symbol holds nothing."""
+    o, c = table(spark, sf_dir, "orders").withColumn("month", F.trunc("o_orderdate", "month")), table(spark, sf_dir, "customer")
+    span = o.agg(F.min("month").alias("a"), F.max("month").alias("b")).select(F.explode(F.expr("sequence(a, b, interval 1 month)")).alias("month"))
+    want = c.select(F.col("c_mktsegment").alias("symbol")).distinct().join(F.broadcast(span))  # a row a month
+    held = o.where("o_orderpriority = '5-LOW' AND o_custkey % 29 = 1").select(F.col("o_custkey").alias("c_custkey"), "month").join(c.select("c_custkey", F.col("c_mktsegment").alias("symbol")), "c_custkey").select("symbol", "month")
+    return want.join(held, ["symbol", "month"], "left_anti").select("symbol", F.col("month").cast("string").alias("month"))
+
+
+@query("c4_next_roll", f"""WITH {CHAIN_SQL}, n AS (SELECT *, lead(contract) OVER w AS nc, lead(day) OVER w AS nd FROM front WINDOW w AS (PARTITION BY symbol ORDER BY day)) SELECT symbol, CAST(day AS VARCHAR) AS last_day, CAST(nd AS VARCHAR) AS first_day, contract, nc AS next_contract FROM n WHERE nc <> contract""")
+def c4(spark, sf_dir):
+    """Every roll: the last day on a contract and the first on the next."""
+    w = Window.partitionBy("symbol").orderBy("day")
+    f = front_contracts(traded_days(spark, sf_dir), chain(spark, sf_dir))
+    n = f.select("symbol", "day", "contract", F.lead("contract").over(w).alias("next_contract"), F.lead("day").over(w).alias("first")).where("next_contract <> contract")
+    return n.select("symbol", F.col("day").cast("string").alias("last_day"), F.col("first").cast("string").alias("first_day"), "contract", "next_contract")
+
+
+@query("c6_best_contract", f"""WITH {CHAIN_SQL}, r AS (SELECT symbol, contract, expiry, row_number() OVER (PARTITION BY symbol ORDER BY CASE WHEN expiry >= DATE '1997-01-10' THEN 0 ELSE 1 END, CASE WHEN expiry >= DATE '1997-01-10' THEN expiry - DATE '1997-01-10' ELSE DATE '1997-01-10' - expiry END) AS rank FROM chain)
+SELECT symbol, contract, CAST(rank AS INT) AS rank FROM r WHERE rank <= 4""")
+def c6(spark, sf_dir):
+    """Contracts for a day: later expiries nearest first, then earlier ones."""
+    day = F.lit("1997-01-10").cast("date")
+    w = Window.partitionBy("symbol").orderBy(F.when(F.col("expiry") >= day, 0).otherwise(1), F.abs(F.datediff("expiry", day)))
+    return chain(spark, sf_dir).withColumn("rank", F.row_number().over(w)).where("rank <= 4").select("symbol", "contract", "rank")

@@ -99,3 +99,47 @@ def d12(spark, sf_dir):
     o = days.select("trading_day", F.row_number().over(w).cast("long").alias("ordinal"), F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"))
     part = F.when(F.col("ordinal") <= F.col("n") * 0.6, "development").when(F.col("ordinal") <= F.col("n") * 0.8, "check").otherwise("holdout")
     return o.select(F.col("trading_day").cast("string").alias("trading_day"), "ordinal", part.alias("part"))
+
+
+@query("d3_open_bars", f"WITH {LEDGER_SQL}, n AS (SELECT max(bar_start) AS newest FROM sb) SELECT instrument, count(*) FILTER (bar_start + INTERVAL 3 HOUR > newest) AS open_bars, count(*) FILTER (bar_start + INTERVAL 3 HOUR <= newest) AS settled FROM sb, n GROUP BY 1")
+def d3(spark, sf_dir):
+    """Bars that ended less than two hours before the newest are still open."""
+    b = session_bars(spark, sf_dir)
+    n = b.agg(F.max("bar_start").alias("newest"))
+    late = F.col("bar_start") + F.expr("INTERVAL 3 HOURS") > F.col("newest")
+    return b.crossJoin(F.broadcast(n)).groupBy("instrument").agg(F.count_if(late).alias("open_bars"), F.count_if(~late).alias("settled"))  # one row is broadcast
+
+
+@query("d4_catch_up_start", f"WITH {LEDGER_SQL} SELECT instrument, CAST(least(max(trading_day) + 1, DATE '2024-01-25') AS VARCHAR) AS start_day FROM ledger GROUP BY 1")
+def d4(spark, sf_dir):
+    d = day_ledger(session_bars(spark, sf_dir), EXPECTED)
+    return d.groupBy("instrument").agg(F.least(F.date_add(F.max("trading_day"), 1), F.lit("2024-01-25").cast("date")).cast("string").alias("start_day"))
+
+
+@query("d10_timeliness", """WITH r AS (SELECT event_type, CAST(ts AS DATE) AS day, max(ts) FILTER (extract(hour FROM ts) < 14) AS ready FROM events GROUP BY 1, 2)
+SELECT event_type, count(*) AS days, count(*) FILTER (ready <= CAST(day AS TIMESTAMP) + INTERVAL 13 HOUR + INTERVAL 30 MINUTE) AS in_time, round(median(extract(hour FROM ready) * 60 + extract(minute FROM ready)), 6) AS median_minute FROM r WHERE ready IS NOT NULL GROUP BY 1""")
+def d10(spark, sf_dir):
+    """When each morning's data were complete, and how often before the deadline."""
+    from ..sources import table
+
+    r = table(spark, sf_dir, "events").where(F.hour("ts") < 14).groupBy("event_type", F.to_date("ts").alias("day")).agg(F.max("ts").alias("ready"))
+    r = r.withColumn("minute", F.hour("ready") * 60 + F.minute("ready"))
+    return r.groupBy("event_type").agg(F.count("*").alias("days"), F.count_if(F.col("ready") <= F.col("day").cast("timestamp_ntz") + F.expr("INTERVAL '13:30' HOUR TO MINUTE")).alias("in_time"), r6(F.median("minute")).alias("median_minute"))
+
+
+@query("d15_freshness_at_marks", f"""WITH {LEDGER_SQL}, m AS (SELECT DISTINCT instrument, CAST(CAST(bar_start AS DATE) AS TIMESTAMP) + INTERVAL 14 HOUR AS mark FROM sb)
+SELECT m.instrument, strftime(mark, '%Y-%m-%d %H:%M:%S') AS mark, CAST(date_diff('minute', b.bar_start, mark) AS BIGINT) AS age, b.close FROM m ASOF LEFT JOIN (SELECT instrument, bar_start, close FROM sb) b ON m.instrument = b.instrument AND b.bar_start <= mark""")
+def d15(spark, sf_dir):
+    """The last bar at each daily mark and its age."""
+    from ..functions import as_of, stamp
+
+    b = session_bars(spark, sf_dir).select("instrument", "bar_start", "close")
+    marks = b.select("instrument", (F.to_date("bar_start").cast("timestamp_ntz") + F.expr("INTERVAL 14 HOURS")).alias("mark")).distinct()
+    x = as_of(marks, b, ["instrument"], "mark", "bar_start", ["close"])
+    return x.select("instrument", stamp("mark").alias("mark"), F.timestamp_diff("MINUTE", "bar_start", "mark").alias("age"), "close")
+
+
+@query("d16_pending_reason", f"""WITH {LEDGER_SQL} SELECT CASE WHEN bar_count < 5 THEN 'too few bars' WHEN rth_bar_count = 0 THEN 'no regular session' WHEN status = 'PARTIAL' THEN 'partial day' ELSE 'ready' END AS reason, count(*) AS days FROM ledger GROUP BY 1""")
+def d16(spark, sf_dir):
+    d = day_ledger(session_bars(spark, sf_dir), EXPECTED)
+    return d.groupBy(F.when(F.col("bar_count") < 5, "too few bars").when(F.col("rth_bar_count") == 0, "no regular session").when(F.col("status") == "PARTIAL", "partial day").otherwise("ready").alias("reason")).agg(F.count("*").alias("days"))

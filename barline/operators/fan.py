@@ -133,3 +133,48 @@ def i19(spark, sf_dir):
     o = scored_origins(spark, sf_dir).withColumn("m", F.explode(F.array(*[F.lit(m) for m in (0.25, 0.5, 0.75, 1.0, 1.5, 2.0)])))
     g = o.groupBy("h", "m").agg(F.avg(F.abs(F.abs("y") - F.col("m") * F.sqrt("var"))).alias("loss"))
     return g.groupBy("h").agg(F.min_by("m", F.struct("loss", "m")).alias("scale"), r6(F.min("loss")).alias("loss"))
+
+
+def release_days(spark, sf_dir) -> DataFrame:
+    """Days on which purchases come in unusual number stand for releases: (trading_day, slot)."""
+    from ..sources import session_bars
+
+    b = session_bars(spark, sf_dir).where((F.col("instrument") == "purchase") & (F.weekday("trading_day") < 5))
+    return b.where("volume >= 6").select("trading_day", "slot").distinct()
+
+
+REL_SQL = f"{GRID_SQL}, rel AS (SELECT DISTINCT trading_day, slot FROM sb WHERE instrument = 'purchase' AND volume >= 6 AND isodow(trading_day) <= 5)"
+
+
+@query("i2_release_windows", f"WITH {REL_SQL} SELECT CAST(trading_day AS VARCHAR) AS trading_day, slot, greatest(0, slot + lo) AS start_slot, least(1380, slot + hi) AS end_slot, bucket FROM rel, (SELECT unnest([-60, 0, 60]) AS lo, unnest([0, 60, 180]) AS hi, unnest(['before', 'at', 'after']) AS bucket)")
+def i2(spark, sf_dir):
+    """Windows around each release by bucket, clipped to the day; the bucket list is fixed."""
+    w = F.explode(F.array(*[F.struct(F.lit(a).alias("lo"), F.lit(b).alias("hi"), F.lit(n).alias("bucket")) for a, b, n in ((-60, 0, "before"), (0, 60, "at"), (60, 180, "after"))])).alias("w")
+    r = release_days(spark, sf_dir).select("trading_day", "slot", w)
+    return r.select(F.col("trading_day").cast("string").alias("trading_day"), "slot", F.greatest(F.lit(0), F.col("slot") + F.col("w.lo")).alias("start_slot"), F.least(F.lit(1380), F.col("slot") + F.col("w.hi")).alias("end_slot"), "w.bucket")
+
+
+@query("i4_release_multipliers", f"""WITH {SEASON_SQL}, rel AS (SELECT DISTINCT trading_day, slot FROM sb WHERE instrument = 'purchase' AND volume >= 6 AND isodow(trading_day) <= 5)
+SELECT instrument, count(*) AS n, round((sum(r * r) + 5 * avg(s)) / (sum(s) + 5 * avg(s)), 6) AS multiplier FROM sv JOIN rel USING (trading_day, slot) WHERE r IS NOT NULL AND s > 0 GROUP BY 1""")
+def i4(spark, sf_dir):
+    """Realised over expected variance at releases, shrunk to 1 by five mean slots."""
+    x = seasonal(spark, sf_dir).join(release_days(spark, sf_dir), ["trading_day", "slot"]).where("r IS NOT NULL AND s > 0")
+    return x.groupBy("instrument").agg(F.count("*").alias("n"), r6((F.sum(F.col("r") * F.col("r")) + 5 * F.avg("s")) / (F.sum("s") + 5 * F.avg("s"))).alias("multiplier"))
+
+
+@query("i11_fan_quantiles", f"""WITH {SHORT_SQL}, p AS (SELECT *, sum(coalesce(s, 0)) OVER (PARTITION BY instrument, trading_day ORDER BY slot ROWS UNBOUNDED PRECEDING) AS cum FROM sl), o AS (SELECT instrument, trading_day, cum, last_price, level FROM p WHERE slot = 900 AND last_price > 0 AND level IS NOT NULL)
+SELECT p.instrument, CAST(p.trading_day AS VARCHAR) AS trading_day, p.slot, q.name, round(o.last_price * exp(q.z * sqrt((p.cum - o.cum) * o.level)), 4) AS price FROM p JOIN o USING (instrument, trading_day), (SELECT unnest([-1.6448536269514722, 0.0, 1.6448536269514722]) AS z, unnest(['low', 'middle', 'high']) AS name) q WHERE p.slot > 900""")
+def i11(spark, sf_dir):
+    """A log-normal fan from the cutoff: cumulative variance after the origin times fixed normal quantiles."""
+    w = Window.partitionBy("instrument", "trading_day").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
+    p = short_level(seasonal(spark, sf_dir)).withColumn("cum", F.sum(F.coalesce("s", F.lit(0.0))).over(w))
+    at = lambda c: F.max(F.when(F.col("slot") == 900, F.col(c))).over(Window.partitionBy("instrument", "trading_day"))
+    p = p.withColumns({"cum0": at("cum"), "price0": at("last_price"), "level0": at("level")}).where("slot > 900 AND price0 > 0 AND level0 IS NOT NULL")
+    q = F.explode(F.array(*[F.struct(F.lit(z).alias("z"), F.lit(n).alias("name")) for z, n in ((-1.6448536269514722, "low"), (0.0, "middle"), (1.6448536269514722, "high"))])).alias("q")
+    return p.select("instrument", F.col("trading_day").cast("string").alias("trading_day"), "slot", q, "cum", "cum0", "price0", "level0").select("instrument", "trading_day", "slot", "q.name", F.round(F.col("price0") * F.exp(F.col("q.z") * F.sqrt((F.col("cum") - F.col("cum0")) * F.col("level0"))), 4).alias("price"))
+
+
+@query("i16_sampled_origins", f"WITH {HOR_SQL} SELECT h, count(*) FILTER (slot % 120 = 0) AS sampled, count(*) FILTER (slot BETWEEN 660 AND 899) AS premarket FROM hz GROUP BY 1")
+def i16(spark, sf_dir):
+    """Origins of the pre-open slice, and every second slot (a stride is the operator's feature)."""
+    return scored_origins(spark, sf_dir).groupBy("h").agg(F.count_if(F.col("slot") % 120 == 0).alias("sampled"), F.count_if(F.col("slot").between(660, 899)).alias("premarket"))

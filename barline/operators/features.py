@@ -217,3 +217,74 @@ def k15(spark, sf_dir):
 
     out = model.transform(rows.where("trading_day >= DATE '2024-01-20'")).withColumn("p", vector_to_array("probability"))
     return out.select("instrument", day_text(), "slot", "label", *[r6(F.col("p")[k]).alias(f"p{k}") for k in range(3)])
+
+
+@query("j1_point_in_time_panel", f"""WITH {GRID_SQL}, p AS (SELECT instrument, trading_day, slot, last_price, slot - last_value(CASE WHEN close IS NOT NULL THEN slot END IGNORE NULLS) OVER (PARTITION BY instrument, trading_day ORDER BY slot ROWS UNBOUNDED PRECEDING) AS age FROM grid)
+SELECT instrument, CAST(trading_day AS VARCHAR) AS trading_day, slot, last_price, CAST(age AS INT) AS age FROM p""")
+def j1(spark, sf_dir):
+    """The last value at each slot and how old it is."""
+    from .calendar import dense_grid
+    from ..sources import session_bars
+
+    w = Window.partitionBy(*DAY).orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
+    g = dense_grid(session_bars(spark, sf_dir))
+    return g.select("instrument", day_text(), "slot", "last_price", (F.col("slot") - F.last(F.when(F.col("close").isNotNull(), F.col("slot")), ignorenulls=True).over(w)).alias("age"))
+
+
+@query("j8_wide_features", f"""WITH {RV_SQL} SELECT CAST(trading_day AS VARCHAR) AS trading_day, slot, round(max(rv) FILTER (instrument = 'click'), 6) AS click, round(max(rv) FILTER (instrument = 'purchase'), 6) AS purchase, round(max(rv) FILTER (instrument = 'view'), 6) AS view FROM us GROUP BY 1, 2""")
+def j8(spark, sf_dir):
+    """Instruments as columns: the pivot's values are given, so no pass finds them."""
+    p = realised(spark, sf_dir).where("slot IS NOT NULL").groupBy("trading_day", "slot").pivot("instrument", ["click", "purchase", "view"]).agg(F.max("rv"))
+    return p.select(day_text(), "slot", *[r6(c).alias(c) for c in ("click", "purchase", "view")])
+
+
+@query("k5_cross_agreement", f"""WITH {RTH_SQL}, m AS (SELECT trading_day, instrument, sign(close - prev) AS s, close - prev AS d FROM tr WHERE prev IS NOT NULL) SELECT CAST(trading_day AS VARCHAR) AS trading_day, count(*) AS n, round(abs(avg(s)), 6) AS agreement, round(stddev_pop(d), 6) AS dispersion, round(max(d) - min(d), 6) AS spread FROM m GROUP BY 1""")
+def k5(spark, sf_dir):
+    """How far the instruments of a day move together."""
+    d = daily_ranges(weekday_bars(spark, sf_dir)).withColumn("d", F.col("close") - F.lag("close").over(Window.partitionBy("instrument").orderBy("trading_day"))).where("d IS NOT NULL")
+    return d.groupBy(day_text()).agg(F.count("*").alias("n"), r6(F.abs(F.avg(F.signum("d")))).alias("agreement"), r6(F.stddev_pop("d")).alias("dispersion"), r6(F.max("d") - F.min("d")).alias("spread"))
+
+
+@query("k7_missing_indicators", f"""WITH {RTH_SQL}, j AS (SELECT DISTINCT wd.instrument, wd.trading_day, tr.tr, tr.prev FROM wd LEFT JOIN tr USING (instrument, trading_day)) SELECT instrument, count(*) AS days, count(*) FILTER (tr IS NULL) AS range_missing, count(*) FILTER (prev IS NULL) AS prior_missing, count(*) FILTER (tr IS NULL OR prev IS NULL) AS abstained FROM j GROUP BY 1""")
+def k7(spark, sf_dir):
+    """Days that lack a feature, and days on which the model must abstain."""
+    b = weekday_bars(spark, sf_dir)
+    d = daily_ranges(b).withColumn("prev", F.lag("close").over(Window.partitionBy("instrument").orderBy("trading_day"))).select(*DAY, "tr", "prev")
+    j = b.select(*DAY).distinct().join(d, DAY, "left")
+    return j.groupBy("instrument").agg(F.count("*").alias("days"), F.count_if(F.col("tr").isNull()).alias("range_missing"), F.count_if(F.col("prev").isNull()).alias("prior_missing"), F.count_if(F.col("tr").isNull() | F.col("prev").isNull()).alias("abstained"))
+
+
+@query("k11_label_coverage", f"WITH {LAB_SQL} SELECT instrument, label, count(*) AS n, round(avg(move / 10.0), 6) AS mean_move FROM lab GROUP BY 1, 2")
+def k11(spark, sf_dir):
+    """Moves in units of the threshold, and label counts."""
+    return labelled(spark, sf_dir).groupBy("instrument", "label").agg(F.count("*").alias("n"), r6(F.avg(F.col("move") / 10.0)).alias("mean_move"))
+
+
+@query("k16_boosted_classes")
+def k16(spark, sf_dir):
+    """Boosted trees for one class against the rest, fitted on the earlier part, scored on the later."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    rows = labelled(spark, sf_dir).withColumns({"y": F.when(F.col("label") == "bullish", 1.0).otherwise(0.0), "hour": F.col("slot") / 60.0, "code": F.pmod(F.crc32("instrument"), F.lit(7)).cast("double")})
+    rows = VectorAssembler(inputCols=["hour", "code"], outputCol="x").transform(rows)
+    model = GBTClassifier(featuresCol="x", labelCol="y", maxIter=5, maxDepth=3, seed=7).fit(rows.where("trading_day < DATE '2024-01-20'"))
+    out = model.transform(rows.where("trading_day >= DATE '2024-01-20'"))
+    return out.select("instrument", day_text(), "slot", "label", r6(vector_to_array("probability")[1]).alias("p_up"))
+
+
+@query("k19_ridge_shift")
+def k19(spark, sf_dir):
+    """A ridge regression of the next moves on the clock and the instrument, one fit a penalty, compared on later rows."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    rows = labelled(spark, sf_dir).withColumns({"hour": F.col("slot") / 60.0, "code": F.pmod(F.crc32("instrument"), F.lit(7)).cast("double")})
+    rows = VectorAssembler(inputCols=["hour", "code"], outputCol="x").transform(rows)
+    early, late = rows.where("trading_day < DATE '2024-01-20'"), rows.where("trading_day >= DATE '2024-01-20'")
+    fits = [LinearRegression(featuresCol="x", labelCol="move", elasticNetParam=0.0, regParam=a).fit(early).transform(late).withColumn("alpha", F.lit(a)) for a in (0.1, 1.0, 10.0)]
+    out = fits[0]
+    for f in fits[1:]:
+        out = out.unionByName(f)
+    return out.groupBy("alpha").agg(F.count("*").alias("n"), F.round(F.avg((F.col("prediction") - F.col("move")) ** 2), 4).alias("mse"))

@@ -147,3 +147,62 @@ def h21(spark, sf_dir):
     w = Window.partitionBy("instrument").orderBy("trading_day").rowsBetween(Window.unboundedPreceding, -2)
     total = lambda c: F.coalesce(F.sum(c).over(w), F.lit(0))
     return d.select("instrument", F.col("trading_day").cast("string").alias("trading_day"), r6((total("b") + 1) / (total("n") + 3)).alias("p"))
+
+
+@query("h6_missing_runs", f"""WITH {TOP_SQL}, w AS (SELECT instrument, trading_day, a AS algorithm FROM (SELECT DISTINCT instrument, trading_day FROM tp), (SELECT unnest(['frequency', 'matched', 'prior']) AS a)), s AS (SELECT DISTINCT instrument, trading_day, 'frequency' AS algorithm FROM tp WHERE trading_day < DATE '2024-01-15')
+SELECT algorithm, count(*) AS missing FROM w ANTI JOIN s USING (instrument, trading_day, algorithm) GROUP BY 1""")
+def h6(spark, sf_dir):
+    """Every session with every algorithm, less the runs that are stored."""
+    sets = matches(spark, sf_dir).select("instrument", "trading_day").distinct()
+    want = sets.withColumn("algorithm", F.explode(F.array(*[F.lit(a) for a in ("frequency", "matched", "prior")])))
+    stored = sets.where("trading_day < DATE '2024-01-15'").withColumn("algorithm", F.lit("frequency"))
+    return want.join(stored, ["instrument", "trading_day", "algorithm"], "left_anti").groupBy("algorithm").agg(F.count("*").alias("missing"))
+
+
+@query("h7_run_selection", """WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END, o_orderdate DESC, o_orderkey) AS k FROM orders WHERE o_orderstatus <> 'P')
+SELECT o_custkey, o_orderkey FROM r WHERE k = 1""")
+def h7(spark, sf_dir):
+    """The run in force: by algorithm priority, then the latest."""
+    from ..functions import latest
+    from ..sources import table
+
+    rank = F.when(F.col("o_orderpriority") == "1-URGENT", 0).when(F.col("o_orderpriority") == "2-HIGH", 1).otherwise(2)
+    return latest(table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'"), ["o_custkey"], [rank, F.desc("o_orderdate"), "o_orderkey"]).select("o_custkey", "o_orderkey")
+
+
+@query("h8_grading", f"""WITH {DIST_SQL}, r AS (SELECT *, rank() OVER (PARTITION BY instrument, slot ORDER BY c DESC) AS k FROM ds), b AS (SELECT instrument, slot, CASE WHEN count(*) = 1 THEN min(label) END AS predicted FROM r WHERE k = 1 GROUP BY 1, 2)
+SELECT lab.instrument, count(*) AS cases, count(*) FILTER (predicted = lab.label) AS correct, count(*) FILTER (predicted IS NULL) AS ambiguous FROM lab JOIN b USING (instrument, slot) GROUP BY 1""")
+def h8(spark, sf_dir):
+    """Predictions graded against outcomes."""
+    r = distribution(spark, sf_dir).withColumn("k", F.rank().over(Window.partitionBy("instrument", "slot").orderBy(F.desc("c")))).where("k = 1")
+    b = r.groupBy("instrument", "slot").agg(F.when(F.count("*") == 1, F.min("label")).alias("predicted"))
+    j = labelled(spark, sf_dir).join(b, ["instrument", "slot"])
+    return j.groupBy("instrument").agg(F.count("*").alias("cases"), F.count_if(F.col("predicted") == F.col("label")).alias("correct"), F.count_if(F.col("predicted").isNull()).alias("ambiguous"))
+
+
+@query("h10_keyed_prior", f"""WITH {LAB_SQL}, k AS (SELECT slot, label, count(*) AS c, sum(count(*)) OVER (PARTITION BY slot) AS n FROM lab GROUP BY 1, 2), g AS (SELECT label, count(*) / (SELECT count(*) FROM lab) AS p FROM lab GROUP BY 1)
+SELECT s.slot, g.label, round(CASE WHEN n.n >= 50 THEN (coalesce(k.c, 0) + 1) / (n.n + 3) ELSE g.p END, 6) AS p FROM (SELECT DISTINCT slot FROM lab) s CROSS JOIN g LEFT JOIN k ON k.slot = s.slot AND k.label = g.label LEFT JOIN (SELECT slot, max(n) AS n FROM k GROUP BY 1) n ON n.slot = s.slot""")
+def h10(spark, sf_dir):
+    """The prior of a clock where it has enough cases, else the overall one."""
+    rows = labelled(spark, sf_dir).groupBy("slot", "label").agg(F.count("*").alias("c"))
+    overall = rows.groupBy("label").agg(F.sum("c").alias("gc")).withColumn("g", F.col("gc") / F.sum("gc").over(Window.partitionBy()))  # a row a class
+    n = rows.groupBy("slot").agg(F.sum("c").alias("n"))
+    full = n.crossJoin(F.broadcast(overall)).join(rows, ["slot", "label"], "left")
+    return full.select("slot", "label", r6(F.when(F.col("n") >= 50, (F.coalesce("c", F.lit(0)) + 1) / (F.col("n") + 3)).otherwise(F.col("g"))).alias("p"))
+
+
+@query("h14_blend_weight", f"""WITH {DIST_SQL}, o AS (SELECT lab.instrument, ds.p AS a, 1 / 3.0 AS b, CASE WHEN ds.label = lab.label THEN 1.0 ELSE 0.0 END AS y FROM lab JOIN ds ON ds.instrument = lab.instrument AND ds.slot = lab.slot)
+SELECT instrument, round(least(1, greatest(0, sum((y - b) * (a - b)) / nullif(sum((a - b) ** 2), 0))), 6) AS weight FROM o GROUP BY 1""")
+def h14(spark, sf_dir):
+    """The least-squares weight of one forecast against another: a ratio of two sums, clipped."""
+    d = distribution(spark, sf_dir).select("instrument", "slot", "label", F.col("p").alias("a"))
+    o = labelled(spark, sf_dir).withColumnRenamed("label", "realised").join(d, ["instrument", "slot"]).withColumns({"b": F.lit(1 / 3.0), "y": F.when(F.col("label") == F.col("realised"), 1.0).otherwise(0.0)})
+    g = o.groupBy("instrument").agg(F.sum((F.col("y") - F.col("b")) * (F.col("a") - F.col("b"))).alias("x"), F.sum((F.col("a") - F.col("b")) ** 2).alias("xx"))
+    return g.select("instrument", r6(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("x") / F.nullif("xx", F.lit(0.0))))).alias("weight"))
+
+
+@query("h16_evidence_consistency", f"WITH {TOP_SQL} SELECT count(*) FILTER (earlier >= trading_day) AS not_earlier, count(*) FILTER (rank > 5) AS too_many, count(*) AS members FROM tp")
+def h16(spark, sf_dir):
+    """Members of sets that are not strictly earlier, or too many: both must be 0."""
+    m = matches(spark, sf_dir)
+    return m.agg(F.count_if(F.col("earlier") >= F.col("trading_day")).alias("not_earlier"), F.count_if(F.col("rank") > 5).alias("too_many"), F.count("*").alias("members"))

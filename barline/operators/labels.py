@@ -169,3 +169,53 @@ def f25(spark, sf_dir):
     one, two = forward_labels(b, 2, 10.0).select(*key, F.col("label").alias("a")), forward_labels(b, 2, 12.0).select(*key, F.col("label").alias("b"))
     cause = F.when(F.col("a").isNull() & F.col("b").isNull(), "both unknown").when(F.col("a") == F.col("b"), "agree").otherwise(F.concat_ws(" to ", "a", "b"))
     return one.join(two, key, "full").groupBy(cause.alias("cause")).agg(F.count("*").alias("n"))
+
+
+@query("f6_level_outcomes", f"""WITH {IX_SQL}, lv AS (SELECT instrument, trading_day, unnest(['on_high', 'on_low']) AS name, unnest([max(high) FILTER (slot < 900), min(low) FILTER (slot < 900)]) AS level FROM wd GROUP BY 1, 2),
+g AS (SELECT ix.instrument, ix.trading_day, name, level, bool_or(low <= level AND level <= high) AS touched, arg_max(close, k) AS last, min(k) FILTER (low <= level AND level <= high) AS hit_k FROM ix JOIN lv USING (instrument, trading_day) GROUP BY 1, 2, 3, 4)
+SELECT instrument, CAST(trading_day AS VARCHAR) AS trading_day, name, CASE WHEN level IS NULL THEN NULL WHEN NOT touched THEN 'untouched' WHEN (name = 'on_high') = (last > level) THEN 'broken' ELSE 'rejected' END AS outcome, hit_k AS touched_at FROM g""")
+def f6(spark, sf_dir):
+    """What became of each overnight level: untouched, broken, or rejected by the last close."""
+    b = weekday_bars(spark, sf_dir)
+    lv = overnight_references(b).select(*DAY, F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("level")) for n in ("on_high", "on_low")])).alias("x")).select(*DAY, "x.*")
+    inside = F.col("low") <= F.col("level")
+    inside = inside & (F.col("level") <= F.col("high"))
+    g = indexed(b).join(lv, DAY).groupBy(*DAY, "name", "level").agg(F.bool_or(inside).alias("touched"), F.max_by("close", "k").alias("last"), F.min(F.when(inside, F.col("k"))).alias("at"))
+    out = F.when(F.col("level").isNull(), None).when(~F.col("touched"), "untouched").when((F.col("name") == "on_high") == (F.col("last") > F.col("level")), "broken").otherwise("rejected")
+    return g.select("instrument", session_day(), "name", out.alias("outcome"), F.col("at").alias("touched_at"))
+
+
+@query("f13_pullback", f"""WITH {IX_SQL}, g AS (SELECT instrument, trading_day, max(open) FILTER (k = 0) AS o, arg_min(k, (-high, k)) AS hk, max(high) AS hi FROM ix WHERE k < 4 GROUP BY 1, 2), p AS (SELECT g.*, (SELECT min(low) FROM ix WHERE ix.instrument = g.instrument AND ix.trading_day = g.trading_day AND ix.k > g.hk AND ix.k < 4) AS after FROM g)
+SELECT instrument, CAST(trading_day AS VARCHAR) AS trading_day, CASE WHEN o IS NULL OR hi - o < 5 THEN 'no leg' WHEN after IS NULL THEN 'none yet' WHEN (hi - after) / (hi - o) < 0.5 THEN 'shallow' WHEN (hi - after) / (hi - o) < 1 THEN 'deep' ELSE 'full' END AS pullback FROM p""")
+def f13(spark, sf_dir):
+    """How far the morning fell back from its high: suffix extremes by a reversed running window."""
+    from pyspark.sql import Window
+
+    later = Window.partitionBy(*DAY).orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
+    b = indexed(weekday_bars(spark, sf_dir)).where("k < 4").withColumn("after", F.min("low").over(later))
+    g = b.groupBy(*DAY).agg(F.max(F.when(F.col("k") == 0, F.col("open"))).alias("o"), F.max("high").alias("hi"), F.min_by(F.struct("after"), F.struct(-F.col("high"), "k")).alias("x"))
+    part = (F.col("hi") - F.col("x.after")) / (F.col("hi") - F.col("o"))
+    return g.select("instrument", session_day(), F.when(F.col("o").isNull() | (F.col("hi") - F.col("o") < 5), "no leg").when(F.col("x.after").isNull(), "none yet").when(part < 0.5, "shallow").when(part < 1, "deep").otherwise("full").alias("pullback"))
+
+
+@query("f14_afternoon_continuation", f"""WITH {IX_SQL}, m AS (SELECT instrument, trading_day, max(open) FILTER (k = 0) AS o, max(close) FILTER (k = 2) AS mid, max(close) FILTER (k = 5) AS c FROM ix GROUP BY 1, 2)
+SELECT instrument, CAST(trading_day AS VARCHAR) AS trading_day, CASE WHEN o IS NULL OR mid IS NULL OR c IS NULL THEN NULL WHEN abs(mid - o) <= 5 THEN 'no move' WHEN (c - mid) * (mid - o) > 0 THEN 'continued' ELSE 'reversed' END AS afternoon FROM m""")
+def f14(spark, sf_dir):
+    at = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
+    m = indexed(weekday_bars(spark, sf_dir)).groupBy(*DAY).agg(at(0, "open").alias("o"), at(2, "close").alias("mid"), at(5, "close").alias("c"))
+    known = F.col("o").isNull() | F.col("mid").isNull() | F.col("c").isNull()
+    return m.select("instrument", session_day(), F.when(known, None).when(F.abs(F.col("mid") - F.col("o")) <= 5, "no move").when((F.col("c") - F.col("mid")) * (F.col("mid") - F.col("o")) > 0, "continued").otherwise("reversed").alias("afternoon"))
+
+
+@query("f21_first_barrier", f"""WITH {WD_SQL}, j AS (SELECT a.instrument, a.trading_day, a.slot, min(b.slot) FILTER (b.high >= a.close + 15) AS u, min(b.slot) FILTER (b.low <= a.close - 15) AS d FROM wd a LEFT JOIN wd b ON b.instrument = a.instrument AND b.trading_day = a.trading_day AND b.slot > a.slot AND b.slot <= a.slot + 240 GROUP BY 1, 2, 3)
+SELECT instrument, CASE WHEN u = d THEN 'ambiguous' WHEN u IS NULL AND d IS NULL THEN 'neither' WHEN d IS NULL OR u < d THEN 'up' ELSE 'down' END AS hit, count(*) AS n FROM j GROUP BY 1, 2""")
+def f21(spark, sf_dir):
+    """Which barrier is hit first within four bars of every origin, by lead columns of the same window."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*DAY).orderBy("slot").rangeBetween(1, 240)
+    b = weekday_bars(spark, sf_dir).withColumn("next", F.collect_list(F.struct("slot", "high", "low")).over(w))  # four bars at most
+    first = lambda f: F.array_min(F.transform(F.filter("next", f), lambda x: x["slot"]))
+    b = b.select("instrument", first(lambda x: x["high"] >= F.col("close") + 15).alias("u"), first(lambda x: x["low"] <= F.col("close") - 15).alias("d"))
+    hit = F.when(F.col("u") == F.col("d"), "ambiguous").when(F.col("u").isNull() & F.col("d").isNull(), "neither").when(F.col("d").isNull() | (F.col("u") < F.col("d")), "up").otherwise("down")
+    return b.groupBy("instrument", hit.alias("hit")).agg(F.count("*").alias("n"))

@@ -233,3 +233,64 @@ def l38(spark, sf_dir):
     early = daily_ranges(bars.where("trading_day <= DATE '2024-01-17'")).withColumnRenamed("tr", "early_tr").select(*DAY, "early_tr")
     both = daily_ranges(bars).where("trading_day <= DATE '2024-01-17'").join(early, DAY, "full")
     return both.where(~F.col("tr").eqNullSafe(F.col("early_tr"))).agg(F.count("*").alias("mismatches"))
+
+
+@query("l7_walk_forward_skips", f"WITH {SCORE_SQL}, d AS (SELECT DISTINCT instrument, trading_day FROM gd), s AS (SELECT instrument, trading_day, count(*) AS n FROM sc GROUP BY 1, 2) SELECT CASE WHEN n IS NULL THEN 'no fitted variance' WHEN n < 20 THEN 'few origins' ELSE 'scored' END AS reason, count(*) AS sessions FROM d LEFT JOIN s USING (instrument, trading_day) GROUP BY 1")
+def l7(spark, sf_dir):
+    """Sessions scored walk-forward, and why others are not."""
+    from ..sources import session_bars
+
+    days = session_bars(spark, sf_dir).where(F.weekday("trading_day") < 5).select("instrument", "trading_day").distinct()
+    s = scored(spark, sf_dir).groupBy("instrument", "trading_day").agg(F.count("*").alias("n"))
+    return days.join(s, ["instrument", "trading_day"], "left").groupBy(F.when(F.col("n").isNull(), "no fitted variance").when(F.col("n") < 20, "few origins").otherwise("scored").alias("reason")).agg(F.count("*").alias("sessions"))
+
+
+@query("l11_band_calibration", f"WITH {SCORE_SQL}, b AS (SELECT *, 1.6448536269514722 * sigma AS half FROM sc) SELECT h, count(*) AS n, count(*) FILTER (y < -half) AS below, count(*) FILTER (y > half) AS above, round(avg(2 * half + 20 * greatest(abs(y) - half, 0)), 6) AS interval_score FROM b GROUP BY 1")
+def l11(spark, sf_dir):
+    """Misses on either side of the 90 % band, and its interval score."""
+    half = 1.6448536269514722 * F.col("sigma")
+    return scored(spark, sf_dir).groupBy("h").agg(F.count("*").alias("n"), F.count_if(F.col("y") < -half).alias("below"), F.count_if(F.col("y") > half).alias("above"), r6(F.avg(2 * half + 20 * F.greatest(F.abs("y") - half, F.lit(0.0)))).alias("interval_score"))
+
+
+@query("l15_arm_summary", f"""WITH {CASE_SQL} SELECT CASE WHEN slot < 930 THEN 'overnight' ELSE 'day' END AS arm, count(*) AS cases, count(DISTINCT trading_day) AS sessions, round(avg(brier), 6) AS brier, round(max(log_loss), 6) AS worst FROM cs GROUP BY 1""")
+def l15(spark, sf_dir):
+    return case_scores(spark, sf_dir).groupBy(F.when(F.col("slot") < 930, "overnight").otherwise("day").alias("arm")).agg(F.count("*").alias("cases"), F.countDistinct("trading_day").alias("sessions"), r6(F.avg("brier")).alias("brier"), r6(F.max("log_loss")).alias("worst"))
+
+
+@query("l18_cases", f"""WITH {CASE_SQL}, w AS (SELECT instrument, trading_day, s AS slot FROM gx, (SELECT unnest([0, 480, 960]) AS s)), gx AS (SELECT DISTINCT instrument, trading_day FROM wd)
+SELECT w.slot, CASE WHEN cs.brier IS NOT NULL THEN 'scored' WHEN fw.close IS NULL THEN 'no bar' ELSE 'no outcome' END AS status, count(*) AS n FROM w LEFT JOIN cs USING (instrument, trading_day, slot) LEFT JOIN fw USING (instrument, trading_day, slot) GROUP BY 1, 2""".replace("w AS (SELECT instrument, trading_day, s AS slot FROM gx, (SELECT unnest([0, 480, 960]) AS s)), gx AS (SELECT DISTINCT instrument, trading_day FROM wd)", "gx AS (SELECT DISTINCT instrument, trading_day FROM wd), w AS (SELECT instrument, trading_day, s AS slot FROM gx, (SELECT unnest([0, 480, 960]) AS s))"))
+def l18(spark, sf_dir):
+    """Every scheduled case with its score or the reason it has none."""
+    from .indicators import weekday_bars
+
+    b = weekday_bars(spark, sf_dir).select("instrument", "trading_day", "slot", "close")
+    want = b.select("instrument", "trading_day").distinct().withColumn("slot", F.explode(F.array(F.lit(0), F.lit(480), F.lit(960))))
+    key = ["instrument", "trading_day", "slot"]
+    j = want.join(case_scores(spark, sf_dir), key, "left").join(b, key, "left")
+    return j.groupBy("slot", F.when(F.col("brier").isNotNull(), "scored").when(F.col("close").isNull(), "no bar").otherwise("no outcome").alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("l20_promotion", f"""WITH {CASE_SQL}, g AS (SELECT instrument, trading_day, avg(brier) - 2.0 / 3 AS d FROM cs GROUP BY 1, 2), s AS (SELECT instrument, avg(d) AS m, avg(CASE WHEN d < 0 THEN 1.0 ELSE 0.0 END) AS share FROM g GROUP BY 1)
+SELECT instrument, round(m, 6) AS difference, m < -0.005 AND share >= 0.6 AS promoted, row_number() OVER (ORDER BY m, instrument) AS rank FROM s""")
+def l20(spark, sf_dir):
+    """Candidates against the rule, in order."""
+    g = case_scores(spark, sf_dir).groupBy("instrument", "trading_day").agg((F.avg("brier") - 2.0 / 3).alias("d"))
+    s = g.groupBy("instrument").agg(F.avg("d").alias("m"), F.avg(F.when(F.col("d") < 0, 1.0).otherwise(0.0)).alias("share"))
+    w = Window.orderBy("m", "instrument")  # a row a candidate
+    return s.select("instrument", r6("m").alias("difference"), ((F.col("m") < -0.005) & (F.col("share") >= 0.6)).alias("promoted"), F.row_number().over(w).cast("long").alias("rank"))
+
+
+@query("l35_latency", """WITH l AS (SELECT l_returnflag AS trigger_kind, date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS d FROM lineitem JOIN orders ON o_orderkey = l_orderkey) SELECT trigger_kind, count(*) AS n, round(median(d), 6) AS p50, round(quantile_cont(d, 0.9), 6) AS p90, max(d) AS worst FROM l GROUP BY 1""")
+def l35(spark, sf_dir):
+    """How long after its mark an issue came, by trigger."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("mark"))
+    d = table(spark, sf_dir, "lineitem").join(o, "l_orderkey").select(F.col("l_returnflag").alias("trigger_kind"), F.datediff(F.to_date("l_shipdate"), "mark").cast("long").alias("d"))
+    return d.groupBy("trigger_kind").agg(F.count("*").alias("n"), r6(F.percentile("d", F.lit(0.5))).alias("p50"), r6(F.percentile("d", F.lit(0.9))).alias("p90"), F.max("d").alias("worst"))
+
+
+@query("l40_arm_decomposition", f"""WITH {OUT_SQL}, x AS (SELECT *, avg(p) OVER (PARTITION BY instrument, trading_day, slot, label = 'neutral_band') AS sp FROM ou) SELECT instrument, round(sum((p - hit) ** 2) / count(*) * 3, 6) AS full_brier, round(sum((sp - hit) ** 2) / count(*) * 3, 6) AS symmetric_brier FROM x GROUP BY 1""")
+def l40(spark, sf_dir):
+    """The score with and without the tilt between the two directions."""
+    w = Window.partitionBy("instrument", "trading_day", "slot", F.col("label") == "neutral_band")
+    x = outcomes(spark, sf_dir).withColumn("sp", F.avg("p").over(w))
+    return x.groupBy("instrument").agg(r6(F.sum((F.col("p") - F.col("hit")) ** 2) / F.count("*") * 3).alias("full_brier"), r6(F.sum((F.col("sp") - F.col("hit")) ** 2) / F.count("*") * 3).alias("symmetric_brier"))

@@ -210,3 +210,45 @@ def a24(spark, sf_dir):
                    F.when(F.col("event_id") % 3 == 2, "x").when(F.col("user_id") % 4 == 0, "-1").otherwise(F.col("value").cast("string")).alias("p"), F.when(F.col("event_id") % 2 == 0, F.col("user_id")).otherwise(-F.col("user_id")).cast("string").alias("v"))
     rows = normalise_vendor(raw, "s", "p", "v")
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.count("price").alias("priced"), F.sum("size").alias("size"))
+
+
+@query("a10_exploded_filings", """SELECT o_custkey AS filer, l_shipdate::DATE::VARCHAR AS filed, l_linenumber AS item FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R' AND l_shipdate >= TIMESTAMP '1998-01-01'""")
+def a10(spark, sf_dir):
+    """Column arrays of a filer turned into one row a filing, filtered by flag and date."""
+    l = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.to_date("l_shipdate")).alias("filed"), F.collect_list("l_linenumber").alias("item"), F.collect_list("l_returnflag").alias("flag"))
+    rows = l.select("l_orderkey", F.explode(F.arrays_zip("filed", "item", "flag")).alias("x")).where("x.flag = 'R' AND x.filed >= DATE '1998-01-01'")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    return rows.join(o, "l_orderkey").select(F.col("o_custkey").alias("filer"), F.col("x.filed").cast("string").alias("filed"), F.col("x.item").alias("item"))
+
+
+@query("a11_coverage_ranges", """WITH c AS (SELECT c_mktsegment AS source, min(CAST(o_orderdate AS DATE)) AS a, max(CAST(o_orderdate AS DATE)) AS b FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority = '1-URGENT' GROUP BY 1),
+d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders) SELECT CAST(day AS VARCHAR) AS day, string_agg(source, ',' ORDER BY source) AS sources FROM d JOIN c ON day BETWEEN a AND b GROUP BY 1""")
+def a11(spark, sf_dir):
+    """The sources whose range covers each day. Ranges open and close in one ordered pass per source: no range join."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    days = o.select(F.to_date("o_orderdate").alias("day")).distinct()
+    urgent = o.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"), F.to_date("o_orderdate").alias("day")).join(c.select("c_custkey", F.col("c_mktsegment").alias("source")), "c_custkey")
+    covered = urgent.groupBy("source").agg(F.explode(F.sequence(F.min("day"), F.max("day"))).alias("day"))
+    return days.join(covered, "day").groupBy(F.col("day").cast("string").alias("day")).agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
+
+
+@query("a19_definition_registry", "SELECT sha256(p_brand || '|' || p_type || '|' || p_size) AS content, count(*) AS uses, min(p_partkey) AS first_part FROM part GROUP BY 1")
+def a19(spark, sf_dir):
+    """Definitions keyed by a hash of their content."""
+    return table(spark, sf_dir, "part").groupBy(F.sha2(F.concat_ws("|", "p_brand", "p_type", "p_size"), 256).alias("content")).agg(F.count("*").alias("uses"), F.min("p_partkey").alias("first_part"))
+
+
+@query("a22_newest_set_at", """WITH s AS (SELECT o_custkey, o_orderkey, o_orderdate FROM orders WHERE o_orderdate <= TIMESTAMP '1998-06-01') SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS newest, count(*) AS issued FROM s GROUP BY 1""")
+def a22(spark, sf_dir):
+    """The newest set issued up to an instant, and how many there were."""
+    s = table(spark, sf_dir, "orders").where(F.col("o_orderdate") <= F.lit("1998-06-01").cast("timestamp_ntz"))
+    return s.groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("newest"), F.count("*").alias("issued"))
+
+
+@query("a23_review_verdicts", """WITH v AS (SELECT l_partkey AS session, l_shipmode AS field, arg_max(l_returnflag, (l_shipdate, l_orderkey, l_linenumber, l_suppkey)) AS verdict, count(*) AS reviews FROM (SELECT *, CASE WHEN l_tax > 0.04 THEN 'high' ELSE 'low' END AS l_shipmode FROM lineitem) GROUP BY 1, 2)
+SELECT field, count(*) AS cells, count(*) FILTER (verdict = 'N') AS agreed, CAST(sum(reviews) AS BIGINT) AS reviews FROM v GROUP BY 1""")
+def a23(spark, sf_dir):
+    """The latest verdict of each session and field, and agreement by field."""
+    at = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey")
+    v = table(spark, sf_dir, "lineitem").groupBy("l_partkey", F.when(F.col("l_tax") > 0.04, "high").otherwise("low").alias("field")).agg(F.max_by("l_returnflag", at).alias("verdict"), F.count("*").alias("reviews"))
+    return v.groupBy("field").agg(F.count("*").alias("cells"), F.count_if(F.col("verdict") == "N").alias("agreed"), F.sum("reviews").alias("reviews"))

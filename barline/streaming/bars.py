@@ -95,3 +95,33 @@ def m6(spark, sf_dir):
     newest = rows.agg(F.max("last").alias("newest"))
     settled = F.col("bar") + F.expr("INTERVAL 3 HOURS") <= F.col("newest")
     return rows.crossJoin(F.broadcast(newest)).groupBy("instrument", F.when(settled, "settled").otherwise("open").alias("state")).agg(F.count("*").alias("bars"))  # one row is broadcast
+
+
+@query("m5_confirmation", """WITH b AS (SELECT event_type AS instrument, CAST(ts AS DATE) AS day, extract(hour FROM ts)::BIGINT AS hour FROM events GROUP BY ALL), f AS (SELECT *, row_number() OVER (PARTITION BY instrument, day ORDER BY hour) - 1 AS k FROM b)
+SELECT instrument, CAST(day AS VARCHAR) AS day, count(*) FILTER (hour = k) AS confirmed, max(hour) AS newest FROM f GROUP BY 1, 2""")
+def m5(spark, sf_dir):
+    """Hours of a day that are final in an unbroken run from its start: keyed state of hours seen, updated with each batch."""
+    s = event_stream(spark, sf_dir).groupBy(F.col("event_type").alias("instrument"), F.window("at", "1 day").alias("w")).agg(F.array_sort(F.collect_set(F.hour("at").cast("long"))).alias("hours"), F.count("*").alias("n"))
+    rows = drained(s.select("instrument", F.date_format("w.start", "yyyy-MM-dd").alias("day"), "hours", "n"), "confirmed", "update")
+    last = last_emitted(rows, ["instrument", "day"], "n")  # a day has 24 hours at most
+    run = F.size(F.filter(F.transform("hours", lambda x, i: x == i), lambda ok: ok)).cast("long")
+    return last.select("instrument", "day", run.alias("confirmed"), F.array_max("hours").alias("newest"))
+
+
+@query("m7_status_at_cutoffs", """WITH c AS (SELECT user_id, count(*) AS n, count(*) FILTER (extract(hour FROM ts) < 14) AS before FROM events GROUP BY 1) SELECT CASE WHEN before = 0 THEN 'missing' WHEN before < n THEN 'delayed' ELSE 'observed' END AS status, count(*) AS users FROM c GROUP BY 1""")
+def m7(spark, sf_dir):
+    """Whether a feed was seen before its cutoff, from a stream's running counts."""
+    s = event_stream(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.hour("ts") < 14).alias("before"))
+    c = last_emitted(drained(s, "status", "update"), ["user_id"], "n")
+    return c.groupBy(F.when(F.col("before") == 0, "missing").when(F.col("before") < F.col("n"), "delayed").otherwise("observed").alias("status")).agg(F.count("*").alias("users"))
+
+
+@query("m10_missed_windows", """WITH b AS (SELECT DISTINCT event_type AS instrument, date_trunc('hour', ts) AS bar FROM events), m AS (SELECT instrument, min(bar) AS a, max(bar) AS z FROM b GROUP BY 1), x AS (SELECT instrument, unnest(generate_series(a, z, INTERVAL 1 HOUR)) AS bar FROM m)
+SELECT instrument, count(*) AS missed FROM x ANTI JOIN b USING (instrument, bar) GROUP BY 1""")
+def m10(spark, sf_dir):
+    """Windows the stream never emitted between its first and last."""
+    s = event_stream(spark, sf_dir).groupBy(F.col("event_type").alias("instrument"), F.window("at", "1 hour").alias("w")).agg(F.count("*").alias("n"))
+    bars = drained(s.select("instrument", F.col("w.start").alias("bar"), "n"), "windows", "update").select("instrument", "bar").distinct()
+    span = bars.groupBy("instrument").agg(F.min("bar").alias("a"), F.max("bar").alias("z"))
+    want = span.select("instrument", F.explode(F.expr("sequence(a, z, interval 1 hour)")).alias("bar"))
+    return want.join(bars, ["instrument", "bar"], "left_anti").groupBy("instrument").agg(F.count("*").alias("missed"))
