@@ -173,3 +173,16 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = docs.withColumns({f"__{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns)})
     found = find_hits(own, read(spark, sf_dir, "benchmark"), keep=[f"__{i}" for i in range(len(docs.columns))])
     return found.where(~contaminated()).select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+iw AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[p : p + least(len(w), 13) - 1], ' ') AS window_text FROM (SELECT *, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS p FROM i WHERE len(w) > 0)),
+dw AS (SELECT row, p, n, array_to_string(w[p : p + n - 1], ' ') AS window_text FROM (SELECT d.row, d.w, l.n, unnest(range(1, len(w) - l.n + 2)) AS p FROM d, (SELECT DISTINCT n FROM iw) l WHERE len(w) >= l.n)),
+h AS (SELECT row, p, dw.n, item_id FROM dw JOIN iw ON iw.n = dw.n AND iw.window_text = dw.window_text),
+x AS (SELECT row, count(DISTINCT k) AS n_hit FROM (SELECT row, unnest(range(p, p + n)) AS k FROM h) GROUP BY 1),
+y AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN x USING (row) LEFT JOIN y USING (row)
+"""

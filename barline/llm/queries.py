@@ -19,4 +19,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op4_embedding_dedup": vectors.OP4_SQL, "op5_chat": chat.OP5_SQL, "op8_warc": warc.OP8_SQL}
+    return {"op2_jaccard_join": jaccard.OP2_SQL, "op9_decontamination": decontam.OP9_SQL, "op4_embedding_dedup": vectors.OP4_SQL, "op5_chat": chat.OP5_SQL, "op8_warc": warc.OP8_SQL}

@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import hashlib
 import os
+import string
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,11 +37,16 @@ BLOCK_BYTES = 4 << 20
 MAGIC = b"TIDS"
 HEAD = "<4sB32sIIIQII"  # magic, id width, dictionary hash, shard, block, documents, ids before in the shard, frame bytes, crc32 of index and frames
 INDEX = np.dtype([("known", "u1"), ("doc_id", "<i8"), ("n", "<u4"), ("crc", "<u4"), ("offset", "<u4"), ("length", "<u4")])
-CACHE_PIECES = 700_000
+CACHE_PIECES, SEEN_MASK = 150_000, (1 << 22) - 1
+MARKS = string.punctuation
 
+#: The characters that stand for bytes in a byte-level vocabulary: visible ones for themselves, the others from U+0100 on.
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 
-class Encoder:
-    """Texts to little-endian unsigned 32-bit ids, by the tokenizers library, each distinct piece once."""
+
+class Encoder(dict):
+    """Texts to little-endian unsigned 32-bit ids, by the tokenizers library. As a dict it holds the ids of pieces seen; None for odd ones."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -49,41 +56,61 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         state = self.tokenizer.pre_tokenizer.__getstate__() if self.tokenizer.pre_tokenizer else b""
         self.pieces = b'"ByteLevel"' in state and b'"add_prefix_space":false' in state and b'"use_regex":true' in state and not self.tokenizer.normalizer
-        self.known: dict[str, bytes | None] = {}
+        self.model, self.small = self.tokenizer.model, {c: self.whole([c])[0] for c in ("", "\n")}
+        self.before: dict[str, bytes | None] = {}  # pieces of the last filling
+        self.seen = bytearray(SEEN_MASK + 1)
         self.wide = self.tokenizer.get_vocab_size() > 65_535
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    @staticmethod
-    def plain(piece: str) -> bool:
-        """No white space at either end, but for the line end that the piece was cut before."""
-        rest = piece.removeprefix("\n")
-        return bool(rest) and not rest[0].isspace() and not rest[-1].isspace()
-
-    def learn(self, pieces: set[str]) -> None:
-        if len(self.known) + len(pieces) > CACHE_PIECES:
-            self.known.clear()
-        odd = {p for p in pieces if not self.plain(p)}
-        new = list(pieces - odd)
-        self.known.update(dict.fromkeys(odd))
-        self.known.update(zip(new, self.whole([p if p[0] == "\n" else " " + p for p in new]), strict=True))
+    def __missing__(self, piece: str) -> bytes | None:
+        """Ids of a piece that follows a blank, or begins with a line end; None where white space stands at its ends.
+
+        The pre-tokens of a word of letters (below U+0250) and a tail of ASCII marks are known, so the model itself is asked.
+        """
+        slot = hash(piece) & SEEN_MASK
+        seen, self.seen[slot] = self.seen[slot], 1
+        if piece in self.before:
+            self[piece] = value = self.before[piece]
+            return value
+        line = piece[:1] == "\n"
+        body = piece.rstrip(MARKS)
+        tail, body = piece[len(body) :], body[line:]
+        if body.isalpha() and (body.isascii() or max(body) < "\u0250"):
+            if tail and tail not in self.small:
+                self.small[tail] = self.whole([tail])[0]
+            if tail and not line:
+                value = self[body] + self.small[tail]
+            else:
+                if not body.isascii():
+                    body = body.encode().decode("latin-1").translate(BYTE_CHARS)
+                value = array("I", [t.id for t in self.model.tokenize(body if line else "\u0120" + body)]).tobytes()
+                if line:
+                    value = self.small["\n"] + value + self.small[tail]
+        elif not (rest := piece[line:]) or rest[0].isspace() or rest[-1].isspace():
+            value = None
+        else:
+            value = self.whole([piece if line else " " + piece])[0]
+        if seen:  # most pieces come once: only those that come again are kept
+            if len(self) > CACHE_PIECES:
+                self.before = dict(self)
+                self.clear()
+                self.seen = bytearray(SEEN_MASK + 1)
+            self[piece] = value
+        return value
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.pieces:
             return self.whole(texts)
-        known, out = self.known, []
-        cut = [t.replace("\n", " \n").split(" ") for t in texts]
-        pieces = {p for ps in cut for p in ps[1:]}
-        self.learn(pieces if len(known) + len(pieces) > CACHE_PIECES else pieces - known.keys())
-        firsts = self.whole([ps[0] for ps in cut])
-        slow = []
-        for k, (ps, first) in enumerate(zip(cut, firsts, strict=True)):
+        out, slow, get = [], [], self.__getitem__
+        for k, text in enumerate(texts):
+            first, *rest = text.replace("\n", " \n").split(" ")
             try:
-                if len(ps) > 1 and (not ps[0] or ps[0][-1].isspace()):
+                if rest and (not first or first[-1].isspace()):
                     raise TypeError
-                out.append(first + b"".join(map(known.__getitem__, ps[1:])))
-            except TypeError:
+                out.append((self.whole([first])[0] if first else b"") + b"".join(map(get, rest)))
+            except TypeError:  # white space other than single blanks and line ends
                 slow.append(k)
                 out.append(b"")
         for k, ids in zip(slow, self.whole([texts[k] for k in slow]), strict=True):
@@ -107,7 +134,8 @@ def serialized(ids: bytes, wide: bool) -> bytes:
 
 def train_dictionary(docs: DataFrame, path: str, end_id: int) -> bytes:
     """A dictionary from at most SAMPLE_ROWS documents (first by a hash of the id), SAMPLE_IDS ids of each."""
-    sample = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
+    picked = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
+    sample = docs.join(F.broadcast(picked), "doc_id")  # SAMPLE_ROWS ids
 
     def make():
         e = encoder(path)
@@ -134,7 +162,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         from .common import text_chunks
 
         e, (words, at) = encoder(tokenizer_path), shared.value
-        z = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(words), write_checksum=False)
+        z = zstandard.ZstdCompressor(level=1, dict_data=zstandard.ZstdCompressionDict(words), write_checksum=False)
         end = struct.pack("<I", end_id)
         for batch in batches:
             for part, texts in text_chunks(batch, "text"):
