@@ -39,9 +39,16 @@ def sentence_words(text: str) -> list[tuple[int, int, set[str]]]:
     return [x for x in found if x[2]]
 
 
-def fit_noisy_or(bags: np.ndarray, rows: np.ndarray, features: np.ndarray, y: np.ndarray, rounds: int = 120, rate: float = 0.15, ridge: float = 6e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias that fit the bag labels y. rows: the sentence of each feature; bags: the bag of each sentence."""
-    seen = np.bincount(features, minlength=BUCKETS) > 0
+def fit_noisy_or(bags: np.ndarray, rows: np.ndarray, features: np.ndarray, y: np.ndarray, rounds: int = 240, rate: float = 0.15, ridge: float = 6e-5, min_share: float = 0.003) -> tuple[np.ndarray, float]:
+    """Weights and bias that fit the bag labels y. rows: the sentence of each feature; bags: the bag of each sentence.
+
+    Features of fewer than two bags, or of a smaller share than min_share, get no weight: they would learn single documents by heart.
+    """
+    pairs = np.unique(bags[rows].astype(np.int64) * BUCKETS + features)
+    seen = np.bincount(pairs % BUCKETS, minlength=BUCKETS) >= max(2, min_share * len(y))
+    known = seen[features]
+    rows, features = rows[known], features[known]
+    del pairs, known
     used, features = np.flatnonzero(seen), (np.cumsum(seen) - 1)[features]
     w, b, n = np.zeros(len(used) + 1), -4.0, len(bags)
     m, v = np.zeros_like(w), np.zeros_like(w)
