@@ -308,13 +308,26 @@ def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: that with the component's id (rows without an id, and texts without shingles, all stay)."""
+    """One document of each component: that with the component's id (rows without an id, and texts without shingles, all stay).
+
+    Texts are not shuffled for this: a bitmap of fixed size tells which ids may have to go, and only those rows are joined.
+    """
     found = staged(near_duplicates(docs), "near-duplicates").where("doc_id IS NOT NULL")
-    by_id = found.groupBy(F.col("doc_id").alias("__id")).agg(F.min("component_id").alias("__component"), F.count("*").alias("__rows")).where("__component < __id OR __rows > 1")
-    joined = docs.join(by_id, F.col("doc_id") == F.col("__id"), "left")
-    alone = joined.where("__id IS NULL").select(*[F.col(f"`{c}`") for c in docs.columns])
-    again = joined.where("__component = __id").withColumn("__k", F.row_number().over(Window.partitionBy("__id").orderBy("text"))).where("__k = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
-    return alone.unionByName(again)
+    by_id = found.groupBy(F.col("doc_id").alias("__id")).agg(F.min("component_id").alias("__component"), F.count("*").alias("__rows"))
+    by_id = staged(by_id.where("__component < __id OR __rows > 1"), "ids-to-judge")
+    chosen = spark.sparkContext.broadcast(np.packbits(bloom(by_id.select(F.col("__id").alias("rep")))))
+
+    @F.pandas_udf("boolean")
+    def listed(bit: pd.Series) -> pd.Series:
+        at = bit.to_numpy()
+        return pd.Series((chosen.value[at >> 3] >> (7 - (at & 7))) & 1 == 1)
+
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    maybe = listed(F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(BLOOM_BITS)))
+    joined = docs.where(maybe).join(by_id.hint("merge"), F.col("doc_id") == F.col("__id"), "left")
+    once = joined.where("__id IS NULL OR (__component = __id AND __rows = 1)").select(*own)
+    repeated = joined.where("__component = __id AND __rows > 1").withColumn("__k", F.row_number().over(Window.partitionBy("__id").orderBy("text"))).where("__k = 1").select(*own)
+    return docs.where(~maybe).unionByName(once).unionByName(repeated)
 
 
 #: For tables of one row a doc_id.
