@@ -59,11 +59,11 @@ def slices(sizes: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         yield start, len(sizes)
 
 
-def text_chunks(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, list]]:
+def text_chunks(batch: pa.RecordBatch, text: str, most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
     """The batch in slices of bounded text, with each slice's texts as bytes (None for null)."""
     column = batch.column(batch.schema.get_field_index(text))
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
-    for a, b in slices(sizes):
+    for a, b in slices(sizes, most):
         part = batch.slice(a, b - a)
         yield part, part.column(part.schema.get_field_index(text)).cast(pa.binary()).to_pylist()
 

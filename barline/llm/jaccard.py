@@ -36,7 +36,7 @@ from .shingles import shingle_sets
 BITMAP_BITS, HEAVY, HEAVY_LEAST = 1 << 26, 1 << 17, 8
 #: Postings of a shingle that one group holds, about.
 GROUP_POSTINGS = 20_000
-FLUSH_TOKENS = 1 << 21
+FLUSH_TOKENS, SLICE_BYTES = 1 << 21, 1 << 20
 BUCKET_BYTES = 64 << 20
 RANGES = 16
 BLOOM_BITS = 1 << 24
@@ -90,7 +90,7 @@ def count_shingles(docs: DataFrame, text: str = "text") -> Order:
             return pa.RecordBatch.from_arrays([pa.array(bucket[edges]), pa.array(parts, pa.binary())], names=["bucket", "cells"])
 
         for batch in batches:
-            for _, texts in text_chunks(batch, "t"):
+            for _, texts in text_chunks(batch, "t", SLICE_BYTES):
                 sets = shingle_sets(texts)
                 held += sets
                 n += sum(map(len, sets))
@@ -158,7 +158,7 @@ def index_texts(docs: DataFrame, order: Order, text: str, id_col: str) -> DataFr
 
         names = ["kind", "doc_id", "key", "n", "ranges", "bucket", "postings"]
         for batch in batches:
-            for part, texts in text_chunks(batch, "t"):
+            for part, texts in text_chunks(batch, "t", SLICE_BYTES):
                 sets = shingle_sets(texts)
                 every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 weights = own.weights(every)
@@ -246,7 +246,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, id_
         bits = np.unpackbits(chosen.value).astype(bool)
         for batch in batches:
             batch = batch.filter(pa.array(bits[batch.column(0).to_numpy()]))
-            for part, texts in text_chunks(batch, "t"):
+            for part, texts in text_chunks(batch, "t", SLICE_BYTES):
                 own = shingle_sets(texts)
                 flat = np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64)
                 hashes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(h) for h in own])]), pa.int32()), pa.array(flat))
