@@ -2,7 +2,8 @@
 
 Encoding: the tokenizer's own library turns texts into ids. A byte-level BPE with the usual pre-tokenizer never joins
 anything across a single blank or line end between visible characters, so each worker encodes every distinct such piece
-once and looks the rest up; texts with other runs of white space are encoded whole.
+once and looks the rest up; texts with other runs of white space, or that quote an added token such as <|endoftext|> (which
+the library turns into its one id), are encoded whole.
 
 Files: documents are dealt to shards of ascending doc_id (ties by their ids' bytes), each shard sorted, and written as
 blocks. A block holds a header with the dictionary's hash, an index (doc_id, number of ids, offset, length) and one
@@ -53,7 +54,7 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         state = self.tokenizer.pre_tokenizer.__getstate__() if self.tokenizer.pre_tokenizer else b""
         self.pieces = b'"ByteLevel"' in state and b'"add_prefix_space":false' in state and b'"use_regex":true' in state and not self.tokenizer.normalizer
         self.model, self.small = self.tokenizer.model, {c: self.whole([c])[0] for c in ("", "\n")}
@@ -107,10 +108,10 @@ class Encoder(dict):
         for k, text in enumerate(texts):
             first, *rest = text.replace("\n", " \n").split(" ")
             try:
-                if rest and (not first or first[-1].isspace()):
+                if rest and (not first or first[-1].isspace()) or any(map(text.__contains__, self.added)):
                     raise TypeError
                 out.append((self.whole([first])[0] if first else b"") + b"".join(map(get, rest)))
-            except TypeError:  # white space other than single blanks and line ends
+            except TypeError:  # an added token, or white space other than single blanks and line ends
                 slow.append(k)
                 out.append(b"")
         for k, ids in zip(slow, self.whole([texts[k] for k in slow]), strict=True):

@@ -25,6 +25,15 @@ def test_pieces_equal_whole_encoding(texts):
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [ids(t) for t in texts]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|", "|>", "endoftext", " ", "\n", "  ", "ab", "é", "'s", "1."]), max_size=12).map("".join), min_size=1, max_size=4))
+def test_added_tokens_equal_whole_encoding(texts):
+    encoder = token_store.encoder(PATH)
+    encoder.clear()
+    got = encoder([*texts, "x <|endoftext|> y"])
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [*(ids(t) for t in texts), [87, 220, 50256, 331]]
+
+
 def test_files(spark, tmp_path):
     docs = [(5, "the cat sat on the mat\nand it's 42"), (1, None), (9, ""), (3, "  odd   spaces \n\n here "), (3, "same id"), (None, "no id"), (12, "long " * 30_000), (7, "x\ny"), (7, "x\ny")] + [(k, f"document number {k}") for k in range(20, 60)]
     spark.createDataFrame([(d, t, "clash") for d, t in docs], "doc_id long, text string, shard string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
