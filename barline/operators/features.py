@@ -9,12 +9,16 @@ from ..functions import r6
 from ..plans import register
 from ..sources import table
 from .calendar import GRID_SQL, returns
+from .coverage import EXPECTED
 from .forecasts import LAB_SQL, labelled
 from .indicators import DAY, RTH_SQL, daily_ranges, weekday_bars
+from .store import day_ledger
 
 QUERIES: dict = {}
 SQL: dict = {}
 query = register(QUERIES, SQL)
+#: The families of the feature table.
+FAMILIES = ["rv", "ret", "age"]
 
 
 def day_text() -> F.Column:
@@ -233,7 +237,7 @@ def j1(spark, sf_dir):
 
 @query("j8_wide_features", f"""WITH {RV_SQL} SELECT CAST(trading_day AS VARCHAR) AS trading_day, slot, round(max(rv) FILTER (instrument = 'click'), 6) AS click, round(max(rv) FILTER (instrument = 'purchase'), 6) AS purchase, round(max(rv) FILTER (instrument = 'view'), 6) AS view FROM us GROUP BY 1, 2""")
 def j8(spark, sf_dir):
-    """Instruments as columns: the pivot's values are given, so no pass finds them."""
+    """Realised variance of three instruments as columns, as its SQL has them; j8_feature_table has all instruments and the mask."""
     p = realised(spark, sf_dir).where("slot IS NOT NULL").groupBy("trading_day", "slot").pivot("instrument", ["click", "purchase", "view"]).agg(F.max("rv"))
     return p.select(day_text(), "slot", *[r6(c).alias(c) for c in ("click", "purchase", "view")])
 
@@ -288,3 +292,58 @@ def k19(spark, sf_dir):
     for f in fits[1:]:
         out = out.unionByName(f)
     return out.groupBy("alpha").agg(F.count("*").alias("n"), F.round(F.avg((F.col("prediction") - F.col("move")) ** 2), 4).alias("mse"))
+
+
+def first_complete(bars: DataFrame) -> DataFrame:
+    """The first session of each instrument that A5's ledger calls complete."""
+    return day_ledger(bars, EXPECTED).where("status = 'COMPLETE' AND weekday(trading_day) < 5").groupBy("instrument").agg(F.min("trading_day").alias("start"))
+
+
+def catalogue(instruments: list[str]) -> list[tuple[str, str, str]]:
+    """(column, instrument, family) of the feature table, in the instruments' order."""
+    return [(f"{i}.{f}", i, f) for i in sorted(instruments) for f in FAMILIES]
+
+
+def feature_table(panel: DataFrame, start: DataFrame, instruments: list[str]) -> DataFrame:
+    """A row a slot, a column for each catalogue entry; NULL before the instrument's first complete day, or where it has none."""
+    masked = panel.join(F.broadcast(start), "instrument", "left")  # a row an instrument
+    known = F.coalesce(F.col("trading_day") >= F.col("start"), F.lit(False))
+    wide = masked.select("instrument", "trading_day", "slot", *[F.when(known, F.col(f)).alias(f) for f in FAMILIES])
+    wide = wide.groupBy("trading_day", "slot").pivot("instrument", sorted(instruments)).agg(*[F.max(f).alias(f) for f in FAMILIES])
+    return wide.select("trading_day", "slot", *[F.col(f"`{i}_{f}`").alias(name) for name, i, f in catalogue(instruments)])
+
+
+def panel_features(spark, sf_dir) -> DataFrame:
+    """The families of each instrument at each slot: J3's realised variance, B7's return, J1's age of the last price."""
+    last = F.last(F.when(F.col("close").isNotNull(), F.col("slot")), ignorenulls=True).over(Window.partitionBy(*DAY).orderBy("slot").rowsBetween(Window.unboundedPreceding, 0))
+    return realised(spark, sf_dir).select("instrument", "trading_day", "slot", "rv", F.col("r").alias("ret"), (F.col("slot") - last).alias("age"))
+
+
+def instruments_of(spark, sf_dir) -> list[str]:
+    """The few distinct instruments: the pivot's values, whatever their number."""
+    return sorted(r.event_type for r in table(spark, sf_dir, "events").select("event_type").distinct().collect() if r.event_type is not None)
+
+
+TABLE_SQL = f"""{RV_SQL}, fc AS (SELECT instrument, min(trading_day) AS start FROM (SELECT instrument, trading_day FROM sb WHERE isodow(trading_day) <= 5 GROUP BY 1, 2 HAVING count(*) >= {EXPECTED} * 0.9) GROUP BY 1),
+ag AS (SELECT rv.*, CAST(slot - last_value(CASE WHEN close IS NOT NULL THEN slot END IGNORE NULLS) OVER (PARTITION BY instrument, trading_day ORDER BY slot ROWS UNBOUNDED PRECEDING) AS INT) AS age FROM rv),
+mk AS (SELECT ag.*, coalesce(trading_day >= start, false) AS ok FROM ag LEFT JOIN fc USING (instrument))"""
+_WIDE = ", ".join(f"""round(max({v}) FILTER (ok AND instrument = '{i}'), 6) AS "{i}.{f}\"""" for i in ("click", "error", "purchase", "signup", "view") for f, v in zip(FAMILIES, ("rv", "r", "age"), strict=True))
+
+
+@query("j8_feature_table", f"WITH {TABLE_SQL} SELECT CAST(trading_day AS VARCHAR) AS trading_day, slot, {_WIDE} FROM mk GROUP BY 1, 2")
+def j8_table(spark, sf_dir):
+    """All instruments' features as columns, masked before each one's first complete day."""
+    from ..sources import session_bars
+
+    names = instruments_of(spark, sf_dir)
+    out = feature_table(panel_features(spark, sf_dir), first_complete(session_bars(spark, sf_dir)), names)
+    return out.select(day_text(), "slot", *[F.round(F.col(f"`{name}`"), 6).alias(name) for name, _, _ in catalogue(names)])
+
+
+@query("j8_catalogue", f"WITH {TABLE_SQL}, i AS (SELECT DISTINCT event_type AS instrument FROM events WHERE event_type IS NOT NULL) SELECT i.instrument || '.' || family AS name, i.instrument, family, CAST(start AS VARCHAR) AS first_complete FROM i CROSS JOIN (SELECT unnest(['rv', 'ret', 'age']) AS family) LEFT JOIN fc ON fc.instrument = i.instrument")
+def j8_catalogue(spark, sf_dir):
+    """A row for each column of the feature table, and from which day it is filled."""
+    from ..sources import session_bars
+
+    rows = spark.createDataFrame(catalogue(instruments_of(spark, sf_dir)), "name string, instrument string, family string")
+    return rows.join(first_complete(session_bars(spark, sf_dir)), "instrument", "left").select("name", "instrument", "family", F.col("start").cast("string").alias("first_complete"))
