@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that a Python worker turns into arrays at a time; longer texts are taken alone.
 CHUNK_BYTES = 4 << 20
+#: Most bits of a map of ids, and tasks over which a key's rows are dealt in salted joins.
+MOST_BITS, SALTS = 1 << 27, 16
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,10 +24,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a new temporary one only where the session sets none."""
+    """The folder all executors share: spark.checkpoint.dir; only where the session sets none, a folder of the warehouse, which is shared too."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
@@ -42,6 +44,53 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Members:
+    """Which 64-bit hashes may be among those of a table: one bit each in a bitmap of about 16 bits a hash, MOST_BITS at most.
+
+    There are false hits, which cost work, but no misses. A table that would fill MOST_BITS is not mapped: all hashes hit.
+    """
+
+    def __init__(self, hashes: DataFrame):
+        """hashes: one column of bigint."""
+        spark, (name,) = hashes.sparkSession, hashes.columns
+        n = hashes.count()
+        self.bits = min(MOST_BITS, 1 << max(16, (16 * n).bit_length()))
+        self.full = n > self.bits
+        words = np.zeros(self.bits // 64, np.int64)
+        if n and not self.full:
+            at = F.pmod(F.col(name), F.lit(self.bits))
+            one = F.expr(f"shiftleft(1L, cast(pmod(`{name}`, {self.bits}) % 64 as int))")
+            got = hashes.groupBy((at / 64).cast("int").alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()  # MOST_BITS / 64 rows at most
+            words[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+        self.shared = spark.sparkContext.broadcast(words.view(np.uint8))  # MOST_BITS / 8 bytes at most
+
+    def test(self, hashes: np.ndarray) -> np.ndarray:
+        if self.full:
+            return np.ones(len(hashes), bool)
+        at = hashes & (self.bits - 1)
+        return (self.shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+    def column(self, hashes: Column) -> Column:
+        """The test as a column of booleans."""
+        test = self.test
+
+        @F.pandas_udf("boolean")
+        def listed(h: pd.Series) -> pd.Series:
+            return pd.Series(test(h.to_numpy()))
+
+        return F.lit(True) if self.full else listed(hashes)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, how: str = "inner") -> DataFrame:
+    """left joined with right (one row a key) where a key may hold a large share of left: each key's rows go to SALTS tasks by `spread`."""
+    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
+    many = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn("__salt", salt).join(many, [*keys, "__salt"], how).drop("__salt")
+
+
 def held_out(doc_id) -> F.Column:
     """Rows never learned from: crc32 of doc_id as text, mod 4, is 2. A null doc_id counts as held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
@@ -108,7 +157,8 @@ def field(name: str, kind: str) -> T.StructField:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """At most `rows` labelled documents (columns __y, __text) to learn from, the same at every run: first by a hash of the id.
 
-    Rows of the held-out quarter, without a label of 0 or 1, or whose id has two different labels are left out.
+    Rows of the held-out quarter, without a label of 0 or 1, or whose id has two different labels are left out. Of several
+    rows of one id, the text of the smallest hash is taken.
     """
     known = (
         labels.where(F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.min(label).cast("int").alias("__y"), F.max(label).cast("int").alias("__z"))
@@ -116,4 +166,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, t
     )
     picked = known.orderBy(F.xxhash64("__id"), "__id").limit(rows)
     own = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text}`").cast("string").alias("__text"))
-    return own.join(F.broadcast(picked), "__id").select("__y", "__text")  # `rows` rows at most are broadcast
+    found = own.join(F.broadcast(picked), "__id")  # `rows` rows at most are broadcast
+    return found.groupBy("__id", "__y").agg(F.min_by("__text", F.struct(F.xxhash64("__text"), "__text")).alias("__text")).select("__y", "__text")
