@@ -8,7 +8,9 @@ text lies between the header (what `prompt` adds) and the trailer (what the turn
 header): that is the loss span.
 
 Defined results: a null text or role is empty; turns are ordered by number, null first, ties by role and text; repeated
-rows are repeated turns; rows with a null conv_id form one conversation with a null id; a conversation is one task's work.
+rows are repeated turns; rows with a null conv_id form one conversation with a null id; a conversation is one task's work,
+and all its prefixes are rendered whatever its length. The query adds conversation -7: where a table holds turns of that id
+already, they and the added ones are one conversation. An empty table gives conversation -7 alone.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from .common import read
 
 START, STOP = "### ", " </turn>\n"
 COLON = ": "
+KEPT_CHARS = 32 << 20
 #: Conversation -7, which the query adds: its texts look like the template's own marks.
 PROBE = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
 SCHEMA = "conv_id bigint, n_turns bigint, rewritten boolean, formatted string, turn_spans array<struct<start: bigint, end: bigint>>, loss_spans array<struct<start: bigint, end: bigint>>"
@@ -41,9 +44,26 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.S)
 
 
+class _Lines(dict):
+    """(role, text) -> its line in the default template, kept while a conversation's prefixes are rendered; forgets all beyond KEPT_CHARS."""
+
+    chars = 0
+
+    def __missing__(self, turn: tuple[str, str]) -> str:
+        if self.chars > KEPT_CHARS:
+            self.clear()
+            self.chars = 0
+        self[turn] = line = START + escape(turn[0]) + COLON + escape(turn[1]) + STOP
+        self.chars += len(line) + 100
+        return line
+
+
+_lines = _Lines()
+
+
 def render(turns: Turns, prompt: bool = False) -> str:
     """The default template: '### Role: text </turn>' lines."""
-    return "".join(START + escape(r) + COLON + escape(t) + STOP for r, t in turns) + (START + "assistant" + COLON) * prompt
+    return "".join(map(_lines.__getitem__, turns)) + (START + "assistant" + COLON) * prompt
 
 
 def parse(formatted: str) -> Turns:
@@ -75,30 +95,6 @@ def format_turns(turns: Turns, template: Callable[[Turns, bool], str] = render)
     return {"rewritten": False, "formatted": before, "turn_spans": spans, "loss_spans": loss}
 
 
-def local_template(template: Callable[[Turns, bool], str]) -> bool:
-    """Whether the template renders each turn by itself: then a turn's prefix can be rendered without the turns before it."""
-    probe = [("system", "s"), ("user", "u\n"), ("assistant", "a"), ("user", ""), ("assistant", "b b")]
-    parts = [template([t], False) for t in probe]
-    return template([], False) == "" and all(template(probe[:k], False) == "".join(parts[:k]) for k in range(len(probe) + 1)) and all(template(probe[:k], True) == "".join(parts[:k]) + template([], True) for k in range(len(probe) + 1))
-
-
-def format_long(turns: Turns, template: Callable[[Turns, bool], str], window: int = 64) -> dict:
-    """format_turns in pieces of `window` turns, for templates that are local; the joined pieces are held against one rendering of all."""
-    at, parts, spans, loss = 0, [], [], []
-    for k in range(0, len(turns), window):
-        x = format_turns(turns[k : k + window], template)
-        if x["rewritten"]:
-            return format_turns(turns, template)
-        parts.append(x["formatted"])
-        spans += [(a + at, b + at) for a, b in x["turn_spans"]]
-        loss += [(a + at, b + at) for a, b in x["loss_spans"]]
-        at += len(x["formatted"])
-    whole = "".join(parts)
-    if whole != template(turns, False):
-        return format_turns(turns, template)
-    return {"rewritten": False, "formatted": whole, "turn_spans": spans, "loss_spans": loss}
-
-
 def format_conversations(turns: DataFrame, template: Callable[[Turns, bool], str] = render) -> DataFrame:
     """A row for each conversation, with the columns of SCHEMA; offsets count characters.
 
@@ -108,10 +104,8 @@ def format_conversations(turns: DataFrame, template: Callable[[Turns, bool], str
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("rewritten", pa.bool_()), ("formatted", pa.string()), *((c, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))) for c in ("turn_spans", "loss_spans"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        local = local_template(template)
-
         def done(conv, ts):
-            x = format_long(ts, template) if local and len(ts) > 64 else format_turns(ts, template)
+            x = format_turns(ts, template)
             return {"conv_id": conv, "n_turns": len(ts)} | x | {c: [{"start": a, "end": b} for a, b in x[c]] for c in ("turn_spans", "loss_spans")}
 
         conv, ts, rows, size = None, [], [], 0

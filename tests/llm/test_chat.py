@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -22,12 +23,40 @@ def test_rewriting_template_is_detected():
         return "".join(f"<{r}>{t if k >= len(turns) - 2 else '...'}" for k, (r, t) in enumerate(turns)) + "<assistant>" * prompt
 
     assert chat.format_turns([("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", "d")], drops_old)["rewritten"]
-    assert not chat.local_template(drops_old)
 
 
-def test_long_equals_plain():
-    turns = [("user" if k % 2 else "assistant", f"text {k} \\#" * (k % 5)) for k in range(300)]
-    assert chat.format_long(turns, chat.render) == chat.format_turns(turns)
+def late_rewriter(turns, prompt=False):
+    """Rewrites its first turn while it renders 65 to 70 turns, and no longer after that."""
+    return "".join(f"<{r}>{'...' if k == 0 and 65 <= len(turns) <= 70 else t}" for k, (r, t) in enumerate(turns)) + "<assistant>" * prompt
+
+
+def test_rewrite_in_some_long_prefix_only_is_detected():
+    turns = [("user" if k % 2 == 0 else "assistant", f"text {k}") for k in range(100)]
+    assert late_rewriter(turns) == "".join(f"<{r}>{t}" for r, t in turns)
+    assert chat.format_turns(turns, late_rewriter)["rewritten"] and not chat.format_turns(turns[:64], late_rewriter)["rewritten"]
+
+
+@pytest.mark.parametrize("n", [63, 64, 65, 129, 1500])
+def test_any_length(n):
+    turns = [("user" if k % 2 else "assistant", f"text {k} \\#" * (k % 5)) for k in range(n)]
+    x = chat.format_turns(turns)
+    assert chat.parse(x["formatted"]) == turns and len(x["turn_spans"]) == n
+    assert [chat.unescape(x["formatted"][a:b]) for a, b in x["loss_spans"]] == [t for r, t in turns if r == "assistant"]
+
+
+def test_cache_forgets(monkeypatch):
+    monkeypatch.setattr(chat, "KEPT_CHARS", 500)
+    turns = [("assistant", f"{k}: <") for k in range(200)]
+    assert chat.parse(chat.format_turns(turns)["formatted"]) == turns and len(chat._lines) < 20
+
+
+def test_empty_table_and_probe_id(spark, tmp_path):
+    """An empty table gives conversation -7 alone; turns that a table already holds under -7 join it."""
+    schema = "conv_id long, turn long, role string, text string"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/e/conversations.parquet")
+    assert [(r.conv_id, r.n_turns) for r in chat.op5_chat(spark, f"{tmp_path}/e").collect()] == [(-7, 2)]
+    spark.createDataFrame([(-7, 2, "user", "more")], schema).write.parquet(f"{tmp_path}/p/conversations.parquet")
+    assert [(r.conv_id, r.n_turns) for r in chat.op5_chat(spark, f"{tmp_path}/p").collect()] == [(-7, 3)]
 
 
 def test_query(spark, tmp_path):
