@@ -1,7 +1,7 @@
 """Op 2: Jaccard join on word shingles, by rare-first prefixes with length, positional and suffix filters.
 
-1. Counts: every text's distinct shingles are counted by cell (a hash), packed into arrays by bucket. What comes back has
-   a fixed size: a bitmap of cells seen more than once, and the counts of the HEAVY most frequent cells. They fix one total
+1. Counts: every text's distinct shingles are counted by cell (a hash), first within a task, then by bucket. What comes back
+   has a fixed size: a bitmap of cells seen more than once, and the counts of the HEAVY most frequent cells. They fix one total
    order, rare first. (Any total order gives all links; the counts only make it a good one.)
 2. Postings: a text's prefix in that order, without shingles seen once, as (shingle, class, size, position). A class is a
    set of shingles: exact copies collapse there. Frequent shingles are dealt over several groups.
@@ -10,11 +10,13 @@
 4. Verification: pairs are made distinct, their sizes by hash range are compared (suffix filter: shares that differ too
    much cannot overlap enough), and the sets themselves are intersected, once a pair.
 5. Second round: classes that share a prefix shingle but are not yet in one component are paired with each other, filtered
-   and verified alike. Pairs inside a component cannot change it. So all components are exact, without all pairs of a group.
+   and verified alike. A shingle of more than BLOCK_CLASSES such classes is dealt over blocks, where a large component has
+   blocks of its own: two blocks of one component are never joined. Pairs inside a component cannot change it. So all components are exact,
+   without all pairs of a group.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; rows of one doc_id are one document
-(its texts are linked); rows with a null doc_id get the smallest doc_id they reach, or null. Sets of equal 64-bit hash are
-taken for equal sets; two different ones share a hash with a chance of about 2**-64 a pair.
+(its texts are linked); rows with a null doc_id get the smallest doc_id they reach, or null. Sets of equal 128-bit hash are
+taken for equal sets. Postings name a class by the first half of that hash; classes that share it are told apart before they are compared.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read, staged, text_chunks
+from .common import Members, read, salted_join, staged, text_chunks
 from .components import connected_components
 from .shingles import shingle_sets
 
@@ -36,10 +38,11 @@ from .shingles import shingle_sets
 BITMAP_BITS, HEAVY, HEAVY_LEAST = 1 << 26, 1 << 17, 8
 #: Postings of a shingle that one group holds, about.
 GROUP_POSTINGS = 20_000
+#: Classes of a shingle in one block of the second round.
+BLOCK_CLASSES = 500
 FLUSH_TOKENS, SLICE_BYTES = 1 << 21, 1 << 20
 BUCKET_BYTES = 64 << 20
 RANGES = 16
-BLOOM_BITS = 1 << 24
 
 
 def needed(na, nb):
@@ -82,12 +85,17 @@ def count_shingles(docs: DataFrame, text: str = "text") -> Order:
 
         def flush():
             h = np.concatenate(held)
-            bucket = (h % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            cells, bucket = (h >> np.uint64(32)).astype("<u4")[order], bucket[order]
-            edges = np.flatnonzero(np.diff(bucket, prepend=-1))
-            parts = [cells[a:b].tobytes() for a, b in zip(edges.tolist(), [*edges.tolist()[1:], len(cells)], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(bucket[edges]), pa.array(parts, pa.binary())], names=["bucket", "cells"])
+            place, counts = np.unique((h % np.uint64(buckets)) << np.uint64(32) | h >> np.uint64(32), return_counts=True)
+            bucket = (place >> np.uint64(32)).astype(np.int32)
+            cells = np.empty(len(place), CELL)
+            cells["cell"], cells["n"] = place & np.uint64(0xFFFFFFFF), counts
+            edges = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+            ones, more = [], []
+            for a, b in zip(edges, [*edges[1:], len(cells)], strict=True):
+                part, once = cells[a:b], counts[a:b] == 1
+                ones.append(part["cell"][once].tobytes())
+                more.append(part[~once].tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(bucket[edges]), pa.array(ones, pa.binary()), pa.array(more, pa.binary())], names=["bucket", "ones", "more"])
 
         for batch in batches:
             for _, texts in text_chunks(batch, "t", SLICE_BYTES):
@@ -102,35 +110,38 @@ def count_shingles(docs: DataFrame, text: str = "text") -> Order:
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
         bucket = int(frame.bucket.iloc[0])
-        cells = np.frombuffer(b"".join(frame.cells), "<u4")
-        cells, counts = np.unique(cells, return_counts=True)
+        ones, more = np.frombuffer(b"".join(frame.ones), "<u4"), np.frombuffer(b"".join(frame.more), CELL)
+        cells, counts = np.concatenate([ones, more["cell"]]), np.concatenate([np.ones(len(ones), np.int64), more["n"].astype(np.int64)])
+        order = np.argsort(cells, kind="stable")
+        cells, first = cells[order], np.flatnonzero(np.diff(cells[order].astype(np.int64), prepend=-1))
+        cells, counts = cells[first], np.add.reduceat(counts[order], first)
         bits = np.zeros(width, bool)
         bits[cells[counts > 1] % width] = True
         heavy = np.flatnonzero(counts >= HEAVY_LEAST)
-        most = max(64, 4 * HEAVY // buckets)
-        if len(heavy) > most:
-            heavy = heavy[np.argsort(-counts[heavy], kind="stable")[:most]]
-        return pd.DataFrame({"bucket": [bucket], "bits": [np.packbits(bits, bitorder="little").tobytes()], "heavy": [cells[heavy].astype("<u4").tobytes()], "counts": [counts[heavy].astype("<i8").tobytes()]})
-
-    packed = docs.select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(pack, "bucket int, cells binary")
-    found = packed.groupBy("bucket").applyInPandas(count, "bucket int, bits binary, heavy binary, counts binary").collect()  # BITMAP_BITS and HEAVY bound it
-    bits, keys, counts = np.zeros(buckets * width // 8, np.uint8), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for r in found:
+        heavy = heavy[np.argsort(-counts[heavy], kind="stable")[:HEAVY]]  # no more than HEAVY of all can come from one bucket
+        return pd.DataFrame({"bucket": [bucket], "bits": [np.packbits(bits, bitorder="little").tobytes()], "cells": [cells[heavy].astype(np.int64)], "counts": [counts[heavy]]})
+
+    packed = docs.select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(pack, "bucket int, ones binary, more binary")
+    found = staged(packed.groupBy("bucket").applyInPandas(count, "bucket int, bits binary, cells array<bigint>, counts array<bigint>"), "shingle-counts")
+    bits = np.zeros(buckets * width // 8, np.uint8)
+    for r in found.select("bucket", "bits").collect():  # BITMAP_BITS in all
         bits[r.bucket * width // 8 : (r.bucket + 1) * width // 8] = np.frombuffer(r.bits, np.uint8)
-        keys.append(np.frombuffer(r.heavy, "<u4").astype(np.uint64) | np.uint64(r.bucket << 32))
-        counts.append(np.frombuffer(r.counts, "<i8"))
-    keys, counts = np.concatenate(keys), np.concatenate(counts)
-    top = np.lexsort((keys, -counts))[:HEAVY]
-    top = top[np.argsort(keys[top])]
-    return Order(buckets, bits, keys[top], counts[top])
+    top = found.select("bucket", F.explode(F.arrays_zip("cells", "counts")).alias("x")).select((F.shiftleft(F.col("bucket").cast("bigint"), 32) + F.col("x.cells")).alias("key"), F.col("x.counts").alias("n"))
+    top = top.orderBy(F.desc("n"), "key").limit(HEAVY).toArrow()
+    keys, counts = top.column("key").to_numpy().astype(np.uint64), top.column("n").to_numpy()
+    order = np.argsort(keys)
+    return Order(buckets, bits, keys[order], counts[order])
 
 
+CELL = np.dtype([("cell", "<u4"), ("n", "<u4")])
 POSTING = np.dtype([("token", "<u8"), ("key", "<i8"), ("n", "<i4"), ("position", "<i4"), ("salt", "<i4")])
-ENTRY = "kind int, doc_id bigint, key bigint, n bigint, ranges array<int>, bucket int, postings binary"
+ENTRY = "kind int, doc_id bigint, key bigint, key2 bigint, n bigint, ranges array<int>, bucket int, postings binary"
 
 
-def set_key(h: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_key(h: np.ndarray) -> tuple[int, int]:
+    """Both halves of a 128-bit hash of a set."""
+    digest = hashlib.blake2b(h.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
 def index_texts(docs: DataFrame, order: Order, text: str, id_col: str) -> DataFrame:
@@ -141,10 +152,10 @@ def index_texts(docs: DataFrame, order: Order, text: str, id_col: str) -> DataFr
         own = shared.value
         held, n_held = [], 0
 
-        def info(ids, keys, sizes, ranges):
+        def info(ids, keys, keys2, sizes, ranges):
             k = len(keys)
             none = pa.nulls(k)
-            return pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), ids, pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ranges, pa.list_(pa.int32())), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), ids, pa.array(keys, pa.int64()), pa.array(keys2, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ranges, pa.list_(pa.int32())), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
 
         def flush():
             p = np.concatenate(held)
@@ -154,20 +165,22 @@ def index_texts(docs: DataFrame, order: Order, text: str, id_col: str) -> DataFr
             edges = np.flatnonzero(np.diff(bucket, prepend=-1))
             parts = [p[a:b].tobytes() for a, b in zip(edges.tolist(), [*edges.tolist()[1:], len(p)], strict=True)]
             none = pa.nulls(len(parts))
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(parts), np.int32)), *[none.cast(pa.int64())] * 3, none.cast(pa.list_(pa.int32())), pa.array(bucket[edges]), pa.array(parts, pa.binary())], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(parts), np.int32)), *[none.cast(pa.int64())] * 4, none.cast(pa.list_(pa.int32())), pa.array(bucket[edges]), pa.array(parts, pa.binary())], names=names)
 
-        names = ["kind", "doc_id", "key", "n", "ranges", "bucket", "postings"]
+        names = ["kind", "doc_id", "key", "key2", "n", "ranges", "bucket", "postings"]
         for batch in batches:
             for part, texts in text_chunks(batch, "t", SLICE_BYTES):
                 sets = shingle_sets(texts)
                 every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 weights = own.weights(every)
                 salts = np.maximum(1, -(-weights // GROUP_POSTINGS))
-                keys, sizes, ranges, at = [], [], [], 0
+                keys, keys2, sizes, ranges, at = [], [], [], [], 0
                 for h in sets:
                     n = len(h)
                     w = weights[at : at + n]
-                    keys.append(set_key(h) if n else None)
+                    own_key = set_key(h) if n else (None, None)
+                    keys.append(own_key[0])
+                    keys2.append(own_key[1])
                     sizes.append(n)
                     ranges.append(np.bincount((h >> np.uint64(60)).astype(np.int64), minlength=RANGES).astype(np.int32) if n else [0] * RANGES)
                     if n:
@@ -182,7 +195,7 @@ def index_texts(docs: DataFrame, order: Order, text: str, id_col: str) -> DataFr
                             held.append(p)
                             n_held += len(p)
                     at += n
-                yield info(part.column(0), keys, sizes, ranges)
+                yield info(part.column(0), keys, keys2, sizes, ranges)
                 if n_held >= FLUSH_TOKENS // 4:
                     yield flush()
                     held, n_held = [], 0
@@ -199,7 +212,7 @@ def hub_pairs(postings: DataFrame) -> DataFrame:
         p = np.frombuffer(b"".join(frame.postings), POSTING)
         p = p[np.lexsort((p["key"], p["n"], p["position"], p["salt"], p["token"]))]
         group = (p["token"][1:] == p["token"][:-1]) & (p["salt"][1:] == p["salt"][:-1])
-        p = p[np.concatenate([[True], ~(group & (p["key"][1:] == p["key"][:-1]))])]
+        p = p[np.concatenate([[True], ~(group & (p["key"][1:] == p["key"][:-1]) & (p["n"][1:] == p["n"][:-1]) & (p["position"][1:] == p["position"][:-1]))])]
         first = np.flatnonzero(np.concatenate([[True], (p["token"][1:] != p["token"][:-1]) | (p["salt"][1:] != p["salt"][:-1])]))
         size = np.diff(np.append(first, len(p)))
         hub = np.repeat(first, size)
@@ -219,86 +232,130 @@ def hub_pairs(postings: DataFrame) -> DataFrame:
     return postings.groupBy("bucket").applyInPandas(run, "a bigint, b bigint, token bigint, n bigint, position bigint, leads boolean")
 
 
-def near_range_sizes(a: str, b: str) -> F.Column:
-    """Suffix filter: sets whose sizes by hash range differ too much cannot overlap enough."""
+def near_range_sizes(a: str, b: str, both: F.Column | None = None) -> F.Column:
+    """Suffix filter: sets whose sizes by hash range differ too much cannot overlap enough. both: the sum of their sizes."""
+    both = F.col("na") + F.col("nb") if both is None else both
     apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    return apart <= F.col("na") + F.col("nb") - 2 * F.floor((4 * (F.col("na") + F.col("nb")) + 8) / 9)
-
-
-def bloom(ids: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size with one bit for each id; false hits only cost work."""
-    bit = F.pmod(F.xxhash64("rep"), F.lit(BLOOM_BITS))
-    words = ids.groupBy((bit / 64).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(rep), {BLOOM_BITS}) % 64 as int))")).alias("bits")).toArrow()
-    out = np.zeros(BLOOM_BITS // 64, np.int64)
-    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    return np.unpackbits(out.view(np.uint8), bitorder="little")
+    return apart <= both - 2 * F.floor((4 * both + 8) / 9)
 
 
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, id_col: str) -> DataFrame:
-    """The distinct pairs of classes (a, b) whose sets are linked, with their overlap."""
-    spark = docs.sparkSession
-    side = lambda c: classes.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("ranges").alias(f"r{c}"), F.col("rep").alias(f"rep{c}"))
-    near = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").where(near_range_sizes("ra", "rb")).drop("ra", "rb")
+    """The distinct pairs of classes (a, b) whose sets are linked, with their overlap. Texts are read once, and only those of candidate pairs become sets."""
+    side = lambda c: classes.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("ranges").alias(f"r{c}"), F.col("rep").alias(f"rep{c}"), F.struct("key", "key2").alias(f"k{c}"))
+    near = pairs.select("a", "b").where("a <> b").distinct().join(side("a"), "a").join(side("b"), "b").where(near_range_sizes("ra", "rb")).drop("ra", "rb")
     near = staged(near, "near-pairs")
-    chosen = spark.sparkContext.broadcast(np.packbits(bloom(near.select(F.col("repa").alias("rep")).unionAll(near.select("repb")).distinct())))
+    reps = near.select(F.col("repa").alias("rep"), F.col("ka").alias("k")).unionAll(near.select("repb", "kb")).distinct()
+    chosen = Members(reps.select(F.xxhash64("rep").alias("h")))
+    wanted = Members(reps.select(F.col("k.key2").alias("h")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(chosen.value).astype(bool)
         for batch in batches:
-            batch = batch.filter(pa.array(bits[batch.column(0).to_numpy()]))
+            batch = batch.filter(pa.array(chosen.test(batch.column(0).to_numpy())))
             for part, texts in text_chunks(batch, "t", SLICE_BYTES):
                 own = shingle_sets(texts)
+                keys = [set_key(h) if len(h) else (None, 0) for h in own]
+                kept = wanted.test(np.array([k[1] for k in keys], np.int64)) & np.array([k[0] is not None for k in keys], bool) if keys else np.zeros(0, bool)
+                own, keys = [h for h, k in zip(own, kept, strict=True) if k], [x for x, k in zip(keys, kept, strict=True) if k]
                 flat = np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64)
                 hashes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(h) for h in own])]), pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array([set_key(h) if len(h) else None for h in own], pa.int64()), hashes], names=["doc", "key", "hashes"])
-
-    made = docs.select(F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("bigint")), F.lit(BLOOM_BITS)).alias("bit"), F.col(f"`{id_col}`").cast("bigint").alias("doc"), F.col(f"`{text}`").cast("string").alias("t"))
-    made = staged(made.mapInArrow(sets, "doc bigint, key bigint, hashes array<bigint>").where("key IS NOT NULL"), "sets")
-    right = made.select(F.col("key").alias("b"), F.col("doc").alias("docb"), F.col("hashes").alias("hb"))
-    left = made.select(F.col("key").alias("a"), F.col("doc").alias("doca"), F.col("hashes").alias("ha"))
-    both = near.join(right, "b").where("docb <=> repb").drop("docb", "repb").join(left, "a").where("doca <=> repa").select("a", "b", "ha", "hb")
-
+                yield pa.RecordBatch.from_arrays([part.column(1).filter(pa.array(kept)), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), hashes], names=["doc", "key", "key2", "hashes"])
+
+    made = docs.select(F.xxhash64(F.col(f"`{id_col}`").cast("bigint")).alias("h"), F.col(f"`{id_col}`").cast("bigint").alias("doc"), F.col(f"`{text}`").cast("string").alias("t"))
+    made = staged(made.mapInArrow(sets, "doc bigint, key bigint, key2 bigint, hashes array<bigint>"), "sets")
+    both = near
+    for c in "ba":
+        own = made.select(F.struct("key", "key2").alias("k"), F.col("doc"), F.col("hashes").alias(f"h{c}"))
+        both = both.join(own, (F.col("k") == F.col(f"k{c}")) & F.col("doc").eqNullSafe(F.col(f"rep{c}"))).drop("k", "doc")
     sized = both.select("a", "b", F.size("ha").alias("x"), F.size("hb").alias("y"), F.size(F.array_intersect("ha", "hb")).alias("overlap"))
     return sized.where("100 * overlap >= 80 * (x + y - overlap)").select("a", "b", "overlap").distinct()
 
 
+def name_classes(info: DataFrame) -> tuple[DataFrame, bool]:
+    """A row for each set: key, key2, id, rep (its smallest doc_id), n, ranges; and whether sets share a key.
+
+    id is the key, or the second half of the hash for all but one of the sets that share a key.
+    """
+    sets = staged(info.where("n > 0").groupBy("key", "key2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("ranges").alias("ranges")), "classes")
+    shared = sets.groupBy("key").agg(F.min("key2").alias("first"), F.count("*").alias("sets")).where("sets > 1").select("key", "first")
+    if shared.isEmpty():
+        return sets.withColumn("id", F.col("key")), False
+    return staged(sets.join(shared, "key", "left").withColumn("id", F.when(F.col("key2") == F.coalesce("first", "key2"), F.col("key")).otherwise(F.col("key2"))).drop("first"), "class-names"), True
+
+
+def open_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Second round: pairs (a, b) of classes of different roots that share a shingle and pass the filters. members: token, id, n, position, root."""
+    mixed = members.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("total")).where("x <> y").select("token", "total")
+    rows = salted_join(members, mixed, ["token"], F.col("id")).join(classes.select("id", "ranges"), "id")
+    rows = staged(rows.withColumn("whole", F.col("total") <= BLOCK_CLASSES), "open-members")
+    own = ["id", "n", "position", "root", "ranges"]
+    side = lambda df, s, keys: df.select(*keys, *[F.col(c).alias(f"{c}_{s}") for c in own])
+    fits = (
+        (F.col("root_a") != F.col("root_b")) & (5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b"))
+        & (9 * (1 + F.least(F.col("n_a") - F.col("position_a") - 1, F.col("n_b") - F.col("position_b") - 1)) >= 4 * (F.col("n_a") + F.col("n_b")))
+    )
+    near = near_range_sizes("ranges_a", "ranges_b", F.col("n_a") + F.col("n_b"))
+    small = rows.where("whole")
+    found = side(small, "a", ["token"]).join(side(small, "b", ["token"]), "token").where((F.col("id_a") < F.col("id_b")) & fits & near).select("id_a", "id_b")
+
+    large = rows.where("NOT whole")
+    if not large.isEmpty():
+        sizes = large.groupBy("token", "root").agg(F.count("*").alias("c"))
+        few = sizes.where(F.col("c") < BLOCK_CLASSES).groupBy("token").agg(F.sum("c").alias("few"))
+        plan = sizes.join(few, "token", "left").select("token", "root", *[F.when(F.col("c") >= BLOCK_CLASSES, big).otherwise(little).alias(name) for name, big, little in (
+            ("of", F.col("root"), F.lit(None)), ("blocks", F.ceil(F.col("c") / BLOCK_CLASSES), F.ceil(F.col("few") / BLOCK_CLASSES)))])
+        plan = staged(plan.withColumn("own", F.col("of").isNotNull()).withColumn("of", F.coalesce("of", F.lit(0))), "open-plan")
+        dealt = salted_join(large, plan, ["token", "root"], F.col("id"))
+        dealt = dealt.withColumn("block", F.struct("own", "of", F.pmod(F.xxhash64(F.when(F.col("own"), F.col("id")).otherwise(F.col("root"))), F.col("blocks")).alias("k")))
+        listed = plan.select("token", "own", "of", "blocks").distinct().select("token", F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda k: F.struct(F.col("own"), F.col("of"), k.alias("k")))).alias("block"))
+        other = listed.select("token", F.col("block").alias("other"))
+        alike = (F.col("block.own") & F.col("other.own") & (F.col("block.of") == F.col("other.of")))
+        pairs = staged(listed.join(other, "token").where((F.col("block") <= F.col("other")) & ~alike).select("token", F.col("block").alias("x"), F.col("other").alias("y")), "open-blocks")
+        halves = [side(salted_join(dealt, pairs.withColumn("block", F.col(at)), ["token", "block"], F.col("id")), s, ["token", "x", "y"]) for at, s in (("x", "a"), ("y", "b"))]
+        once = (F.col("x") < F.col("y")) | (F.col("id_a") < F.col("id_b"))
+        found = found.unionAll(halves[0].join(halves[1], ["token", "x", "y"]).where(once & fits & near).select("id_a", "id_b"))
+    return found.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     entries = staged(index_texts(docs, count_shingles(docs, text), text, id_col), "entries")
-    info = entries.where("kind = 0").select("doc_id", "key", "n", "ranges")
-    classes = staged(info.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("ranges").alias("ranges")), "classes")
+    info = entries.where("kind = 0").select("doc_id", "key", "key2", "n", "ranges")
+    classes, clash = name_classes(info)
     groups = staged(hub_pairs(entries.where("kind = 1").select("bucket", "postings")), "groups")
 
     leads = groups.where("leads").select("token", "a", "n", "position")
     top = leads.groupBy("token").agg(F.min(F.struct("position", "n", "a")).alias("top"))
     across = leads.join(top, "token").where("a <> top.a").select(F.col("top.a").alias("a"), F.col("a").alias("b"))
-    tried = groups.where("token IS NULL").select("a", "b").unionAll(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tried = groups.where("token IS NULL").select("a", "b").unionAll(across)
+    members = groups.where("token IS NOT NULL").select("token", F.col("a").alias("key"), "n", "position")
+    if clash:  # a key then stands for several classes: all of them are candidates, and so are they for each other
+        for c in "ab":
+            tried = tried.join(classes.select(F.col("key").alias(c), F.col("id").alias(f"{c}_id")), c)
+        one, two = (classes.select("key", F.col("id").alias(c)) for c in ("a", "b"))
+        tried = tried.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).unionAll(one.join(two, "key").select("a", "b"))
+        members = members.join(classes.select("key", "n", "id"), ["key", "n"]).drop("key")
+    else:
+        members = members.withColumnRenamed("key", "id")
+    tried = tried.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     first = staged(verify(tried, classes, docs, text, id_col).select("a", "b"), "links")
     # rows of one doc_id are one document
-    shared = info.where("key IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "key").groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.count("*").alias("rows"))
-    several = info.where("key IS NOT NULL").select("doc_id", "key").join(shared.where("a <> b").select("doc_id", "a"), "doc_id").select("a", F.col("key").alias("b"))
-    links = first.unionAll(several)
+    texts = info.where("key IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.struct("key", "key2").alias("k"))
+    several = texts.groupBy("doc_id").agg(F.min("k").alias("x"), F.max("k").alias("y")).where("x <> y").select("doc_id", "x")
+    several = texts.join(several, "doc_id").where("x <> k").select("x", "k").distinct()
+    name = lambda c, out: classes.select(F.struct("key", "key2").alias(c), F.col("id").alias(out))
+    links = first.unionAll(several.join(name("x", "a"), "x").join(name("k", "b"), "k").select("a", "b"))
     found = staged(connected_components(links), "components")
 
-    members = groups.where("token IS NOT NULL").select("token", F.col("a").alias("key"), "n", "position")
-    known = members.join(found.select(F.col("node").alias("key"), "root"), "key", "left").select("token", "key", "n", "position", F.coalesce("root", "key").alias("root"))
-    known = staged(known, "members")
-    mixed = known.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
-    open_ = known.join(mixed, "token")
-    left, right = (open_.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "position", "root")]) for s in "ab")
-    fits = (
-        (F.col("key_a") < F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & (5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b"))
-        & (9 * (1 + F.least(F.col("n_a") - F.col("position_a") - 1, F.col("n_b") - F.col("position_b") - 1)) >= 4 * (F.col("n_a") + F.col("n_b")))
-    )
-    rest = left.join(right, "token").where(fits).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
-    second = verify(rest.join(tried, ["a", "b"], "left_anti"), classes, docs, text, id_col).select("a", "b")
+    known = members.join(found.select(F.col("node").alias("id"), "root"), "id", "left").select("token", "id", "n", "position", F.coalesce("root", "id").alias("root"))
+    rest = open_pairs(staged(known, "members"), classes)
+    second = verify(rest.join(tried.distinct(), ["a", "b"], "left_anti"), classes, docs, text, id_col).select("a", "b")
     found = connected_components(staged(links.unionAll(second), "all-links"))
 
-    top = classes.join(found.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
+    top = classes.join(found.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "key2", "rep", F.coalesce("root", "id").alias("root"))
     least = top.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = top.join(least, "root").select("key", "component_id")
-    out = info.join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = top.join(least, "root").select("key", "key2", "component_id")
+    out = salted_join(info, named, ["key", "key2"], F.col("doc_id"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out
 
 
@@ -310,20 +367,15 @@ def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component: that with the component's id (rows without an id, and texts without shingles, all stay).
 
-    Texts are not shuffled for this: a bitmap of fixed size tells which ids may have to go, and only those rows are joined.
+    Texts are not shuffled for this: a bitmap of bounded size tells which ids may have to go, and only those rows are joined.
     """
     found = staged(near_duplicates(docs), "near-duplicates").where("doc_id IS NOT NULL")
     by_id = found.groupBy(F.col("doc_id").alias("__id")).agg(F.min("component_id").alias("__component"), F.count("*").alias("__rows"))
     by_id = staged(by_id.where("__component < __id OR __rows > 1"), "ids-to-judge")
-    chosen = spark.sparkContext.broadcast(np.packbits(bloom(by_id.select(F.col("__id").alias("rep")))))
-
-    @F.pandas_udf("boolean")
-    def listed(bit: pd.Series) -> pd.Series:
-        at = bit.to_numpy()
-        return pd.Series((chosen.value[at >> 3] >> (7 - (at & 7))) & 1 == 1)
+    chosen = Members(by_id.select(F.xxhash64("__id").alias("h")))
 
     own = [F.col(f"`{c}`") for c in docs.columns]
-    maybe = listed(F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(BLOOM_BITS)))
+    maybe = chosen.column(F.xxhash64(F.col("doc_id").cast("bigint")))
     joined = docs.where(maybe).join(by_id.hint("merge"), F.col("doc_id") == F.col("__id"), "left")
     once = joined.where("__id IS NULL OR (__component = __id AND __rows = 1)").select(*own)
     repeated = joined.where("__component = __id AND __rows > 1").withColumn("__k", F.row_number().over(Window.partitionBy("__id").orderBy("text"))).where("__k = 1").select(*own)

@@ -57,11 +57,23 @@ def corpus(seed, families=12, copies=14):
     return rows
 
 
-@pytest.mark.parametrize("seed,group", [(1, 20_000), (2, 3)])
-def test_equals_brute_force(spark, seed, group, monkeypatch, tmp_path):
+def crowded(r):
+    """Boilerplate that many unlinked texts share, next to a component of many near copies that shares it too."""
+    base = [f"b{k}" for k in range(12)]
+    rows = [(5000 + k, " ".join([*base, *(f"u{k}x{j}" for j in range(3 + k % 4))])) for k in range(60)]
+    return rows + [(6000 + k, " ".join([*base, *(f"c{j}" for j in range(60)), f"z{k}"])) for k in range(60)]
+
+
+@pytest.mark.parametrize("seed,group,block,halves", [(1, 20_000, 500, None), (2, 3, 500, None), (3, 20_000, 7, None), (4, 3, 5, None), (5, 20_000, 500, 40), (6, 4, 6, 25)])
+def test_equals_brute_force(spark, seed, group, block, halves, monkeypatch, tmp_path):
+    """Salted and unsalted groups, blocks of the second round, and keys so short that many sets share one."""
     monkeypatch.setattr(jaccard, "GROUP_POSTINGS", group)
+    monkeypatch.setattr(jaccard, "BLOCK_CLASSES", block)
+    if halves:
+        whole = jaccard.set_key
+        monkeypatch.setattr(jaccard, "set_key", lambda h: (whole(h)[0] % halves, whole(h)[1]))
     monkeypatch.setattr(jaccard, "HEAVY_LEAST", 3)
-    rows = corpus(seed) + [(900, None), (901, ""), (902, " \n\t"), (903, "one two"), (904, "One  TWO"), (905, "one two three"), (None, "one two"), (None, "lonely text without an id at all"), (None, None), (5, "a second text under an id that has one"), (7, corpus(seed)[6][1]), (906, "word " * 3000), (907, "word " * 4000)]
+    rows = corpus(seed) + (crowded(random.Random(seed)) if seed > 2 else []) + [(900, None), (901, ""), (902, " \n\t"), (903, "one two"), (904, "One  TWO"), (905, "one two three"), (None, "one two"), (None, "lonely text without an id at all"), (None, None), (5, "a second text under an id that has one"), (7, corpus(seed)[6][1]), (906, "word " * 3000), (907, "word " * 4000)]
     random.Random(0).shuffle(rows)
     spark.createDataFrame([(*x, 1, "k") for x in rows], "doc_id long, text string, n long, key string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.op2_jaccard_join(spark, str(tmp_path)).collect()), key=str)
@@ -74,6 +86,15 @@ def test_equals_brute_force(spark, seed, group, monkeypatch, tmp_path):
         assert ids == sorted([d for d in {d for d, _, c in brute(rows) if d is not None and c == d}] + [None] * 3, key=str)
 
 
+def test_heavy_cells_are_the_most_frequent_of_all_buckets(spark, monkeypatch):
+    """The counts kept are those of the HEAVY most frequent cells, whatever buckets they are in."""
+    monkeypatch.setattr(jaccard, "HEAVY", 5)
+    monkeypatch.setattr(jaccard, "HEAVY_LEAST", 2)
+    texts = [f"common {k} one two three" for k in range(6) for _ in range(10 + k)] + [f"rare {k} a b c" for k in range(50)]
+    order = jaccard.count_shingles(spark.createDataFrame([(t,) for t in texts], "text string").repartition(7))
+    assert sorted(order.counts.tolist()) == [11, 12, 13, 14, 15]
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(k, k + 1) for k in range(1000, 1060)] + [(5, None), (9, 9)]
