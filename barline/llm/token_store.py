@@ -8,7 +8,8 @@ the library turns into its one id), are encoded whole.
 Files: documents are dealt to shards of ascending doc_id (ties by their ids' bytes), each shard sorted, and written as
 blocks. A block holds a header with the dictionary's hash, an index (doc_id, number of ids, offset, length) and one
 zstandard frame a document, so that a short document can be read without its neighbours. Spark's text writer puts blocks
-into files (each followed by a line end), and Spark's binaryFile source reads them.
+into files of at most FILE_BLOCKS blocks (each followed by a line end), and Spark's binaryFile source reads them. The number of shards
+follows from the bytes of text; a shard of many bytes is several files.
 
 Defined results: a null text is empty and has just the end id; a null doc_id sorts first; repeated rows are each written;
 a frame that does not match its block's dictionary hash, length or check sum raises an error.
@@ -34,7 +35,9 @@ from .common import append_columns, field, read, shared_path, staged
 
 END_ID = 2
 SAMPLE_ROWS, SAMPLE_IDS, DICT_BYTES = 1000, 16_384, 64 << 10
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES, FILE_BLOCKS = 4 << 20, 48
+#: Bytes of text for each shard, and most shards (beyond them, shards grow and have more files).
+SHARD_BYTES, MOST_SHARDS = 16 << 20, 20_000
 MAGIC = b"TIDS"
 HEAD = "<4sB32sIIIQII"  # magic, id width, dictionary hash, shard, block, documents, ids before in the shard, frame bytes, crc32 of index and frames
 INDEX = np.dtype([("known", "u1"), ("doc_id", "<i8"), ("n", "<u4"), ("crc", "<u4"), ("offset", "<u4"), ("length", "<u4")])
@@ -155,8 +158,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dictionary = train_dictionary(docs, tokenizer_path, end_id)
     spark.createDataFrame([(dictionary,)], "dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted({int(x) for x in docs.where("doc_id IS NOT NULL").approxQuantile("doc_id", [k / shards for k in range(1, shards)], 0.2 / shards)}) if shards > 1 else []
+    if not shards:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        shards = max(1, min(MOST_SHARDS, -(-size // SHARD_BYTES)))
+    cuts = sorted({int(x) for x in docs.where("doc_id IS NOT NULL").approxQuantile("doc_id", [k / shards for k in range(1, shards)], max(1e-4, 0.2 / shards))}) if shards > 1 else []
     shared, digest = spark.sparkContext.broadcast((dictionary, np.array(cuts, np.int64))), hashlib.sha256(dictionary).digest()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +201,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 
     encoded = docs.mapInArrow(encode, "shard int, doc_id bigint, n bigint, crc bigint, frame binary")
     dealt = encoded.repartition(shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "n", "crc", "frame")
-    dealt.mapInArrow(blocks, "block binary").select(F.col("block").cast("string").alias("value")).write.text(f"{path}/blocks")
+    dealt.mapInArrow(blocks, "block binary").select(F.col("block").cast("string").alias("value")).write.option("maxRecordsPerFile", FILE_BLOCKS).text(f"{path}/blocks")
 
 
 def parse_blocks(data: bytes) -> Iterator[tuple[dict, np.ndarray, int]]:

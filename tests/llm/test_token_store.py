@@ -56,3 +56,21 @@ def test_short_access(spark, tmp_path):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert token_store.op10_token_store(spark, str(tmp_path)).count() == 0
+
+
+def test_files_roll_and_shards_follow_the_bytes(spark, tmp_path, monkeypatch):
+    """A shard of many blocks is several files; the result is the same as from one."""
+    import public_tokenizers
+
+    rows = [(k, f"document {k} " * (40 + k)) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    made = []
+    for block, file_blocks, shard in ((4 << 20, 48, 16 << 20), (600, 2, 40_000)):
+        for name, value in (("BLOCK_BYTES", block), ("FILE_BLOCKS", file_blocks), ("SHARD_BYTES", shard)):
+            monkeypatch.setattr(token_store, name, value)
+        path = f"{tmp_path}/{block}"
+        token_store.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+        made.append(sorted(map(tuple, token_store.with_starts(token_store.read_tokens(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32").collect())))
+        files = [f for f in (tmp_path / str(block) / "blocks").iterdir() if f.name.startswith("part-")]
+        assert len(files) == 1 if block > 600 else len(files) > 2
+    assert made[0] == made[1] and len(made[0]) == 120
