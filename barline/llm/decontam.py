@@ -14,6 +14,7 @@ repeated documents each get a row; very long texts are searched whole, in stretc
 
 from __future__ import annotations
 
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -64,10 +65,10 @@ class WuManber:
         for p, h in zip(patterns, _block_hash(firsts, starts + self.length, self.block).tolist(), strict=True):
             self.buckets[h].append(p)
 
-    def find(self, text: bytes, buffer: np.ndarray, bounds: np.ndarray) -> list[tuple[int, bytes]]:
-        """(start, pattern) of all occurrences in text. bounds: rows of first and last end that a stretch looks at."""
+    def find(self, text: bytes, buffer: np.ndarray, bounds: np.ndarray) -> dict[bytes, array]:
+        """The starts of all occurrences in text of each pattern that occurs. bounds: rows of first and last end that a stretch looks at."""
         at, last = bounds[:, 0] + self.length, bounds[:, 1]
-        found = []
+        found: dict[bytes, array] = defaultdict(lambda: array("q"))
         live = at <= last
         at, last = at[live], last[live]
         while len(at):
@@ -75,7 +76,9 @@ class WuManber:
             jump = self.shift[h]
             for i in np.flatnonzero(jump == 0).tolist():
                 start = int(at[i]) - self.length
-                found += [(start, p) for p in self.buckets.get(int(h[i]), ()) if text.startswith(p, start)]
+                for p in self.buckets.get(int(h[i]), ()):
+                    if text.startswith(p, start):
+                        found[p].append(start)
             at = at + np.maximum(jump, 1)
             live = at <= last
             at, last = at[live], last[live]
@@ -110,19 +113,23 @@ def search_batch(searchers: list[WuManber], owners: dict[bytes, list[str]], text
     hits: dict[int, tuple[list, set]] = defaultdict(lambda: ([], set()))
     for s in searchers:
         bounds = np.stack([first, np.minimum(first + STRETCH - 1 + s.length, doc_end)], axis=1)
-        for start, p in s.find(text, buffer, bounds):
-            k = int(np.searchsorted(ends, start, side="right"))
-            if start + len(p) <= ends[k]:
-                hits[k][0].append((start, len(p)))
-                hits[k][1].update(owners[p])
+        for p, starts in s.find(text, buffer, bounds).items():
+            at = np.sort(np.frombuffer(starts, np.int64))
+            doc = np.searchsorted(ends, at, side="right")
+            inside = at + len(p) <= ends[doc]
+            at, doc = at[inside], doc[inside]
+            edges = np.flatnonzero(np.diff(doc, prepend=-1, append=-1)).tolist()
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                hits[int(doc[a])][0].append((at[a:b], len(p)))
+                hits[int(doc[a])][1].update(owners[p])
     for k, (spans, items) in hits.items():
         a, b = int(ends[k] - sizes[k]), int(ends[k])
         blanks = np.flatnonzero(buffer[a:b] == 32)
-        hit = np.zeros(len(blanks), bool)
-        for start, n in sorted(spans):
-            lo, hi = np.searchsorted(blanks, (start - a, start - a + n - 1))
-            hit[lo:hi] = True
-        out[k] = (out[k][0], np.flatnonzero(hit).tolist(), sorted(items))
+        depth = np.zeros(len(blanks) + 1, np.int64)
+        for starts, n in spans:
+            np.add.at(depth, np.searchsorted(blanks, starts - a), 1)
+            np.add.at(depth, np.searchsorted(blanks, starts - a + n - 1), -1)
+        out[k] = (out[k][0], np.flatnonzero(np.cumsum(depth)[:-1] > 0).tolist(), sorted(items))
     return out
 
 
