@@ -6,7 +6,8 @@ likelihood; the sentence probabilities then say where the offence is.
 
 Defined results: null and empty texts and texts without letters have no sentence and score 0; repeated rows each get
 their own, equal row; rows with a null id are scored and count as held out; a column of the input with the name of a
-result column is replaced. Without any usable label (or with one class only) every weight is 0: no document is predicted.
+result column is replaced; a text's score never falls when a sentence is added, so one of very many sentences can pass the
+threshold by their number, as the noisy-or has it. Without any usable label (or with one class only) every weight is 0: no document is predicted.
 """
 
 from __future__ import annotations
@@ -39,27 +40,39 @@ def sentence_words(text: str) -> list[tuple[int, int, set[str]]]:
     return [x for x in found if x[2]]
 
 
+#: Features whose gradient is computed at a time, which bounds the memory of the fit beyond the sample itself.
+FIT_CHUNK = 1 << 19
+
+
 def fit_noisy_or(bags: np.ndarray, rows: np.ndarray, features: np.ndarray, y: np.ndarray, rounds: int = 240, rate: float = 0.15, ridge: float = 6e-5, min_share: float = 0.003) -> tuple[np.ndarray, float]:
-    """Weights and bias that fit the bag labels y. rows: the sentence of each feature; bags: the bag of each sentence.
+    """Weights and bias that fit the bag labels y. rows: the sentence of each feature, ascending; bags: the bag of each sentence, ascending.
 
     Features of fewer than two bags, or of a smaller share than min_share, get no weight: they would learn single documents by heart.
     """
-    pairs = np.unique(bags[rows].astype(np.int64) * BUCKETS + features)
-    seen = np.bincount(pairs % BUCKETS, minlength=BUCKETS) >= max(2, min_share * len(y))
+    counts = np.zeros(BUCKETS, np.int32)
+    edges = np.searchsorted(bags[rows], np.arange(len(y) + 1)) if len(rows) else np.zeros(len(y) + 1, int)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        counts[np.unique(features[a:b])] += 1
+    seen = counts >= max(2, min_share * len(y))
     known = seen[features]
-    rows, features = rows[known], features[known]
-    del pairs, known
-    used, features = np.flatnonzero(seen), (np.cumsum(seen) - 1)[features]
+    rows, features = rows[known].astype(np.int32), (np.cumsum(seen, dtype=np.int32) - 1)[features[known]]
+    used = np.flatnonzero(seen)
+    del known, seen, counts
     w, b, n = np.zeros(len(used) + 1), -4.0, len(bags)
     m, v = np.zeros_like(w), np.zeros_like(w)
     positive = y[bags] == 1
+    chunks = [slice(k, k + FIT_CHUNK) for k in range(0, len(rows), FIT_CHUNK)]
     for step in range(1, rounds + 1):
-        z = np.bincount(rows, weights=w[features], minlength=n) + b
+        z = np.full(n, b)
+        for c in chunks:
+            z += np.bincount(rows[c], weights=w[features[c]], minlength=n)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         total = np.bincount(bags, weights=np.logaddexp(0, z), minlength=len(y))
         share = np.exp(-total) / np.maximum(-np.expm1(-total), 1e-9)
         g_z = np.where(positive, -p * share[bags], p) / len(y)
-        g = np.append(np.bincount(features, weights=g_z[rows], minlength=len(used)) + ridge * w[:-1], g_z.sum())
+        g = np.append(ridge * w[:-1], g_z.sum())
+        for c in chunks:
+            g[:-1] += np.bincount(features[c], weights=g_z[rows[c]], minlength=len(used))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w[:-1] -= move[:-1]
@@ -83,13 +96,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text: str
 
         return features
 
-    got = append_columns(sample, "__text", make, [field("n", "int"), field("sizes", "binary"), field("features", "binary")], keep=["__y"]).collect()
-    got = [r for r in got if r.n]
-    y = np.array([r["__y"] for r in got], np.int8)
+    found = append_columns(sample, "__text", make, [field("n", "int"), field("sizes", "binary"), field("features", "binary")], keep=["__y"])
+    got = found.where("n > 0").toArrow()  # `rows` documents at most, 4 bytes a feature; columns, not row objects
+    y = got.column("__y").to_numpy().astype(np.int8)
     if len(set(y.tolist())) < 2:
         return np.zeros(BUCKETS, np.float32), -30.0
-    sizes = np.frombuffer(b"".join(r.sizes for r in got), "<i4")
-    return fit_noisy_or(np.repeat(np.arange(len(got)), [r.n for r in got]), np.repeat(np.arange(len(sizes)), sizes), np.frombuffer(b"".join(r.features for r in got), "<i4"), y)
+    sizes, features = (np.concatenate([np.frombuffer(x.as_buffer(), "<i4") for x in got.column(c)]) for c in ("sizes", "features"))
+    bags = np.repeat(np.arange(len(y), dtype=np.int32), got.column("n").to_numpy())
+    del got
+    return fit_noisy_or(bags, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), features, y)
 
 
 class _Weights(dict):
