@@ -174,24 +174,44 @@ def a18(spark, sf_dir):
     return e.groupBy("event_type", F.col("f.k").alias("k")).agg(F.count("*").alias("n"), r6(F.avg("value")).alias("mean"))
 
 
-@query("a20_store_fingerprint", f"WITH {BARS_SQL} SELECT instrument, CAST(trading_day AS VARCHAR) AS trading_day, count(*) AS n, md5(string_agg(strftime(bar_start, '%Y-%m-%d %H:%M:%S') || '|' || volume, ';' ORDER BY bar_start)) AS fingerprint FROM sb GROUP BY 1, 2")
+#: A bar as text for fingerprints: time, prices in millionths, volume.
+_UNITS = lambda c: f"CAST(CAST(round({c} * 1000000) AS BIGINT) AS VARCHAR)"
+FINGER_SQL = f"""{BARS_SQL}, fp AS (SELECT instrument, trading_day, count(*) AS n, md5(string_agg(concat_ws('|', strftime(bar_start, '%Y-%m-%d %H:%M:%S'), {', '.join(map(_UNITS, ('open', 'high', 'low', 'close')))}, volume), ';' ORDER BY bar_start)) AS fingerprint FROM sb GROUP BY 1, 2)"""
+
+
+def fingerprints(bars: DataFrame) -> DataFrame:
+    """A fingerprint of each stored day over time, prices and volume of its bars (a day holds a bounded number of them)."""
+    units = [F.round(F.col(c) * 1000000).cast("bigint") for c in ("open", "high", "low", "close")]
+    row = F.concat_ws("|", stamp("bar_start"), *units, "volume")
+    return bars.groupBy("instrument", "trading_day").agg(F.count("*").alias("n"), F.md5(F.concat_ws(";", F.array_sort(F.collect_list(row)))).alias("fingerprint"))
+
+
+@query("a20_store_fingerprint", f"""WITH {FINGER_SQL}, m AS (SELECT instrument, substr(CAST(trading_day AS VARCHAR), 1, 7) AS month, md5(string_agg(CAST(trading_day AS VARCHAR) || fingerprint, ';' ORDER BY trading_day)) AS fingerprint, CAST(sum(n) AS BIGINT) AS n FROM fp GROUP BY 1, 2)
+SELECT instrument, CAST(trading_day AS VARCHAR) AS trading_day, n, fingerprint FROM fp UNION ALL SELECT instrument, month, n, fingerprint FROM m
+UNION ALL SELECT instrument, 'all', CAST(sum(n) AS BIGINT), md5(string_agg(month || fingerprint, ';' ORDER BY month)) FROM m GROUP BY 1""")
 def a20(spark, sf_dir):
-    """A fingerprint of each stored day; any changed row changes it."""
-    row = F.concat_ws("|", stamp("bar_start"), "volume")
-    days = session_bars(spark, sf_dir).groupBy("instrument", "trading_day").agg(F.count("*").alias("n"), F.md5(F.concat_ws(";", F.array_sort(F.collect_list(row)))).alias("fingerprint"))
-    return days.withColumn("trading_day", F.col("trading_day").cast("string"))
+    """Fingerprints of each day, of each month's days and of all months: any changed row changes all three."""
+    days = fingerprints(session_bars(spark, sf_dir)).withColumn("trading_day", F.col("trading_day").cast("string"))
+    folded = lambda d, key: d.groupBy("instrument", key.alias("of")).agg(F.sum("n").alias("n"), F.md5(F.concat_ws(";", F.array_sort(F.collect_list(F.concat("trading_day", "fingerprint"))))).alias("fingerprint")).withColumnRenamed("of", "trading_day")
+    months = folded(days, F.substring("trading_day", 1, 7))
+    return days.unionByName(months).unionByName(folded(months, F.lit("all")))
 
 
-@query("a21_changed_days", """
-WITH a AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n, sum(event_id) AS s FROM events GROUP BY 1, 2),
-b AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n, sum(event_id) AS s FROM events WHERE event_id % 97 <> 3 GROUP BY 1, 2)
-SELECT a.event_type, CAST(a.day AS VARCHAR) AS day, a.n FROM a LEFT JOIN b ON a.event_type = b.event_type AND a.day = b.day AND a.n = b.n AND a.s = b.s WHERE b.n IS NULL""")
+@query("a21_changed_days", f"""
+WITH {FINGER_SQL}, t AS (SELECT max(bar_start) - INTERVAL 36 HOUR AS upto FROM sb),
+old AS (SELECT instrument, trading_day, md5(string_agg(concat_ws('|', strftime(bar_start, '%Y-%m-%d %H:%M:%S'), {', '.join(map(_UNITS, ('open', 'high', 'low', 'close')))}, volume), ';' ORDER BY bar_start)) AS fingerprint FROM sb, t WHERE bar_start < upto GROUP BY 1, 2)
+SELECT fp.instrument, CAST(fp.trading_day AS VARCHAR) AS trading_day, n FROM fp LEFT JOIN old ON old.instrument = fp.instrument AND old.trading_day = fp.trading_day AND old.fingerprint = fp.fingerprint WHERE old.fingerprint IS NULL""")
 def a21(spark, sf_dir):
-    """Days whose fingerprint is not that of an earlier state of the store."""
-    e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
-    mark = lambda d: d.groupBy("event_type", "day").agg(F.count("*").alias("n"), F.sum("event_id").alias("s"))
-    changed = mark(e).join(mark(e.where("event_id % 97 <> 3")), ["event_type", "day", "n", "s"], "left_anti")
-    return changed.select("event_type", F.col("day").cast("string").alias("day"), "n")
+    """Days to load again: those whose fingerprint is not that of the store 36 hours before its newest bar."""
+    b = session_bars(spark, sf_dir)
+    newest = b.agg((F.max("bar_start") - F.expr("INTERVAL 36 HOURS")).alias("upto"))
+    old = b.join(F.broadcast(newest), F.col("bar_start") < F.col("upto"))  # one row is broadcast
+    return changed_days(b, old).select("instrument", F.col("trading_day").cast("string").alias("trading_day"), "n")
+
+
+def changed_days(bars: DataFrame, stored: DataFrame) -> DataFrame:
+    """Days of bars whose fingerprint is not among those of what is stored."""
+    return fingerprints(bars).join(fingerprints(stored).select("instrument", "trading_day", "fingerprint"), ["instrument", "trading_day", "fingerprint"], "left_anti")
 
 
 def normalise_vendor(raw: DataFrame, stamp_column: str, price: str, volume: str, sentinel: float = -1.0) -> DataFrame:

@@ -4,13 +4,12 @@ that a streaming result can be held against the batch one; on a live source only
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import r6, stamp
 from ..plans import register
+from ..sources import shared_path, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -18,31 +17,22 @@ query = register(QUERIES, SQL)
 LATENESS = "2 days"
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event table as a stream of timestamps with the watermark that bounds the state."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """The event table, a file or a folder of part files, as a stream of timestamps with the watermark that bounds the state."""
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: as a plain path, a stream takes folders only
     return events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", LATENESS)
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """What the stream has emitted once all that is there has been read, from the files of its sink."""
+    """What the stream has emitted once all that is there has been read, from the files of its sink (no rows of an empty table)."""
     spark = stream.sparkSession
     out = shared_path(spark, name)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")  # a repeated batch replaces itself
 
+    spark.createDataFrame([], stream.schema).write.parquet(f"{out}/rows/batch=-1")
     started = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(write).start()
     started.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/rows").select(*stream.columns)
@@ -79,11 +69,11 @@ def m3(spark, sf_dir):
     return drained(s.select("user_id", stamp("first").alias("first_at"), "n"), "sessions")
 
 
-@query("m4_receipt_log", "SELECT event_type, count(*) AS receipts FROM (SELECT DISTINCT event_type, user_id, value FROM events) GROUP BY 1")
+@query("m4_receipt_log", "SELECT event_type, count(*) AS receipts FROM (SELECT DISTINCT event_type, date_trunc('hour', ts) AS bar, value FROM events) GROUP BY 1")
 def m4(spark, sf_dir):
-    """First sight of each (key, value): state is dropped once the watermark passes."""
-    s = event_stream(spark, sf_dir).select("event_type", "user_id", "value", "at").dropDuplicates(["event_type", "user_id", "value"])
-    return drained(s.select("event_type", "user_id", "value"), "receipts").groupBy("event_type").agg(F.count("*").alias("receipts"))
+    """First sight of each version (value) of a bar. The bar's window is a key, so its state is dropped once the watermark has passed its end."""
+    s = event_stream(spark, sf_dir).select("event_type", F.window("at", "1 hour").alias("bar"), "value").dropDuplicates(["event_type", "bar", "value"])
+    return drained(s.select("event_type", "bar", "value"), "receipts").groupBy("event_type").agg(F.count("*").alias("receipts"))
 
 
 @query("m6_settled_open", """WITH m AS (SELECT max(ts) AS newest FROM events), b AS (SELECT event_type AS instrument, date_trunc('hour', ts) AS bar FROM events GROUP BY 1, 2)
@@ -108,12 +98,20 @@ def m5(spark, sf_dir):
     return last.select("instrument", "day", run.alias("confirmed"), F.array_max("hours").alias("newest"))
 
 
-@query("m7_status_at_cutoffs", """WITH c AS (SELECT user_id, count(*) AS n, count(*) FILTER (extract(hour FROM ts) < 14) AS before FROM events GROUP BY 1) SELECT CASE WHEN before = 0 THEN 'missing' WHEN before < n THEN 'delayed' ELSE 'observed' END AS status, count(*) AS users FROM c GROUP BY 1""")
+#: Minutes of the day at which feeds are judged.
+CUTOFFS = [480, 840, 1200]
+
+
+@query("m7_status_at_cutoffs", """WITH c AS (SELECT unnest([480, 840, 1200]) AS cutoff), d AS (SELECT user_id, CAST(ts AS DATE) AS day, cutoff, count(*) AS n, count(*) FILTER (extract(hour FROM ts) * 60 + extract(minute FROM ts) < cutoff) AS before FROM events, c GROUP BY ALL)
+SELECT cutoff, CASE WHEN before = 0 THEN 'missing' WHEN before < n THEN 'delayed' ELSE 'observed' END AS status, count(*) AS feeds FROM d GROUP BY 1, 2""")
 def m7(spark, sf_dir):
-    """Whether a feed was seen before its cutoff, from a stream's running counts."""
-    s = event_stream(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.hour("ts") < 14).alias("before"))
-    c = last_emitted(drained(s, "status", "update"), ["user_id"], "n")
-    return c.groupBy(F.when(F.col("before") == 0, "missing").when(F.col("before") < F.col("n"), "delayed").otherwise("observed").alias("status")).agg(F.count("*").alias("users"))
+    """Whether a feed was seen on a day before each cutoff: the stream joined with the table of cutoffs, counts kept by day until the watermark passes."""
+    cutoffs = spark.createDataFrame([(c,) for c in CUTOFFS], "cutoff int")
+    minute = F.hour("ts") * 60 + F.minute("ts")
+    s = event_stream(spark, sf_dir).join(F.broadcast(cutoffs), F.lit(True)).groupBy("user_id", F.window("at", "1 day").alias("w"), "cutoff").agg(F.count("*").alias("n"), F.count_if(minute < F.col("cutoff")).alias("before"))
+    c = last_emitted(drained(s.select("user_id", F.col("w.start").alias("day"), "cutoff", "n", "before"), "status", "update"), ["user_id", "day", "cutoff"], "n")
+    status = F.when(F.col("before") == 0, "missing").when(F.col("before") < F.col("n"), "delayed").otherwise("observed")
+    return c.groupBy("cutoff", status.alias("status")).agg(F.count("*").alias("feeds"))
 
 
 @query("m10_missed_windows", """WITH b AS (SELECT DISTINCT event_type AS instrument, date_trunc('hour', ts) AS bar FROM events), m AS (SELECT instrument, min(bar) AS a, max(bar) AS z FROM b GROUP BY 1), x AS (SELECT instrument, unnest(generate_series(a, z, INTERVAL 1 HOUR)) AS bar FROM m)
