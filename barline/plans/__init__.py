@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+from ..sources import stored
+
+NAME = re.compile(r"\{(\w+)\}")
+
 
 def register(queries: dict, sql: dict) -> Callable:
     """A decorator: query(name, sql=None) puts the function and its SQL into a module's tables."""
@@ -18,3 +23,60 @@ def register(queries: dict, sql: dict) -> Callable:
         return add
 
     return query
+
+
+class Portable:
+    """Queries whose steps are one SQL text that Spark and DuckDB both understand: `{name}` stands for a relation.
+
+    A base relation is a DataFrame function in Spark and a chain of WITH steps in DuckDB, written apart from each other; a view is
+    a text over other relations. Texts start with SELECT or with steps (`a AS (...), b AS (...) SELECT ...`).
+    """
+
+    def __init__(self, queries: dict, sql: dict):
+        self.queries, self.sql, self.bases, self.views, self.kept = queries, sql, {}, {}, {}
+
+    def base(self, name: str, frame: Callable, steps: str | None = None, relation: str | None = None) -> None:
+        """A relation by frame(spark, sf_dir); in DuckDB the table of that name, or `relation` of the WITH steps."""
+        self.bases[name] = (frame, f"(WITH {steps} SELECT * FROM {relation or name})" if steps else name)
+
+    def view(self, name: str, text: str, kept: tuple[str, ...] = ()) -> None:
+        """kept: the tables that a view follows from whose rows are written once and read again, since many queries share it."""
+        self.views[name], self.kept[name] = text, kept
+
+    def query(self, name: str, text: str, about: str) -> None:
+        def run(spark, sf_dir):
+            return self.frame(text, spark, sf_dir)
+
+        run.__doc__ = about
+        self.queries[name], self.sql[name] = run, self.text(text)
+
+    def frame(self, text: str, spark, sf_dir: str):
+        """The text as a DataFrame."""
+        made = {}
+        for n in dict.fromkeys(NAME.findall(text)):
+            made[n] = self.relation(n, spark, sf_dir)
+        return spark.sql(text if text.lstrip().startswith("SELECT") else "WITH " + text, **made)
+
+    def relation(self, name: str, spark, sf_dir: str):
+        if name in self.bases:
+            return self.bases[name][0](spark, sf_dir)
+        if self.kept[name]:
+            return stored(spark, sf_dir, f"view-{name}", lambda: self.frame(self.views[name], spark, sf_dir), tables=self.kept[name])
+        return self.frame(self.views[name], spark, sf_dir)
+
+    def text(self, text: str) -> str:
+        """The text for DuckDB: relations as WITH steps, each after those it follows from."""
+        steps: dict[str, str] = {}
+
+        def add(t: str) -> str:
+            for n in NAME.findall(t):
+                if n not in steps and (n in self.views or self.bases[n][1] != n):
+                    made = add(self.views[n]) if n in self.views else self.bases[n][1][1:-1]
+                    steps[n] = made if made.lstrip().startswith(("SELECT", "WITH")) else "WITH " + made
+            return NAME.sub(lambda m: f"r_{m[1]}" if m[1] in steps else m[1], t)
+
+        own = add(text)
+        head = ", ".join(f"r_{n} AS MATERIALIZED ({t})" for n, t in steps.items())
+        if own.lstrip().startswith("SELECT"):
+            return f"WITH {head} {own}" if head else own
+        return f"WITH {head}, {own}" if head else f"WITH {own}"

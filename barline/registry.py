@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["store", "calendar", "coverage", "indicators", "labels", "matching", "forecasts", "fan", "features", "scoring"]
+MODULES = ["store", "calendar", "coverage", "indicators", "labels", "session_labels", "matching", "forecasts", "fan", "features", "scoring"]
 
 
 def modules():

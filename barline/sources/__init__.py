@@ -63,5 +63,41 @@ def bars(spark: SparkSession, sf_dir: str, every: str = EVERY) -> DataFrame:
     return bars_from_events(table(spark, sf_dir, "events"), every)
 
 
+_stored: dict[tuple, tuple] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, make, partition: str | None = None, tables: tuple = ("events",)) -> DataFrame:
+    """make() written once for a state of the tables (sizes and times of their files) to the shared folder, and read from there by every query.
+
+    Where the folder has been cleared meanwhile, it is written again.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name, tuple(_state(spark, f"{sf_dir}/{t}.parquet") for t in tables))
+    path, schema = _stored.get(key, (None, None))
+    if not path or not _status(spark, f"{path}/_SUCCESS"):
+        df = make()
+        path, schema = shared_path(spark, name), df.schema
+        writer = (df.repartition(partition) if partition else df).write
+        (writer.partitionBy(partition) if partition else writer).parquet(path)
+        _stored[key] = (path, schema)
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
+
+
+def _status(spark: SparkSession, path: str) -> list[tuple[int, int]]:
+    """(size, time) of a file, or of the files directly in a folder; none where there is nothing."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    if files is None or not len(files):
+        return []
+    if files[0].isDirectory():
+        files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    return [(f.getLen(), f.getModificationTime()) for f in files]
+
+
+def _state(spark: SparkSession, path: str) -> tuple:
+    files = _status(spark, path)
+    return len(files), sum(n for n, _ in files), max((t for _, t in files), default=0)
+
+
 def session_bars(spark: SparkSession, sf_dir: str, every: str = EVERY) -> DataFrame:
-    return with_sessions(bars(spark, sf_dir, every))
+    """Bars with their session columns, from a store partitioned by trading day: a filter on days reads those days only."""
+    return stored(spark, sf_dir, f"bars-{every}", lambda: with_sessions(bars(spark, sf_dir, every)), "trading_day")
