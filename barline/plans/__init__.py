@@ -32,8 +32,10 @@ class Portable:
     a text over other relations. Texts start with SELECT or with steps (`a AS (...), b AS (...) SELECT ...`).
     """
 
-    def __init__(self, queries: dict, sql: dict):
-        self.queries, self.sql, self.bases, self.views, self.kept = queries, sql, {}, {}, {}
+    def __init__(self, queries: dict, sql: dict, parent: Portable | None = None):
+        """parent: whose relations are known here too."""
+        self.queries, self.sql = queries, sql
+        self.bases, self.views, self.kept = (dict(x) for x in (parent.bases, parent.views, parent.kept)) if parent else ({}, {}, {})
 
     def base(self, name: str, frame: Callable, steps: str | None = None, relation: str | None = None) -> None:
         """A relation by frame(spark, sf_dir); in DuckDB the table of that name, or `relation` of the WITH steps."""
