@@ -170,14 +170,32 @@ def h7(spark, sf_dir):
     return latest(table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'"), ["o_custkey"], [rank, F.desc("o_orderdate"), "o_orderkey"]).select("o_custkey", "o_orderkey")
 
 
-@query("h8_grading", f"""WITH {DIST_SQL}, r AS (SELECT *, rank() OVER (PARTITION BY instrument, slot ORDER BY c DESC) AS k FROM ds), b AS (SELECT instrument, slot, CASE WHEN count(*) = 1 THEN min(label) END AS predicted FROM r WHERE k = 1 GROUP BY 1, 2)
-SELECT lab.instrument, count(*) AS cases, count(*) FILTER (predicted = lab.label) AS correct, count(*) FILTER (predicted IS NULL) AS ambiguous FROM lab JOIN b USING (instrument, slot) GROUP BY 1""")
+def outcomes(spark, sf_dir) -> DataFrame:
+    """A row for each labelled window and class: p from the windows of earlier sessions at the same clock only, and whether the class was realised.
+
+    The counts are running sums over one window a clock; a session never enters its own forecast.
+    """
+    before = Window.partitionBy("instrument", "slot").orderBy("trading_day").rowsBetween(Window.unboundedPreceding, -1)
+    x = labelled(spark, sf_dir).withColumnRenamed("label", "realised").withColumn("n", F.count("*").over(before))
+    counts = [F.coalesce(F.sum(F.when(F.col("realised") == c, 1).otherwise(0)).over(before), F.lit(0)).alias(f"c_{c}") for c in CLASSES]
+    x = x.select("*", *counts)
+    rows = x.withColumn("x", F.explode(F.array(*[F.struct(F.lit(c).alias("label"), F.col(f"c_{c}").alias("c")) for c in CLASSES])))
+    rows = rows.select("instrument", "trading_day", "slot", "realised", "x.label", "x.c", "n")
+    return rows.withColumns({"p": (F.col("c") + 1) / (F.col("n") + len(CLASSES)), "hit": F.when(F.col("label") == F.col("realised"), 1.0).otherwise(0.0)})
+
+
+OUT_SQL = f"""{DIST_SQL}, wf AS (SELECT lab.instrument, lab.trading_day, lab.slot, lab.label AS realised, cls.label, coalesce(sum(CASE WHEN lab.label = cls.label THEN 1 ELSE 0 END) OVER w, 0) AS c, count(*) OVER w AS n FROM lab CROSS JOIN cls
+  WINDOW w AS (PARTITION BY lab.instrument, lab.slot, cls.label ORDER BY lab.trading_day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), ou AS (SELECT *, (c + 1) / (n + 3) AS p, CASE WHEN label = realised THEN 1.0 ELSE 0.0 END AS hit FROM wf)"""
+
+
+@query("h8_grading", f"""WITH {OUT_SQL}, r AS (SELECT *, rank() OVER (PARTITION BY instrument, trading_day, slot ORDER BY c DESC) AS k FROM ou), b AS (SELECT instrument, trading_day, slot, max(realised) AS realised, CASE WHEN count(*) = 1 THEN min(label) END AS predicted, max(p) AS top FROM r WHERE k = 1 GROUP BY 1, 2, 3)
+SELECT instrument, count(*) AS cases, count(*) FILTER (predicted = realised) AS correct, count(*) FILTER (predicted IS NULL) AS ambiguous, round(count(*) FILTER (predicted = realised) / count(*) - 1 / 3.0, 6) AS above_chance FROM b GROUP BY 1""")
 def h8(spark, sf_dir):
-    """Predictions graded against outcomes."""
-    r = distribution(spark, sf_dir).withColumn("k", F.rank().over(Window.partitionBy("instrument", "slot").orderBy(F.desc("c")))).where("k = 1")
-    b = r.groupBy("instrument", "slot").agg(F.when(F.count("*") == 1, F.min("label")).alias("predicted"))
-    j = labelled(spark, sf_dir).join(b, ["instrument", "slot"])
-    return j.groupBy("instrument").agg(F.count("*").alias("cases"), F.count_if(F.col("predicted") == F.col("label")).alias("correct"), F.count_if(F.col("predicted").isNull()).alias("ambiguous"))
+    """Predictions of earlier sessions graded against outcomes, and against chance."""
+    r = outcomes(spark, sf_dir).withColumn("k", F.rank().over(Window.partitionBy("instrument", "trading_day", "slot").orderBy(F.desc("c")))).where("k = 1")
+    b = r.groupBy("instrument", "trading_day", "slot").agg(F.max("realised").alias("realised"), F.when(F.count("*") == 1, F.min("label")).alias("predicted"))
+    right = F.count_if(F.col("predicted") == F.col("realised"))
+    return b.groupBy("instrument").agg(F.count("*").alias("cases"), right.alias("correct"), F.count_if(F.col("predicted").isNull()).alias("ambiguous"), r6(right / F.count("*") - 1 / 3.0).alias("above_chance"))
 
 
 @query("h10_keyed_prior", f"""WITH {LAB_SQL}, k AS (SELECT slot, label, count(*) AS c, sum(count(*)) OVER (PARTITION BY slot) AS n FROM lab GROUP BY 1, 2), g AS (SELECT label, count(*) / (SELECT count(*) FROM lab) AS p FROM lab GROUP BY 1)
@@ -191,14 +209,15 @@ def h10(spark, sf_dir):
     return full.select("slot", "label", r6(F.when(F.col("n") >= 50, (F.coalesce("c", F.lit(0)) + 1) / (F.col("n") + 3)).otherwise(F.col("g"))).alias("p"))
 
 
-@query("h14_blend_weight", f"""WITH {DIST_SQL}, o AS (SELECT lab.instrument, ds.p AS a, 1 / 3.0 AS b, CASE WHEN ds.label = lab.label THEN 1.0 ELSE 0.0 END AS y FROM lab JOIN ds ON ds.instrument = lab.instrument AND ds.slot = lab.slot)
-SELECT instrument, round(least(1, greatest(0, sum((y - b) * (a - b)) / nullif(sum((a - b) ** 2), 0))), 6) AS weight FROM o GROUP BY 1""")
+@query("h14_blend_weight", f"""WITH {OUT_SQL}, o AS (SELECT instrument, trading_day, sum((hit - 1 / 3.0) * (p - 1 / 3.0)) AS x, sum((p - 1 / 3.0) ** 2) AS xx FROM ou GROUP BY 1, 2)
+SELECT instrument, CAST(trading_day AS VARCHAR) AS trading_day, round(least(1, greatest(0, coalesce(sum(x) OVER w / nullif(sum(xx) OVER w, 0), 0))), 6) AS weight FROM o WINDOW w AS (PARTITION BY instrument ORDER BY trading_day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def h14(spark, sf_dir):
-    """The least-squares weight of one forecast against another: a ratio of two sums, clipped."""
-    d = distribution(spark, sf_dir).select("instrument", "slot", "label", F.col("p").alias("a"))
-    o = labelled(spark, sf_dir).withColumnRenamed("label", "realised").join(d, ["instrument", "slot"]).withColumns({"b": F.lit(1 / 3.0), "y": F.when(F.col("label") == F.col("realised"), 1.0).otherwise(0.0)})
-    g = o.groupBy("instrument").agg(F.sum((F.col("y") - F.col("b")) * (F.col("a") - F.col("b"))).alias("x"), F.sum((F.col("a") - F.col("b")) ** 2).alias("xx"))
-    return g.select("instrument", r6(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("x") / F.nullif("xx", F.lit(0.0))))).alias("weight"))
+    """The least-squares weight of a forecast against the uniform one, clipped: a ratio of two running sums over the sessions before (0 without any)."""
+    third = 1 / 3.0
+    o = outcomes(spark, sf_dir).groupBy("instrument", "trading_day").agg(F.sum((F.col("hit") - third) * (F.col("p") - third)).alias("x"), F.sum((F.col("p") - third) ** 2).alias("xx"))
+    w = Window.partitionBy("instrument").orderBy("trading_day").rowsBetween(Window.unboundedPreceding, -1)
+    weight = F.coalesce(F.sum("x").over(w) / F.nullif(F.sum("xx").over(w), F.lit(0.0)), F.lit(0.0))
+    return o.select("instrument", F.col("trading_day").cast("string").alias("trading_day"), r6(F.least(F.lit(1.0), F.greatest(F.lit(0.0), weight))).alias("weight"))
 
 
 @query("h16_evidence_consistency", f"WITH {TOP_SQL} SELECT count(*) FILTER (earlier >= trading_day) AS not_earlier, count(*) FILTER (rank > 5) AS too_many, count(*) AS members FROM tp")

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import r6
 from ..plans import register
 from ..sources import table
-from .fan import HOR_SQL, scored_origins
+from .fan import HOR_SQL, scored_origins, seasonal, short_level
 from .features import TOTALS_SQL, daily_totals
-from .forecasts import DIST_SQL, distribution, labelled
+from .forecasts import DIST_SQL, OUT_SQL, distribution, outcomes
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -45,13 +45,6 @@ def scored(spark, sf_dir) -> DataFrame:
     return scored_origins(spark, sf_dir).withColumn("sigma", F.sqrt("var")).withColumns({"crps": crps_normal(F.col("y"), F.col("sigma")), "flat": F.abs("y")})
 
 
-def outcomes(spark, sf_dir) -> DataFrame:
-    """A row for each labelled window and class: p and whether the class was realised."""
-    d = distribution(spark, sf_dir).select("instrument", "slot", "label", "p")
-    return labelled(spark, sf_dir).withColumnRenamed("label", "realised").join(d, ["instrument", "slot"]).withColumn("hit", F.when(F.col("label") == F.col("realised"), 1.0).otherwise(0.0))
-
-
-OUT_SQL = f"{DIST_SQL}, ou AS (SELECT lab.instrument, lab.trading_day, lab.slot, lab.label AS realised, ds.label, ds.p, CASE WHEN ds.label = lab.label THEN 1.0 ELSE 0.0 END AS hit FROM lab JOIN ds ON ds.instrument = lab.instrument AND ds.slot = lab.slot)"
 CASE_SQL = f"{OUT_SQL}, cs AS (SELECT instrument, trading_day, slot, sum((p - hit) ** 2) AS brier, -ln(max(p) FILTER (hit = 1)) AS log_loss FROM ou GROUP BY 1, 2, 3)"
 
 
@@ -83,15 +76,34 @@ def l3(spark, sf_dir):
     return scored(spark, sf_dir).groupBy("instrument", "h").agg(F.count("*").alias("n"), r6(F.avg("crps")).alias("crps"), r6(1 - F.avg("crps") / F.avg("flat")).alias("skill"))
 
 
-@query("l4_quantile_crps", f"""WITH {HOR_SQL}, q AS (SELECT h, quantile_cont(z, [0.1, 0.3, 0.5, 0.7, 0.9]) AS q FROM hz GROUP BY 1)
-SELECT h, round(avg(2 * (greatest(0.1 * (z - q[1]), -0.9 * (z - q[1])) + greatest(0.3 * (z - q[2]), -0.7 * (z - q[2])) + greatest(0.5 * (z - q[3]), -0.5 * (z - q[3])) + greatest(0.7 * (z - q[4]), -0.3 * (z - q[4])) + greatest(0.9 * (z - q[5]), -0.1 * (z - q[5]))) / 5), 6) AS crps FROM hz JOIN q USING (h) GROUP BY 1""")
+#: Levels of the quantile-form score: (k - 0.5) / K.
+K = 200
+TAU = [(k + 0.5) / K for k in range(K)]
+_HISTORY = "hs AS (SELECT *, dense_rank() OVER (PARTITION BY instrument ORDER BY trading_day) AS d FROM hz)"
+
+
+def earlier_quantiles(o: DataFrame, taus: list[float], sessions: int = 20, least: int = 40) -> DataFrame:
+    """instrument, h, d (session number), q: quantiles of z over the `sessions` sessions before each, from `least` values at least."""
+    days = o.select("instrument", "trading_day", "d").distinct()
+    ahead = o.select("instrument", "h", "z", F.explode(F.sequence(F.col("d") + 1, F.col("d") + sessions)).alias("d"))  # each value serves the sessions after it
+    q = ahead.groupBy("instrument", "h", "d").agg(F.percentile("z", F.array(*[F.lit(t) for t in taus])).alias("q"), F.count("*").alias("n")).where(F.col("n") >= least)
+    return days.join(q, ["instrument", "d"])
+
+
+def numbered(o: DataFrame) -> DataFrame:
+    """Origins with d, the number of their session among those of the instrument."""
+    days = o.select("instrument", "trading_day").distinct().withColumn("d", F.row_number().over(Window.partitionBy("instrument").orderBy("trading_day")))
+    return o.join(days, ["instrument", "trading_day"])
+
+
+@query("l4_quantile_crps", f"""WITH {HOR_SQL}, {_HISTORY}, dd AS (SELECT DISTINCT instrument, trading_day, d FROM hs), q AS (SELECT dd.instrument, dd.trading_day, hs.h, quantile_cont(hs.z, {TAU}) AS q FROM dd JOIN hs ON hs.instrument = dd.instrument AND hs.d BETWEEN dd.d - 20 AND dd.d - 1 GROUP BY 1, 2, 3 HAVING count(*) >= 40)
+SELECT h, count(*) AS n, round(avg(2 * list_sum(list_transform(list_zip(q, {TAU}), lambda x: greatest(x[2] * (z - x[1]), (x[2] - 1) * (z - x[1])))) / {K}), 6) AS crps FROM hz JOIN q USING (instrument, trading_day, h) GROUP BY 1""")
 def l4(spark, sf_dir):
-    """Twice the mean pinball loss over quantile levels, as a higher-order function on the quantile array."""
-    taus = [0.1, 0.3, 0.5, 0.7, 0.9]
-    o = scored_origins(spark, sf_dir).select("h", "z")
-    q = o.groupBy("h").agg(F.percentile("z", F.array(*[F.lit(t) for t in taus])).alias("q"))
-    loss = F.aggregate(F.zip_with("q", F.array(*[F.lit(t) for t in taus]), lambda x, t: F.greatest(t * (F.col("z") - x), (t - 1) * (F.col("z") - x))), F.lit(0.0), lambda s, x: s + x)
-    return o.join(q, "h").select("h", (2 * loss / len(taus)).alias("c")).groupBy("h").agg(r6(F.avg("c")).alias("crps"))
+    """Twice the mean pinball loss over K quantile levels of the sessions before."""
+    o = numbered(scored_origins(spark, sf_dir).select("instrument", "trading_day", "h", "z"))
+    q = earlier_quantiles(o, TAU)
+    loss = F.aggregate(F.zip_with("q", F.array(*[F.lit(t) for t in TAU]), lambda x, t: F.greatest(t * (F.col("z") - x), (t - 1) * (F.col("z") - x))), F.lit(0.0), lambda s, x: s + x)
+    return o.join(q, ["instrument", "trading_day", "d", "h"]).select("h", (2 * loss / K).alias("c")).groupBy("h").agg(F.count("*").alias("n"), r6(F.avg("c")).alias("crps"))
 
 
 @query("l5_ensemble_crps", """WITH v AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS y, list_transform(embedding[2:9], lambda x: CAST(x AS DOUBLE)) AS m FROM embeddings)
@@ -123,12 +135,17 @@ def l8(spark, sf_dir):
     return d.select("instrument", F.col("trading_day").cast("string").alias("trading_day"), "h", r6(1 - F.sum("c").over(w) / F.nullif(F.sum("f").over(w), F.lit(0.0))).alias("skill"))
 
 
-@query("l10_paired_candidate", f"""WITH {SCORE_SQL}, d AS (SELECT h, phase, trading_day, avg(crps) AS base, avg(abs(y) * 0.9) AS cand, count(*) AS origins FROM sc GROUP BY 1, 2, 3)
-SELECT h, phase, count(*) AS sessions, CAST(sum(origins) AS BIGINT) AS origins, round(avg(base), 6) AS base, round(avg(cand), 6) AS candidate, round(avg(cand - base), 6) AS difference FROM d GROUP BY 1, 2""")
+@query("l10_paired_candidate", f"""WITH {SCORE_SQL}, cd AS (SELECT *, sqrt(var / level) AS sigma0 FROM sc JOIN (SELECT instrument, trading_day, slot, level FROM sl) USING (instrument, trading_day, slot)),
+zz AS (SELECT *, y / sigma0 AS z0, sigma0 * 1.0 AS s0 FROM cd), ca AS (SELECT h, phase, trading_day, crps, s0 * (z0 * e + 2.0 * exp(-0.5 * z0 * z0) / sqrt(2 * pi()) - 1.0 / sqrt(pi())) AS cand FROM (SELECT *, {_ERF_SQL.replace('z', 'z0').replace('z0ero', 'zero')} AS e FROM zz)),
+d AS (SELECT h, phase, trading_day, avg(crps) AS base, avg(cand) AS cand, count(*) AS origins FROM ca GROUP BY 1, 2, 3)
+SELECT h, phase, count(*) AS sessions, CAST(sum(origins) AS BIGINT) AS origins, round(avg(base), 6) AS base, round(avg(cand), 6) AS candidate, round(avg(cand - base), 6) AS difference, count(*) FILTER (cand < base) >= 0.6 * count(*) AND avg(cand - base) < 0 AS better FROM d GROUP BY 1, 2""")
 def l10(spark, sf_dir):
-    """A candidate against the baseline on the same origins, as means of session means."""
-    d = scored(spark, sf_dir).groupBy("h", "phase", "trading_day").agg(F.avg("crps").alias("base"), F.avg(F.abs("y") * 0.9).alias("cand"), F.count("*").alias("origins"))
-    return d.groupBy("h", "phase").agg(F.count("*").alias("sessions"), F.sum("origins").alias("origins"), r6(F.avg("base")).alias("base"), r6(F.avg("cand")).alias("candidate"), r6(F.avg(F.col("cand") - F.col("base"))).alias("difference"))
+    """A candidate (the variance without its level) against the baseline on the same origins, as means of session means, with a verdict."""
+    level = short_level(seasonal(spark, sf_dir)).select("instrument", "trading_day", "slot", "level")
+    x = scored(spark, sf_dir).join(level, ["instrument", "trading_day", "slot"])
+    d = x.withColumn("cand", crps_normal(F.col("y"), F.sqrt(F.col("var") / F.col("level")))).groupBy("h", "phase", "trading_day").agg(F.avg("crps").alias("base"), F.avg("cand").alias("cand"), F.count("*").alias("origins"))
+    diff = F.col("cand") - F.col("base")
+    return d.groupBy("h", "phase").agg(F.count("*").alias("sessions"), F.sum("origins").alias("origins"), r6(F.avg("base")).alias("base"), r6(F.avg("cand")).alias("candidate"), r6(F.avg(diff)).alias("difference"), ((F.count_if(diff < 0) >= 0.6 * F.count("*")) & (F.avg(diff) < 0)).alias("better"))
 
 
 def block_bootstrap(rows: DataFrame, keys: list[str], ordinal: str, value: str, block: int, resamples: int, circular: bool = False) -> DataFrame:
