@@ -14,7 +14,6 @@ SQL: dict = {}
 query = register(QUERIES, SQL)
 SESSIONS, LEAST = 40, 5
 LEVEL_PRIOR, LEVEL_BOUNDS = 4.0, (0.25, 4.0)
-TAUS = [0.05, 0.25, 0.5, 0.75, 0.95]
 
 
 def seasonal_variance(r: DataFrame) -> DataFrame:
@@ -96,45 +95,6 @@ def i12(spark, sf_dir):
     return scored_origins(spark, sf_dir).groupBy("instrument", "h").agg(F.count("*").alias("n"), r6(F.avg("z")).alias("mean_z"), r6(F.sqrt(F.avg(F.col("z") * F.col("z")))).alias("rms_z"))
 
 
-def quantile_shape(z: DataFrame, keys: list[str]) -> DataFrame:
-    """Symmetric quantiles of the standardised errors: (q(tau) - q(1 - tau)) / 2."""
-    q = z.groupBy(*keys).agg(F.percentile("z", F.array(*[F.lit(t) for t in TAUS])).alias("q"), F.count("*").alias("n"))
-    return q.withColumn("shape", F.transform("q", lambda x, i: (x - F.element_at("q", F.lit(len(TAUS)) - i)) / 2))
-
-
-SHAPE_SQL = f"{HOR_SQL}, sh AS (SELECT instrument, h, count(*) AS n, quantile_cont(z, [0.05, 0.25, 0.5, 0.75, 0.95]) AS q FROM hz GROUP BY 1, 2)"
-
-
-@query("i13_quantile_shape", f"WITH {SHAPE_SQL} SELECT instrument, h, n, round((q[4] - q[2]) / 2, 6) AS q75, round((q[5] - q[1]) / 2, 6) AS q95 FROM sh")
-def i13(spark, sf_dir):
-    q = quantile_shape(scored_origins(spark, sf_dir), ["instrument", "h"])
-    return q.select("instrument", "h", "n", r6(F.element_at("shape", 4)).alias("q75"), r6(F.element_at("shape", 5)).alias("q95"))
-
-
-@query("i14_shape_interpolated", f"""WITH {SHAPE_SQL}, k AS (SELECT instrument, max((q[5] - q[1]) / 2) FILTER (h = 1) AS a, max((q[5] - q[1]) / 2) FILTER (h = 4) AS b FROM sh GROUP BY 1)
-SELECT instrument, CAST(h AS INT) AS h, round(a + (b - a) * ln(h) / ln(4), 6) AS q95 FROM k, (SELECT unnest([1, 2, 3, 4]) AS h) WHERE a IS NOT NULL AND b IS NOT NULL""")
-def i14(spark, sf_dir):
-    """Any horizon's quantile between two knots, linear in the logarithm of time."""
-    q = quantile_shape(scored_origins(spark, sf_dir), ["instrument", "h"]).withColumn("x", F.element_at("shape", 5))
-    k = q.groupBy("instrument").agg(F.max(F.when(F.col("h") == 1, F.col("x"))).alias("a"), F.max(F.when(F.col("h") == 4, F.col("x"))).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    k = k.withColumn("h", F.explode(F.array(*[F.lit(h) for h in (1, 2, 3, 4)])))
-    return k.select("instrument", "h", r6(F.col("a") + (F.col("b") - F.col("a")) * F.log("h") / F.log(F.lit(4.0))).alias("q95"))
-
-
-@query("i17_phase_scale", f"WITH {HOR_SQL} SELECT phase, h, count(*) AS n, round(median(abs(z)), 6) AS scale FROM hz GROUP BY 1, 2")
-def i17(spark, sf_dir):
-    return scored_origins(spark, sf_dir).groupBy("phase", "h").agg(F.count("*").alias("n"), r6(F.median(F.abs("z"))).alias("scale"))
-
-
-@query("i19_constant_scale", f"""WITH {HOR_SQL}, g AS (SELECT h, m, avg(abs(abs(y) - m * sqrt(var))) AS loss FROM hz, (SELECT unnest([0.25, 0.5, 0.75, 1.0, 1.5, 2.0]) AS m) GROUP BY 1, 2)
-SELECT h, CAST(arg_min(m, (loss, m)) AS DOUBLE) AS scale, round(min(loss), 6) AS loss FROM g GROUP BY 1""")
-def i19(spark, sf_dir):
-    """The best of a fixed grid of multipliers, scored on all origins in one pass."""
-    o = scored_origins(spark, sf_dir).withColumn("m", F.explode(F.array(*[F.lit(m) for m in (0.25, 0.5, 0.75, 1.0, 1.5, 2.0)])))
-    g = o.groupBy("h", "m").agg(F.avg(F.abs(F.abs("y") - F.col("m") * F.sqrt("var"))).alias("loss"))
-    return g.groupBy("h").agg(F.min_by("m", F.struct("loss", "m")).alias("scale"), r6(F.min("loss")).alias("loss"))
-
-
 def release_days(spark, sf_dir) -> DataFrame:
     """Days on which purchases come in unusual number stand for releases: (trading_day, slot)."""
     from ..sources import session_bars

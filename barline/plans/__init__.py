@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+from pyspark.sql import functions as F
+
 from ..sources import stored
 
 NAME = re.compile(r"\{(\w+)\}")
@@ -47,7 +49,8 @@ class Portable:
 
     def query(self, name: str, text: str, about: str) -> None:
         def run(spark, sf_dir):
-            return self.frame(text, spark, sf_dir)
+            out = self.frame(text, spark, sf_dir)  # decimals of literals are doubles in the result
+            return out.select(*[F.col(c).cast("double").alias(c) if t.startswith("decimal") else F.col(c) for c, t in out.dtypes])
 
         run.__doc__ = about
         self.queries[name], self.sql[name] = run, self.text(text)
