@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import append_columns, field, read, shared_path, staged
@@ -36,8 +36,8 @@ from .common import append_columns, field, read, shared_path, staged
 END_ID = 2
 SAMPLE_ROWS, SAMPLE_IDS, DICT_BYTES = 1000, 16_384, 64 << 10
 BLOCK_BYTES, FILE_BLOCKS = 4 << 20, 48
-#: Bytes of text for each shard, and most shards (beyond them, shards grow and have more files).
-SHARD_BYTES, MOST_SHARDS = 16 << 20, 20_000
+#: Bytes of text for each shard and for each task that writes them, and most shards (beyond them, shards grow and have more files).
+SHARD_BYTES, TASK_BYTES, MOST_SHARDS = 1 << 20, 16 << 20, 20_000
 MAGIC = b"TIDS"
 HEAD = "<4sB32sIIIQII"  # magic, id width, dictionary hash, shard, block, documents, ids before in the shard, frame bytes, crc32 of index and frames
 INDEX = np.dtype([("known", "u1"), ("doc_id", "<i8"), ("n", "<u4"), ("crc", "<u4"), ("offset", "<u4"), ("length", "<u4")])
@@ -136,31 +136,33 @@ def serialized(ids: bytes, wide: bool) -> bytes:
     return ids if wide else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
 
 
-def train_dictionary(docs: DataFrame, path: str, end_id: int) -> bytes:
-    """A dictionary from at most SAMPLE_ROWS documents (first by a hash of the id), SAMPLE_IDS ids of each."""
+def train_dictionary(docs: DataFrame, path: str, end_id: int) -> tuple[bytes, int]:
+    """A dictionary from at most SAMPLE_ROWS documents (first by a hash of the id), SAMPLE_IDS ids of each; and the bytes of all texts, observed in the same pass."""
     picked = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-    sample = docs.join(F.broadcast(picked), "doc_id")  # SAMPLE_ROWS ids
+    seen = Observation("texts")
+    sample = docs.observe(seen, F.sum(F.octet_length("text")).alias("size")).join(F.broadcast(picked), "doc_id")  # SAMPLE_ROWS ids
 
     def make():
         e = encoder(path)
         return lambda texts: {"ids": [serialized(x[: 4 * SAMPLE_IDS], e.wide) for x in e([(t or b"").decode() for t in texts])]}
 
-    samples = [bytes(r.ids) for r in append_columns(sample, "text", make, [field("ids", "binary")], keep=[]).collect() if r.ids]
+    got = append_columns(sample, "text", make, [field("ids", "binary")], keep=[]).collect()
+    samples = [bytes(r.ids) for r in got if r.ids]
+    # without sampled rows the texts may not have been read at all
+    size = (seen.get if got else docs.agg(F.sum(F.octet_length("text")).alias("size")).first().asDict())["size"] or 0
     try:
-        return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
+        return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes(), size
     except (zstandard.ZstdError, ValueError):  # too few samples to train on: their own bytes serve as the dictionary
-        return b"".join(samples)[-DICT_BYTES:] or b"\0" * 8
+        return b"".join(samples)[-DICT_BYTES:] or b"\0" * 8, size
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, shards: int | None = None) -> None:
     """docs (doc_id, text) as token files under path/blocks, with the dictionary under path/dictionary."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dictionary = train_dictionary(docs, tokenizer_path, end_id)
+    dictionary, size = train_dictionary(docs, tokenizer_path, end_id)
     spark.createDataFrame([(dictionary,)], "dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
-    if not shards:
-        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-        shards = max(1, min(MOST_SHARDS, -(-size // SHARD_BYTES)))
+    shards = shards or max(1, min(MOST_SHARDS, -(-size // SHARD_BYTES)))
     cuts = sorted({int(x) for x in docs.where("doc_id IS NOT NULL").approxQuantile("doc_id", [k / shards for k in range(1, shards)], max(1e-4, 0.2 / shards))}) if shards > 1 else []
     shared, digest = spark.sparkContext.broadcast((dictionary, np.array(cuts, np.int64))), hashlib.sha256(dictionary).digest()
 
@@ -200,7 +202,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
             yield pa.RecordBatch.from_arrays([pa.array([block()], pa.binary())], names=["block"])
 
     encoded = docs.mapInArrow(encode, "shard int, doc_id bigint, n bigint, crc bigint, frame binary")
-    dealt = encoded.repartition(shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "n", "crc", "frame")
+    dealt = encoded.repartition(max(1, -(-size // TASK_BYTES)), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "n", "crc", "frame")
     dealt.mapInArrow(blocks, "block binary").select(F.col("block").cast("string").alias("value")).write.option("maxRecordsPerFile", FILE_BLOCKS).text(f"{path}/blocks")
 
 

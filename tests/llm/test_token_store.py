@@ -65,8 +65,8 @@ def test_files_roll_and_shards_follow_the_bytes(spark, tmp_path, monkeypatch):
     rows = [(k, f"document {k} " * (40 + k)) for k in range(120)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     made = []
-    for block, file_blocks, shard in ((4 << 20, 48, 16 << 20), (600, 2, 40_000)):
-        for name, value in (("BLOCK_BYTES", block), ("FILE_BLOCKS", file_blocks), ("SHARD_BYTES", shard)):
+    for block, file_blocks, shard in ((4 << 20, 48, 16 << 20), (600, 2, 4_000)):
+        for name, value in (("BLOCK_BYTES", block), ("FILE_BLOCKS", file_blocks), ("SHARD_BYTES", shard), ("TASK_BYTES", 10 * shard)):
             monkeypatch.setattr(token_store, name, value)
         path = f"{tmp_path}/{block}"
         token_store.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
