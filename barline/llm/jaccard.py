@@ -354,7 +354,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
 
     top = classes.join(found.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "key2", "rep", F.coalesce("root", "id").alias("root"))
     least = top.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = top.join(least, "root").select("key", "key2", "component_id")
+    named = salted_join(top, least, ["root"], F.col("key")).select("key", "key2", "component_id")
     out = salted_join(info, named, ["key", "key2"], F.col("doc_id"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out
 
