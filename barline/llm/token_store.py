@@ -23,6 +23,7 @@ import string
 import struct
 import zlib
 from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,7 +47,8 @@ MARKS = string.punctuation
 
 #: The characters that stand for bytes in a byte-level vocabulary: visible ones for themselves, the others from U+0100 on.
 _VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
-BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+_HIDDEN = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+BYTE_TABLE = "".join(chr(_HIDDEN.get(b, b)) for b in range(256))
 
 
 class Encoder(dict):
@@ -60,7 +62,7 @@ class Encoder(dict):
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         state = self.tokenizer.pre_tokenizer.__getstate__() if self.tokenizer.pre_tokenizer else b""
         self.pieces = b'"ByteLevel"' in state and b'"add_prefix_space":false' in state and b'"use_regex":true' in state and not self.tokenizer.normalizer
-        self.model, self.small = self.tokenizer.model, {c: self.whole([c])[0] for c in ("", "\n")}
+        self.tokenize, self.small = self.tokenizer.model.tokenize, {c: self.whole([c])[0] for c in ("", "\n")}
         self.before: dict[str, bytes | None] = {}  # pieces of the last filling
         self.seen = bytearray(SEEN_MASK + 1)
         self.wide = self.tokenizer.get_vocab_size() > 65_535
@@ -69,34 +71,17 @@ class Encoder(dict):
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __missing__(self, piece: str) -> bytes | None:
-        """Ids of a piece that follows a blank, or begins with a line end; None where white space stands at its ends.
-
-        The pre-tokens of a word of letters (below U+0250) and a tail of ASCII marks are known, so the model itself is asked.
-        """
-        slot = hash(piece) & SEEN_MASK
-        seen, self.seen[slot] = self.seen[slot], 1
-        if piece in self.before:
+        """Ids of a piece that follows a blank, or begins with a line end; None where white space stands at its ends."""
+        slot, seen = hash(piece) & SEEN_MASK, self.seen
+        again, seen[slot] = seen[slot], 1
+        if self.before and piece in self.before:
             self[piece] = value = self.before[piece]
             return value
-        line = piece[:1] == "\n"
-        body = piece.rstrip(MARKS)
-        tail, body = piece[len(body) :], body[line:]
-        if body.isalpha() and (body.isascii() or max(body) < "\u0250"):
-            if tail and tail not in self.small:
-                self.small[tail] = self.whole([tail])[0]
-            if tail and not line:
-                value = self[body] + self.small[tail]
-            else:
-                if not body.isascii():
-                    body = body.encode().decode("latin-1").translate(BYTE_CHARS)
-                value = array("I", [t.id for t in self.model.tokenize(body if line else "\u0120" + body)]).tobytes()
-                if line:
-                    value = self.small["\n"] + value + self.small[tail]
-        elif not (rest := piece[line:]) or rest[0].isspace() or rest[-1].isspace():
-            value = None
+        if piece.isalpha() and (piece.isascii() or max(piece) < "\u0250"):  # a word of letters is one pre-token: most misses are such words
+            value = array("I", [t.id for t in self.tokenize("\u0120" + charmap_decode(piece.encode(), "strict", BYTE_TABLE)[0])]).tobytes()
         else:
-            value = self.whole([piece if line else " " + piece])[0]
-        if seen:  # most pieces come once: only those that come again are kept
+            value = self.other(piece)
+        if again:  # most pieces come once: only those that come again are kept
             if len(self) > CACHE_PIECES:
                 self.before = dict(self)
                 self.clear()
@@ -104,6 +89,23 @@ class Encoder(dict):
             self[piece] = value
         return value
 
+    def other(self, piece: str) -> bytes | None:
+        """As __missing__, for other pieces. The pre-tokens of a word of letters (below U+0250) and a tail of ASCII marks are known, so the model itself is asked."""
+        line = piece[:1] == "\n"
+        body = piece.rstrip(MARKS)
+        tail, body = piece[len(body) :], body[line:]
+        if body.isalpha() and (body.isascii() or max(body) < "\u0250"):
+            if tail and tail not in self.small:
+                self.small[tail] = self.whole([tail])[0]
+            if tail and not line:
+                return self[body] + self.small[tail]
+            body = charmap_decode(body.encode(), "strict", BYTE_TABLE)[0]
+            value = array("I", [t.id for t in self.tokenize(body if line else "\u0120" + body)]).tobytes()
+            return self.small["\n"] + value + self.small[tail] if line else value
+        if not (rest := piece[line:]) or rest[0].isspace() or rest[-1].isspace():
+            return None
+        return self.whole([piece if line else " " + piece])[0]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.pieces:
             return self.whole(texts)
