@@ -208,21 +208,6 @@ def k30(spark, sf_dir):
     return test.groupBy("fold").agg(F.count("s").alias("shared_days"), F.count_if(F.col("day") <= F.col("last")).alias("order_violations"))
 
 
-@query("k15_multinomial_logistic")
-def k15(spark, sf_dir):
-    """Class probabilities of labelled windows by multinomial logistic regression, fitted on the earlier part only."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    rows = labelled(spark, sf_dir).withColumns({"y": F.when(F.col("label") == "bearish", 0.0).when(F.col("label") == "bullish", 1.0).otherwise(2.0), "hour": F.col("slot") / 60.0, "code": F.pmod(F.crc32("instrument"), F.lit(7)).cast("double")})
-    rows = VectorAssembler(inputCols=["hour", "code"], outputCol="x").transform(rows)
-    model = LogisticRegression(featuresCol="x", labelCol="y", maxIter=25, regParam=0.01).fit(rows.where("trading_day < DATE '2024-01-20'"))
-    from pyspark.ml.functions import vector_to_array
-
-    out = model.transform(rows.where("trading_day >= DATE '2024-01-20'")).withColumn("p", vector_to_array("probability"))
-    return out.select("instrument", day_text(), "slot", "label", *[r6(F.col("p")[k]).alias(f"p{k}") for k in range(3)])
-
-
 @query("j1_point_in_time_panel", f"""WITH {GRID_SQL}, p AS (SELECT instrument, trading_day, slot, last_price, slot - last_value(CASE WHEN close IS NOT NULL THEN slot END IGNORE NULLS) OVER (PARTITION BY instrument, trading_day ORDER BY slot ROWS UNBOUNDED PRECEDING) AS age FROM grid)
 SELECT instrument, CAST(trading_day AS VARCHAR) AS trading_day, slot, last_price, CAST(age AS INT) AS age FROM p""")
 def j1(spark, sf_dir):
@@ -264,36 +249,6 @@ def k11(spark, sf_dir):
     return labelled(spark, sf_dir).groupBy("instrument", "label").agg(F.count("*").alias("n"), r6(F.avg(F.col("move") / 10.0)).alias("mean_move"))
 
 
-@query("k16_boosted_classes")
-def k16(spark, sf_dir):
-    """Boosted trees for one class against the rest, fitted on the earlier part, scored on the later."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    rows = labelled(spark, sf_dir).withColumns({"y": F.when(F.col("label") == "bullish", 1.0).otherwise(0.0), "hour": F.col("slot") / 60.0, "code": F.pmod(F.crc32("instrument"), F.lit(7)).cast("double")})
-    rows = VectorAssembler(inputCols=["hour", "code"], outputCol="x").transform(rows)
-    model = GBTClassifier(featuresCol="x", labelCol="y", maxIter=5, maxDepth=3, seed=7).fit(rows.where("trading_day < DATE '2024-01-20'"))
-    out = model.transform(rows.where("trading_day >= DATE '2024-01-20'"))
-    return out.select("instrument", day_text(), "slot", "label", r6(vector_to_array("probability")[1]).alias("p_up"))
-
-
-@query("k19_ridge_shift")
-def k19(spark, sf_dir):
-    """A ridge regression of the next moves on the clock and the instrument, one fit a penalty, compared on later rows."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    rows = labelled(spark, sf_dir).withColumns({"hour": F.col("slot") / 60.0, "code": F.pmod(F.crc32("instrument"), F.lit(7)).cast("double")})
-    rows = VectorAssembler(inputCols=["hour", "code"], outputCol="x").transform(rows)
-    early, late = rows.where("trading_day < DATE '2024-01-20'"), rows.where("trading_day >= DATE '2024-01-20'")
-    fits = [LinearRegression(featuresCol="x", labelCol="move", elasticNetParam=0.0, regParam=a).fit(early).transform(late).withColumn("alpha", F.lit(a)) for a in (0.1, 1.0, 10.0)]
-    out = fits[0]
-    for f in fits[1:]:
-        out = out.unionByName(f)
-    return out.groupBy("alpha").agg(F.count("*").alias("n"), F.round(F.avg((F.col("prediction") - F.col("move")) ** 2), 4).alias("mse"))
-
-
 def first_complete(bars: DataFrame) -> DataFrame:
     """The first session of each instrument that A5's ledger calls complete."""
     return day_ledger(bars, EXPECTED).where("status = 'COMPLETE' AND weekday(trading_day) < 5").groupBy("instrument").agg(F.min("trading_day").alias("start"))

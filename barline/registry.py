@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["store", "calendar", "coverage", "indicators", "labels", "session_labels", "structure", "matching", "forecasts", "fan", "features", "scoring", "walk", "judging", "records"]
+MODULES = ["store", "calendar", "coverage", "indicators", "labels", "session_labels", "structure", "matching", "forecasts", "fan", "features", "scoring", "walk", "judging", "records", "models"]
 
 
 def modules():

@@ -4,12 +4,13 @@ that a streaming result can be held against the batch one; on a live source only
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import r6, stamp
+from ..operators.matching import OPEN_SQL, opening_paths
 from ..plans import register
-from ..sources import shared_path, table
+from ..sources import shared_path, table, with_sessions
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -123,3 +124,68 @@ def m10(spark, sf_dir):
     span = bars.groupBy("instrument").agg(F.min("bar").alias("a"), F.max("bar").alias("z"))
     want = span.select("instrument", F.explode(F.expr("sequence(a, z, interval 1 hour)")).alias("bar"))
     return want.join(bars, ["instrument", "bar"], "left_anti").groupBy("instrument").agg(F.count("*").alias("missed"))
+
+
+def hourly(stream: DataFrame) -> DataFrame:
+    """Hourly bars of the event stream, updated with every batch."""
+    at = F.struct("ts", "event_id")
+    bars = stream.groupBy(F.col("event_type").alias("instrument"), F.window("at", "1 hour").alias("w")).agg(F.min_by("value", at).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", at).alias("close"), F.count("*").alias("volume"))
+    return bars.select("instrument", F.col("w.start").cast("timestamp_ntz").alias("bar_start"), "open", "high", "low", "close", "volume")
+
+
+def each_batch(stream: DataFrame, state: str, write, mode: str = "update") -> None:
+    """Drains the stream through write(batch, number); a batch that is repeated after a failure has its number again."""
+    started = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(write).start()
+    started.awaitTermination()
+
+
+@query("m8_analogue_refresh", f"""WITH {OPEN_SQL}, c AS (SELECT a.instrument, a.trading_day, b.trading_day AS earlier, a.n, sqrt(avg((a.net - b.net) ** 2) OVER w) AS rms, count(*) OVER w AS bars FROM pa a JOIN pa b ON a.instrument = b.instrument AND a.n = b.n AND b.trading_day < a.trading_day
+  WINDOW w AS (PARTITION BY a.instrument, a.trading_day, b.trading_day ORDER BY a.n ROWS UNBOUNDED PRECEDING)), r AS (SELECT *, row_number() OVER (PARTITION BY instrument, trading_day, n ORDER BY round(rms, 9), earlier DESC) AS rank FROM c WHERE bars = n AND n >= 2)
+SELECT instrument, CAST(trading_day AS VARCHAR) AS trading_day, CAST(n AS INT) AS n, CAST(earlier AS VARCHAR) AS earlier, round(rms, 6) AS rms, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5""")
+def m8(spark, sf_dir):
+    """The most similar earlier sessions of every window, refreshed for the days that a batch touches, against all bars received so far."""
+    out = shared_path(spark, "refresh")
+    schema = "instrument string, trading_day date, n int, earlier date, rms double, rank int"
+    kept = hourly(event_stream(spark, sf_dir)).schema
+    spark.createDataFrame([], schema).write.parquet(f"{out}/sets/batch=-1")
+    spark.createDataFrame([], kept).write.parquet(f"{out}/bars/batch=-1")
+
+    def refresh(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/bars/batch={number}")
+        received = last_emitted(spark.read.schema(kept).parquet(f"{out}/bars"), ["instrument", "bar_start"], "volume")
+        bars = with_sessions(received).where(F.weekday("trading_day") < 5)
+        touched = with_sessions(spark.read.schema(kept).parquet(f"{out}/bars/batch={number}")).select("instrument", "trading_day").distinct()
+        paths = opening_paths(bars).select("instrument", "trading_day", "n", "net")
+        past = paths.select("instrument", F.col("trading_day").alias("earlier"), "n", F.col("net").alias("past_net"))
+        pairs = paths.join(touched, ["instrument", "trading_day"], "left_semi").join(past, ["instrument", "n"]).where("earlier < trading_day")
+        so_far = Window.partitionBy("instrument", "trading_day", "earlier").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+        scored = pairs.withColumns({"rms": F.sqrt(F.avg((F.col("net") - F.col("past_net")) ** 2).over(so_far)), "bars": F.count("*").over(so_far)}).where("bars = n AND n >= 2")
+        rank = F.row_number().over(Window.partitionBy("instrument", "trading_day", "n").orderBy(F.round("rms", 9), F.desc("earlier")))
+        scored.withColumn("rank", rank).where("rank <= 5").select("instrument", "trading_day", F.col("n").cast("int").alias("n"), "earlier", "rms", "rank").write.mode("overwrite").parquet(f"{out}/sets/batch={number}")
+
+    each_batch(hourly(event_stream(spark, sf_dir)), f"{out}/state", refresh)
+    sets = spark.read.schema(f"{schema}, batch int").parquet(f"{out}/sets")
+    newest = Window.partitionBy("instrument", "trading_day", "n")
+    last = sets.withColumn("newest", F.max("batch").over(newest)).where("batch = newest")
+    return last.select("instrument", F.col("trading_day").cast("string").alias("trading_day"), "n", F.col("earlier").cast("string").alias("earlier"), r6("rms").alias("rms"), "rank")
+
+
+@query("m9_issue_at_marks", """SELECT event_type AS instrument, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS mark, arg_max(value, (ts, event_id)) AS price, 1 AS issues FROM events WHERE extract(hour FROM ts) % 4 = 0 GROUP BY 1, 2""")
+def m9(spark, sf_dir):
+    """One issue at every fourth hour's mark, and one only: a mark that has its issue gets no other, though the whole stream is delivered twice."""
+    out = shared_path(spark, "issues")
+    spark.createDataFrame([], "instrument string, bar_start timestamp_ntz, price double").write.parquet(f"{out}/rows/run=0/batch=-1")
+
+    def issue(run: int):
+        def write(batch: DataFrame, number: int) -> None:
+            own = f"{out}/rows/run={run}/batch={number}"
+            others = spark.read.schema("instrument string, bar_start timestamp_ntz, price double, run int, batch int").parquet(f"{out}/rows").where((F.col("run") != run) | (F.col("batch") != number))
+            marks = batch.where(F.hour("bar_start") % 4 == 0).select("instrument", "bar_start", F.col("close").alias("price"))
+            marks.join(others.select("instrument", "bar_start"), ["instrument", "bar_start"], "left_anti").write.mode("overwrite").parquet(own)
+
+        return write
+
+    for run in (1, 2):
+        each_batch(hourly(event_stream(spark, sf_dir)), f"{out}/state{run}", issue(run))
+    rows = spark.read.schema("instrument string, bar_start timestamp_ntz, price double").parquet(f"{out}/rows")
+    return rows.groupBy("instrument", stamp("bar_start").alias("mark")).agg(F.max("price").alias("price"), F.count("*").cast("int").alias("issues"))
