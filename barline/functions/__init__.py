@@ -41,11 +41,57 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, ri
     return joined.select(*left.columns, *[F.col(f"__m.{c}").alias(c) for c in [right_time, *values]])
 
 
-def ema(column: str, keys: list[str], order: str, length: int, warmup: int) -> Column:
-    """Exponential average with alpha = 2 / (length + 1), seeded with the first of at most `warmup` rows before."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-warmup, 0)
-    a = 2.0 / (length + 1)
-    return F.aggregate(F.collect_list(F.col(column).cast("double")).over(w), F.lit(None).cast("double"), lambda s, x: F.when(s.isNull(), x).otherwise(F.lit(a) * x + F.lit(1 - a) * s))
+def ema(df: DataFrame, keys: list[str], order: str, lines: dict[str, tuple[str, int]], block: int = 256) -> DataFrame:
+    """df with exponential averages name: (column, length), alpha = 2 / (length + 1), each seeded with the first value of its key.
+
+    Rows are cut into blocks. Within a block the average is a running sum of scaled values; what a block carries on is folded
+    over one number a block, so no list of rows is made. A block's scale grows to (1 - alpha) ** -block at most.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    x = df.withColumn("__i", F.row_number().over(w) - 1).withColumn("__b", F.floor(F.col("__i") / block))
+    x = x.withColumn("__j", F.col("__i") - F.col("__b") * block)
+    inside, ends = Window.partitionBy(*keys, "__b").orderBy("__i").rowsBetween(Window.unboundedPreceding, 0), []
+    for name, (column, length) in lines.items():
+        a = 2.0 / (length + 1)
+        part = F.when(F.col("__i") == 0, F.col(column)).otherwise(a * F.col(column))  # the seed counts whole
+        x = x.withColumn(f"__{name}", F.sum(part * F.pow(F.lit(1 - a), -F.col("__j"))).over(inside) * F.pow(F.lit(1 - a), F.col("__j")))
+        ends.append(F.max_by(f"__{name}", "__i").alias(f"__e_{name}"))
+    e = x.groupBy(*keys, "__b").agg(*ends)
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    for name, (_, length) in lines.items():
+        e = e.withColumn(f"__c_{name}", _folded(F.collect_list(f"__e_{name}").over(before), (1 - 2.0 / (length + 1)) ** block))  # a number a block
+    out = x.join(e.select(*keys, "__b", *[f"__c_{n}" for n in lines]), [*keys, "__b"])
+    made = [(F.col(f"__{n}") + F.col(f"__c_{n}") * F.pow(F.lit(1 - 2.0 / (length + 1)), F.col("__j") + 1)).alias(n) for n, (_, length) in lines.items()]
+    return out.select(*df.columns, *made)
+
+
+def _folded(values: Column, keep: float) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, v: s * keep + v)
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, probs: list[float], bins: int = 1024) -> DataFrame:
+    """A row for each key with q: its exact percentiles (linear between neighbours, nulls left out), for keys of any number of rows.
+
+    First counts by equal-width bins (partial sums before the shuffle, `bins` rows a key at most) tell which bins hold the
+    wanted ranks; then only those bins' distinct values are counted and walked. No task holds a key's values.
+    """
+    own = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
+    span = own.groupBy(*keys).agg(F.min("__v").alias("__a"), F.max("__v").alias("__z"), F.count("*").alias("__n"))
+    place = F.when(F.col("__z") == F.col("__a"), 0).otherwise(F.least(F.lit(bins - 1), F.floor((F.col("__v") - F.col("__a")) / (F.col("__z") - F.col("__a")) * bins)))
+    binned = own.join(span, keys).withColumn("__bin", place.cast("int"))
+    w = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
+    counts = binned.groupBy(*keys, "__bin", "__n").agg(F.count("*").alias("__c"))
+    counts = counts.withColumn("__upto", F.sum("__c").over(w)).withColumn("__before", F.col("__upto") - F.col("__c"))
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(F.lit(p) * (F.col("__n") - 1)), F.ceil(F.lit(p) * (F.col("__n") - 1))) for p in probs])))
+    wanted = counts.where(F.exists(ranks, lambda r: (r >= F.col("__before")) & (r < F.col("__upto")))).select(*keys, "__bin", "__before")
+    values = binned.join(wanted, [*keys, "__bin"]).groupBy(*keys, "__bin", "__before", "__n", "__v").agg(F.count("*").alias("__c"))
+    run = Window.partitionBy(*keys, "__bin").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    values = values.withColumn("__last", F.col("__before") + F.sum("__c").over(run) - 1)  # the rank of a value's last row
+    at = lambda r: F.min(F.when(F.col("__last") >= r, F.col("__v")))
+    sides = [at(f(F.lit(p) * (F.col("__n") - 1))).alias(f"__{k}{side}") for k, p in enumerate(probs) for side, f in (("l", F.floor), ("h", F.ceil))]
+    got = values.groupBy(*keys, "__n").agg(*sides)
+    part = lambda p: F.lit(p) * (F.col("__n") - 1) - F.floor(F.lit(p) * (F.col("__n") - 1))
+    return got.select(*keys, F.array(*[F.col(f"__{k}l") + (F.col(f"__{k}h") - F.col(f"__{k}l")) * part(p) for k, p in enumerate(probs)]).alias("q"))
 
 
 def wilder(column: str, keys: list[str], order: str, period: int, rows: int) -> Column:

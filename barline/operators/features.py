@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import r6
+from ..functions import percentiles, r6
 from ..plans import register
 from ..sources import table
 from .calendar import GRID_SQL, returns
@@ -113,7 +113,7 @@ def j13(spark, sf_dir):
 SELECT instrument, CASE WHEN rv <= a THEN 'low' WHEN rv <= b THEN 'middle' ELSE 'high' END AS bucket, count(*) AS n FROM us JOIN e USING (instrument) GROUP BY 1, 2""")
 def j14(spark, sf_dir):
     r = realised(spark, sf_dir).select("instrument", "rv")
-    e = r.groupBy("instrument").agg(F.percentile("rv", F.array(F.lit(1 / 3.0), F.lit(2 / 3.0))).alias("q"))
+    e = percentiles(r, ["instrument"], "rv", [1 / 3.0, 2 / 3.0])
     bucket = F.when(F.col("rv") <= F.col("q")[0], "low").when(F.col("rv") <= F.col("q")[1], "middle").otherwise("high")
     return r.join(e, "instrument").groupBy("instrument", bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
@@ -193,8 +193,8 @@ FROM (SELECT unnest(['quantity', 'price', 'discount']) AS name, unnest([CAST(l_q
 def k29(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem")
     long = l.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), c.cast("double").alias("x")) for n, c in (("quantity", F.col("l_quantity")), ("price", F.col("l_extendedprice")), ("discount", F.when(F.col("l_tax") <= 0.07, F.col("l_discount"))))])).alias("s")).select("s.*")
-    q = F.percentile("x", F.array(F.lit(0.01), F.lit(0.99)))
-    g = long.groupBy("name").agg(F.count("*").alias("n"), r6(F.avg(F.when(F.col("x").isNull(), 1.0).otherwise(0.0))).alias("missing"), F.round(F.avg("x"), 4).alias("mean"), F.round(F.stddev_pop("x"), 4).alias("sd"), q.alias("q"))
+    q = percentiles(long, ["name"], "x", [0.01, 0.99])
+    g = long.groupBy("name").agg(F.count("*").alias("n"), r6(F.avg(F.when(F.col("x").isNull(), 1.0).otherwise(0.0))).alias("missing"), F.round(F.avg("x"), 4).alias("mean"), F.round(F.stddev_pop("x"), 4).alias("sd")).join(q, "name", "left")
     return g.select("name", "n", "missing", "mean", "sd", F.round(F.col("q")[0], 4).alias("q01"), F.round(F.col("q")[1], 4).alias("q99"))
 
 

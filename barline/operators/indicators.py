@@ -71,9 +71,8 @@ def e4(spark, sf_dir):
 x AS (SELECT instrument, k, bar_start, close AS e14, close AS e100 FROM o WHERE k = 1 UNION ALL SELECT o.instrument, o.k, o.bar_start, 2.0 / 15 * o.close + (1 - 2.0 / 15) * x.e14, 2.0 / 101 * o.close + (1 - 2.0 / 101) * x.e100 FROM x JOIN o ON o.instrument = x.instrument AND o.k = x.k + 1)
 SELECT instrument, strftime(bar_start, '%Y-%m-%d %H:%M:%S') AS bar, round(e100, 6) AS ema_trend, round(avg(e14) OVER (PARTITION BY instrument ORDER BY k ROWS 2 PRECEDING), 6) AS ema_trigger FROM x""")
 def e5(spark, sf_dir):
-    """EMA(100) and SMA(3) of EMA(14): folds over at most a warm-up's rows, so no key is ever collected whole."""
-    b = session_bars(spark, sf_dir)
-    b = b.select("instrument", "bar_start", ema("close", ["instrument"], "bar_start", 100, 1000).alias("trend"), ema("close", ["instrument"], "bar_start", 14, 1000).alias("fast"))
+    """EMA(100) and SMA(3) of EMA(14), seeded once with a key's first close."""
+    b = ema(session_bars(spark, sf_dir).select("instrument", "bar_start", "close"), ["instrument"], "bar_start", {"trend": ("close", 100), "fast": ("close", 14)})
     w = Window.partitionBy("instrument").orderBy("bar_start").rowsBetween(-2, 0)
     return b.select("instrument", stamp("bar_start").alias("bar"), r6("trend").alias("ema_trend"), r6(F.avg("fast").over(w)).alias("ema_trigger"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import r6
+from ..functions import percentiles, r6
 from ..plans import register
 from ..sources import table
 from .fan import HOR_SQL, scored_origins, seasonal, short_level
@@ -228,8 +228,8 @@ def l21(spark, sf_dir):
 
 @query("l28_timing_quantiles", "SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, max(value) AS worst FROM events GROUP BY 1")
 def l28(spark, sf_dir):
-    q = F.percentile("value", F.array(F.lit(0.5), F.lit(0.9)))
-    g = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), q.alias("q"), F.max("value").alias("worst"))
+    e = table(spark, sf_dir, "events")
+    g = e.groupBy("event_type").agg(F.count("*").alias("n"), F.max("value").alias("worst")).join(percentiles(e, ["event_type"], "value", [0.5, 0.9]), "event_type", "left")
     return g.select("event_type", "n", r6(F.col("q")[0]).alias("p50"), r6(F.col("q")[1]).alias("p90"), "worst")
 
 
@@ -328,7 +328,8 @@ def l35(spark, sf_dir):
     """How long after its mark an issue came, by trigger."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("mark"))
     d = table(spark, sf_dir, "lineitem").join(o, "l_orderkey").select(F.col("l_returnflag").alias("trigger_kind"), F.datediff(F.to_date("l_shipdate"), "mark").cast("long").alias("d"))
-    return d.groupBy("trigger_kind").agg(F.count("*").alias("n"), r6(F.percentile("d", F.lit(0.5))).alias("p50"), r6(F.percentile("d", F.lit(0.9))).alias("p90"), F.max("d").alias("worst"))
+    g = d.groupBy("trigger_kind").agg(F.count("*").alias("n"), F.max("d").alias("worst")).join(percentiles(d, ["trigger_kind"], "d", [0.5, 0.9]), "trigger_kind", "left")
+    return g.select("trigger_kind", "n", r6(F.col("q")[0]).alias("p50"), r6(F.col("q")[1]).alias("p90"), "worst")
 
 
 @query("l40_arm_decomposition", f"""WITH {OUT_SQL}, x AS (SELECT *, avg(p) OVER (PARTITION BY instrument, trading_day, slot, label = 'neutral_band') AS sp FROM ou) SELECT instrument, round(sum((p - hit) ** 2) / count(*) * 3, 6) AS full_brier, round(sum((sp - hit) ** 2) / count(*) * 3, 6) AS symmetric_brier FROM x GROUP BY 1""")

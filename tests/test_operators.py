@@ -1,7 +1,9 @@
 """Hand-made cases: label rules, gaps, as-of lookups, recursions and invariants."""
 
 import datetime as dt
+import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from barline import functions as fn
@@ -52,7 +54,7 @@ def test_as_of_takes_equal_times_unless_strict(spark):
 def test_ema_and_wilder(spark):
     values = [3.0, 5.0, 4.0, 8.0, 6.0, 7.0]
     d = spark.createDataFrame([("a", k, v) for k, v in enumerate(values)], "k string, t int, v double")
-    got = [r.e for r in d.select("t", fn.ema("v", ["k"], "t", 3, 100).alias("e")).orderBy("t").collect()]
+    got = [r.e for r in fn.ema(d, ["k"], "t", {"e": ("v", 3)}).orderBy("t").collect()]
     want = [values[0]]
     for v in values[1:]:
         want.append(0.5 * v + 0.5 * want[-1])
@@ -97,3 +99,29 @@ def test_identical_candidates_differ_by_nothing(spark):
     c = spark.createDataFrame([("a", k, float(k % 3)) for k in range(60)], "k string, t int, v double")
     r = scoring.block_bootstrap(c, ["k"], "t", "v", 6, 50, circular=True).first()
     assert abs(r.low - 1) < 1e-9 and abs(r.high - 1) < 1e-9  # whole periods: every block has the same mean
+
+
+def test_averages_over_many_blocks_equal_the_recursion(spark):
+    """Thousands of rows a key, in blocks of any size: one seed, no new one."""
+    r = random.Random(3)
+    rows = [(k, t, r.uniform(-5, 50)) for k in "ab" for t in range(2500)]
+    for block in (7, 256):
+        got = {(x.k, x.t): (x.slow, x.fast) for x in fn.ema(spark.createDataFrame(rows, "k string, t long, v double"), ["k"], "t", {"slow": ("v", 100), "fast": ("v", 3)}, block).collect()}
+        for k in "ab":
+            slow = fast = None
+            for _, t, v in (x for x in rows if x[0] == k):
+                slow, fast = (v, v) if slow is None else (2 / 101 * v + 99 / 101 * slow, 0.5 * v + 0.5 * fast)
+                assert abs(got[k, t][0] - slow) < 1e-9 and abs(got[k, t][1] - fast) < 1e-9
+
+
+def test_percentiles_equal_numpy(spark):
+    """Ties, constants, single values, nulls, far outliers: the same as one sort of each key."""
+    r = random.Random(5)
+    data = {"ties": [r.randrange(4) * 1.5 for _ in range(900)], "same": [2.0] * 50, "one": [7.0], "outlier": [r.random() for _ in range(800)] + [1e12], "normal": [r.gauss(0, 3) for _ in range(1001)]}
+    rows = [(k, v) for k, vs in data.items() for v in vs] + [("ties", None), ("none", None)]
+    probs = [0.0, 0.01, 1 / 3, 0.5, 0.9, 1.0]
+    for bins in (3, 1024):
+        got = {x.k: x.q for x in fn.percentiles(spark.createDataFrame(rows, "k string, v double").repartition(5), ["k"], "v", probs, bins).collect()}
+        assert set(got) == set(data)
+        for k, vs in data.items():
+            assert np.allclose(got[k], np.quantile(vs, probs))
