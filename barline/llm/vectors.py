@@ -4,7 +4,7 @@
    comparison. Nodes are unit vectors of doubles.
 2. Groups (first the labels, then cells that are still large, LEVELS times at most) are split into cells by spherical
    k-means, fitted on a bounded sample of the group (SAMPLE rows on average, by a hash of the vector). The number of cells is
-   the one of KS for which the sample promises the fewest comparisons; a group that cells would not help stays whole.
+   the one of KS for which the sample promises the least work, comparisons and copies sent; a group that cells would not help stays whole.
 3. Two unit vectors of cosine >= t are at most d = sqrt(2 - 2t) apart. If they lie in different cells c1 and c2, one of
    them is within d / 2 of the plane that halves c1 and c2. So a vector is also sent to each cell whose plane is so near:
    two such vectors meet in some cell, at every level. Each row keeps the cells before its own that it was sent to as well (column
@@ -41,8 +41,8 @@ SAMPLE = 4_000
 KS, LABEL_ROWS, SPLIT_ROWS, LEVELS, CENTRE_NUMBERS = (4, 16, 64, 256), 64, 6_000, 3, 8 << 20
 BLOCK_ROWS = 1_500
 ROUNDS = 12
-#: Cells must save this share of a group's comparisons.
-WORTH = 0.8
+#: Cells must bring a group's work down to this share. A vector sent to a cell costs as much as SEND comparisons (less in small groups).
+WORTH, SEND = 0.8, 2_000
 
 
 def clean(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
@@ -88,21 +88,23 @@ def fit_cells(nodes: DataFrame, least: int, threshold: float) -> dict[str, np.nd
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         width = frame.v.map(len).mode().iloc[0]
         x = np.array([v for v in frame.sort_values("node").v if len(v) == width])
-        best, work = None, WORTH * len(x) ** 2
+        n = float(frame["rows"].iloc[0])
+        cost = lambda cells: (cells**2 + min(SEND, n / 8) * cells).sum()
+        best, work = None, WORTH * cost(np.array([n]))
         for k in KS:
             if 8 * k > len(x):
                 break
             centre = spherical_kmeans(x, k)
-            sent = float((reach(x, centre, threshold).sum(axis=0).astype(float) ** 2).sum())
-            if sent < work:
-                best, work = centre, sent
+            needed = cost(reach(x, centre, threshold).sum(axis=0) * (n / len(x)))
+            if needed < work:
+                best, work = centre, needed
         found = [] if best is None else [(frame.cell.iloc[0], best.ravel().tolist(), width)]
         return pd.DataFrame(found, columns=["cell", "centres", "width"])
 
     spark = nodes.sparkSession
     sizes = nodes.groupBy("cell").agg(F.count("*").alias("rows"), F.max(F.size("v")).alias("width")).where(F.col("rows") >= least)
     # each group takes KS[0] centroids at least, so this bounds the rows that are broadcast
-    sizes = sizes.orderBy(F.desc("rows"), "cell").limit(CENTRE_NUMBERS // KS[0]).select("cell", F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("rows")).alias("share"))
+    sizes = sizes.orderBy(F.desc("rows"), "cell").limit(CENTRE_NUMBERS // KS[0]).select("cell", "rows", F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("rows")).alias("share"))
     drawn = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / float(1 << 30)
     chosen = nodes.select("cell", "node", "v").join(F.broadcast(sizes), "cell").where(drawn < F.col("share")).drop("share")
     fitted = staged(chosen.groupBy("cell").applyInPandas(fit, "cell string, centres array<double>, width bigint"), "centroids")

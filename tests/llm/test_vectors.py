@@ -35,7 +35,7 @@ def brute(rows, threshold=0.98):
 @pytest.mark.parametrize("ks,label_rows,split_rows,block_rows,numbers", [((4, 16, 64, 256), 64, 6000, 1500, 1 << 23), ((2, 4), 20, 12, 2000, 1 << 23), ((3,), 8, 6, 7, 1 << 23), ((4, 100), 20, 20, 7, 40), ((4,), 10_000, 10_000, 5, 1 << 23)])
 def test_equals_brute_force(spark, tmp_path, monkeypatch, ks, label_rows, split_rows, block_rows, numbers):
     """Cells of one to three levels, more cells than a long has bits, whole labels, and centroids for some labels only."""
-    for name, value in (("KS", ks), ("LABEL_ROWS", label_rows), ("SPLIT_ROWS", split_rows), ("BLOCK_ROWS", block_rows), ("CENTRE_NUMBERS", numbers), ("WORTH", 4.0)):
+    for name, value in (("KS", ks), ("LABEL_ROWS", label_rows), ("SPLIT_ROWS", split_rows), ("BLOCK_ROWS", block_rows), ("CENTRE_NUMBERS", numbers), ("WORTH", 4.0), ("SEND", 0)):
         monkeypatch.setattr(vectors, name, value)
     r = np.random.default_rng(5)
     rows, k = [], 0
