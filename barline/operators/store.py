@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import latest, r6, stamp
 from ..plans import register
-from ..sources import BARS_SQL, session_bars, table
+from ..sources import BARS_SQL, session_bars, shared_path, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -35,6 +35,16 @@ def replace_days(batch: DataFrame, path: str) -> None:
     batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("instrument", "trading_day").parquet(path)
 
 
+@query("a2_whole_day_replace", f"WITH {BARS_SQL} SELECT instrument, CAST(trading_day AS VARCHAR) AS trading_day, count(*) AS bars, round(sum(close), 6) AS total FROM sb GROUP BY 1, 2")
+def a2(spark, sf_dir):
+    """A store of outdated days, replaced by the current ones twice: what is read back is the current state once."""
+    b, path = session_bars(spark, sf_dir), shared_path(spark, "day-store")
+    for state in (b.withColumn("close", F.lit(0.0)), b, b):
+        replace_days(state.repartition("trading_day"), path)
+    found = spark.read.schema(b.schema).parquet(path)
+    return found.groupBy("instrument", F.col("trading_day").cast("string").alias("trading_day")).agg(F.count("*").alias("bars"), r6(F.sum("close")).alias("total"))
+
+
 def validate(raw: DataFrame, day: str, ts: str, keys: list[str], arrival: list) -> tuple[DataFrame, DataFrame]:
     """A3: rows whose stamp lies in [day - 1, day + 1), the last arrival of each key; and the rejected rows."""
     inside = (F.col(ts) >= F.date_sub(F.col(day), 1).cast("timestamp_ntz")) & (F.col(ts) < F.date_add(F.col(day), 1).cast("timestamp_ntz"))
