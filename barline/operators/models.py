@@ -56,10 +56,12 @@ def split(rows: DataFrame, fold: int) -> dict[str, DataFrame]:
     return {"train": rows.where(d <= last), "inner": rows.where(d <= last - INNER), "valid": rows.where((d > last - INNER) & (d <= last)), "test": rows.where((d > fold * BLOCK) & (d <= (fold + 1) * BLOCK))}
 
 
-def prepared(estimator, features: list[str]) -> Pipeline:
-    """Medians and scales of the training rows, then the estimator on column x."""
-    filled = [f"{c}_" for c in features]
-    return Pipeline(stages=[Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), estimator])
+def fitted(estimator, features: list[str], rows: DataFrame):
+    """Medians and scales of the training rows, then the estimator on column x. A feature without any value in these rows is left out."""
+    seen = rows.agg(*[F.count(c).alias(c) for c in features]).first().asDict()
+    used = [c for c in features if seen[c]]
+    filled = [f"{c}_" for c in used]
+    return Pipeline(stages=[Imputer(strategy="median", inputCols=used, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), estimator]).fit(rows)
 
 
 def coded(rows: DataFrame) -> DataFrame:
@@ -90,9 +92,9 @@ def tuned(parts: dict, grid: list, make, predict, loss):
     """The grid value of least loss on the valid sessions (the first where there are none), and its model fitted on all of train; None without rows to learn from."""
     if parts["inner"].isEmpty() or parts["train"].select("label").distinct().count() < 2:
         return None, None, {}
-    tried = {g: loss(predict(prepared(make(g), FEATURES).fit(parts["inner"]), parts["valid"])) for g in grid}
+    tried = {g: loss(predict(fitted(make(g), FEATURES, parts["inner"]), parts["valid"])) for g in grid}
     best = min(grid, key=lambda g: (tried[g] is None, tried[g]))
-    return best, prepared(make(best), FEATURES).fit(parts["train"]), tried
+    return best, fitted(make(best), FEATURES, parts["train"]), tried
 
 
 def empty(spark, schema: str) -> DataFrame:
@@ -122,7 +124,7 @@ def k16(spark, sf_dir):
     own = ["instrument", "trading_day", "slot"]
 
     def fit(part, depth):
-        return [prepared(GBTClassifier(featuresCol="x", labelCol="t", maxIter=3, maxDepth=depth, seed=7), FEATURES).fit(part.withColumn("t", F.when(F.col("y") == k, 1.0).otherwise(0.0))) for k in range(3)]
+        return [fitted(GBTClassifier(featuresCol="x", labelCol="t", maxIter=3, maxDepth=depth, seed=7), FEATURES, part.withColumn("t", F.when(F.col("y") == k, 1.0).otherwise(0.0))) for k in range(3)]
 
     def apply(models, part):
         for k, m in enumerate(models):
@@ -143,16 +145,16 @@ def k16(spark, sf_dir):
 
 @query("k17_poisson_scale")
 def k17(spark, sf_dir):
-    """A log-linear Poisson model of the squared error by horizon, fitted on the training sessions of the last fold: coefficients, and how far the later sessions' mean is met."""
-    rows, out = rows_of(spark, sf_dir, "scale_rows").withColumn("z2", F.col("z") * F.col("z")), [empty(spark, "h int, feature string, coefficient double, test_ratio double")]
+    """A log-linear Poisson model of the squared error (at most 25) by horizon, fitted on the training sessions of the last fold: coefficients, and how far the later sessions' mean is met."""
+    rows, out = rows_of(spark, sf_dir, "scale_rows").withColumn("z2", F.least(F.lit(25.0), F.col("z") * F.col("z"))), [empty(spark, "h int, feature string, coefficient double, test_ratio double")]
     for h in (1, 4):
         parts = split(rows.where(F.col("h") == h), FOLDS[-1])
-        if parts["train"].count() < 50:
+        if parts["train"].where("z2 > 0.0001").count() < 50:
             continue
-        model = prepared(GeneralizedLinearRegression(featuresCol="x", labelCol="z2", family="poisson", link="log", regParam=0.05, maxIter=15), SCALE).fit(parts["train"])
+        model = fitted(GeneralizedLinearRegression(featuresCol="x", labelCol="z2", family="poisson", link="log", regParam=0.05, maxIter=15), SCALE, parts["train"])
         ratio = model.transform(parts["test"]).agg(F.avg("z2") / F.avg("prediction")).first()[0]
         glm = model.stages[-1]
-        found = [("intercept", glm.intercept), *zip(SCALE, glm.coefficients.toArray().tolist(), strict=True)]
+        found = [("intercept", glm.intercept), *zip([c.removesuffix("_") for c in model.stages[1].getInputCols()], glm.coefficients.toArray().tolist(), strict=True)]
         out.append(spark.createDataFrame([(h, n, round(c, 6), None if ratio is None else round(ratio, 6)) for n, c in found], "h int, feature string, coefficient double, test_ratio double"))
     return union(out)
 
@@ -165,7 +167,7 @@ def k18(spark, sf_dir):
         parts = split(rows.where(F.col("h") == h), FOLDS[-1])
         if parts["train"].count() < 50:
             continue
-        model = prepared(GBTRegressor(featuresCol="x", labelCol="t", maxIter=4, maxDepth=3, seed=7), SCALE).fit(parts["train"])
+        model = fitted(GBTRegressor(featuresCol="x", labelCol="t", maxIter=4, maxDepth=3, seed=7), SCALE, parts["train"])
         mean = model.transform(parts["train"]).agg(F.avg(F.exp("prediction"))).first()[0]
         out.append(model.transform(parts["test"]).select(F.lit(h).alias("h"), "instrument", F.col("trading_day").cast("string").alias("trading_day"), F.col("slot").cast("int").alias("slot"), r6(F.sqrt(F.exp("prediction") / mean)).alias("scale"), r6("z").alias("z")))
     return union(out)
@@ -185,9 +187,9 @@ def k19(spark, sf_dir):
         if parts["inner"].isEmpty() or parts["valid"].isEmpty():
             continue
         make = lambda a: LinearRegression(featuresCol="x", labelCol="move", elasticNetParam=0.0, regParam=a, maxIter=10)
-        tried = {a: mean_square(prepared(make(a), FEATURES).fit(parts["inner"]).transform(parts["valid"]), shift) for a in (0.1, 1.0, 10.0)}
+        tried = {a: mean_square(fitted(make(a), FEATURES, parts["inner"]).transform(parts["valid"]), shift) for a in (0.1, 1.0, 10.0)}
         best, none = min(tried, key=tried.get), mean_square(parts["valid"], F.col("move"))
-        test = prepared(make(best), FEATURES).fit(parts["train"]).transform(parts["test"])
+        test = fitted(make(best), FEATURES, parts["train"]).transform(parts["test"])
         shifted, plain = mean_square(test, shift), mean_square(test, F.col("move"))
         if plain is not None:
             used = tried[best] < none
@@ -206,7 +208,7 @@ def k20(spark, sf_dir):
         if parts["train"].select("outside").distinct().count() < 2 or moved.select("up").distinct().count() < 2:
             continue
         two = lambda y: LogisticRegression(featuresCol="x", labelCol=y, maxIter=15, regParam=0.1)
-        a, b = prepared(two("outside"), FEATURES).fit(parts["train"]), prepared(two("up"), FEATURES).fit(moved)
+        a, b = fitted(two("outside"), FEATURES, parts["train"]), fitted(two("up"), FEATURES, moved)
         one = a.transform(parts["test"]).withColumn("o", vector_to_array("probability")[1]).select(*rows.columns, "o")
         both = b.transform(one).withColumn("u", vector_to_array("probability")[1])
         o, u = F.col("o"), F.col("u")
@@ -223,7 +225,7 @@ def k21(spark, sf_dir):
         parts = split(rows, f)
         if parts["train"].count() < 50:
             continue
-        model = prepared(LinearRegression(featuresCol="x", labelCol="t", elasticNetParam=0.0, regParam=0.5, maxIter=10), FEATURES).fit(parts["train"])
+        model = fitted(LinearRegression(featuresCol="x", labelCol="t", elasticNetParam=0.0, regParam=0.5, maxIter=10), FEATURES, parts["train"])
         e = model.transform(parts["train"]).select((F.col("move") / F.exp("prediction")).alias("e")).approxQuantile("e", levels, 0.001)  # 99 numbers
         s, table = F.exp("prediction"), F.array(*[F.lit(x) for x in e])
         mass = lambda test: F.size(F.filter(table, test)) / float(len(e))
@@ -247,7 +249,7 @@ def k25(spark, sf_dir):
                 c = {r.y: r["count"] for r in learn.groupBy("y").count().collect()}  # three classes
                 n = sum(c.values())
                 return apply.withColumn("p", F.array(*[F.lit((c.get(float(k), 0) + 1) / (n + 3)) for k in range(3)]))
-            return probabilities(prepared(logistic(g), FEATURES).fit(learn), apply)
+            return probabilities(fitted(logistic(g), FEATURES, learn), apply)
 
         inner = {name: brier(predict(g, parts["inner"], parts["valid"])) for name, g in families.items()}
         best = min(inner, key=lambda name: (inner[name], name))
@@ -283,12 +285,12 @@ def k28(spark, sf_dir):
             if parts["inner"].count() < 50 or parts["valid"].isEmpty() or parts["test"].isEmpty():
                 continue
             ridge = lambda y, a: LinearRegression(featuresCol="x", labelCol=y, elasticNetParam=0.0, regParam=a, maxIter=10)
-            scale = prepared(ridge("t", 0.3), SCALE).fit(parts["train"])
+            scale = fitted(ridge("t", 0.3), SCALE, parts["train"])
             ratio = scale.transform(parts["train"]).agg(F.avg(F.col("y") * F.col("y") / F.exp("prediction"))).first()[0]
-            tried = {a: mean_square(prepared(ridge("y", a), SCALE).fit(parts["inner"]).transform(parts["valid"]), F.col("prediction") - F.col("y")) for a in (0.1, 10.0)}
+            tried = {a: mean_square(fitted(ridge("y", a), SCALE, parts["inner"]).transform(parts["valid"]), F.col("prediction") - F.col("y")) for a in (0.1, 10.0)}
             best = min(tried, key=tried.get)
-            place = prepared(ridge("y", best), SCALE).fit(parts["train"])
-            test = place.transform(parts["test"]).withColumnRenamed("prediction", "mu").drop("raw", "x", *[f"{c}_" for c in SCALE])
+            place = fitted(ridge("y", best), SCALE, parts["train"])
+            test = place.transform(parts["test"]).withColumnRenamed("prediction", "mu").select(*rows.columns, "mu")
             test = scale.transform(test).agg(F.count("*").alias("n"), F.avg("mu").alias("mu"), F.avg((F.col("y") - F.col("mu")) ** 2 / (F.exp("prediction") * ratio)).alias("z2")).first()
             found.append((f, h, best, round(ratio, 6), test.n, round(test.mu, 6), round(test.z2, 6)))
     return spark.createDataFrame(found, "fold int, h int, alpha double, calibration double, n long, mean_mu double, test_z2 double")
@@ -301,7 +303,7 @@ def k31(spark, sf_dir):
     parts = split(rows, FOLDS[-1])
     if parts["train"].select("label").distinct().count() > 1 and not parts["test"].isEmpty():
         for reg in (0.001, 0.03, 1.0):
-            model = prepared(logistic(reg), FEATURES).fit(parts["train"])
+            model = fitted(logistic(reg), FEATURES, parts["train"])
             p = probabilities(model, parts["test"])
             spread = p.agg(F.stddev_pop(F.col("p")[1])).first()[0]
             found.append((reg, round(brier(p), 6), round(spread, 6), round(float(abs(model.stages[-1].coefficientMatrix.toArray()).sum()), 6)))
