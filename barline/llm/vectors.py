@@ -4,7 +4,7 @@
    comparison. Nodes are unit vectors of doubles.
 2. Groups (first the labels, then cells that are still large, LEVELS times at most) are split into cells by spherical
    k-means, fitted on a bounded sample of the group (SAMPLE rows on average, by a hash of the vector). The number of cells is
-   the one of KS for which the sample promises the least work, comparisons and copies sent; a group that cells would not help stays whole.
+   the one of KS for which the sample promises the least work, comparisons and copies sent; labels always get cells, a large cell that cells would not help stays whole.
 3. Two unit vectors of cosine >= t are at most d = sqrt(2 - 2t) apart. If they lie in different cells c1 and c2, one of
    them is within d / 2 of the plane that halves c1 and c2. So a vector is also sent to each cell whose plane is so near:
    two such vectors meet in some cell, at every level. Each row keeps the cells before its own that it was sent to as well (column
@@ -41,8 +41,8 @@ SAMPLE = 4_000
 KS, LABEL_ROWS, SPLIT_ROWS, LEVELS, CENTRE_NUMBERS = (4, 16, 64, 256), 64, 6_000, 3, 8 << 20
 BLOCK_ROWS = 1_500
 ROUNDS = 12
-#: Cells must bring a group's work down to this share. A vector sent to a cell costs as much as SEND comparisons (less in small groups).
-WORTH, SEND = 0.8, 2_000
+#: Labels always get cells; cells of cells must bring a group's work down to this share. A vector sent to a block of a cell costs as much as SEND comparisons (less in groups of one block).
+WORTH, SEND = 0.8, 4_000
 
 
 def clean(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
@@ -82,20 +82,22 @@ def reach(x: np.ndarray, centre: np.ndarray, threshold: float) -> np.ndarray:
     return near
 
 
-def fit_cells(nodes: DataFrame, least: int, threshold: float) -> dict[str, np.ndarray]:
+def fit_cells(nodes: DataFrame, least: int, threshold: float, worth: float) -> dict[str, np.ndarray]:
     """Centroids of each group (column cell) of at least `least` rows that is worth splitting."""
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         width = frame.v.map(len).mode().iloc[0]
         x = np.array([v for v in frame.sort_values("node").v if len(v) == width])
         n = float(frame["rows"].iloc[0])
-        cost = lambda cells: (cells**2 + min(SEND, n / 8) * cells).sum()
-        best, work = None, WORTH * cost(np.array([n]))
+        send = SEND if n > BLOCK_ROWS else n / 8
+        cost = lambda cells: (cells**2 + send * cells * np.maximum(1, cells / BLOCK_ROWS)).sum()
+        best, work = None, worth * cost(np.array([n]))
         for k in KS:
             if 8 * k > len(x):
                 break
-            centre = spherical_kmeans(x, k)
-            needed = cost(reach(x, centre, threshold).sum(axis=0) * (n / len(x)))
+            centre = spherical_kmeans(x[::2], k)
+            other = x[1::2]  # rows the centroids have not seen tell how far vectors spread over cells
+            needed = cost(reach(other, centre, threshold).sum(axis=0) * (n / len(other)))
             if needed < work:
                 best, work = centre, needed
         found = [] if best is None else [(frame.cell.iloc[0], best.ravel().tolist(), width)]
@@ -217,7 +219,7 @@ def in_cells(nodes: DataFrame, threshold: float) -> DataFrame:
     now = nodes.select(F.hex("label").alias("cell"), F.array().cast("array<bigint>").alias("earlier"), "node", "copies", "v")
     now, done = staged(now.mapInArrow(unit_rows, now.schema), "vectors"), None
     for level in range(LEVELS):
-        centres = fit_cells(now, LABEL_ROWS if level == 0 else SPLIT_ROWS, threshold)
+        centres = fit_cells(now, LABEL_ROWS if level == 0 else SPLIT_ROWS, threshold, WORTH if level else np.inf)
         if not centres:
             break
         split = F.col("cell").isin(list(centres)) if len(centres) < 100 else F.lit(True)
