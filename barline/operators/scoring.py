@@ -19,6 +19,9 @@ query = register(QUERIES, SQL)
 ERF = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
 ERF_P = 0.3275911
 
+#: Differences of scores below it are rounding: neither side is better.
+SAME = 1e-9
+
 
 def erf(x: Column) -> Column:
     a = F.abs(x)
@@ -195,11 +198,11 @@ def l13(spark, sf_dir):
     return _interval(spark, sf_dir, True)
 
 
-@query("l14_paired_arms", f"""WITH {CASE_SQL}, g AS (SELECT instrument, trading_day, avg(brier) AS a, avg(2.0 / 3) AS b FROM cs GROUP BY 1, 2) SELECT instrument, count(*) AS sessions, round(avg(a - b), 6) AS difference, count(*) FILTER (a < b) AS improved FROM g GROUP BY 1""")
+@query("l14_paired_arms", f"""WITH {CASE_SQL}, g AS (SELECT instrument, trading_day, avg(brier) AS a, avg(2.0 / 3) AS b FROM cs GROUP BY 1, 2) SELECT instrument, count(*) AS sessions, round(avg(a - b), 6) AS difference, count(*) FILTER (a < b - {SAME}) AS improved FROM g GROUP BY 1""")
 def l14(spark, sf_dir):
     """Two arms on their common sessions: here against the uniform forecast, whose Brier is 2/3."""
     g = case_scores(spark, sf_dir).groupBy("instrument", "trading_day").agg(F.avg("brier").alias("a"), F.avg(F.lit(2.0 / 3)).alias("b"))
-    return g.groupBy("instrument").agg(F.count("*").alias("sessions"), r6(F.avg(F.col("a") - F.col("b"))).alias("difference"), F.count_if(F.col("a") < F.col("b")).alias("improved"))
+    return g.groupBy("instrument").agg(F.count("*").alias("sessions"), r6(F.avg(F.col("a") - F.col("b"))).alias("difference"), F.count_if(F.col("a") < F.col("b") - SAME).alias("improved"))
 
 
 @query("l16_breakdown", f"""WITH {CASE_SQL}, g AS (SELECT instrument, slot, avg(brier) AS m, count(*) AS n FROM cs GROUP BY 1, 2), t AS (SELECT *, ntile(3) OVER (PARTITION BY instrument ORDER BY n, slot) AS third FROM g)
@@ -218,12 +221,12 @@ def l17(spark, sf_dir):
     return outcomes(spark, sf_dir).groupBy("label", bin_.alias("bin")).agg(F.count("*").alias("n"), r6(F.avg("p")).alias("mean_p"), r6(F.avg("hit")).alias("observed"))
 
 
-@query("l21_concentration", f"""WITH {CASE_SQL}, g AS (SELECT trading_day, avg(brier) - 2.0 / 3 AS d FROM cs GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY d, trading_day) AS k FROM g)
-SELECT count(*) AS sessions, round(avg(CASE WHEN d < 0 THEN 1.0 ELSE 0.0 END), 6) AS improved, round(sum(d) FILTER (k <= 5) / sum(d), 6) AS top5_share FROM r""")
+@query("l21_concentration", f"""WITH {CASE_SQL}, g AS (SELECT trading_day, avg(brier) - 2.0 / 3 AS d FROM cs GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY round(d, 9), trading_day) AS k FROM g)
+SELECT count(*) AS sessions, round(avg(CASE WHEN d < -{SAME} THEN 1.0 ELSE 0.0 END), 6) AS improved, round(sum(d) FILTER (k <= 5) / sum(d), 6) AS top5_share FROM r""")
 def l21(spark, sf_dir):
     g = case_scores(spark, sf_dir).groupBy("trading_day").agg((F.avg("brier") - 2.0 / 3).alias("d"))
-    r = g.withColumn("k", F.row_number().over(Window.orderBy("d", "trading_day")))  # a row a session
-    return r.agg(F.count("*").alias("sessions"), r6(F.avg(F.when(F.col("d") < 0, 1.0).otherwise(0.0))).alias("improved"), r6(F.sum(F.when(F.col("k") <= 5, F.col("d"))) / F.sum("d")).alias("top5_share"))
+    r = g.withColumn("k", F.row_number().over(Window.orderBy(F.round("d", 9), "trading_day")))  # a row a session
+    return r.agg(F.count("*").alias("sessions"), r6(F.avg(F.when(F.col("d") < -SAME, 1.0).otherwise(0.0))).alias("improved"), r6(F.sum(F.when(F.col("k") <= 5, F.col("d"))) / F.sum("d")).alias("top5_share"))
 
 
 @query("l28_timing_quantiles", "SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, max(value) AS worst FROM events GROUP BY 1")
@@ -313,12 +316,12 @@ def l18(spark, sf_dir):
     return j.groupBy("slot", F.when(F.col("brier").isNotNull(), "scored").when(F.col("close").isNull(), "no bar").otherwise("no outcome").alias("status")).agg(F.count("*").alias("n"))
 
 
-@query("l20_promotion", f"""WITH {CASE_SQL}, g AS (SELECT instrument, trading_day, avg(brier) - 2.0 / 3 AS d FROM cs GROUP BY 1, 2), s AS (SELECT instrument, avg(d) AS m, avg(CASE WHEN d < 0 THEN 1.0 ELSE 0.0 END) AS share FROM g GROUP BY 1)
+@query("l20_promotion", f"""WITH {CASE_SQL}, g AS (SELECT instrument, trading_day, avg(brier) - 2.0 / 3 AS d FROM cs GROUP BY 1, 2), s AS (SELECT instrument, avg(d) AS m, avg(CASE WHEN d < -{SAME} THEN 1.0 ELSE 0.0 END) AS share FROM g GROUP BY 1)
 SELECT instrument, round(m, 6) AS difference, m < -0.005 AND share >= 0.6 AS promoted, row_number() OVER (ORDER BY m, instrument) AS rank FROM s""")
 def l20(spark, sf_dir):
     """Candidates against the rule, in order."""
     g = case_scores(spark, sf_dir).groupBy("instrument", "trading_day").agg((F.avg("brier") - 2.0 / 3).alias("d"))
-    s = g.groupBy("instrument").agg(F.avg("d").alias("m"), F.avg(F.when(F.col("d") < 0, 1.0).otherwise(0.0)).alias("share"))
+    s = g.groupBy("instrument").agg(F.avg("d").alias("m"), F.avg(F.when(F.col("d") < -SAME, 1.0).otherwise(0.0)).alias("share"))
     w = Window.orderBy("m", "instrument")  # a row a candidate
     return s.select("instrument", r6("m").alias("difference"), ((F.col("m") < -0.005) & (F.col("share") >= 0.6)).alias("promoted"), F.row_number().over(w).cast("long").alias("rank"))
 

@@ -16,12 +16,17 @@ QUERIES: dict = {}
 SQL: dict = {}
 query = register(QUERIES, SQL)
 LATENESS = "2 days"
+#: Most files that a batch reads; none: all that is there.
+FILES_PER_TRIGGER: int | None = None
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table, a file or a folder of part files, as a stream of timestamps with the watermark that bounds the state."""
     schema = table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: as a plain path, a stream takes folders only
+    reader = spark.readStream.schema(schema)
+    if FILES_PER_TRIGGER:
+        reader = reader.option("maxFilesPerTrigger", FILES_PER_TRIGGER)
+    events = reader.parquet(f"{sf_dir}/events.parque[t]")  # a pattern: as a plain path, a stream takes folders only
     return events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", LATENESS)
 
 
@@ -139,53 +144,121 @@ def each_batch(stream: DataFrame, state: str, write, mode: str = "update") -> No
     started.awaitTermination()
 
 
-@query("m8_analogue_refresh", f"""WITH {OPEN_SQL}, c AS (SELECT a.instrument, a.trading_day, b.trading_day AS earlier, a.n, sqrt(avg((a.net - b.net) ** 2) OVER w) AS rms, count(*) OVER w AS bars FROM pa a JOIN pa b ON a.instrument = b.instrument AND a.n = b.n AND b.trading_day < a.trading_day
-  WINDOW w AS (PARTITION BY a.instrument, a.trading_day, b.trading_day ORDER BY a.n ROWS UNBOUNDED PRECEDING)), r AS (SELECT *, row_number() OVER (PARTITION BY instrument, trading_day, n ORDER BY round(rms, 9), earlier DESC) AS rank FROM c WHERE bars = n AND n >= 2)
-SELECT instrument, CAST(trading_day AS VARCHAR) AS trading_day, CAST(n AS INT) AS n, CAST(earlier AS VARCHAR) AS earlier, round(rms, 6) AS rms, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5""")
+#: What has been final at the end of the stream: bars whose hour ended before the watermark.
+_FINAL = "bar_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY"
+#: Sessions before each that it is compared with, and the size of a set.
+POOL, TOP = 20, 5
+
+
+class Kept:
+    """Rows written by numbered batches, partitioned by trading day: a repeated batch replaces its own, and readers see earlier batches only."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.path, self.schema = spark, path, f"{schema}, trading_day date"
+        spark.createDataFrame([], self.schema).write.parquet(f"{path}/_empty")  # the folder is there before its first batch
+
+    def write(self, rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").partitionBy("trading_day").parquet(f"{self.path}/batch={number}")
+
+    def before(self, number: int, since) -> DataFrame:
+        """Rows of batches before this one, of days from `since` on: other days' files are not read."""
+        rows = self.spark.read.schema(f"{self.schema}, batch int").parquet(self.path)
+        return rows.where((F.col("batch") < number) & (F.col("trading_day") >= F.lit(since)))
+
+
+def newest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The row of the last batch for each key."""
+    others = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("x")).select(*keys, "x.*")
+
+
+@query("m8_analogue_refresh", f"""
+WITH {OPEN_SQL},
+pf AS (SELECT pa.instrument, trading_day, pa.n, pa.net FROM pa JOIN wd USING (instrument, trading_day, slot) WHERE {_FINAL}),
+pd AS (SELECT *, dense_rank() OVER (PARTITION BY instrument ORDER BY trading_day) AS d FROM pf),
+c AS (SELECT a.instrument, a.trading_day, b.trading_day AS earlier, a.n, sqrt(avg((a.net - b.net) ** 2) OVER w) AS rms, count(*) OVER w AS bars
+  FROM pd a JOIN pd b ON a.instrument = b.instrument AND a.n = b.n AND b.d BETWEEN a.d - {POOL} AND a.d - 1
+  WINDOW w AS (PARTITION BY a.instrument, a.trading_day, b.trading_day ORDER BY a.n ROWS UNBOUNDED PRECEDING)),
+r AS (SELECT *, row_number() OVER (PARTITION BY instrument, trading_day, n ORDER BY round(rms, 9), earlier DESC) AS rank FROM c WHERE bars = n AND n >= 2)
+SELECT instrument, CAST(trading_day AS VARCHAR) AS trading_day, CAST(n AS INT) AS n, CAST(earlier AS VARCHAR) AS earlier, round(rms, 6) AS rms, CAST(rank AS INT) AS rank
+FROM r WHERE rank <= {TOP}""")
 def m8(spark, sf_dir):
-    """The most similar earlier sessions of every window, refreshed for the days that a batch touches, against all bars received so far."""
+    """The most similar earlier sessions of every window, as each bar becomes final.
+
+    Bars are appended once the watermark has passed them. What is carried from batch to batch is small and keyed: for each session
+    its open and number of bars, for each pair of a session and one of the POOL before it the sum of squared differences so far. A
+    batch reads its own bars, the pairs of the sessions it touches, and the paths of their pools; its cost follows its bars.
+    """
     out = shared_path(spark, "refresh")
-    schema = "instrument string, trading_day date, n int, earlier date, rms double, rank int"
-    kept = hourly(event_stream(spark, sf_dir)).schema
-    spark.createDataFrame([], schema).write.parquet(f"{out}/sets/batch=-1")
-    spark.createDataFrame([], kept).write.parquet(f"{out}/bars/batch=-1")
+    points = Kept(spark, f"{out}/points", "instrument string, n int, net double, first double")
+    pairs = Kept(spark, f"{out}/pairs", "instrument string, earlier date, bars int, total double")
+    sets = Kept(spark, f"{out}/sets", "instrument string, n int, earlier date, rms double, rank int")
+    day = ["instrument", "trading_day"]
 
     def refresh(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/bars/batch={number}")
-        received = last_emitted(spark.read.schema(kept).parquet(f"{out}/bars"), ["instrument", "bar_start"], "volume")
-        bars = with_sessions(received).where(F.weekday("trading_day") < 5)
-        touched = with_sessions(spark.read.schema(kept).parquet(f"{out}/bars/batch={number}")).select("instrument", "trading_day").distinct()
-        paths = opening_paths(bars).select("instrument", "trading_day", "n", "net")
-        past = paths.select("instrument", F.col("trading_day").alias("earlier"), "n", F.col("net").alias("past_net"))
-        pairs = paths.join(touched, ["instrument", "trading_day"], "left_semi").join(past, ["instrument", "n"]).where("earlier < trading_day")
-        so_far = Window.partitionBy("instrument", "trading_day", "earlier").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-        scored = pairs.withColumns({"rms": F.sqrt(F.avg((F.col("net") - F.col("past_net")) ** 2).over(so_far)), "bars": F.count("*").over(so_far)}).where("bars = n AND n >= 2")
-        rank = F.row_number().over(Window.partitionBy("instrument", "trading_day", "n").orderBy(F.round("rms", 9), F.desc("earlier")))
-        scored.withColumn("rank", rank).where("rank <= 5").select("instrument", "trading_day", F.col("n").cast("int").alias("n"), "earlier", "rms", "rank").write.mode("overwrite").parquet(f"{out}/sets/batch={number}")
-
-    each_batch(hourly(event_stream(spark, sf_dir)), f"{out}/state", refresh)
-    sets = spark.read.schema(f"{schema}, batch int").parquet(f"{out}/sets")
-    newest = Window.partitionBy("instrument", "trading_day", "n")
-    last = sets.withColumn("newest", F.max("batch").over(newest)).where("batch = newest")
-    return last.select("instrument", F.col("trading_day").cast("string").alias("trading_day"), "n", F.col("earlier").cast("string").alias("earlier"), r6("rms").alias("rms"), "rank")
-
-
-@query("m9_issue_at_marks", """SELECT event_type AS instrument, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS mark, arg_max(value, (ts, event_id)) AS price, 1 AS issues FROM events WHERE extract(hour FROM ts) % 4 = 0 GROUP BY 1, 2""")
+        bars = with_sessions(batch).where((F.weekday("trading_day") < 5) & (F.col("session_scope") == "RTH"))
+        since = bars.agg(F.min("trading_day")).first()[0]
+        if since is None:
+            return
+        known = points.before(number, since).groupBy(*day).agg(F.max("n").alias("n0"), F.max("first").alias("first0"))
+        w = Window.partitionBy(*day).orderBy("slot")
+        new = bars.join(known, day, "left").withColumn("first", F.coalesce("first0", F.first("open").over(w)))
+        new = new.select(*day, (F.coalesce("n0", F.lit(0)) + F.row_number().over(w)).cast("int").alias("n"), (F.col("close") - F.col("first")).alias("net"), "first")
+        points.write(new, number)
+        new = spark.read.schema(points.schema).parquet(f"{points.path}/batch={number}")
+        past = points.before(number + 1, "1900-01-01").select(*day).distinct()  # a row a session
+        ordinal = F.row_number().over(Window.partitionBy("instrument").orderBy("trading_day"))
+        past = past.withColumn("d", ordinal)
+        touched = past.join(new.select(*day).distinct(), day, "left_semi").withColumn("at", F.explode(F.sequence(F.col("d") - POOL, F.col("d") - 1)))
+        pool = touched.join(past.select("instrument", F.col("trading_day").alias("earlier"), F.col("d").alias("at")), ["instrument", "at"]).select(*day, "earlier")
+        oldest = pool.agg(F.min("earlier")).first()[0]
+        if oldest is None:
+            return
+        other = points.before(number + 1, oldest).select("instrument", F.col("trading_day").alias("earlier"), "n", F.col("net").alias("past_net"))
+        met = new.join(pool, day).join(other, ["instrument", "earlier", "n"])
+        held = newest(pairs.before(number, since), [*day, "earlier"])
+        so_far = Window.partitionBy(*day, "earlier").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+        run = met.join(held, [*day, "earlier"], "left").select(
+            *day, "earlier", "n", (F.coalesce("bars", F.lit(0)) + F.count("*").over(so_far)).cast("int").alias("bars"),
+            (F.coalesce("total", F.lit(0.0)) + F.sum((F.col("net") - F.col("past_net")) ** 2).over(so_far)).alias("total"),
+        )
+        pairs.write(run.groupBy(*day, "earlier").agg(F.max("bars").alias("bars"), F.max_by("total", "n").alias("total")), number)
+        scored = run.where("bars = n AND n >= 2").withColumn("rms", F.sqrt(F.col("total") / F.col("bars")))
+        rank = F.row_number().over(Window.partitionBy(*day, "n").orderBy(F.round("rms", 9), F.desc("earlier")))
+        sets.write(scored.withColumn("rank", rank).where(F.col("rank") <= TOP).select(*day, "n", "earlier", "rms", "rank"), number)
+
+    each_batch(hourly(event_stream(spark, sf_dir)), f"{out}/state", refresh, "append")
+    found = spark.read.schema(sets.schema).parquet(sets.path)
+    return found.select("instrument", F.col("trading_day").cast("string").alias("trading_day"), "n", F.col("earlier").cast("string").alias("earlier"), r6("rms").alias("rms"), "rank")
+
+
+@query("m9_issue_at_marks", f"""
+SELECT event_type AS instrument, strftime(bar_start, '%Y-%m-%d %H:%M:%S') AS mark, arg_max(value, (ts, event_id)) AS price, 1 AS issues
+FROM (SELECT *, date_trunc('hour', ts) AS bar_start FROM events) WHERE extract(hour FROM ts) % 4 = 0 AND {_FINAL} GROUP BY 1, 2""")
 def m9(spark, sf_dir):
-    """One issue at every fourth hour's mark, and one only: a mark that has its issue gets no other, though the whole stream is delivered twice."""
+    """One issue at every fourth hour's mark, from its finished bar: the bar is appended once the watermark has passed its end.
+
+    A mark that has its issue gets no other, though the whole stream is delivered twice: a batch leaves out marks that another run
+    has issued, and reads only the days of its own marks to know them.
+    """
     out = shared_path(spark, "issues")
-    spark.createDataFrame([], "instrument string, bar_start timestamp_ntz, price double").write.parquet(f"{out}/rows/run=0/batch=-1")
+    columns = "instrument string, bar_start timestamp_ntz, price double"
+    spark.createDataFrame([], columns).write.parquet(f"{out}/rows/_empty")
 
     def issue(run: int):
         def write(batch: DataFrame, number: int) -> None:
-            own = f"{out}/rows/run={run}/batch={number}"
-            others = spark.read.schema("instrument string, bar_start timestamp_ntz, price double, run int, batch int").parquet(f"{out}/rows").where((F.col("run") != run) | (F.col("batch") != number))
-            marks = batch.where(F.hour("bar_start") % 4 == 0).select("instrument", "bar_start", F.col("close").alias("price"))
-            marks.join(others.select("instrument", "bar_start"), ["instrument", "bar_start"], "left_anti").write.mode("overwrite").parquet(own)
+            marks = batch.where(F.hour("bar_start") % 4 == 0).select("instrument", "bar_start", F.col("close").alias("price"), F.to_date("bar_start").alias("day"))
+            since, until = marks.agg(F.min("day"), F.max("day")).first()
+            if since is None:
+                return
+            rows = spark.read.schema(f"{columns}, run int, batch int, day date").parquet(f"{out}/rows")
+            others = rows.where(F.col("day").between(F.lit(since), F.lit(until)) & ((F.col("run") != run) | (F.col("batch") != number)))
+            new = marks.join(others.select("instrument", "bar_start"), ["instrument", "bar_start"], "left_anti")
+            new.write.mode("overwrite").partitionBy("day").parquet(f"{out}/rows/run={run}/batch={number}")
 
         return write
 
     for run in (1, 2):
-        each_batch(hourly(event_stream(spark, sf_dir)), f"{out}/state{run}", issue(run))
-    rows = spark.read.schema("instrument string, bar_start timestamp_ntz, price double").parquet(f"{out}/rows")
+        each_batch(hourly(event_stream(spark, sf_dir)), f"{out}/state{run}", issue(run), "append")
+    rows = spark.read.schema(columns).parquet(f"{out}/rows")
     return rows.groupBy("instrument", stamp("bar_start").alias("mark")).agg(F.max("price").alias("price"), F.count("*").cast("int").alias("issues"))

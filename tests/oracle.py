@@ -8,7 +8,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def database(sf_dir):
-    con = duckdb.connect()
+    con = duckdb.connect(config={"memory_limit": "2GB", "threads": 2})
     for t in TABLES:
         if os.path.exists(f"{sf_dir}/{t}.parquet"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")

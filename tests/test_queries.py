@@ -8,9 +8,11 @@ from barline import registry
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.fixture(scope="module")
+@pytest.fixture
 def con():
-    return oracle.database(SF)
+    """A connection of its own for each query, so that a fault of one shows as that query's."""
+    with oracle.database(SF) as own:
+        yield own
 
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
