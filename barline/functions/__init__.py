@@ -94,6 +94,25 @@ def percentiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
     return got.select(*keys, F.array(*[F.col(f"__{k}l") + (F.col(f"__{k}h") - F.col(f"__{k}l")) * part(p) for k, p in enumerate(probs)]).alias("q"))
 
 
+def trailing_quantiles(values: DataFrame, targets: DataFrame, keys: list[str], ordinal: str, value: str, probs: list[float], back: int) -> DataFrame:
+    """targets (keys, ordinal) with n and q: exact percentiles (linear between neighbours) of the values whose ordinal lies 1 to `back` before.
+
+    A key's values of one ordinal become one sorted list; lists are merged over a window of one row an ordinal, so no value is
+    copied for the ordinals that it serves. An ordinal's own values must fit into a row. Targets without a value are left out.
+    """
+    lists = values.where(F.col(value).isNotNull()).groupBy(*keys, ordinal).agg(F.array_sort(F.collect_list(value)).alias("__own"))
+    rows = targets.select(*keys, ordinal).distinct().withColumn("__asked", F.lit(True)).join(lists, [*keys, ordinal], "full")
+    past = Window.partitionBy(*keys).orderBy(ordinal).rangeBetween(-back, -1)
+    rows = rows.withColumn("__all", F.array_sort(F.flatten(F.collect_list("__own").over(past)))).where(F.col("__asked") & (F.size("__all") > 0)).withColumn("n", F.size("__all").cast("long"))
+
+    def at(p: Column) -> Column:
+        place = p * (F.col("n") - 1)
+        low, high = F.get("__all", F.floor(place).cast("int")), F.get("__all", F.ceil(place).cast("int"))
+        return low + (high - low) * (place - F.floor(place))
+
+    return rows.select(*keys, ordinal, "n", F.transform(F.array(*[F.lit(float(p)) for p in probs]), at).alias("q"))
+
+
 def wilder(column: str, keys: list[str], order: str, period: int, rows: int) -> Column:
     """Wilder's average of the last `rows` values: the mean of the first `period`, then (n - 1) parts old and one new; null before."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-(rows - 1), 0)

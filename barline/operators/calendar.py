@@ -88,13 +88,13 @@ def dense_grid(bars: DataFrame, step: int = 60, slots: int = 1440) -> DataFrame:
     bars = bars.where(F.weekday("trading_day") < 5)  # on weekends two evenings share a date
     days = bars.select("instrument", "trading_day").distinct()
     grid = days.select("*", F.explode(F.sequence(F.lit(0), F.lit(slots - step), F.lit(step))).alias("slot"))
-    joined = grid.join(bars.select("instrument", "trading_day", "slot", "close"), ["instrument", "trading_day", "slot"], "left")
+    joined = grid.join(bars.select("instrument", "trading_day", "slot", "close", "volume"), ["instrument", "trading_day", "slot"], "left")
     w = Window.partitionBy("instrument", "trading_day").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
     return joined.withColumn("last_price", F.last("close", ignorenulls=True).over(w))
 
 
 GRID_SQL = f"""{BARS_SQL}, gd AS (SELECT DISTINCT instrument, trading_day FROM sb WHERE isodow(trading_day) <= 5), gs AS (SELECT *, CAST(unnest(generate_series(0, 1380, 60)) AS INT) AS slot FROM gd),
-gj AS (SELECT gs.*, sb.close FROM gs LEFT JOIN sb USING (instrument, trading_day, slot)),
+gj AS (SELECT gs.*, sb.close, sb.volume FROM gs LEFT JOIN sb USING (instrument, trading_day, slot)),
 grid AS (SELECT *, last_value(close IGNORE NULLS) OVER (PARTITION BY instrument, trading_day ORDER BY slot ROWS UNBOUNDED PRECEDING) AS last_price FROM gj),
 ret AS (SELECT *, CASE WHEN slot < 1380 AND last_price > 0 AND lag(last_price) OVER w > 0 THEN ln(last_price) - ln(lag(last_price) OVER w) END AS r FROM grid WINDOW w AS (PARTITION BY instrument, trading_day ORDER BY slot))"""
 
@@ -111,7 +111,7 @@ def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("b6_dense_grid", f"WITH {GRID_SQL} SELECT instrument, CAST(trading_day AS VARCHAR) AS trading_day, slot, close, last_price FROM grid")
 def b6(spark, sf_dir):
-    return dense_grid(session_bars(spark, sf_dir)).withColumn("trading_day", F.col("trading_day").cast("string"))
+    return dense_grid(session_bars(spark, sf_dir)).select("instrument", F.col("trading_day").cast("string").alias("trading_day"), "slot", "close", "last_price")
 
 
 @query("b7_log_returns", f"WITH {GRID_SQL} SELECT instrument, CAST(trading_day AS VARCHAR) AS trading_day, slot, round(r, 6) AS r FROM ret WHERE r IS NOT NULL")

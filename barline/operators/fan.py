@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import r6
@@ -12,21 +12,56 @@ from .calendar import GRID_SQL, PHASE_SQL, phase, returns
 QUERIES: dict = {}
 SQL: dict = {}
 query = register(QUERIES, SQL)
-SESSIONS, LEAST = 40, 5
+#: Sessions of history and the least squared returns of a slot in it; slots on either side of a neighbourhood; the cap in medians of the neighbourhood.
+SESSIONS, LEAST, REACH, CAP = 40, 10, 1, 50.0
+#: A release: an hour of BURST times the slot's usual volume (mean of the bars of so many sessions before, from the least). It and HOLD slots after it are left out.
+BURST, USUAL_SESSIONS, USUAL_LEAST, HOLD = 3.0, 20, 5, 1
+#: A horizon in which nothing moves has no variance; what prefix sums leave of it is smaller.
+LEAST_VARIANCE = 1e-12
 LEVEL_PRIOR, LEVEL_BOUNDS = 4.0, (0.25, 4.0)
 
 
-def seasonal_variance(r: DataFrame) -> DataFrame:
-    """Mean squared return of each slot over the SESSIONS sessions before (LEAST at least), smoothed over the slots of its phase within one slot's reach."""
-    days = Window.partitionBy("instrument", "slot").orderBy("trading_day").rowsBetween(-SESSIONS, -1)
-    r2 = F.col("r") * F.col("r")
-    s = r.withColumn("raw", F.when(F.count(r2).over(days) >= LEAST, F.avg(r2).over(days))).withColumn("phase", phase(F.col("slot")))
-    near = Window.partitionBy("instrument", "trading_day", "phase").orderBy("slot").rangeBetween(-60, 60)
-    return s.withColumn("s", F.avg("raw").over(near))
+def released(grid: DataFrame) -> Column:
+    """Whether a slot lies in a release's window: known from earlier sessions and the day so far only."""
+    before = Window.partitionBy("instrument", "slot").orderBy("trading_day").rowsBetween(-USUAL_SESSIONS, -1)
+    usual = F.when(F.count("volume").over(before) >= USUAL_LEAST, F.avg("volume").over(before))
+    return F.coalesce(F.col("volume") >= BURST * usual, F.lit(False))
 
 
-SEASON_SQL = f"""{GRID_SQL}, rw AS (SELECT *, CASE WHEN count(r) OVER d >= 5 THEN avg(r * r) OVER d END AS raw, {PHASE_SQL} AS phase FROM ret WINDOW d AS (PARTITION BY instrument, slot ORDER BY trading_day ROWS BETWEEN 40 PRECEDING AND 1 PRECEDING)),
-sv AS (SELECT *, avg(raw) OVER (PARTITION BY instrument, trading_day, phase ORDER BY slot RANGE BETWEEN 60 PRECEDING AND 60 FOLLOWING) AS s FROM rw)"""
+def seasonal_variance(r: DataFrame) -> DataFrame:
+    """Mean squared return of each slot over the SESSIONS sessions before.
+
+    Release windows are left out. A squared return counts CAP times the median of all those of the slots within REACH at most, so
+    one spike does not enter the sessions after it. Slots with LEAST values are averaged within REACH, never across phases. A slot in
+    which nothing moved is 0; with fewer sessions than LEAST there is no variance.
+    """
+    held = Window.partitionBy("instrument", "trading_day").orderBy("slot").rowsBetween(-HOLD, 0)
+    out = r.withColumn("burst", released(r)).withColumn("r2", F.when(~F.max("burst").over(held), F.col("r") * F.col("r")))
+    days = Window.partitionBy("instrument", "slot").orderBy("trading_day").rowsBetween(-SESSIONS, -1)
+    out = out.withColumns({"past": F.collect_list("r2").over(days), "sessions": F.count(F.lit(1)).over(days), "phase": phase(F.col("slot"))})  # SESSIONS values at most
+    beside = Window.partitionBy("instrument", "trading_day").orderBy("slot").rowsBetween(-REACH, REACH)
+    out = out.withColumn("around", F.array_sort(F.flatten(F.collect_list("past").over(beside))))
+    n = F.size("around")
+    middle = (F.get("around", ((n - 1) / 2).cast("int")) + F.get("around", (n / 2).cast("int"))) / 2
+    out = out.withColumn("cap", F.when((n > 0) & (middle > 0), CAP * middle))
+    out = out.withColumn("total", F.aggregate("past", F.lit(0.0), lambda s, x: s + F.least(x, "cap")))  # no cap: all of x
+    out = out.withColumn("raw", F.when(F.size("past") >= LEAST, F.col("total") / F.size("past")))
+    near = Window.partitionBy("instrument", "trading_day", "phase").orderBy("slot").rangeBetween(-60 * REACH, 60 * REACH)
+    moved = F.when(F.col("total") == 0, 0.0).otherwise(F.coalesce(F.avg("raw").over(near), F.lit(0.0)))
+    return out.withColumn("s", F.when(F.col("sessions") >= LEAST, moved)).drop("burst", "r2", "past", "sessions", "around", "cap", "total", "raw")
+
+
+SEASON_SQL = f"""{GRID_SQL},
+rb AS (SELECT *, coalesce(volume >= 3.0 * CASE WHEN count(volume) OVER u >= 5 THEN avg(volume) OVER u END, false) AS burst FROM ret
+  WINDOW u AS (PARTITION BY instrument, slot ORDER BY trading_day ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+rx AS (SELECT *, CASE WHEN NOT bool_or(burst) OVER (PARTITION BY instrument, trading_day ORDER BY slot ROWS 1 PRECEDING) THEN r * r END AS r2 FROM rb),
+rp AS (SELECT *, coalesce(list(r2) FILTER (r2 IS NOT NULL) OVER d, []) AS past, count(*) OVER d AS sessions, {PHASE_SQL} AS phase FROM rx
+  WINDOW d AS (PARTITION BY instrument, slot ORDER BY trading_day ROWS BETWEEN 40 PRECEDING AND 1 PRECEDING)),
+rn AS (SELECT *, list_median(flatten(list(past) OVER (PARTITION BY instrument, trading_day ORDER BY slot RANGE BETWEEN 60 PRECEDING AND 60 FOLLOWING))) AS middle FROM rp),
+rc AS (SELECT *, coalesce(list_sum(list_transform(past, lambda x: CASE WHEN middle > 0 THEN least(x, 50 * middle) ELSE x END)), 0) AS total FROM rn),
+rw AS (SELECT *, CASE WHEN len(past) >= 10 THEN total / len(past) END AS raw FROM rc),
+sv AS (SELECT instrument, trading_day, slot, close, volume, last_price, r, phase, CASE WHEN sessions < 10 THEN NULL WHEN total = 0 THEN 0
+  ELSE coalesce(avg(raw) OVER (PARTITION BY instrument, trading_day, phase ORDER BY slot RANGE BETWEEN 60 PRECEDING AND 60 FOLLOWING), 0) END AS s FROM rw)"""
 
 
 def seasonal(spark, sf_dir) -> DataFrame:
@@ -73,12 +108,12 @@ def horizons(s: DataFrame, ahead: list[int]) -> DataFrame:
     w = Window.partitionBy("instrument", "trading_day").orderBy("slot")
     s = s.withColumn("cum", F.sum(F.coalesce("s", F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("lp", F.when(F.col("last_price") > 0, F.log("last_price")))
     made = s.select("instrument", "trading_day", "slot", "phase", F.array(*[F.struct(F.lit(h).alias("h"), ((F.lead("cum", h).over(w) - F.col("cum")) * F.col("level")).alias("var"), (F.lead("lp", h).over(w) - F.col("lp")).alias("y")) for h in ahead]).alias("xs"))
-    return made.select("instrument", "trading_day", "slot", "phase", F.explode("xs").alias("x")).select("instrument", "trading_day", "slot", "phase", "x.h", "x.var", "x.y").where("var > 0 AND y IS NOT NULL").withColumn("z", F.col("y") / F.sqrt("var"))
+    return made.select("instrument", "trading_day", "slot", "phase", F.explode("xs").alias("x")).select("instrument", "trading_day", "slot", "phase", "x.h", "x.var", "x.y").where((F.col("var") > LEAST_VARIANCE) & F.col("y").isNotNull()).withColumn("z", F.col("y") / F.sqrt("var"))
 
 
 HOR_SQL = f"""{SHORT_SQL}, pf AS (SELECT *, sum(coalesce(s, 0)) OVER (PARTITION BY instrument, trading_day ORDER BY slot ROWS UNBOUNDED PRECEDING) AS cum, CASE WHEN last_price > 0 THEN ln(last_price) END AS lp FROM sl),
 hz0 AS (SELECT instrument, trading_day, slot, phase, unnest([1, 4]) AS h, unnest([(lead(cum, 1) OVER w - cum) * level, (lead(cum, 4) OVER w - cum) * level]) AS var, unnest([lead(lp, 1) OVER w - lp, lead(lp, 4) OVER w - lp]) AS y FROM pf WINDOW w AS (PARTITION BY instrument, trading_day ORDER BY slot)),
-hz AS (SELECT *, y / sqrt(var) AS z FROM hz0 WHERE var > 0 AND y IS NOT NULL)"""
+hz AS (SELECT *, y / sqrt(var) AS z FROM hz0 WHERE var > 1e-12 AND y IS NOT NULL)"""
 
 
 def scored_origins(spark, sf_dir) -> DataFrame:

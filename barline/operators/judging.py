@@ -77,15 +77,6 @@ P.query("l9_horizon_summary", """SELECT a.h, a.arm, count(*) AS sessions, CAST(s
 P.query("l39_distributional", """SELECT arm, h, count(*) AS n, round(avg(crps), 6) + 0.0 AS gaussian, round(avg(abs(abs(y) - 0.7978845608028654 * sqrt(var))), 6) + 0.0 AS folded_error, round(avg(z * z), 6) + 0.0 AS z2, round(avg(abs(pit - 0.5)), 6) + 0.0 AS pit_spread FROM {arms} a GROUP BY 1, 2""", "Gaussian and folded scores of every arm on the same rows.")
 P.query("l22_identical_origins", f"""a AS (SELECT {KEY}, slot, h, z FROM {{arms}} x WHERE arm = 'short_run'), b AS (SELECT {KEY}, slot, h, z FROM {{arms}} y WHERE arm = 'reverting')
 SELECT coalesce(a.h, b.h) AS h, count(*) AS origins, count(CASE WHEN a.z IS NULL THEN 1 END) AS only_second, count(CASE WHEN b.z IS NULL THEN 1 END) AS only_first, count(CASE WHEN abs(a.z - b.z) > 0.5 THEN 1 END) AS far_apart, round(avg(abs(a.z - b.z)), 6) + 0.0 AS mean_apart FROM a FULL OUTER JOIN b ON b.instrument = a.instrument AND b.trading_day = a.trading_day AND b.slot = a.slot AND b.h = a.h GROUP BY 1""", "Two runs on identical origins: those only one of them has, and how far they disagree.")
-# circular blocks of three sessions; starts come from a fixed congruence, so that every engine draws the same
-P.view("resampled", """n AS (SELECT h, arm, count(*) AS n, avg(diff) AS mean FROM {steps} s GROUP BY 1, 2), r AS (SELECT i + 1 AS b FROM (SELECT DISTINCT i FROM {steps} s) q CROSS JOIN (VALUES (0)) z(o) UNION ALL SELECT i + 101 AS b FROM (SELECT DISTINCT i FROM {steps} s) q UNION ALL SELECT i + 201 AS b FROM (SELECT DISTINCT i FROM {steps} s) q UNION ALL SELECT i + 301 AS b FROM (SELECT DISTINCT i FROM {steps} s) q),
-d AS (SELECT n.h, n.arm, n.n, n.mean, r.b, ((r.b * 7919 + CAST(floor(t.i / 3) AS BIGINT) * 104729 + r.b * r.b * 31) % n.n + t.i % 3) % n.n AS i FROM n CROSS JOIN r JOIN {steps} t ON t.h = n.h AND t.arm = n.arm)
-SELECT d.h, d.arm, d.n, d.mean, d.b, avg(s.diff) AS drawn FROM d JOIN {steps} s ON s.h = d.h AND s.arm = d.arm AND s.i = d.i GROUP BY 1, 2, 3, 4, 5""", STORE)
-P.query("l23_superior_ability", """c AS (SELECT h, arm, max(n) AS n, max(mean) AS mean FROM {resampled} r GROUP BY 1, 2), t AS (SELECT h, max(-mean * sqrt(n)) AS best, min_by(arm, mean) AS arm FROM c GROUP BY 1), m AS (SELECT h, b, max((mean - drawn) * sqrt(n)) AS stat FROM {resampled} r GROUP BY 1, 2)
-SELECT t.h, t.arm AS best_arm, round(best, 6) + 0.0 AS statistic, count(*) AS resamples, round(avg(CASE WHEN stat >= best THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS p_value FROM t JOIN m ON m.h = t.h GROUP BY 1, 2, best""", "Whether the best of all candidates beats the baseline by more than the best of that many would by chance.")
-P.query("l24_stepwise", """c AS (SELECT h, arm, max(n) AS n, -max(mean) * sqrt(max(n)) AS stat FROM {resampled} r GROUP BY 1, 2), m1 AS (SELECT h, b, max((mean - drawn) * sqrt(n)) AS top FROM {resampled} r GROUP BY 1, 2), q1 AS (SELECT h, percentile_cont(0.9) WITHIN GROUP (ORDER BY top) AS bar FROM m1 GROUP BY 1),
-s1 AS (SELECT c.h, c.arm, stat, stat > bar AS better FROM c JOIN q1 ON q1.h = c.h), m2 AS (SELECT r.h, r.b, max((r.mean - r.drawn) * sqrt(r.n)) AS top FROM {resampled} r JOIN s1 ON s1.h = r.h AND s1.arm = r.arm WHERE NOT better GROUP BY 1, 2), q2 AS (SELECT h, percentile_cont(0.9) WITHIN GROUP (ORDER BY top) AS bar FROM m2 GROUP BY 1)
-SELECT s1.h, s1.arm, round(stat, 6) + 0.0 AS statistic, CASE WHEN better THEN 1 WHEN stat > q2.bar THEN 2 END AS step FROM s1 LEFT JOIN q2 ON q2.h = s1.h""", "Candidates that stay better when those already rejected are left out of the comparison: two steps.")
 P.query("l37_design_effect", """b AS (SELECT h, arm, CAST(floor(i / 4) AS BIGINT) AS block, avg(diff) AS m, count(*) AS n FROM {steps} s GROUP BY 1, 2, 3), v AS (SELECT h, arm, var_samp(m) AS between_blocks, count(*) AS blocks FROM b WHERE n = 4 GROUP BY 1, 2), t AS (SELECT h, arm, var_samp(diff) AS overall FROM {steps} s GROUP BY 1, 2)
 SELECT v.h, v.arm, blocks, round(between_blocks / (overall / 4), 6) + 0.0 AS ratio FROM v JOIN t ON t.h = v.h AND t.arm = v.arm WHERE overall > 0 AND blocks > 1""", "How much more block means vary than independent sessions would.")
 P.query("l29_session_differences", """a AS (SELECT trading_day, h, phase, arm, avg(crps) AS crps FROM {arms} x GROUP BY 1, 2, 3, 4)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import percentiles, r6
+from ..functions import percentiles, r6, trailing_quantiles
 from ..plans import register
 from ..sources import table
 from .fan import HOR_SQL, scored_origins, seasonal, short_level
@@ -85,12 +85,10 @@ TAU = [(k + 0.5) / K for k in range(K)]
 _HISTORY = "hs AS (SELECT *, dense_rank() OVER (PARTITION BY instrument ORDER BY trading_day) AS d FROM hz)"
 
 
-def earlier_quantiles(o: DataFrame, taus: list[float], sessions: int = 20, least: int = 40) -> DataFrame:
-    """instrument, h, d (session number), q: quantiles of z over the `sessions` sessions before each, from `least` values at least."""
-    days = o.select("instrument", "trading_day", "d").distinct()
-    ahead = o.select("instrument", "h", "z", F.explode(F.sequence(F.col("d") + 1, F.col("d") + sessions)).alias("d"))  # each value serves the sessions after it
-    q = ahead.groupBy("instrument", "h", "d").agg(F.percentile("z", F.array(*[F.lit(t) for t in taus])).alias("q"), F.count("*").alias("n")).where(F.col("n") >= least)
-    return days.join(q, ["instrument", "d"])
+def earlier_quantiles(o: DataFrame, taus: list[float], sessions: int = 120, least: int = 40) -> DataFrame:
+    """instrument, trading_day, d (session number), h, q: quantiles of z over the `sessions` sessions before each, from `least` values at least."""
+    q = trailing_quantiles(o, o, ["instrument", "h"], "d", "z", taus, sessions).where(F.col("n") >= least)
+    return o.select("instrument", "trading_day", "d").distinct().join(q.drop("n"), ["instrument", "d"])
 
 
 def numbered(o: DataFrame) -> DataFrame:
@@ -99,7 +97,7 @@ def numbered(o: DataFrame) -> DataFrame:
     return o.join(days, ["instrument", "trading_day"])
 
 
-@query("l4_quantile_crps", f"""WITH {HOR_SQL}, {_HISTORY}, dd AS (SELECT DISTINCT instrument, trading_day, d FROM hs), q AS (SELECT dd.instrument, dd.trading_day, hs.h, quantile_cont(hs.z, {TAU}) AS q FROM dd JOIN hs ON hs.instrument = dd.instrument AND hs.d BETWEEN dd.d - 20 AND dd.d - 1 GROUP BY 1, 2, 3 HAVING count(*) >= 40)
+@query("l4_quantile_crps", f"""WITH {HOR_SQL}, {_HISTORY}, dd AS (SELECT DISTINCT instrument, trading_day, d FROM hs), q AS (SELECT dd.instrument, dd.trading_day, hs.h, quantile_cont(hs.z, {TAU}) AS q FROM dd JOIN hs ON hs.instrument = dd.instrument AND hs.d BETWEEN dd.d - 120 AND dd.d - 1 GROUP BY 1, 2, 3 HAVING count(*) >= 40)
 SELECT h, count(*) AS n, round(avg(2 * list_sum(list_transform(list_zip(q, {TAU}), lambda x: greatest(x[2] * (z - x[1]), (x[2] - 1) * (z - x[1])))) / {K}), 6) AS crps FROM hz JOIN q USING (instrument, trading_day, h) GROUP BY 1""")
 def l4(spark, sf_dir):
     """Twice the mean pinball loss over K quantile levels of the sessions before."""

@@ -16,24 +16,33 @@ SQL: dict = {}
 P = Portable(QUERIES, SQL, LABELS)
 P.base("grid", lambda spark, sf: returns(spark, sf), GRID_SQL, "ret")
 STORE = ("events",)
-SAME = "y.instrument = x.instrument AND y.trading_day = x.trading_day"
+
+
+#: Lengths of the long average, the triple average and its trigger, and of the event-clocked average, in bars of the window (hourly here).
+LONG, TRIPLE, TRIGGER, EVENT = 10, 4, 6, 5
+#: The middle of a day's slots: powers are taken from there, so that those of a 1,440-bar session stay within doubles for lengths from 3 on.
+MIDDLE = 720
 
 
 def ema(src: str, column: str, length: int) -> str:
-    """Steps for an exponential average of a column of src (instrument, trading_day, i counted from 0, column), seeded with the first value."""
+    """A step for an exponential average of a column of src (instrument, trading_day, i counted from 0, column), seeded with the first value.
+
+    A running sum of scaled values: linear in a session's bars.
+    """
     a = 2.0 / (length + 1)
-    return f"""SELECT x.instrument, x.trading_day, x.i, sum(y.{column} * CASE WHEN y.i = 0 THEN pow({1 - a!r}, x.i) ELSE {a!r} * pow({1 - a!r}, x.i - y.i) END) AS e FROM {src} x JOIN {src} y ON {SAME} AND y.i <= x.i GROUP BY 1, 2, 3"""
+    scaled = f"{column} * CASE WHEN i = 0 THEN 1e0 ELSE {a!r} END * pow({1 - a!r}, {MIDDLE} - i)"
+    return f"SELECT {KEY}, i, pow({1 - a!r}, i - {MIDDLE}) * sum({scaled}) OVER (PARTITION BY {KEY} ORDER BY i ROWS UNBOUNDED PRECEDING) AS e FROM {src} x"
 
 
 # Long average, triple average and its trigger over the bars before the cutoff
 P.view("lines", f"""b AS (SELECT {KEY}, k, open, high, low, close, CAST(row_number() OVER (PARTITION BY {KEY} ORDER BY k) - 1 AS INT) AS i FROM {{ob}} x),
-lo AS ({ema('b', 'close', 10)}), e1 AS ({ema('b', 'close', 4)}), e2 AS ({ema('e1', 'e', 4)}), e3 AS ({ema('e2', 'e', 4)}), t1 AS ({ema('b', 'close', 6)}),
+lo AS ({ema('b', 'close', LONG)}), e1 AS ({ema('b', 'close', TRIPLE)}), e2 AS ({ema('e1', 'e', TRIPLE)}), e3 AS ({ema('e2', 'e', TRIPLE)}), t1 AS ({ema('b', 'close', TRIGGER)}),
 m AS (SELECT b.*, lo.e AS long_ma, 3 * e1.e - 3 * e2.e + e3.e AS tema, t1.e AS fast FROM b JOIN lo USING ({KEY}, i) JOIN e1 USING ({KEY}, i) JOIN e2 USING ({KEY}, i) JOIN e3 USING ({KEY}, i) JOIN t1 USING ({KEY}, i))
 SELECT *, avg(fast) OVER (PARTITION BY {KEY} ORDER BY i ROWS 2 PRECEDING) AS trigger_line, avg(tema) OVER (PARTITION BY {KEY} ORDER BY i ROWS 2 PRECEDING) AS tema_line FROM m""", STORE)
 P.query("e5_triple_average", f"SELECT instrument, {DAY}, k, round(long_ma, 6) + 0.0 AS long_ma, round(tema, 6) + 0.0 AS tema, round(tema_line, 6) + 0.0 AS tema_line, round(trigger_line, 6) + 0.0 AS trigger_line FROM {{lines}} x", "Long average, triple average and trigger with their three-bar means, bar by bar.")
 
 # An average that moves only with new bars, carried over the grid
-P.query("e6_event_clocked_average", f"""v AS (SELECT {KEY}, slot, close, CAST(row_number() OVER (PARTITION BY {KEY} ORDER BY slot) - 1 AS INT) AS i FROM {{grid}} g WHERE close IS NOT NULL), a AS ({ema('v', 'close', 5)}),
+P.query("e6_event_clocked_average", f"""v AS (SELECT {KEY}, slot, close, CAST(row_number() OVER (PARTITION BY {KEY} ORDER BY slot) - 1 AS INT) AS i FROM {{grid}} g WHERE close IS NOT NULL), a AS ({ema('v', 'close', EVENT)}),
 s AS (SELECT v.instrument, v.trading_day, v.slot, v.i, e FROM v JOIN a USING ({KEY}, i)),
 g AS (SELECT {KEY}, slot, max(CASE WHEN close IS NOT NULL THEN slot END) OVER (PARTITION BY {KEY} ORDER BY slot ROWS UNBOUNDED PRECEDING) AS seen FROM {{grid}} q)
 SELECT g.instrument, CAST(g.trading_day AS STRING) AS trading_day, g.slot, CASE WHEN i >= 4 THEN round(e, 6) + 0.0 END AS average, g.slot - seen AS age FROM g LEFT JOIN s ON s.instrument = g.instrument AND s.trading_day = g.trading_day AND s.slot = g.seen""", "An exponential average that is updated by new bars only, masked during warm-up and carried between them.")

@@ -6,7 +6,11 @@ range over dates.
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions import trailing_quantiles
 from ..plans import Portable
+from ..sources import stored
 from .fan import HOR_SQL, SEASON_SQL, SHORT_SQL, scored_origins, seasonal, short_level
 from .features import RV_SQL, realised, usual
 from .session_labels import DAY, KEY
@@ -21,18 +25,45 @@ P.base("sl", lambda spark, sf: short_level(seasonal(spark, sf)), SHORT_SQL)
 P.base("hz", scored_origins, HOR_SQL)
 P.base("us", lambda spark, sf: usual(realised(spark, sf), "rv", ["instrument", "slot"]), RV_SQL)
 
-#: Sessions of history of a shape, and the least values in it.
+#: Sessions of history of a shape.
+HISTORY = 120
+#: Sessions before each that pairs of sessions reach back.
 OFFSETS = "(VALUES " + ", ".join(f"({k})" for k in range(1, 21)) + ") f(ahead)"
 P.view("days", f"SELECT {KEY}, row_number() OVER (PARTITION BY instrument ORDER BY trading_day) AS d FROM (SELECT DISTINCT {KEY} FROM {{wd}} w) x")
 P.view("hd", f"SELECT z.instrument, z.trading_day, d, slot, phase, h, var, y, z FROM {{hz}} z JOIN {{days}} t ON t.instrument = z.instrument AND t.trading_day = z.trading_day", STORE)
-P.view("shape20", f"""x AS (SELECT z.instrument, t.trading_day, t.d, z.h, z.z FROM {{hd}} z CROSS JOIN {OFFSETS} JOIN {{days}} t ON t.instrument = z.instrument AND t.d = z.d + ahead)
-SELECT {KEY}, d, h, count(*) AS n, (percentile_cont(0.75) WITHIN GROUP (ORDER BY z) - percentile_cont(0.25) WITHIN GROUP (ORDER BY z)) / 2 AS q75, (percentile_cont(0.95) WITHIN GROUP (ORDER BY z) - percentile_cont(0.05) WITHIN GROUP (ORDER BY z)) / 2 AS q95 FROM x GROUP BY {KEY}, d, h HAVING count(*) >= 40""", STORE)
-P.query("i13_quantile_shape", f"SELECT instrument, {DAY}, h, n, round(q75, 6) + 0.0 AS q75, round(q95, 6) + 0.0 AS q95 FROM {{shape20}} s", "Symmetric quantiles of the standardised errors of the twenty sessions before each.")
-P.query("i14_shape_interpolated", f"""k AS (SELECT {KEY}, max(CASE WHEN h = 1 THEN q75 END) AS a75, max(CASE WHEN h = 4 THEN q75 END) AS b75, max(CASE WHEN h = 1 THEN q95 END) AS a95, max(CASE WHEN h = 4 THEN q95 END) AS b95 FROM {{shape20}} s GROUP BY {KEY})
+
+
+def half_ranges(spark, sf_dir):
+    """Half the distance between symmetric quantiles of the standardised errors of the HISTORY sessions before each, from 40 errors at least."""
+    errors, days = P.relation("hd", spark, sf_dir), P.relation("days", spark, sf_dir)
+    targets = days.join(errors.select("instrument", "h").distinct(), "instrument")
+    q = trailing_quantiles(errors, targets, ["instrument", "h"], "d", "z", [0.05, 0.25, 0.75, 0.95], HISTORY).where("n >= 40")
+    return q.join(days, ["instrument", "d"]).select("instrument", "trading_day", "d", "h", "n", ((F.col("q")[2] - F.col("q")[1]) / 2).alias("q75"), ((F.col("q")[3] - F.col("q")[0]) / 2).alias("q95"))
+
+
+def phase_medians(spark, sf_dir):
+    """The median absolute error of the HISTORY sessions before each by horizon (phase '') and by horizon and phase."""
+    errors, days = P.relation("hd", spark, sf_dir), P.relation("days", spark, sf_dir)
+    errors = errors.select("instrument", "d", "h", F.explode(F.array(F.lit(""), "phase")).alias("phase"), F.abs("z").alias("a"))
+    targets = days.join(errors.select("instrument", "h", "phase").distinct(), "instrument")
+    q = trailing_quantiles(errors, targets, ["instrument", "h", "phase"], "d", "a", [0.5], HISTORY)
+    return q.join(days, ["instrument", "d"]).select("instrument", "trading_day", "h", "phase", "n", F.col("q")[0].alias("m"))
+
+
+_BEFORE = f"{{hd}} z JOIN {{days}} t ON t.instrument = z.instrument AND z.d BETWEEN t.d - {HISTORY} AND t.d - 1"
+P.base("half_ranges", lambda spark, sf: stored(spark, sf, "view-half-ranges", lambda: half_ranges(spark, sf)), f"""half_ranges AS (
+SELECT t.instrument, t.trading_day, t.d, h, count(*) AS n, (quantile_cont(z.z, 0.75) - quantile_cont(z.z, 0.25)) / 2 AS q75, (quantile_cont(z.z, 0.95) - quantile_cont(z.z, 0.05)) / 2 AS q95
+FROM {_BEFORE} GROUP BY 1, 2, 3, 4 HAVING count(*) >= 40)""")
+P.base("phase_medians", lambda spark, sf: stored(spark, sf, "view-phase-medians", lambda: phase_medians(spark, sf)), f"""phase_medians AS (
+SELECT t.instrument, t.trading_day, h, '' AS phase, count(*) AS n, median(abs(z.z)) AS m FROM {_BEFORE} GROUP BY 1, 2, 3
+UNION ALL SELECT t.instrument, t.trading_day, h, phase, count(*) AS n, median(abs(z.z)) AS m FROM {_BEFORE} GROUP BY 1, 2, 3, 4)""")
+P.query("i13_quantile_shape", f"SELECT instrument, {DAY}, h, n, round(q75, 6) + 0.0 AS q75, round(q95, 6) + 0.0 AS q95 FROM {{half_ranges}} s", "Symmetric quantiles of the standardised errors of the HISTORY sessions before each.")
+P.query("i14_shape_interpolated", f"""k AS (SELECT {KEY}, max(CASE WHEN h = 1 THEN q75 END) AS a75, max(CASE WHEN h = 4 THEN q75 END) AS b75, max(CASE WHEN h = 1 THEN q95 END) AS a95, max(CASE WHEN h = 4 THEN q95 END) AS b95 FROM {{half_ranges}} s GROUP BY {KEY})
 SELECT instrument, {DAY}, m.h, round(a75 + (b75 - a75) * ln(m.h) / ln(4), 6) + 0.0 AS q75, round(a95 + (b95 - a95) * ln(m.h) / ln(4), 6) + 0.0 AS q95 FROM k CROSS JOIN (VALUES (1), (2), (3), (4)) m(h) WHERE a95 IS NOT NULL AND b95 IS NOT NULL""", "Any horizon's quantiles between two knots, linear in the logarithm of time, as of each session.")
-P.query("i17_phase_scale", f"""x AS (SELECT z.instrument, t.trading_day, t.d, z.h, z.phase, abs(z.z) AS a FROM {{hd}} z CROSS JOIN {OFFSETS} JOIN {{days}} t ON t.instrument = z.instrument AND t.d = z.d + ahead),
-p AS (SELECT {KEY}, h, phase, count(*) AS n, percentile_cont(0.5) WITHIN GROUP (ORDER BY a) AS m FROM x GROUP BY {KEY}, h, phase), g AS (SELECT {KEY}, h, percentile_cont(0.5) WITHIN GROUP (ORDER BY a) AS m FROM x GROUP BY {KEY}, h)
-SELECT p.instrument, CAST(p.trading_day AS STRING) AS trading_day, p.h, p.phase, p.n, round(CASE WHEN p.n >= 10 THEN p.m ELSE g.m END / s.q75, 6) + 0.0 AS scale FROM p JOIN g USING ({KEY}, h) JOIN {{shape20}} s ON s.instrument = p.instrument AND s.trading_day = p.trading_day AND s.h = p.h WHERE s.q75 > 0""",
+P.query("i17_phase_scale", """
+SELECT p.instrument, CAST(p.trading_day AS STRING) AS trading_day, p.h, p.phase, p.n, round(CASE WHEN p.n >= 10 THEN p.m ELSE g.m END / s.q75, 6) + 0.0 AS scale
+FROM {phase_medians} p JOIN {phase_medians} g ON g.instrument = p.instrument AND g.trading_day = p.trading_day AND g.h = p.h AND g.phase = '' AND p.phase <> ''
+JOIN {half_ranges} s ON s.instrument = p.instrument AND s.trading_day = p.trading_day AND s.h = p.h WHERE s.q75 > 0""",
         "Median absolute error over the shape's quartile by phase, from the sessions before; a phase with few values takes the horizon's.")
 P.view("scales", f"""g AS (SELECT instrument, trading_day, d, h, m.m, sum(abs(abs(y) - m.m * sqrt(var))) AS loss, count(*) AS n FROM {{hd}} z CROSS JOIN (VALUES (0.25), (0.5), (0.75), (1.0), (1.5), (2.0)) m(m) GROUP BY 1, 2, 3, 4, 5),
 r AS (SELECT {KEY}, d, h, m, sum(loss) OVER w AS loss, sum(n) OVER w AS n FROM g WINDOW w AS (PARTITION BY instrument, h, m ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
@@ -70,7 +101,7 @@ P.query("i10_four_variants", f"SELECT instrument, {DAY}, slot, h, round(seasonal
 # I15, I18, I20 to I23
 P.view("frames", f"""r AS (SELECT trading_day, slot, count(*) AS releases FROM {{releases}} q GROUP BY 1, 2), g AS (SELECT g.instrument, g.trading_day, g.slot, coalesce(releases, 0) AS c FROM {{grid}} g LEFT JOIN r ON r.trading_day = g.trading_day AND r.slot = g.slot),
 a AS (SELECT {KEY}, slot, max(c) OVER (w ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS ahead1, max(c) OVER (w ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS ahead4 FROM g WINDOW w AS (PARTITION BY {KEY} ORDER BY slot))
-SELECT z.instrument, z.trading_day, z.d, z.slot, z.phase, z.h, z.var, z.y, z.z, s.q75, s.q95, CASE WHEN z.h = 1 THEN ahead1 ELSE ahead4 END > 0 AS release_ahead FROM {{hd}} z JOIN a ON a.instrument = z.instrument AND a.trading_day = z.trading_day AND a.slot = z.slot LEFT JOIN {{shape20}} s ON s.instrument = z.instrument AND s.trading_day = z.trading_day AND s.h = z.h""".replace("max(c) OVER (w ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING)", f"lead(c, 1) OVER (PARTITION BY {KEY} ORDER BY slot)").replace("max(c) OVER (w ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING)", f"max(c) OVER (PARTITION BY {KEY} ORDER BY slot ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING)").replace(f" FROM g WINDOW w AS (PARTITION BY {KEY} ORDER BY slot)", " FROM g"), STORE)
+SELECT z.instrument, z.trading_day, z.d, z.slot, z.phase, z.h, z.var, z.y, z.z, s.q75, s.q95, CASE WHEN z.h = 1 THEN ahead1 ELSE ahead4 END > 0 AS release_ahead FROM {{hd}} z JOIN a ON a.instrument = z.instrument AND a.trading_day = z.trading_day AND a.slot = z.slot LEFT JOIN {{half_ranges}} s ON s.instrument = z.instrument AND s.trading_day = z.trading_day AND s.h = z.h""".replace("max(c) OVER (w ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING)", f"lead(c, 1) OVER (PARTITION BY {KEY} ORDER BY slot)").replace("max(c) OVER (w ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING)", f"max(c) OVER (PARTITION BY {KEY} ORDER BY slot ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING)").replace(f" FROM g WINDOW w AS (PARTITION BY {KEY} ORDER BY slot)", " FROM g"), STORE)
 P.query("i15_baseline_frames", f"SELECT instrument, {DAY}, slot, h, round(var, 6) + 0.0 AS var, round(q75, 6) + 0.0 AS q75, round(q95, 6) + 0.0 AS q95, release_ahead FROM {{frames}} f", "Variance, shape and whether a release lies ahead, for every origin and horizon.")
 P.view("scaled", f"""c AS (SELECT f.*, CASE WHEN f.phase = 'open' THEN 1.0 ELSE 0.0 END AS is_open, CASE WHEN release_ahead THEN 1.0 ELSE 0.0 END AS is_release, b0, b1, b2 FROM {{frames}} f JOIN (VALUES (1, 0.05, -0.10, 0.20), (4, 0.02, -0.05, 0.10)) b(h, b0, b1, b2) ON b.h = f.h)
 SELECT {KEY}, d, slot, h, y, var, z, exp(least(1.5, greatest(-1.5, b0 + b1 * is_open + b2 * is_release))) AS mult FROM c""")

@@ -40,7 +40,7 @@ class Portable:
         self.bases, self.views, self.kept = (dict(x) for x in (parent.bases, parent.views, parent.kept)) if parent else ({}, {}, {})
 
     def base(self, name: str, frame: Callable, steps: str | None = None, relation: str | None = None) -> None:
-        """A relation by frame(spark, sf_dir); in DuckDB the table of that name, or `relation` of the WITH steps."""
+        """A relation by frame(spark, sf_dir); in DuckDB the table of that name, or `relation` of the WITH steps, which may name others."""
         self.bases[name] = (frame, f"(WITH {steps} SELECT * FROM {relation or name})" if steps else name)
 
     def view(self, name: str, text: str, kept: tuple[str, ...] = ()) -> None:
@@ -76,7 +76,7 @@ class Portable:
         def add(t: str) -> str:
             for n in NAME.findall(t):
                 if n not in steps and (n in self.views or self.bases[n][1] != n):
-                    made = add(self.views[n]) if n in self.views else self.bases[n][1][1:-1]
+                    made = add(self.views[n] if n in self.views else self.bases[n][1][1:-1])
                     steps[n] = made if made.lstrip().startswith(("SELECT", "WITH")) else "WITH " + made
             return NAME.sub(lambda m: f"r_{m[1]}" if m[1] in steps else m[1], t)
 
