@@ -4,7 +4,8 @@
    comparison. Nodes are unit vectors of doubles.
 2. Groups (first the labels, then cells that are still large, LEVELS times at most) are split into cells by spherical
    k-means, fitted on a bounded sample of the group (SAMPLE rows on average, by a hash of the vector). The number of cells is
-   the one of KS for which the sample promises the least work, comparisons and copies sent; labels always get cells, a large cell that cells would not help stays whole.
+   the one of KS for which the sample promises the least work, comparisons and copies sent; labels of two
+   vectors and more always get cells, a large cell that cells would not help stays whole.
 3. Two unit vectors of cosine >= t are at most d = sqrt(2 - 2t) apart. If they lie in different cells c1 and c2, one of
    them is within d / 2 of the plane that halves c1 and c2. So a vector is also sent to each cell whose plane is so near:
    two such vectors meet in some cell, at every level. Each row keeps the cells before its own that it was sent to as well (column
@@ -38,7 +39,7 @@ from .components import connected_components
 THRESHOLD = 0.98
 SAMPLE = 4_000
 #: Numbers of cells tried; the least rows of a label, and of a cell, to be split; levels of splitting; numbers in all centroids of a level.
-KS, LABEL_ROWS, SPLIT_ROWS, LEVELS, CENTRE_NUMBERS = (4, 16, 64, 256), 64, 6_000, 3, 8 << 20
+KS, LABEL_ROWS, SPLIT_ROWS, LEVELS, CENTRE_NUMBERS = (2, 4, 16, 64, 256), 2, 6_000, 3, 8 << 20
 BLOCK_ROWS = 1_500
 ROUNDS = 12
 #: Labels always get cells; cells of cells must bring a group's work down to this share. A vector sent to a block of a cell costs as much as SEND comparisons (less in groups of one block).
@@ -93,10 +94,10 @@ def fit_cells(nodes: DataFrame, least: int, threshold: float, worth: float) -> d
         cost = lambda cells: (cells**2 + send * cells * np.maximum(1, cells / BLOCK_ROWS)).sum()
         best, work = None, worth * cost(np.array([n]))
         for k in KS:
-            if 8 * k > len(x):
+            if 8 * k > len(x) and k > KS[0]:
                 break
             centre = spherical_kmeans(x[::2], k)
-            other = x[1::2]  # rows the centroids have not seen tell how far vectors spread over cells
+            other = x[1::2] if len(x) > 1 else x  # rows the centroids have not seen tell how far vectors spread over cells
             needed = cost(reach(other, centre, threshold).sum(axis=0) * (n / len(other)))
             if needed < work:
                 best, work = centre, needed

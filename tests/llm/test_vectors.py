@@ -73,3 +73,14 @@ def test_cells_prune_clustered_vectors():
     x = vectors.unit(np.repeat(r.normal(size=(200, 32)), 20, axis=0) + r.normal(size=(4000, 32)) * 0.02)
     near = vectors.reach(x, vectors.spherical_kmeans(x, 64), 0.98)
     assert (near.sum(axis=0) ** 2).sum() < 0.1 * len(x) ** 2 and near.sum() < 2 * len(x)
+
+
+def test_every_label_gets_cells(spark):
+    """With production parameters, the small labels of a small table are split as large ones are."""
+    own = vectors.clean(vectors.read(spark, "/root/testdata/sf0.01", "embeddings"))
+    nodes = own.select("label", vectors.F.monotonically_increasing_id().alias("node"), vectors.F.lit(1).cast("long").alias("copies"), "v")
+    cells = {}
+    for r in vectors.in_cells(vectors.staged(nodes, "nodes"), vectors.THRESHOLD).select("cell").collect():
+        label, *rest = r.cell.split("/")
+        cells.setdefault(label, set()).add(tuple(rest))
+    assert len(cells) == 10 and all(len(c) > 1 and () not in c for c in cells.values())
