@@ -14,6 +14,7 @@ repeated documents each get a row; very long texts are searched whole, in stretc
 
 from __future__ import annotations
 
+import uuid
 from array import array
 from collections import defaultdict
 
@@ -21,10 +22,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, field, read
+from .common import append_columns, field, read, staged
 
 WINDOW = 13
-#: Bytes of item text that are compiled and sent to the executors at a time; larger benchmarks take several passes.
+#: Bytes of item text that are compiled and sent to the executors at a time; larger benchmarks take a job each.
 BLOCK_BYTES = 8 << 20
 SHIFT_BITS = 20
 STRETCH = 4096
@@ -87,15 +88,25 @@ class WuManber:
 
 def compile_items(items: list[tuple[object, bytes | None]]) -> tuple[list[WuManber], dict[bytes, list[str]]]:
     """Searchers by length class, and the ids of the items that have each window."""
-    owners: dict[bytes, list[str]] = defaultdict(list)
+    owners: dict[bytes, dict[str, None]] = defaultdict(dict)
     for i, text in items:
         for w in dict.fromkeys(windows(text)):
-            if str(i) not in owners[w]:
-                owners[w].append(str(i))
+            owners[w][str(i)] = None
     classes: dict[int, list[bytes]] = defaultdict(list)
     for p in owners:
         classes[min(len(p), 48).bit_length() if len(p) < 32 else 6 + (len(p) >= 48)].append(p)
-    return [WuManber(ps) for _, ps in sorted(classes.items())], dict(owners)
+    return [WuManber(ps) for _, ps in sorted(classes.items())], {w: list(ids) for w, ids in owners.items()}
+
+
+_COMPILED: dict[str, tuple] = {}
+
+
+def compiled(name: str, items) -> tuple[list[WuManber], dict[bytes, list[str]]]:
+    """The searchers of a broadcast block of items, made once in a worker and kept until the next block."""
+    if name not in _COMPILED:
+        _COMPILED.clear()
+        _COMPILED[name] = compile_items(items.value)
+    return _COMPILED[name]
 
 
 def search_batch(searchers: list[WuManber], owners: dict[bytes, list[str]], texts: list) -> list[tuple[int, list[int], list[str]]]:
@@ -134,30 +145,44 @@ def search_batch(searchers: list[WuManber], owners: dict[bytes, list[str]], text
 
 
 def blocks_of_items(benchmark: DataFrame, text: str = "text", id_col: str = "item_id"):
-    """The benchmark, a block of at most about BLOCK_BYTES (or one item) at a time, each small enough for the driver."""
+    """The number of blocks, and an iterator of them: at most about BLOCK_BYTES (or one item) each, small enough for the driver."""
     own = benchmark.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text}`").cast("string").alias("t")).where("i IS NOT NULL AND length(t) > 0")
     size = own.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     n = max(1, -(-size // BLOCK_BYTES))
-    for k in range(n):
-        yield [(r.i, r.t.encode()) for r in own.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k).orderBy("i", "t").collect()]
+    return n, ([(r.i, r.t.encode()) for r in own.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k).orderBy("i", "t").collect()] for k in range(n))
+
+
+def search_block(docs: DataFrame, text: str, items: list, keep: list[str]) -> DataFrame:
+    """One pass over docs with one block of items: the columns in keep, n_words, hit_words and items."""
+    shared, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex  # BLOCK_BYTES at most
+
+    def make():
+        searchers, owners = compiled(name, shared)
+        return lambda texts: dict(zip(("n_words", "hit_words", "items"), zip(*search_batch(searchers, owners, texts), strict=True)))
+
+    return append_columns(docs, text, make, [field("n_words", "bigint"), field("hit_words", "array<bigint>"), field("items", "array<string>")], keep)
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs with n_words, hit_words (numbers of the words inside an occurrence) and items (ids found, as sorted strings)."""
-    sc = docs.sparkSession.sparkContext
+    """docs with n_words, hit_words (numbers of the words inside an occurrence) and items (ids found, as sorted strings).
+
+    A benchmark of one block is one pass. For a larger one the rows are written once with a number, each block is a job of its own
+    that writes the hits it finds, and these are merged by number: neither plans nor texts pile up with the blocks.
+    """
     keep = list(docs.columns if keep is None else keep)
-    out = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__t"), F.array().cast("array<bigint>").alias("hit_words"), F.array().cast("array<string>").alias("items"))
-    fields = [field("n_words", "bigint"), field("__hit", "array<bigint>"), field("__items", "array<string>")]
-    for items in blocks_of_items(benchmark):
-        shared = sc.broadcast(items)  # BLOCK_BYTES at most
-
-        def make(shared=shared):
-            searchers, owners = compile_items(shared.value)
-            return lambda texts: dict(zip(("n_words", "__hit", "__items"), zip(*search_batch(searchers, owners, texts), strict=True)))
-
-        out = append_columns(out, "__t", make, fields, keep=[*keep, "__t", "hit_words", "items"])
-        out = out.select(*[F.col(f"`{c}`") for c in keep], "__t", F.array_union("hit_words", "__hit").alias("hit_words"), F.array_union("items", "__items").alias("items"), "n_words")
-    return out.drop("__t").withColumn("items", F.array_sort("items"))
+    own = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__t"))
+    n, blocks = blocks_of_items(benchmark)
+    if n == 1:
+        return search_block(own, "__t", next(blocks), keep).withColumn("items", F.array_sort("items"))
+    own = staged(own.withColumn("__row", F.monotonically_increasing_id()), "searched")
+    found = None
+    for items in blocks:
+        part = staged(search_block(own, "__t", items, ["__row"]).where(F.size("items") > 0).select("__row", "hit_words", "items"), "hits")
+        found = part if found is None else found.unionAll(part)
+    merged = found.groupBy("__row").agg(F.array_distinct(F.flatten(F.collect_list("hit_words"))).alias("hit_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    words = search_block(own, "__t", [], [*keep, "__row"]).drop("hit_words", "items")
+    out = words.join(merged, "__row", "left")
+    return out.select(*[F.col(f"`{c}`") for c in keep], "n_words", F.coalesce("hit_words", F.array().cast("array<bigint>")).alias("hit_words"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def contaminated() -> F.Column:

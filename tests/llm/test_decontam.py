@@ -54,7 +54,8 @@ def test_blocks_give_the_same(spark, tables, monkeypatch):
     b = spark.createDataFrame(items, "item_id long, text string")
     whole = sorted(map(str, decontam.find_hits(d, b, keep=["doc_id"]).select("doc_id", "n_words", "items", F_sorted("hit_words")).collect()))
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 60)
-    assert len(list(decontam.blocks_of_items(b))) > 2
+    n, blocks = decontam.blocks_of_items(b)
+    assert n > 2 and len(list(blocks)) == n
     assert sorted(map(str, decontam.find_hits(d, b, keep=["doc_id"]).select("doc_id", "n_words", "items", F_sorted("hit_words")).collect())) == whole
 
 
@@ -69,3 +70,27 @@ def test_empty_tables(spark):
     assert decontam.find_hits(d, b).count() == 0
     one = decontam.find_hits(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), b, keep=["doc_id"]).first()
     assert (one.n_words, one.hit_words, one["items"]) == (2, [], [])
+
+
+def test_texts_beyond_a_slice_and_many_items_of_one_window(spark, monkeypatch):
+    """A text of several slices is searched whole, and a window that thousands of items share names them all."""
+    from barline.llm import common
+
+    monkeypatch.setattr(common, "CHUNK_BYTES", 4096)
+    passage = " ".join(vocabulary(13, "p"))
+    text = " ".join(vocabulary(4000, "q")) + " " + passage + " tail"
+    items = [(k, passage) for k in range(3000)] + [(9000, "tail")]
+    d = spark.createDataFrame([(1, text), (2, "short"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in decontam.find_hits(d, spark.createDataFrame(items, "item_id long, text string"), keep=["doc_id"]).collect()}
+    assert got[1]["items"] == sorted(str(i) for i, _ in items) and sorted(got[1].hit_words) == list(range(4000, 4014)) and got[1].n_words == 4014
+    assert got[2]["items"] == got[3]["items"] == []
+
+
+def test_stage_keeps_clean_documents_with_their_columns(spark, tmp_path):
+    """Null ids and texts, clashing columns, an empty table."""
+    spark.createDataFrame([(1, " ".join(vocabulary(20, "s")))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, " ".join(vocabulary(20, "s")), "a"), (2, "clean text", "b"), (None, None, "c"), (None, " ".join(vocabulary(20, "s")), "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, items string")
+    out = decontam.stage(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and sorted(map(str, out.collect())) == sorted(map(str, docs.where("items IN ('b', 'c')").collect()))
+    assert decontam.stage(spark, docs.where("false"), str(tmp_path)).count() == 0
