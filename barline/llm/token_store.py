@@ -36,9 +36,11 @@ from .common import append_columns, field, read, shared_path, staged
 
 END_ID = 2
 SAMPLE_ROWS, SAMPLE_IDS, DICT_BYTES = 1000, 16_384, 64 << 10
-BLOCK_BYTES, FILE_BLOCKS = 4 << 20, 48
+BLOCK_BYTES, FILE_BLOCKS = 4 << 20, 12
 #: Bytes of text for each shard and for each task that writes them, and most shards (beyond them, shards grow and have more files).
 SHARD_BYTES, TASK_BYTES, MOST_SHARDS = 1 << 20, 16 << 20, 20_000
+#: Consecutive shards whose files share a folder, so that a document is looked for in the files of one folder only.
+FOLDER_SHARDS = 4
 MAGIC = b"TIDS"
 HEAD = "<4sB32sIIIQII"  # magic, id width, dictionary hash, shard, block, documents, ids before in the shard, frame bytes, crc32 of index and frames
 INDEX = np.dtype([("known", "u1"), ("doc_id", "<i8"), ("n", "<u4"), ("crc", "<u4"), ("offset", "<u4"), ("length", "<u4")])
@@ -167,6 +169,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     shards = shards or max(1, min(MOST_SHARDS, -(-size // SHARD_BYTES)))
     cuts = sorted({int(x) for x in docs.where("doc_id IS NOT NULL").approxQuantile("doc_id", [k / shards for k in range(1, shards)], max(1e-4, 0.2 / shards))}) if shards > 1 else []
     shared, digest = spark.sparkContext.broadcast((dictionary, np.array(cuts, np.int64))), hashlib.sha256(dictionary).digest()
+    # shard k holds the ids from above cuts[k - 1] to cuts[k]
+    last = len(cuts) // FOLDER_SHARDS
+    ranges = [(f, cuts[f * FOLDER_SHARDS - 1] + 1 if f else None, cuts[(f + 1) * FOLDER_SHARDS - 1] if f < last else None) for f in range(last + 1)]
+    spark.createDataFrame(ranges, "folder int, low bigint, high bigint").coalesce(1).write.parquet(f"{path}/folders")  # a row for FOLDER_SHARDS shards
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .common import text_chunks
@@ -189,10 +195,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
             body = np.array(rows, INDEX).tobytes() + b"".join(frames)
             return struct.pack(HEAD, MAGIC, width, digest, shard, number, len(rows), before, size, zlib.crc32(body)) + body
 
+        def made(shard: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([shard // FOLDER_SHARDS], pa.int32()), pa.array([block()], pa.binary())], names=["folder", "block"])
+
         for batch in batches:
             for s, d, n, crc, frame in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if rows and (s != shard or size + len(frame) > BLOCK_BYTES):
-                    yield pa.RecordBatch.from_arrays([pa.array([block()], pa.binary())], names=["block"])
+                    yield made(shard)
                     before, number = before + sum(r[2] for r in rows), number + 1
                     rows, frames, size = [], [], 0
                 if s != shard:
@@ -201,11 +210,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
                 frames.append(frame)
                 size += len(frame)
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([block()], pa.binary())], names=["block"])
+            yield made(shard)
 
     encoded = docs.mapInArrow(encode, "shard int, doc_id bigint, n bigint, crc bigint, frame binary")
-    dealt = encoded.repartition(max(1, -(-size // TASK_BYTES)), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "n", "crc", "frame")
-    dealt.mapInArrow(blocks, "block binary").select(F.col("block").cast("string").alias("value")).write.option("maxRecordsPerFile", FILE_BLOCKS).text(f"{path}/blocks")
+    folder = F.floor(F.col("shard") / FOLDER_SHARDS)
+    dealt = encoded.repartition(max(1, -(-size // TASK_BYTES)), folder).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "n", "crc", "frame")
+    value = F.col("block").cast("string").alias("value")
+    dealt.mapInArrow(blocks, "folder int, block binary").select("folder", value).write.partitionBy("folder").option("maxRecordsPerFile", FILE_BLOCKS).text(f"{path}/blocks")
 
 
 def parse_blocks(data: bytes) -> Iterator[tuple[dict, np.ndarray, int]]:
@@ -221,6 +232,17 @@ def parse_blocks(data: bytes) -> Iterator[tuple[dict, np.ndarray, int]]:
         at = frames + size + 1  # and the writer's line end
 
 
+def block_files(spark: SparkSession, path: str, only: list[int] | None = None) -> DataFrame:
+    """The contents of the block files; with a list of ids, of those that can hold one of them."""
+    files = spark.read.format("binaryFile").load(f"{path}/blocks")
+    if only is not None and "folder" in files.columns:  # without documents there is no folder
+        wanted = spark.createDataFrame([(int(i),) for i in only], "id bigint")
+        holds = F.col("id").between(F.coalesce("low", F.lit(-(2**63))), F.coalesce("high", F.lit(2**63 - 1)))
+        folders = spark.read.parquet(f"{path}/folders").join(F.broadcast(wanted), holds).select("folder").distinct()  # a short list of ids
+        files = files.where(F.col("folder").isin([r.folder for r in folders.collect()]))  # a partition filter: other folders are not opened
+    return files.where("length > 0").select("content")
+
+
 def read_tokens(spark: SparkSession, path: str, only: list[int] | None = None, ids: bool = False) -> DataFrame:
     """The documents of the files (or those of a short list of ids): shard, before (ids before it in the shard), doc_id, n_tokens, ids_crc32; with ids also the ids."""
     dictionary = spark.read.parquet(f"{path}/dictionary").first().dictionary
@@ -249,8 +271,7 @@ def read_tokens(spark: SparkSession, path: str, only: list[int] | None = None, i
                     cols = [pa.array(np.full(len(rows), head["shard"], np.int64)), pa.array(starts[rows]), pa.array(index["doc_id"][rows].astype(np.int64), mask=index["known"][rows] == 0), pa.array(index["n"][rows].astype(np.int64)), pa.array(crcs, pa.int64())]
                     yield pa.RecordBatch.from_arrays(cols + [pa.array(got, pa.list_(pa.int64()))] * ids, names=["shard", "before", "doc_id", "n_tokens", "ids_crc32"] + ["ids"] * ids)
 
-    files = spark.read.format("binaryFile").load(f"{path}/blocks").where("length > 0").select("content")
-    return files.mapInArrow(run, "shard bigint, before bigint, doc_id bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * ids)
+    return block_files(spark, path, only).mapInArrow(run, "shard bigint, before bigint, doc_id bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * ids)
 
 
 def with_starts(tokens: DataFrame) -> DataFrame:

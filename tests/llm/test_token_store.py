@@ -71,6 +71,19 @@ def test_files_roll_and_shards_follow_the_bytes(spark, tmp_path, monkeypatch):
         path = f"{tmp_path}/{block}"
         token_store.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
         made.append(sorted(map(tuple, token_store.with_starts(token_store.read_tokens(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32").collect())))
-        files = [f for f in (tmp_path / str(block) / "blocks").iterdir() if f.name.startswith("part-")]
+        files = list((tmp_path / str(block) / "blocks").glob("*/part-*"))
         assert len(files) == 1 if block > 600 else len(files) > 2
     assert made[0] == made[1] and len(made[0]) == 120
+
+
+def test_a_lookup_opens_only_the_files_that_can_hold_it(spark, tmp_path):
+    d = spark.createDataFrame([(k, f"text {k} " * 3) for k in range(0, 4000, 2)] + [(None, "no id")], "doc_id long, text string").repartition(4)
+    token_store.write_tokens(d, f"{tmp_path}/t", PATH, shards=40)
+    everything = list((tmp_path / "t" / "blocks").glob("*/part-*"))
+    read = lambda only: token_store.block_files(spark, f"{tmp_path}/t", only)
+    assert len(everything) >= 8 and read(None).count() == len(everything)
+    for only in ([0], [1998], [3998], [0, 2], [777]):
+        assert 1 <= read(only).count() <= 2
+        got = token_store.read_tokens(spark, f"{tmp_path}/t", only=only, ids=True).collect()
+        assert {r.doc_id: r.ids for r in got} == {k: [*ids(f"text {k} " * 3), 2] for k in only if k % 2 == 0}
+    assert read([0, 3998]).count() < len(everything)
