@@ -1,8 +1,9 @@
 """Group K, third part: models fitted by MLlib on earlier sessions, tuned on the last of them, and scored on later ones.
 
 Sessions are numbered by instrument. Fold f tests the five sessions after number 5 f, learns from those before, less one session of
-embargo, and tunes on the last three of these. Imputation and scaling are fitted on training rows only. Loops run over folds and a small
-grid, never over rows; what comes back to the driver is a handful of coefficients or a score.
+embargo, and tunes on the last three of these; there are as many folds as the sessions need, so each session after the first fold's
+start is tested once. Imputation and scaling are fitted on training rows only. Linear models of all folds and penalties are fitted
+together (fits.py); trees and the models made of several loop over folds and a small grid, never over rows.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import r6
 from ..plans import Portable, register
+from . import fits
 from .judging import P as JUDGING
 from .session_labels import DAY
 from .structure import STORE
@@ -27,7 +29,8 @@ QUERIES: dict = {}
 SQL: dict = {}
 query = register(QUERIES, SQL)
 P = Portable(QUERIES, SQL, JUDGING)
-FOLDS, BLOCK, EMBARGO, INNER = (2, 3), 5, 1, 3
+#: The first fold that is tested; sessions of a fold, of the embargo before it, and of the tuning before that.
+FIRST_FOLD, BLOCK, EMBARGO, INNER = 2, 5, 1, 3
 FEATURES = ["log_level", "iv_rv", "last_z", "clock_sin", "clock_cos"]
 CODE = {"bearish": 0.0, "bullish": 1.0, "neutral_band": 2.0}
 
@@ -49,11 +52,21 @@ def rows_of(spark, sf_dir: str, view: str) -> DataFrame:
     return P.relation(view, spark, sf_dir)
 
 
+def folds(rows: DataFrame) -> list[int]:
+    """The folds that cover all sessions from FIRST_FOLD's first test session on."""
+    last = rows.agg(F.max("d")).first()[0] or 0
+    return list(range(FIRST_FOLD, -(-int(last) // BLOCK)))
+
+
+def windows(fold: int) -> dict[str, tuple[int, int]]:
+    """The first and last session of each part of a fold."""
+    last = fold * BLOCK - EMBARGO
+    return {"train": (1, last), "inner": (1, last - INNER), "valid": (last - INNER + 1, last), "test": (fold * BLOCK + 1, (fold + 1) * BLOCK)}
+
+
 def split(rows: DataFrame, fold: int) -> dict[str, DataFrame]:
     """Train, and of it inner and valid; test. Sessions of the embargo are in none."""
-    last = fold * BLOCK - EMBARGO
-    d = F.col("d")
-    return {"train": rows.where(d <= last), "inner": rows.where(d <= last - INNER), "valid": rows.where((d > last - INNER) & (d <= last)), "test": rows.where((d > fold * BLOCK) & (d <= (fold + 1) * BLOCK))}
+    return {name: rows.where(F.col("d").between(a, z)) for name, (a, z) in windows(fold).items()}
 
 
 def fitted(estimator, features: list[str], rows: DataFrame):
@@ -104,17 +117,47 @@ def empty(spark, schema: str) -> DataFrame:
 CLASS_SCHEMA = "fold int, instrument string, trading_day string, slot int, label string, penalty double, p_bearish double, p_bullish double, p_neutral double"
 
 
+def least_loss(scored: DataFrame, loss, problems: list[tuple[int, float]], numbers: list[int], penalties: list[float]) -> dict[int, tuple[float, float | None]]:
+    """By fold: the penalty of least mean loss on its tuning sessions (the first where there are none), and that loss. problems: (fold, penalty) of each model."""
+    got = {r.model: r.loss for r in scored.groupBy("model").agg(F.avg(loss).alias("loss")).collect()}  # a row a model
+    own = lambda f: {g: got.get(k) for k, (o, g) in enumerate(problems) if o == f}
+    best = {f: min(penalties, key=lambda g: (own(f)[g] is None, own(f)[g])) for f in numbers}
+    return {f: (g, own(f)[g]) for f, g in best.items()}
+
+
+def walk_forward(rows: DataFrame, features: list[str], target: str, family: str, penalties: list[float], loss, classes: int = 1):
+    """Tunes and fits all folds together: predictions of every fold's test sessions (column fold), the chosen penalties and losses, the weights."""
+    numbers = folds(rows)
+    part = {f: windows(f) for f in numbers}
+    scales = fits.Scales(rows, features, [part[f][name][1] for f in numbers for name in ("inner", "train")])
+    chosen = {f: (penalties[0], None) for f in numbers}
+    if len(penalties) > 1 and numbers:
+        tried = [(f, g) for f in numbers for g in penalties]
+        inner = fits.fit(rows, features, target, [(part[f]["inner"][1], g) for f, g in tried], family, scales, classes)
+        models = [(part[f]["inner"][1], *part[f]["valid"], w) for (f, _), w in zip(tried, inner, strict=True)]
+        chosen = least_loss(fits.predict(rows.where(F.col(target).isNotNull()), features, models, family, scales), loss, tried, numbers, penalties)
+    weights = fits.fit(rows, features, target, [(part[f]["train"][1], chosen[f][0]) for f in numbers], family, scales, classes)
+    models = [(part[f]["train"][1], *part[f]["test"], w) for f, w in zip(numbers, weights, strict=True)]
+    fold = F.element_at(F.array(*[F.lit(f) for f in numbers] or [F.lit(0)]), F.col("model") + 1)
+    return fits.predict(rows, features, models, family, scales).withColumn("fold", fold).drop("model"), chosen, dict(zip(numbers, weights, strict=True)), scales
+
+
+def brier_of(classes: int = 3):
+    """The multiclass Brier of a row with p and y."""
+    return reduce(lambda a, b: a + b, ((F.col("p")[k] - F.when(F.col("y") == k, 1.0).otherwise(0.0)) ** 2 for k in range(classes)))
+
+
+def by_fold(values: dict[int, float]):
+    """A number of each fold as a column."""
+    return F.create_map(*[x for f, v in values.items() for x in (F.lit(f), F.lit(float(v)))])[F.col("fold")] if values else F.lit(None).cast("double")
+
+
 @query("k15_multinomial_logistic")
 def k15(spark, sf_dir):
-    """Class probabilities of every test fold by multinomial logistic regression, its penalty tuned on the last training sessions."""
-    rows, out = coded(rows_of(spark, sf_dir, "model_rows")), [empty(spark, CLASS_SCHEMA)]
-    for f in FOLDS:
-        parts = split(rows, f)
-        best, model, _ = tuned(parts, [0.01, 0.1, 1.0], logistic, probabilities, brier)
-        if model:
-            p = probabilities(model, parts["test"])
-            out.append(p.select(F.lit(f).alias("fold"), "instrument", F.col("trading_day").cast("string").alias("trading_day"), F.col("slot").cast("int").alias("slot"), "label", F.lit(best).alias("penalty"), *[r6(F.col("p")[k]).alias(n) for k, n in enumerate(("p_bearish", "p_bullish", "p_neutral"))]))
-    return union(out)
+    """Class probabilities of every session from the first fold on by multinomial logistic regression, its penalty tuned on the last training sessions."""
+    rows = coded(rows_of(spark, sf_dir, "model_rows"))
+    p, chosen, _, _ = walk_forward(rows, FEATURES, "y", "multinomial", [0.01, 0.1, 1.0], brier_of(), 3)
+    return p.select("fold", "instrument", F.col("trading_day").cast("string").alias("trading_day"), F.col("slot").cast("int").alias("slot"), "label", by_fold({f: g for f, (g, _) in chosen.items()}).alias("penalty"), *[r6(F.col("p")[k]).alias(n) for k, n in enumerate(("p_bearish", "p_bullish", "p_neutral"))])
 
 
 @query("k16_boosted_classes")
@@ -132,7 +175,7 @@ def k16(spark, sf_dir):
         total = F.col("q0") + F.col("q1") + F.col("q2")
         return part.withColumn("p", F.array(*[F.col(f"q{k}") / total for k in range(3)]))
 
-    for f in FOLDS:
+    for f in folds(rows):
         parts = split(rows, f)
         if parts["inner"].isEmpty() or parts["train"].select("label").distinct().count() < 3:
             continue
@@ -145,31 +188,27 @@ def k16(spark, sf_dir):
 
 @query("k17_poisson_scale")
 def k17(spark, sf_dir):
-    """A log-linear Poisson model of the squared error (at most 25) by horizon, fitted on the training sessions of the last fold: coefficients, and how far the later sessions' mean is met."""
-    rows, out = rows_of(spark, sf_dir, "scale_rows").withColumn("z2", F.least(F.lit(25.0), F.col("z") * F.col("z"))), [empty(spark, "h int, feature string, coefficient double, test_ratio double")]
+    """A log-linear Poisson model of the squared error (at most 25) by horizon and fold: coefficients of the scaled features, and how far the test sessions' mean is met."""
+    rows = rows_of(spark, sf_dir, "scale_rows").withColumn("z2", F.least(F.lit(25.0), F.col("z") * F.col("z")))
+    found = []
     for h in (1, 4):
-        parts = split(rows.where(F.col("h") == h), FOLDS[-1])
-        if parts["train"].where("z2 > 0.0001").count() < 50:
-            continue
-        model = fitted(GeneralizedLinearRegression(featuresCol="x", labelCol="z2", family="poisson", link="log", regParam=0.05, maxIter=15), SCALE, parts["train"])
-        ratio = model.transform(parts["test"]).agg(F.avg("z2") / F.avg("prediction")).first()[0]
-        glm = model.stages[-1]
-        found = [("intercept", glm.intercept), *zip([c.removesuffix("_") for c in model.stages[1].getInputCols()], glm.coefficients.toArray().tolist(), strict=True)]
-        out.append(spark.createDataFrame([(h, n, round(c, 6), None if ratio is None else round(ratio, 6)) for n, c in found], "h int, feature string, coefficient double, test_ratio double"))
-    return union(out)
+        p, _, weights, _ = walk_forward(rows.where(F.col("h") == h), SCALE, "z2", "poisson", [0.05], None)
+        met = {r.fold: r.ratio for r in p.groupBy("fold").agg((F.avg("z2") / F.avg(F.col("p")[0])).alias("ratio")).collect()}  # a row a fold
+        found += [(f, h, name, round(float(c), 6), None if met.get(f) is None else round(met[f], 6)) for f, w in weights.items() for name, c in zip(("intercept", *SCALE), w[0], strict=True)]
+    return spark.createDataFrame(found, "fold int, h int, feature string, coefficient double, test_ratio double")
 
 
 @query("k18_boosted_scale")
 def k18(spark, sf_dir):
     """Boosted trees on the log of the squared error, normalised to mean one on the training rows, applied to the test sessions."""
-    rows, out = rows_of(spark, sf_dir, "scale_rows").withColumn("t", F.log(F.col("z") * F.col("z") + 0.01)), [empty(spark, "h int, instrument string, trading_day string, slot int, scale double, z double")]
-    for h in (1, 4):
-        parts = split(rows.where(F.col("h") == h), FOLDS[-1])
+    rows, out = rows_of(spark, sf_dir, "scale_rows").withColumn("t", F.log(F.col("z") * F.col("z") + 0.01)), [empty(spark, "h int, fold int, instrument string, trading_day string, slot int, scale double, z double")]
+    for h, f in [(h, f) for h in (1, 4) for f in folds(rows)]:
+        parts = split(rows.where(F.col("h") == h), f)
         if parts["train"].count() < 50:
             continue
         model = fitted(GBTRegressor(featuresCol="x", labelCol="t", maxIter=4, maxDepth=3, seed=7), SCALE, parts["train"])
         mean = model.transform(parts["train"]).agg(F.avg(F.exp("prediction"))).first()[0]
-        out.append(model.transform(parts["test"]).select(F.lit(h).alias("h"), "instrument", F.col("trading_day").cast("string").alias("trading_day"), F.col("slot").cast("int").alias("slot"), r6(F.sqrt(F.exp("prediction") / mean)).alias("scale"), r6("z").alias("z")))
+        out.append(model.transform(parts["test"]).select(F.lit(h).alias("h"), F.lit(f).alias("fold"), "instrument", F.col("trading_day").cast("string").alias("trading_day"), F.col("slot").cast("int").alias("slot"), r6(F.sqrt(F.exp("prediction") / mean)).alias("scale"), r6("z").alias("z")))
     return union(out)
 
 
@@ -180,20 +219,19 @@ def mean_square(df: DataFrame, error) -> float | None:
 @query("k19_ridge_shift")
 def k19(spark, sf_dir):
     """A ridge regression of the move by fold: the penalty is chosen on the valid sessions and the shift is used only where it beat no shift there."""
-    rows, found = rows_of(spark, sf_dir, "model_rows"), []
-    shift = F.col("prediction") - F.col("move")
-    for f in FOLDS:
-        parts = split(rows, f)
-        if parts["inner"].isEmpty() or parts["valid"].isEmpty():
-            continue
-        make = lambda a: LinearRegression(featuresCol="x", labelCol="move", elasticNetParam=0.0, regParam=a, maxIter=10)
-        tried = {a: mean_square(fitted(make(a), FEATURES, parts["inner"]).transform(parts["valid"]), shift) for a in (0.1, 1.0, 10.0)}
-        best, none = min(tried, key=tried.get), mean_square(parts["valid"], F.col("move"))
-        test = fitted(make(best), FEATURES, parts["train"]).transform(parts["test"])
-        shifted, plain = mean_square(test, shift), mean_square(test, F.col("move"))
-        if plain is not None:
-            used = tried[best] < none
-            found.append((f, best, used, round(tried[best], 4), round(none, 4), round(shifted if used else plain, 4), round(plain, 4)))
+    rows = rows_of(spark, sf_dir, "model_rows").where("move IS NOT NULL")
+    error = (F.col("p")[0] - F.col("move")) ** 2
+    p, chosen, _, _ = walk_forward(rows, FEATURES, "move", "gaussian", [0.1, 1.0, 10.0], error)
+    test = {r.fold: r for r in p.groupBy("fold").agg(F.avg(error).alias("shifted"), F.avg(F.col("move") ** 2).alias("plain")).collect()}  # a row a fold
+    valid = rows.select("d", (F.col("move") ** 2).alias("m2")).groupBy("d").agg(F.sum("m2").alias("s"), F.count("*").alias("n")).collect()  # a row a session
+    found = []
+    for f, (penalty, tuned_loss) in chosen.items():
+        a, z = windows(f)["valid"]
+        own = [r for r in valid if a <= r.d <= z]
+        if f in test and own and tuned_loss is not None:
+            none = sum(r.s for r in own) / sum(r.n for r in own)
+            used = tuned_loss < none
+            found.append((f, penalty, used, round(tuned_loss, 4), round(none, 4), round(test[f].shifted if used else test[f].plain, 4), round(test[f].plain, 4)))
     return spark.createDataFrame(found, "fold int, alpha double, used boolean, valid_mse double, valid_plain double, test_mse double, test_plain double")
 
 
@@ -202,7 +240,7 @@ def k20(spark, sf_dir):
     """Outside the band or not, and on which side: two binary models whose product gives the classes, with the symmetric form beside it."""
     rows = rows_of(spark, sf_dir, "model_rows").withColumns({"outside": F.when(F.col("label") == "neutral_band", 0.0).otherwise(1.0), "up": F.when(F.col("label") == "bullish", 1.0).otherwise(0.0)})
     out = [empty(spark, "fold int, instrument string, trading_day string, slot int, label string, p_bullish double, p_bearish double, p_neutral double, p_symmetric double")]
-    for f in FOLDS:
+    for f in folds(rows):
         parts = split(rows, f)
         moved = parts["train"].where("outside = 1")
         if parts["train"].select("outside").distinct().count() < 2 or moved.select("up").distinct().count() < 2:
@@ -221,7 +259,7 @@ def k21(spark, sf_dir):
     """A ridge model of the log size of the move, and the share of its residuals beyond the band: tail masses on both sides."""
     rows, out = rows_of(spark, sf_dir, "model_rows").withColumn("t", F.log(F.abs("move") + 0.5)), [empty(spark, "fold int, instrument string, trading_day string, slot int, label string, scale double, p_bullish double, p_bearish double")]
     levels = [k / 100 for k in range(1, 100)]
-    for f in FOLDS:
+    for f in folds(rows):
         parts = split(rows, f)
         if parts["train"].count() < 50:
             continue
@@ -238,7 +276,7 @@ def k21(spark, sf_dir):
 def k25(spark, sf_dir):
     """Families and their settings by inner score within each fold, with a record of every trial and the chosen one's test score."""
     rows, found = coded(rows_of(spark, sf_dir, "model_rows")), []
-    for f in FOLDS:
+    for f in folds(rows):
         parts = split(rows, f)
         if parts["inner"].isEmpty() or parts["valid"].isEmpty() or parts["train"].select("label").distinct().count() < 2:
             continue
@@ -263,7 +301,7 @@ def k27(spark, sf_dir):
     """Every labelled window of the test sessions with each arm's probability, or the reason it abstains."""
     rows, out = coded(rows_of(spark, sf_dir, "model_rows")), [empty(spark, "arm string, fold int, instrument string, trading_day string, slot int, p_bullish double, reason string")]
     missing = F.when(F.col("log_level").isNull(), "no level").when(F.col("iv_rv").isNull(), "no variance ratio")
-    for f in FOLDS:
+    for f in folds(rows):
         parts = split(rows, f)
         _, model, _ = tuned(parts, [0.1], logistic, probabilities, brier)
         own = [F.lit(f).alias("fold"), "instrument", F.col("trading_day").cast("string").alias("trading_day"), F.col("slot").cast("int").alias("slot")]
@@ -277,22 +315,19 @@ def k27(spark, sf_dir):
 
 @query("k28_location_scale")
 def k28(spark, sf_dir):
-    """A log-variance regression calibrated to a mean of one on its training rows, and a ridge location chosen on the valid sessions."""
-    rows, found = rows_of(spark, sf_dir, "scale_rows").withColumns({"t": F.log(F.col("y") * F.col("y") + 1e-6)}), []
-    for f in FOLDS:
-        for h in (1, 4):
-            parts = split(rows.where(F.col("h") == h), f)
-            if parts["inner"].count() < 50 or parts["valid"].isEmpty() or parts["test"].isEmpty():
-                continue
-            ridge = lambda y, a: LinearRegression(featuresCol="x", labelCol=y, elasticNetParam=0.0, regParam=a, maxIter=10)
-            scale = fitted(ridge("t", 0.3), SCALE, parts["train"])
-            ratio = scale.transform(parts["train"]).agg(F.avg(F.col("y") * F.col("y") / F.exp("prediction"))).first()[0]
-            tried = {a: mean_square(fitted(ridge("y", a), SCALE, parts["inner"]).transform(parts["valid"]), F.col("prediction") - F.col("y")) for a in (0.1, 10.0)}
-            best = min(tried, key=tried.get)
-            place = fitted(ridge("y", best), SCALE, parts["train"])
-            test = place.transform(parts["test"]).withColumnRenamed("prediction", "mu").select(*rows.columns, "mu")
-            test = scale.transform(test).agg(F.count("*").alias("n"), F.avg("mu").alias("mu"), F.avg((F.col("y") - F.col("mu")) ** 2 / (F.exp("prediction") * ratio)).alias("z2")).first()
-            found.append((f, h, best, round(ratio, 6), test.n, round(test.mu, 6), round(test.z2, 6)))
+    """A log-variance regression calibrated to a mean of one on its training rows, and a ridge location chosen on the valid sessions, for every fold."""
+    rows, found = rows_of(spark, sf_dir, "scale_rows").withColumn("t", F.log(F.col("y") * F.col("y") + 1e-6)), []
+    key = ["instrument", "trading_day", "slot", "fold"]
+    for h in (1, 4):
+        own = rows.where(F.col("h") == h)
+        place, chosen, _, _ = walk_forward(own, SCALE, "y", "gaussian", [0.1, 10.0], (F.col("p")[0] - F.col("y")) ** 2)
+        size, _, weights, scales = walk_forward(own, SCALE, "t", "gaussian", [0.3], None)
+        learnt = fits.predict(own, SCALE, [(windows(f)["train"][1], *windows(f)["train"], w) for f, w in weights.items()], "gaussian", scales)
+        ratio = {r.model: r.ratio for r in learnt.groupBy("model").agg(F.avg(F.col("y") * F.col("y") / F.exp(F.col("p")[0])).alias("ratio")).collect()}  # a row a fold
+        both = place.select(*key, "y", F.col("p")[0].alias("mu")).join(size.select(*key, F.col("p")[0].alias("lv")), key)
+        met = both.groupBy("fold").agg(F.count("*").alias("n"), F.avg("mu").alias("mu"), F.avg((F.col("y") - F.col("mu")) ** 2 / F.exp("lv")).alias("z2")).collect()
+        calibration = {f: ratio.get(k) for k, f in enumerate(weights)}
+        found += [(r.fold, h, chosen[r.fold][0], round(calibration[r.fold], 6), r.n, round(r.mu, 6), round(r.z2 / calibration[r.fold], 6)) for r in met if calibration[r.fold]]
     return spark.createDataFrame(found, "fold int, h int, alpha double, calibration double, n long, mean_mu double, test_z2 double")
 
 
@@ -300,7 +335,7 @@ def k28(spark, sf_dir):
 def k31(spark, sf_dir):
     """Score, spread of the probabilities and size of the coefficients for each penalty, on the last fold."""
     rows, found = coded(rows_of(spark, sf_dir, "model_rows")), []
-    parts = split(rows, FOLDS[-1])
+    parts = split(rows, max(folds(rows), default=FIRST_FOLD))
     if parts["train"].select("label").distinct().count() > 1 and not parts["test"].isEmpty():
         for reg in (0.001, 0.03, 1.0):
             model = fitted(logistic(reg), FEATURES, parts["train"])
