@@ -74,16 +74,10 @@ SELECT CAST(first_day AS STRING) AS first_day, CAST(last_day AS STRING) AS last_
 P.query("d11_panel_audit", f"""a AS (SELECT instrument, count(*) AS sessions, count(CASE WHEN bars = 0 THEN 1 END) AS without_bars, percentile_cont(0.5) WITHIN GROUP (ORDER BY bars) AS median_bars, percentile_cont(0.5) WITHIN GROUP (ORDER BY 900 - last_before) AS median_age FROM {{present}} p GROUP BY 1),
 h AS (SELECT instrument, min(slot) AS first_slot, max(slot) AS last_slot, count(*) AS hours FROM (SELECT instrument, slot, count(*) AS n FROM {{wd}} w GROUP BY 1, 2) q WHERE n >= 10 GROUP BY 1)
 SELECT a.instrument, sessions, without_bars, median_bars, median_age, first_slot, last_slot, hours FROM a LEFT JOIN h ON h.instrument = a.instrument""", "Sessions without bars, median bars and age at the cutoff, and the hours an instrument trades.")
-P.query("d13_verified_inputs", f"""e AS (SELECT event_type AS instrument, date_trunc('hour', ts) AS bar_start, count(*) AS n, max(value) AS high, min(value) AS low FROM {{events}} v GROUP BY 1, 2),
-j AS (SELECT w.instrument, w.trading_day, w.slot, e.n IS NOT NULL AND e.n = w.volume AND e.high = w.high AND e.low = w.low AS same FROM {{wd}} w LEFT JOIN e ON e.instrument = w.instrument AND e.bar_start = w.bar_start WHERE w.slot < 900)
-SELECT instrument, {DAY}, count(*) AS bars, count(CASE WHEN same THEN 1 END) AS equal_to_receipts, CASE WHEN bool_and(same) THEN 'verified' ELSE 'differs' END AS verdict FROM j GROUP BY instrument, trading_day""", "Whether the bars before a cutoff equal what was received.")
-P.query("d14_receipt_bounds", f"""w AS (SELECT {KEY}, slot, CASE WHEN volume >= 2 THEN slot + 60 END AS received FROM {{wd}} x WHERE slot < 900) SELECT instrument, {DAY}, max(coalesce(received, slot + 120)) AS bound, bool_or(received IS NULL) AS has_unknown, count(*) AS inputs FROM w GROUP BY instrument, trading_day""", "The latest receipt of each set of inputs; an unknown one counts as late as it may have been.")
 P.view("at_cutoff", f"""SELECT instrument, trading_day, c.cutoff, bars, seen, CASE WHEN bars = 0 THEN 'closed' WHEN seen IS NULL THEN 'missing' WHEN seen = c.cutoff - 60 THEN CASE WHEN thin = 1 THEN 'reconstructed' ELSE 'observed' END WHEN seen = c.cutoff - 120 THEN 'delayed' ELSE 'stale' END AS status, price
 FROM (SELECT p.instrument, p.trading_day, p.bars, c.cutoff, max(CASE WHEN w.slot < c.cutoff THEN w.slot END) AS seen, max_by(CASE WHEN w.slot < c.cutoff THEN w.close END, CASE WHEN w.slot < c.cutoff THEN w.slot END) AS price, max_by(CASE WHEN w.volume = 1 THEN 1 ELSE 0 END, CASE WHEN w.slot < c.cutoff THEN w.slot END) AS thin
   FROM {{present}} p CROSS JOIN (VALUES (480), (900), (1140)) c(cutoff) LEFT JOIN {{wd}} w ON w.instrument = p.instrument AND w.trading_day = p.trading_day GROUP BY 1, 2, 3, 4) c""", STORE)
 P.query("k1_raw_at_cutoff", f"SELECT instrument, {DAY}, cutoff, price, seen, status FROM {{at_cutoff}} a", "The last value of every instrument at each cutoff, with whether it is observed, reconstructed, delayed, stale, missing or closed.")
-P.query("d17_deadline_counts", f"""d AS (SELECT {KEY}, status, seen, price FROM {{at_cutoff}} a WHERE cutoff = 480), f AS (SELECT {KEY}, status, seen, price FROM {{at_cutoff}} b WHERE cutoff = 900)
-SELECT d.instrument, d.status AS at_deadline, f.status AS complete, count(*) AS sessions, count(CASE WHEN d.price = f.price THEN 1 END) AS equal_rows FROM d JOIN f ON f.instrument = d.instrument AND f.trading_day = d.trading_day GROUP BY 1, 2, 3""", "Statuses as of a deadline against those of the complete history.")
 P.query("d18_context_ready", """SELECT CAST(trading_day AS STRING) AS trading_day, cutoff, count(*) AS instruments, count(CASE WHEN status IN ('observed', 'reconstructed') THEN 1 END) AS received, bool_and(status IN ('observed', 'reconstructed', 'closed')) AS ready, bool_and(status IN ('observed', 'reconstructed', 'closed', 'delayed')) AS ready_after_wait FROM {at_cutoff} a GROUP BY 1, 2""", "Whether every instrument's last bar before a cutoff is there, at once or after the wait.")
 
 # K: rows for models

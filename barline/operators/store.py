@@ -268,13 +268,6 @@ def a19(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy(F.sha2(F.concat_ws("|", "p_brand", "p_type", "p_size"), 256).alias("content")).agg(F.count("*").alias("uses"), F.min("p_partkey").alias("first_part"))
 
 
-@query("a22_newest_set_at", """WITH s AS (SELECT o_custkey, o_orderkey, o_orderdate FROM orders WHERE o_orderdate <= TIMESTAMP '1998-06-01') SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS newest, count(*) AS issued FROM s GROUP BY 1""")
-def a22(spark, sf_dir):
-    """The newest set issued up to an instant, and how many there were."""
-    s = table(spark, sf_dir, "orders").where(F.col("o_orderdate") <= F.lit("1998-06-01").cast("timestamp_ntz"))
-    return s.groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("newest"), F.count("*").alias("issued"))
-
-
 @query("a23_review_verdicts", """WITH v AS (SELECT l_partkey AS session, l_shipmode AS field, arg_max(l_returnflag, (l_shipdate, l_orderkey, l_linenumber, l_suppkey)) AS verdict, count(*) AS reviews FROM (SELECT *, CASE WHEN l_tax > 0.04 THEN 'high' ELSE 'low' END AS l_shipmode FROM lineitem) GROUP BY 1, 2)
 SELECT field, count(*) AS cells, count(*) FILTER (verdict = 'N') AS agreed, CAST(sum(reviews) AS BIGINT) AS reviews FROM v GROUP BY 1""")
 def a23(spark, sf_dir):
