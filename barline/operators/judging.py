@@ -74,7 +74,6 @@ v AS (SELECT *, y / sqrt(var) AS z FROM x WHERE var > 0) SELECT {KEY}, d, slot,
 P.view("sessions", f"SELECT trading_day, h, arm, avg(crps) AS crps, count(*) AS origins FROM {{arms}} a GROUP BY 1, 2, 3", STORE)
 P.view("steps", f"""SELECT a.trading_day, a.h, a.arm, row_number() OVER (PARTITION BY a.h, a.arm ORDER BY a.trading_day) - 1 AS i, a.crps - b.crps AS diff FROM {{sessions}} a JOIN {{sessions}} b ON b.trading_day = a.trading_day AND b.h = a.h AND b.arm = 'seasonal' WHERE a.arm <> 'seasonal'""", STORE)
 P.query("l9_horizon_summary", """SELECT a.h, a.arm, count(*) AS sessions, CAST(sum(a.origins) AS BIGINT) AS origins, round(avg(a.crps), 6) + 0.0 AS crps, round(avg(a.crps - b.crps), 6) + 0.0 AS step, count(CASE WHEN a.crps < b.crps THEN 1 END) AS improved FROM {sessions} a JOIN {sessions} b ON b.trading_day = a.trading_day AND b.h = a.h AND b.arm = 'seasonal' GROUP BY 1, 2""", "The variants by horizon, and each one's paired step from the seasonal one.")
-P.query("l39_distributional", """SELECT arm, h, count(*) AS n, round(avg(crps), 6) + 0.0 AS gaussian, round(avg(abs(abs(y) - 0.7978845608028654 * sqrt(var))), 6) + 0.0 AS folded_error, round(avg(z * z), 6) + 0.0 AS z2, round(avg(abs(pit - 0.5)), 6) + 0.0 AS pit_spread FROM {arms} a GROUP BY 1, 2""", "Gaussian and folded scores of every arm on the same rows.")
 P.query("l22_identical_origins", f"""a AS (SELECT {KEY}, slot, h, z FROM {{arms}} x WHERE arm = 'short_run'), b AS (SELECT {KEY}, slot, h, z FROM {{arms}} y WHERE arm = 'reverting')
 SELECT coalesce(a.h, b.h) AS h, count(*) AS origins, count(CASE WHEN a.z IS NULL THEN 1 END) AS only_second, count(CASE WHEN b.z IS NULL THEN 1 END) AS only_first, count(CASE WHEN abs(a.z - b.z) > 0.5 THEN 1 END) AS far_apart, round(avg(abs(a.z - b.z)), 6) + 0.0 AS mean_apart FROM a FULL OUTER JOIN b ON b.instrument = a.instrument AND b.trading_day = a.trading_day AND b.slot = a.slot AND b.h = a.h GROUP BY 1""", "Two runs on identical origins: those only one of them has, and how far they disagree.")
 P.query("l37_design_effect", """b AS (SELECT h, arm, CAST(floor(i / 4) AS BIGINT) AS block, avg(diff) AS m, count(*) AS n FROM {steps} s GROUP BY 1, 2, 3), v AS (SELECT h, arm, var_samp(m) AS between_blocks, count(*) AS blocks FROM b WHERE n = 4 GROUP BY 1, 2), t AS (SELECT h, arm, var_samp(diff) AS overall FROM {steps} s GROUP BY 1, 2)
