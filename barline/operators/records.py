@@ -97,7 +97,7 @@ UNION ALL SELECT 'pooled' AS matrix, instrument, {DAY}, round(move_z, 6) + 0.0 A
 P.view("path", f"""s AS (SELECT {KEY}, k, close, high, low, open, close - lag(close) OVER w AS step, lag(close - open) OVER w AS before FROM {{ob}} x WINDOW w AS (PARTITION BY {KEY} ORDER BY k))
 SELECT {KEY}, sum(abs(step)) AS travelled, max_by(close, k) - min_by(open, k) AS net, count(CASE WHEN before * (close - open) < 0 THEN 1 END) AS reversals, max(CASE WHEN high - low > 0 THEN high - low END) AS widest, max_by(close, k) - min(low) AS off_low, max(high) - max_by(close, k) AS off_high, count(*) AS bars FROM s GROUP BY {KEY}""")
 P.query("k9_snapshot_features", f"""SELECT r.instrument, CAST(r.trading_day AS STRING) AS trading_day, round((on_high - cutoff_price) / a, 6) + 0.0 AS to_high, round((cutoff_price - on_low) / a, 6) + 0.0 AS to_low, round((cutoff_price - prev_close) / a, 6) + 0.0 AS from_close, round((on_high - on_low) / a, 6) + 0.0 AS night_in_ranges, round(abs(net) / nullif(travelled, 0), 6) + 0.0 AS efficiency, reversals, round(widest / a, 6) + 0.0 AS widest, round(off_low / nullif(off_low + off_high, 0), 6) + 0.0 AS place,
-  (SELECT 0) + event_before AS event_before, event_after FROM {{rs}} r JOIN {{path}} p ON p.instrument = r.instrument AND p.trading_day = r.trading_day JOIN {{flags}} f ON f.trading_day = r.trading_day WHERE a > 0""".replace("(SELECT 0) + ", ""), "Level geometry in ranges, path efficiency, reversals and event flags of a snapshot.")
+  event_before, event_after FROM {{rs}} r JOIN {{path}} p ON p.instrument = r.instrument AND p.trading_day = r.trading_day JOIN {{flags}} f ON f.trading_day = r.trading_day WHERE a > 0""", "Level geometry in ranges, path efficiency, reversals and event flags of a snapshot.")
 P.query("k10_candidate_levels", f"""x AS (SELECT l.instrument, l.trading_day, l.name, level, cutoff_price, a, CASE WHEN level > cutoff_price THEN 'above' WHEN level < cutoff_price THEN 'below' ELSE 'at' END AS side, abs(level - cutoff_price) AS away FROM {{levels}} l JOIN {{rs}} r ON r.instrument = l.instrument AND r.trading_day = l.trading_day WHERE l.name NOT IN ('open_plus_t', 'open_minus_t', 'cutoff_price') AND level IS NOT NULL AND cutoff_price IS NOT NULL)
 SELECT instrument, {DAY}, name, side, round(away, 6) + 0.0 AS away, round(away / a, 6) + 0.0 AS away_in_ranges, dense_rank() OVER (PARTITION BY {KEY}, side ORDER BY round(away, 9)) AS rank, count(*) OVER (PARTITION BY {KEY}, round(level, 9)) > 1 AS coincident, min(away) OVER (PARTITION BY {KEY}) = away AS nearest, away <= a AS possible FROM x""", "Every candidate level with its side, distance, rank, and whether it is nearest, coincident and within reach.")
 P.query("k12_cutoff_features", f"""c AS (SELECT {KEY}, slot, close, high, low, volume, lag(close, 1) OVER w AS c1, lag(close, 4) OVER w AS c4, stddev_samp(close) OVER v AS sd, max(high) OVER v - min(low) OVER v AS range6, sum(volume) OVER (PARTITION BY {KEY} ORDER BY slot ROWS UNBOUNDED PRECEDING) AS cv, sum(close * volume) OVER (PARTITION BY {KEY} ORDER BY slot ROWS UNBOUNDED PRECEDING) AS pv

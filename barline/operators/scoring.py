@@ -301,8 +301,8 @@ def l15(spark, sf_dir):
     return case_scores(spark, sf_dir).groupBy(F.when(F.col("slot") < 930, "overnight").otherwise("day").alias("arm")).agg(F.count("*").alias("cases"), F.countDistinct("trading_day").alias("sessions"), r6(F.avg("brier")).alias("brier"), r6(F.max("log_loss")).alias("worst"))
 
 
-@query("l18_cases", f"""WITH {CASE_SQL}, w AS (SELECT instrument, trading_day, s AS slot FROM gx, (SELECT unnest([0, 480, 960]) AS s)), gx AS (SELECT DISTINCT instrument, trading_day FROM wd)
-SELECT w.slot, CASE WHEN cs.brier IS NOT NULL THEN 'scored' WHEN fw.close IS NULL THEN 'no bar' ELSE 'no outcome' END AS status, count(*) AS n FROM w LEFT JOIN cs USING (instrument, trading_day, slot) LEFT JOIN fw USING (instrument, trading_day, slot) GROUP BY 1, 2""".replace("w AS (SELECT instrument, trading_day, s AS slot FROM gx, (SELECT unnest([0, 480, 960]) AS s)), gx AS (SELECT DISTINCT instrument, trading_day FROM wd)", "gx AS (SELECT DISTINCT instrument, trading_day FROM wd), w AS (SELECT instrument, trading_day, s AS slot FROM gx, (SELECT unnest([0, 480, 960]) AS s))"))
+@query("l18_cases", f"""WITH {CASE_SQL}, gx AS (SELECT DISTINCT instrument, trading_day FROM wd), w AS (SELECT instrument, trading_day, s AS slot FROM gx, (SELECT unnest([0, 480, 960]) AS s))
+SELECT w.slot, CASE WHEN cs.brier IS NOT NULL THEN 'scored' WHEN fw.close IS NULL THEN 'no bar' ELSE 'no outcome' END AS status, count(*) AS n FROM w LEFT JOIN cs USING (instrument, trading_day, slot) LEFT JOIN fw USING (instrument, trading_day, slot) GROUP BY 1, 2""")
 def l18(spark, sf_dir):
     """Every scheduled case with its score or the reason it has none."""
     from .indicators import weekday_bars

@@ -71,7 +71,7 @@ SELECT {KEY}, h, CAST(min_by(m, loss) AS DOUBLE) AS scale, min(loss / n) AS loss
 P.query("i19_constant_scale", f"SELECT instrument, {DAY}, h, scale, round(loss, 6) + 0.0 AS loss FROM {{scales}} s", "The best of a grid of multipliers on all sessions before each: running sums of each multiplier's loss.")
 
 # Release multipliers by group and bucket, and by name, from the sessions before
-P.view("windows", """SELECT source, name, tier, trading_day, slot, bucket, slot + moved AS at FROM {releases} r CROSS JOIN (VALUES ('at', 0), ('after', 60), ('late', 120)) b(bucket, moved) WHERE slot + moved <= 1320""".replace(" AS at ", " AS at_slot "))
+P.view("windows", """SELECT source, name, tier, trading_day, slot, bucket, slot + moved AS at_slot FROM {releases} r CROSS JOIN (VALUES ('at', 0), ('after', 60), ('late', 120)) b(bucket, moved) WHERE slot + moved <= 1320""")
 P.view("touched", f"""x AS (SELECT w.source, w.name, w.trading_day, bucket, sum(r * r) AS real, sum(s) AS expected, avg(s) AS mean_s FROM {{windows}} w JOIN {{sv}} v ON v.trading_day = w.trading_day AND v.slot = w.at_slot WHERE r IS NOT NULL AND s > 0 GROUP BY 1, 2, 3, 4) SELECT * FROM x""", STORE)
 P.view("group_mult", """g AS (SELECT source, bucket, trading_day, sum(real) AS real, sum(expected) AS expected, avg(mean_s) AS m FROM {touched} t GROUP BY 1, 2, 3),
 r AS (SELECT source, bucket, trading_day, sum(real) OVER w AS real, sum(expected) OVER w AS expected, avg(m) OVER w AS m FROM g WINDOW w AS (PARTITION BY source, bucket ORDER BY trading_day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
@@ -99,9 +99,12 @@ SELECT {KEY}, slot, m.h, CASE WHEN m.h = 1 THEN s1 ELSE s1 + s2 + s3 + s4 END AS
 P.query("i10_four_variants", f"SELECT instrument, {DAY}, slot, h, round(seasonal, 6) + 0.0 AS seasonal, round(long_run, 6) + 0.0 AS long_run, round(short_run, 6) + 0.0 AS short_run, round(reverting, 6) + 0.0 AS reverting FROM {{four}} f WHERE reverting IS NOT NULL", "Horizon variances: seasonal with releases, scaled by the long level, by the short level, and reverting from the short to the long one.")
 
 # I15, I18, I20 to I23
-P.view("frames", f"""r AS (SELECT trading_day, slot, count(*) AS releases FROM {{releases}} q GROUP BY 1, 2), g AS (SELECT g.instrument, g.trading_day, g.slot, coalesce(releases, 0) AS c FROM {{grid}} g LEFT JOIN r ON r.trading_day = g.trading_day AND r.slot = g.slot),
-a AS (SELECT {KEY}, slot, max(c) OVER (w ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS ahead1, max(c) OVER (w ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS ahead4 FROM g WINDOW w AS (PARTITION BY {KEY} ORDER BY slot))
-SELECT z.instrument, z.trading_day, z.d, z.slot, z.phase, z.h, z.var, z.y, z.z, s.q75, s.q95, CASE WHEN z.h = 1 THEN ahead1 ELSE ahead4 END > 0 AS release_ahead FROM {{hd}} z JOIN a ON a.instrument = z.instrument AND a.trading_day = z.trading_day AND a.slot = z.slot LEFT JOIN {{half_ranges}} s ON s.instrument = z.instrument AND s.trading_day = z.trading_day AND s.h = z.h""".replace("max(c) OVER (w ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING)", f"lead(c, 1) OVER (PARTITION BY {KEY} ORDER BY slot)").replace("max(c) OVER (w ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING)", f"max(c) OVER (PARTITION BY {KEY} ORDER BY slot ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING)").replace(f" FROM g WINDOW w AS (PARTITION BY {KEY} ORDER BY slot)", " FROM g"), STORE)
+P.view("frames", f"""r AS (SELECT trading_day, slot, count(*) AS releases FROM {{releases}} q GROUP BY 1, 2),
+g AS (SELECT g.instrument, g.trading_day, g.slot, coalesce(releases, 0) AS c FROM {{grid}} g LEFT JOIN r ON r.trading_day = g.trading_day AND r.slot = g.slot),
+a AS (SELECT {KEY}, slot, lead(c, 1) OVER (PARTITION BY {KEY} ORDER BY slot) AS ahead1, max(c) OVER (PARTITION BY {KEY} ORDER BY slot ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS ahead4 FROM g)
+SELECT z.instrument, z.trading_day, z.d, z.slot, z.phase, z.h, z.var, z.y, z.z, s.q75, s.q95, CASE WHEN z.h = 1 THEN ahead1 ELSE ahead4 END > 0 AS release_ahead
+FROM {{hd}} z JOIN a ON a.instrument = z.instrument AND a.trading_day = z.trading_day AND a.slot = z.slot
+LEFT JOIN {{half_ranges}} s ON s.instrument = z.instrument AND s.trading_day = z.trading_day AND s.h = z.h""", STORE)
 P.query("i15_baseline_frames", f"SELECT instrument, {DAY}, slot, h, round(var, 6) + 0.0 AS var, round(q75, 6) + 0.0 AS q75, round(q95, 6) + 0.0 AS q95, release_ahead FROM {{frames}} f", "Variance, shape and whether a release lies ahead, for every origin and horizon.")
 P.view("scaled", f"""c AS (SELECT f.*, CASE WHEN f.phase = 'open' THEN 1.0 ELSE 0.0 END AS is_open, CASE WHEN release_ahead THEN 1.0 ELSE 0.0 END AS is_release, b0, b1, b2 FROM {{frames}} f JOIN (VALUES (1, 0.05, -0.10, 0.20), (4, 0.02, -0.05, 0.10)) b(h, b0, b1, b2) ON b.h = f.h)
 SELECT {KEY}, d, slot, h, y, var, z, exp(least(1.5, greatest(-1.5, b0 + b1 * is_open + b2 * is_release))) AS mult FROM c""")

@@ -29,8 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or the warehouse where the session sets none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or the warehouse where the session sets none.
+
+    A warehouse on a machine's own disk is shared in local mode only: on a cluster that sets neither, this raises.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if warehouse.startswith(("/", "file:")) and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = f"{warehouse}/_shared"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -83,14 +91,16 @@ def stored(spark: SparkSession, sf_dir: str, name: str, make, partition: str | N
 
 
 def _status(spark: SparkSession, path: str) -> list[tuple[int, int]]:
-    """(size, time) of a file, or of the files directly in a folder; none where there is nothing."""
+    """(size, time) of a file, or of all files below a folder at any depth; none where there is nothing."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
-    if files is None or not len(files):
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
         return []
-    if files[0].isDirectory():
-        files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
-    return [(f.getLen(), f.getModificationTime()) for f in files]
+    found, files = [], fs.listFiles(at, True)
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getLen(), f.getModificationTime()))
+    return found
 
 
 def _state(spark: SparkSession, path: str) -> tuple:
