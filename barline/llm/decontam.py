@@ -27,7 +27,8 @@ from .common import append_columns, field, read, staged
 WINDOW = 13
 #: Bytes of item text that are compiled and sent to the executors at a time; larger benchmarks take a job each.
 BLOCK_BYTES = 8 << 20
-SHIFT_BITS = 20
+#: Bits of a table's index, and the longest jump that it holds (a shorter one is right too): a byte an entry.
+SHIFT_BITS, MOST_SHIFT = 20, 255
 STRETCH = 4096
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -57,12 +58,12 @@ class WuManber:
     def __init__(self, patterns: list[bytes]):
         self.length = min(map(len, patterns))
         self.block = min(10, max(1, self.length // 3))
-        self.shift = np.full(1 << SHIFT_BITS, self.length - self.block + 1, np.int32)
+        self.shift = np.full(1 << SHIFT_BITS, min(MOST_SHIFT, self.length - self.block + 1), np.uint8)
         self.buckets: dict[int, list[bytes]] = defaultdict(list)
         firsts = np.frombuffer(b"".join(p[: self.length] for p in patterns), np.uint8)
         starts = np.arange(len(patterns)) * self.length
         for end in range(self.block, self.length + 1):
-            np.minimum.at(self.shift, _block_hash(firsts, starts + end, self.block), self.length - end)
+            np.minimum.at(self.shift, _block_hash(firsts, starts + end, self.block), np.uint8(min(MOST_SHIFT, self.length - end)))
         for p, h in zip(patterns, _block_hash(firsts, starts + self.length, self.block).tolist(), strict=True):
             self.buckets[h].append(p)
 
@@ -80,7 +81,7 @@ class WuManber:
                 for p in self.buckets.get(int(h[i]), ()):
                     if text.startswith(p, start):
                         found[p].append(start)
-            at = at + np.maximum(jump, 1)
+            at = at + np.maximum(jump, 1).astype(np.int64)
             live = at <= last
             at, last = at[live], last[live]
         return found
