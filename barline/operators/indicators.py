@@ -143,8 +143,9 @@ def overnight_references(bars: DataFrame) -> DataFrame:
                                   F.max_by(F.when(n, F.col("close")), F.when(n, F.col("slot"))).alias("cutoff_price"), F.max(F.when(n, F.col("slot"))).alias("cutoff_slot"), F.count_if(n).alias("on_bars"))
 
 
-REFS_SQL = f"""{RTH_SQL}, refs AS (SELECT instrument, trading_day, arg_min(open, slot) FILTER (slot < 900) AS on_open, max(high) FILTER (slot < 900) AS on_high, min(low) FILTER (slot < 900) AS on_low, arg_max(close, slot) FILTER (slot < 900) AS cutoff_price,
+REFS_STEP = """refs AS (SELECT instrument, trading_day, arg_min(open, slot) FILTER (slot < 900) AS on_open, max(high) FILTER (slot < 900) AS on_high, min(low) FILTER (slot < 900) AS on_low, arg_max(close, slot) FILTER (slot < 900) AS cutoff_price,
   max(slot) FILTER (slot < 900) AS cutoff_slot, count(*) FILTER (slot < 900) AS on_bars FROM wd GROUP BY 1, 2)"""
+REFS_SQL = f"{RTH_SQL}, {REFS_STEP}"
 
 
 @query("e13_overnight_references", f"WITH {REFS_SQL} SELECT * REPLACE (CAST(trading_day AS VARCHAR) AS trading_day) FROM refs")

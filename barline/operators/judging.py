@@ -27,8 +27,16 @@ FLOOR, TOP = 75, 5
 
 P.view("rubric", f"SELECT a.instrument, a.trading_day, d, a.field, value, weight FROM {{annotation}} a JOIN {WEIGHTS} ON w.field = a.field JOIN {{days}} t ON t.instrument = a.instrument AND t.trading_day = a.trading_day", STORE)
 P.query("g1_rubric_features", f"SELECT instrument, {DAY}, " + ", ".join(f"max(CASE WHEN field = '{k}' THEN value END) AS {k}" for k in RUBRIC) + " FROM {rubric} r GROUP BY instrument, trading_day", "The fourteen compared features of a session, one column each.")
-P.view("similar", f"""SELECT a.instrument, a.trading_day, a.d, e.trading_day AS earlier, e.d AS ed, CAST(sum(CASE WHEN a.value = e.value THEN a.weight ELSE 0 END) AS BIGINT) AS hit, CAST(sum(CASE WHEN a.value IS NOT NULL AND e.value IS NOT NULL THEN a.weight ELSE 0 END) AS BIGINT) AS comparable
-FROM {{rubric}} a CROSS JOIN {OFFSETS} JOIN {{rubric}} e ON e.instrument = a.instrument AND e.field = a.field AND e.d = a.d - ahead GROUP BY 1, 2, 3, 4, 5""", STORE)
+
+
+def similar_text(earlier: str) -> str:
+    """Each session of {rubric} against the twenty before it of another relation of features."""
+    return f"""SELECT a.instrument, a.trading_day, a.d, e.trading_day AS earlier, e.d AS ed, CAST(sum(CASE WHEN a.value = e.value THEN a.weight ELSE 0 END) AS BIGINT) AS hit,
+  CAST(sum(CASE WHEN a.value IS NOT NULL AND e.value IS NOT NULL THEN a.weight ELSE 0 END) AS BIGINT) AS comparable
+FROM {{rubric}} a CROSS JOIN {OFFSETS} JOIN {{{earlier}}} e ON e.instrument = a.instrument AND e.field = a.field AND e.d = a.d - ahead GROUP BY 1, 2, 3, 4, 5"""
+
+
+P.view("similar", similar_text("rubric"), STORE)
 P.query("g2_rubric_similarity", f"SELECT instrument, {DAY}, CAST(earlier AS STRING) AS earlier, hit, comparable FROM {{similar}} s", "Every session against each of the twenty before it: weight that agrees and weight that can be compared, over all fourteen features.")
 P.view("sets", f"""r AS (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY CAST(hit AS DOUBLE) / comparable DESC, comparable DESC, ed DESC) AS rank, count(*) OVER (PARTITION BY {KEY}) AS pool, sum(ed) OVER (PARTITION BY {KEY}) AS mark1, sum(ed * ed) OVER (PARTITION BY {KEY}) AS mark2 FROM {{similar}} s WHERE comparable >= {FLOOR})
 SELECT {KEY}, d, earlier, ed, hit, comparable, CAST(rank AS INT) AS rank, pool, md5(concat(CAST(pool AS STRING), '|', CAST(mark1 AS STRING), '|', CAST(mark2 AS STRING))) AS pool_hash FROM r WHERE rank <= {TOP}""", STORE)

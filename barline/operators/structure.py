@@ -122,9 +122,19 @@ SELECT {KEY}, CASE WHEN n5 < 5 OR m IS NULL THEN NULL WHEN cutoff_price > high5
 P.query("e25_bias", f"SELECT instrument, {DAY}, label, reason FROM {{bias}} x", "Higher-timeframe bias: the cutoff price within five sessions' range and the momentum since five sessions back.")
 
 # Releases are hours in which a source shows a burst; two sources, one of which is known by its cutoff only
-P.view("releases", """x AS (SELECT instrument, trading_day, slot, volume, avg(volume) OVER (PARTITION BY instrument) AS usual FROM {wd} w WHERE instrument IN ('signup', 'error'))
-SELECT instrument AS source, trading_day, slot, CASE WHEN volume >= 2.2 * usual THEN 'high' ELSE 'moderate' END AS tier, concat(instrument, ' ', CAST(slot AS STRING)) AS name FROM x WHERE volume >= 1.6 * usual""", STORE)
-P.view("covered", "SELECT instrument AS source, trading_day FROM {wd} w WHERE instrument IN ('signup', 'error') GROUP BY 1, 2 HAVING count(*) >= 18")
+def releases_text(bars: str, known: str = "true") -> str:
+    """Releases from a relation of bars, of those that are known only once published the `known` ones."""
+    return f"""x AS (SELECT instrument, trading_day, slot, volume, avg(volume) OVER (PARTITION BY instrument) AS usual FROM {{{bars}}} w WHERE instrument IN ('signup', 'error'))
+SELECT instrument AS source, trading_day, slot, CASE WHEN volume >= 2.2 * usual THEN 'high' ELSE 'moderate' END AS tier, concat(instrument, ' ', CAST(slot AS STRING)) AS name
+FROM x WHERE volume >= 1.6 * usual AND (instrument <> 'error' OR {known})"""
+
+
+def covered_text(bars: str) -> str:
+    return f"SELECT instrument AS source, trading_day FROM {{{bars}}} w WHERE instrument IN ('signup', 'error') GROUP BY 1, 2 HAVING count(*) >= 18"
+
+
+P.view("releases", releases_text("wd"), STORE)
+P.view("covered", covered_text("wd"))
 P.query("e15_session_releases", "SELECT r.source, CAST(r.trading_day AS STRING) AS trading_day, slot, name, tier, slot < 900 AS before_cutoff, c.source IS NOT NULL AS source_covered FROM {releases} r LEFT JOIN {covered} c ON c.source = r.source AND c.trading_day = r.trading_day WHERE r.source <> 'error' OR slot < 900", "Releases of a session's window; those of a source that is known only once published are listed up to the cutoff only.")
 P.view("risk", """d AS (SELECT DISTINCT trading_day FROM {wd} w), c AS (SELECT trading_day, count(*) AS sources FROM {covered} q GROUP BY 1),
 r AS (SELECT trading_day, count(CASE WHEN tier = 'high' AND source = 'signup' THEN 1 END) AS high, count(CASE WHEN tier = 'moderate' AND source = 'signup' OR source = 'error' AND slot < 900 THEN 1 END) AS other FROM {releases} q WHERE slot < 1320 GROUP BY 1)

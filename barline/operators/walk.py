@@ -29,7 +29,14 @@ P.base("us", lambda spark, sf: usual(realised(spark, sf), "rv", ["instrument", "
 HISTORY = 120
 #: Sessions before each that pairs of sessions reach back.
 OFFSETS = "(VALUES " + ", ".join(f"({k})" for k in range(1, 21)) + ") f(ahead)"
-P.view("days", f"SELECT {KEY}, row_number() OVER (PARTITION BY instrument ORDER BY trading_day) AS d FROM (SELECT DISTINCT {KEY} FROM {{wd}} w) x")
+
+
+def days_text(bars: str) -> str:
+    """The sessions of a relation of bars, numbered by instrument."""
+    return f"SELECT {KEY}, row_number() OVER (PARTITION BY instrument ORDER BY trading_day) AS d FROM (SELECT DISTINCT {KEY} FROM {{{bars}}} w) x"
+
+
+P.view("days", days_text("wd"))
 P.view("hd", f"SELECT z.instrument, z.trading_day, d, slot, phase, h, var, y, z FROM {{hz}} z JOIN {{days}} t ON t.instrument = z.instrument AND t.trading_day = z.trading_day", STORE)
 
 
