@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -24,10 +25,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; only where the session sets none, a folder of the warehouse, which is shared too."""
+    """The folder all executors share: spark.checkpoint.dir; only where the session sets none, a folder of the warehouse, which is shared too.
+
+    A warehouse on a machine's own disk is shared in local mode only: on a cluster that sets neither, this raises.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if warehouse.startswith(("/", "file:")) and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = f"{warehouse}/_shared"
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
@@ -117,6 +124,16 @@ def text_chunks(batch: pa.RecordBatch, text: str, most: int = CHUNK_BYTES) -> It
         yield part, part.column(part.schema.get_field_index(text)).cast(pa.binary()).to_pylist()
 
 
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task; when it ends, what the worker has freed goes back to the machine: workers wait for their next task with little."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def append_columns(df: DataFrame, text: str, make: Callable[[], Callable[[list], dict]], fields: list[T.StructField], keep: list[str] | None = None) -> DataFrame:
     """df's columns (or those in keep) and new ones computed from texts, a slice at a time.
 
@@ -138,7 +155,7 @@ def append_columns(df: DataFrame, text: str, make: Callable[[], Callable[[list],
                 arrays = [part.column(i) for i in range(len(kept))] + [pa.array(out[f.name], type=types[f.name]) for f in fields]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *(f.name for f in fields)])
 
-    return inner.mapInArrow(run, schema)
+    return inner.mapInArrow(lambda batches: trimmed(run(batches)), schema)
 
 
 def _arrow_type(kind: T.DataType) -> pa.DataType:

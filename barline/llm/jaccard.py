@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Members, read, salted_join, staged, text_chunks
+from .common import Members, read, salted_join, staged, text_chunks, trimmed
 from .components import connected_components
 from .shingles import shingle_sets
 
@@ -121,7 +121,7 @@ def count_shingles(docs: DataFrame, text: str = "text") -> Order:
         heavy = heavy[np.argsort(-counts[heavy], kind="stable")[:HEAVY]]  # no more than HEAVY of all can come from one bucket
         return pd.DataFrame({"bucket": [bucket], "bits": [np.packbits(bits, bitorder="little").tobytes()], "cells": [cells[heavy].astype(np.int64)], "counts": [counts[heavy]]})
 
-    packed = docs.select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(pack, "bucket int, ones binary, more binary")
+    packed = docs.select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(lambda batches: trimmed(pack(batches)), "bucket int, ones binary, more binary")
     found = staged(packed.groupBy("bucket").applyInPandas(count, "bucket int, bits binary, cells array<bigint>, counts array<bigint>"), "shingle-counts")
     bits = np.zeros(buckets * width // 8, np.uint8)
     for r in found.select("bucket", "bits").collect():  # BITMAP_BITS in all
@@ -202,7 +202,7 @@ def index_texts(docs: DataFrame, order: Order, text: str, id_col: str) -> DataFr
         if n_held:
             yield flush()
 
-    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(run, ENTRY)
+    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(lambda batches: trimmed(run(batches)), ENTRY)
 
 
 def hub_pairs(postings: DataFrame) -> DataFrame:
@@ -261,7 +261,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, id_
                 yield pa.RecordBatch.from_arrays([part.column(1).filter(pa.array(kept)), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), hashes], names=["doc", "key", "key2", "hashes"])
 
     made = docs.select(F.xxhash64(F.col(f"`{id_col}`").cast("bigint")).alias("h"), F.col(f"`{id_col}`").cast("bigint").alias("doc"), F.col(f"`{text}`").cast("string").alias("t"))
-    made = staged(made.mapInArrow(sets, "doc bigint, key bigint, key2 bigint, hashes array<bigint>"), "sets")
+    made = staged(made.mapInArrow(lambda batches: trimmed(sets(batches)), "doc bigint, key bigint, key2 bigint, hashes array<bigint>"), "sets")
     both = near
     for c in "ba":
         own = made.select(F.struct("key", "key2").alias("k"), F.col("doc"), F.col("hashes").alias(f"h{c}"))

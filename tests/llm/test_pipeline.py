@@ -64,3 +64,26 @@ def test_learning_leaves_the_held_out_quarter_alone(spark):
     got = {r["__text"] for r in labelled_sample(docs, labels, "toxic", 1000).collect()}
     assert got == {f"text {k}" for k in range(0, 400, 2) if zlib.crc32(str(k).encode()) % 4 != 2}
     assert labelled_sample(docs, labels, "toxic", 10).count() == 10
+
+
+def test_empty_tables_and_null_ids(spark, tmp_path):
+    """No documents, then two documents without an id, with nothing to learn from and no benchmark."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, rows in (("none", []), ("some", [(None, "a text without an id", "en", "s", 20), (None, None, None, None, None)])):
+        (tmp_path / name).mkdir()
+        for t in ("labels", "benchmark"):
+            (tmp_path / name / f"{t}.parquet").symlink_to(tmp_path / f"{t}.parquet")
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert "ids" in out.columns and out.count() <= len(rows)
+
+
+def test_sentencepiece_stage_keeps_all_documents(spark, tmp_path):
+    """The last stage: every row has its ids, which decode to its text; null texts are empty, clashing columns are replaced."""
+    rows = [(1, "hello world", "x"), (2, None, "y"), (None, "no id ☃", "z"), (3, "a" * 30_000, "w"), (1, "hello world", "x")]
+    out = unigram.stage(spark, spark.createDataFrame(rows, "doc_id long, text string, n_tokens string"), str(tmp_path))
+    vocab = unigram.vocabulary(unigram.model_path())
+    got = sorted((r.doc_id or 0, unigram.decode(vocab, r.ids)) for r in out.collect())
+    assert got == sorted((d or 0, t or "") for d, t, _ in rows)
