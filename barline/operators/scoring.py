@@ -38,8 +38,16 @@ def crps_normal(y: Column, sigma: Column) -> Column:
     return sigma * (z * erf(z / 2.0**0.5) + 2.0 * F.exp(-0.5 * z * z) / (2.0 * 3.141592653589793) ** 0.5 - 1.0 / 3.141592653589793**0.5)
 
 
-_A = "(1.0 / (1.0 + 0.3275911 * abs(z) / sqrt(2.0)))"
-_ERF_SQL = f"sign(z) * (1.0 - (((((1.061405429 * {_A} - 1.453152027) * {_A}) + 1.421413741) * {_A} - 0.284496736) * {_A} + 0.254829592) * {_A} * exp(-z * z / 2))"
+def erf_sql(z: str) -> str:
+    """The error function of z over the root of two, for DuckDB."""
+    t = f"(1.0 / (1.0 + {ERF_P} * abs({z}) / sqrt(2.0)))"
+    poly = ""
+    for c in reversed(ERF):
+        poly = f"(({poly} + {c}) * {t})" if poly else f"({c} * {t})"
+    return f"sign({z}) * (1.0 - {poly} * exp(-{z} * {z} / 2))"
+
+
+_ERF_SQL = erf_sql("z")
 SCORE_SQL = f"{HOR_SQL}, sc AS (SELECT *, sqrt(var) AS sigma, sqrt(var) * (z * ({_ERF_SQL}) + 2.0 * exp(-0.5 * z * z) / sqrt(2 * pi()) - 1.0 / sqrt(pi())) AS crps, abs(y) AS flat FROM hz)"
 
 
@@ -137,7 +145,7 @@ def l8(spark, sf_dir):
 
 
 @query("l10_paired_candidate", f"""WITH {SCORE_SQL}, cd AS (SELECT *, sqrt(var / level) AS sigma0 FROM sc JOIN (SELECT instrument, trading_day, slot, level FROM sl) USING (instrument, trading_day, slot)),
-zz AS (SELECT *, y / sigma0 AS z0, sigma0 * 1.0 AS s0 FROM cd), ca AS (SELECT h, phase, trading_day, crps, s0 * (z0 * e + 2.0 * exp(-0.5 * z0 * z0) / sqrt(2 * pi()) - 1.0 / sqrt(pi())) AS cand FROM (SELECT *, {_ERF_SQL.replace('z', 'z0').replace('z0ero', 'zero')} AS e FROM zz)),
+zz AS (SELECT *, y / sigma0 AS z0, sigma0 * 1.0 AS s0 FROM cd), ca AS (SELECT h, phase, trading_day, crps, s0 * (z0 * e + 2.0 * exp(-0.5 * z0 * z0) / sqrt(2 * pi()) - 1.0 / sqrt(pi())) AS cand FROM (SELECT *, {erf_sql('z0')} AS e FROM zz)),
 d AS (SELECT h, phase, trading_day, avg(crps) AS base, avg(cand) AS cand, count(*) AS origins FROM ca GROUP BY 1, 2, 3)
 SELECT h, phase, count(*) AS sessions, CAST(sum(origins) AS BIGINT) AS origins, round(avg(base), 6) AS base, round(avg(cand), 6) AS candidate, round(avg(cand - base), 6) AS difference, count(*) FILTER (cand < base) >= 0.6 * count(*) AND avg(cand - base) < 0 AS better FROM d GROUP BY 1, 2""")
 def l10(spark, sf_dir):

@@ -37,7 +37,7 @@ def in_time(spark, tmp_path_factory):
     """The event table as files in order of time; days of one file overlap the next one's by less than the lateness, and hours are cut in two."""
     path = tmp_path_factory.mktemp("in_time")
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
-    part = F.floor((F.unix_timestamp(F.col("ts").cast("timestamp")) + F.pmod("event_id", F.lit(2)) * 86_400) / (3 * 86_400))
+    part = F.floor((F.unix_timestamp(F.col("ts").cast("timestamp")) + F.pmod("event_id", F.lit(2)) * 86_400) / (7 * 86_400))
     numbers = [r[0] for r in events.select(part.alias("p")).distinct().orderBy("p").collect()]
     for k, p in enumerate(numbers):
         events.where(part == p).coalesce(1).write.parquet(f"{path}/made/{k}")
