@@ -161,6 +161,33 @@ def d17(spark, sf_dir):
     return deadline_counts(kept_log(spark, sf_dir))
 
 
+#: Slots at which an instrument's freshness is judged, and minutes after its end up to which a bar is fresh.
+FRESH_MARKS, FRESH = (300, 480, 900, 1140), 60
+
+
+def freshness(log: DataFrame, marks: tuple[int, ...] = FRESH_MARKS) -> DataFrame:
+    """At each mark of a session the last bar that had ended and been received by then: its slot, age, price, receipt and how long that took, and its state."""
+    days = log.select(*DAY).distinct().withColumn("mark", F.explode(F.array(*[F.lit(m) for m in marks])))
+    ended = log.withColumn("mark", F.explode(F.filter(F.array(*[F.lit(m) for m in marks]), lambda m: F.col("slot") + 60 <= m)))
+    known = ended.where(F.col("received") <= began() + F.make_dt_interval(F.lit(0), F.lit(0), F.col("mark")))
+    at = F.struct("slot", "received", "volume")
+    last = known.groupBy(*DAY, "mark").agg(F.max("slot").alias("seen"), F.max_by("close", at).alias("price"), F.max_by("received", at).alias("receipt"), F.max_by("bar_start", at).alias("bar_start"))
+    out = days.join(last, [*DAY, "mark"], "left").withColumn("age", F.col("mark") - F.col("seen") - 60)
+    wait = F.floor((F.unix_seconds(F.col("receipt").cast("timestamp")) - F.unix_seconds((F.col("bar_start") + minutes(60)).cast("timestamp"))) / 60)
+    return out.withColumns({"wait": F.when(F.col("seen").isNotNull(), F.greatest(wait, F.lit(0))), "state": F.when(F.col("seen").isNull(), "absent").when(F.col("age") <= FRESH, "fresh").otherwise("stale")})
+
+
+@query("d15_receipt_freshness", f"""
+WITH {LOG_SQL}, t AS (SELECT unnest({list(FRESH_MARKS)}) AS mark), d AS (SELECT DISTINCT instrument, trading_day FROM rl),
+k AS (SELECT instrument, trading_day, mark, arg_max((slot, close, received, bar_start), (slot, received, volume)) AS b FROM rl, t WHERE slot + 60 <= mark AND received <= began + mark * INTERVAL 1 MINUTE GROUP BY 1, 2, 3)
+SELECT d.instrument, CAST(d.trading_day AS VARCHAR) AS trading_day, t.mark, b[1] AS seen, t.mark - b[1] - 60 AS age, b[2] AS price, strftime(b[3], '%Y-%m-%d %H:%M:%S') AS receipt,
+  CASE WHEN b IS NOT NULL THEN greatest(0, CAST(floor((epoch(date_trunc('second', b[3])) - epoch(b[4]) - 3600) / 60) AS BIGINT)) END AS wait,
+  CASE WHEN b IS NULL THEN 'absent' WHEN t.mark - b[1] - 60 <= {FRESH} THEN 'fresh' ELSE 'stale' END AS state FROM d CROSS JOIN t LEFT JOIN k USING (instrument, trading_day, mark)""")
+def d15(spark, sf_dir):
+    out = freshness(kept_log(spark, sf_dir))
+    return out.select("instrument", F.col("trading_day").cast("string").alias("trading_day"), "mark", "seen", "age", "price", stamp("receipt").alias("receipt"), F.col("wait").cast("bigint").alias("wait"), "state")
+
+
 #: Minutes after a regular hour's bar at which sets are asked for, and minutes after which the newest one is no longer live.
 ASK, LIVE = 30, 90
 

@@ -76,6 +76,18 @@ def test_deadlines_against_replay(spark):
     assert got == {k: tuple(v) for k, v in want.items()} and any(n != m for n, m in want.values())
 
 
+def test_freshness_against_replay(spark):
+    rows = days(longest=300)
+    got = {(r.instrument, r.trading_day, r.mark): (r.seen, r.price, r.state) for r in receipts.freshness(receipts.receipt_log(made(spark, rows))).collect()}
+    final, want = replay(rows, lambda r, b, s: True), {}
+    for mark in receipts.FRESH_MARKS:
+        then = replay(rows, lambda r, b, s, mark=mark: r <= b + dt.timedelta(minutes=mark))
+        for e, d in {k[:2] for k in final}:
+            s = max((s for i, j, s in then if (i, j) == (e, d) and s + 60 <= mark), default=None)
+            want[e, d, mark] = (s, None if s is None else then[e, d, s][3], "absent" if s is None else "fresh" if mark - s - 60 <= 60 else "stale")
+    assert got == want and {v[2] for v in got.values()} == {"absent", "fresh", "stale"}
+
+
 def test_one_late_receipt_changes_the_verdict(spark):
     """The same events: received at once all is verified; one of them an hour after the freeze, or a day late, is not."""
     base = [(dt.datetime(2024, 1, 8, 23) + dt.timedelta(days=d, hours=h, minutes=5), "a", 1.0 + h, 1) for d in range(4) for h in range(12)]
