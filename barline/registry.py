@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["store", "calendar", "coverage", "indicators", "labels", "session_labels", "structure", "matching", "forecasts", "fan", "features", "scoring", "walk", "judging", "resampling", "receipts", "openings", "distributions", "archive", "preview", "records", "models"]
+MODULES = ["store", "calendar", "coverage", "indicators", "labels", "session_labels", "structure", "matching", "forecasts", "fan", "features", "scoring", "walk", "judging", "resampling", "receipts", "openings", "distributions", "archive", "preview", "usuals", "records", "models"]
 
 
 def modules():
