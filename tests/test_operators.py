@@ -125,3 +125,18 @@ def test_percentiles_equal_numpy(spark):
         assert set(got) == set(data)
         for k, vs in data.items():
             assert np.allclose(got[k], np.quantile(vs, probs))
+
+
+def test_percentiles_deal_no_rows_by_key(spark):
+    """A key's rows stay where they are read, also where Spark would not broadcast by itself: every exchange has sums of its input only."""
+    rows = spark.range(3000).select((F.col("id") % 3).alias("k"), (F.col("id") % 70).cast("double").alias("v"))
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        plan = fn.percentiles(rows, ["k"], "v", [0.01, 0.99])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
