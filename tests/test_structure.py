@@ -60,3 +60,9 @@ def test_overnight_structure_is_one_grouping(spark, chain):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before)
     assert "Join" not in plan and plan.count("Exchange ") == 1
+
+
+@pytest.mark.parametrize("later", [structure.P], ids=["annotation"])
+def test_later_views_read_the_grouping(later):
+    """What annotates sessions and compares them makes the structure by the one grouping too, also in a chain of its own."""
+    assert Portable({}, {}, later, mark="own-").frames["on_structure"] is structure.on_structure
