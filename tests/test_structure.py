@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from barline.operators import structure
+from barline.operators import judging, structure
 from barline.plans import Portable
 
 BAR = "instrument string, trading_day date, k int, open double, high double, low double, close double"
@@ -62,7 +62,7 @@ def test_overnight_structure_is_one_grouping(spark, chain):
     assert "Join" not in plan and plan.count("Exchange ") == 1
 
 
-@pytest.mark.parametrize("later", [structure.P], ids=["annotation"])
+@pytest.mark.parametrize("later", [structure.P, judging.P], ids=["annotation", "similarity"])
 def test_later_views_read_the_grouping(later):
     """What annotates sessions and compares them makes the structure by the one grouping too, also in a chain of its own."""
     assert Portable({}, {}, later, mark="own-").frames["on_structure"] is structure.on_structure
