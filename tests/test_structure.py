@@ -66,3 +66,30 @@ def test_overnight_structure_is_one_grouping(spark, chain):
 def test_later_views_read_the_grouping(later):
     """What annotates sessions and compares them makes the structure by the one grouping too, also in a chain of its own."""
     assert Portable({}, {}, later, mark="own-").frames["on_structure"] is structure.on_structure
+
+
+def test_averages_equal_their_text(spark, chain):
+    """Also with missing bars and values, and at a first bar without a close."""
+    own = Portable({}, {}, chain)
+    own.kept |= {"lines": ()}
+    bars = chain.relation("ob", spark, "none").unionByName(spark.createDataFrame([("c", dt.date(2024, 1, 1), k, 1.0, 2.0, 0.5, None if k in (0, 7) else 1.0 + k) for k in range(15)], BAR)).localCheckpoint()
+    own.base("ob", lambda *_: bars)
+    made, text = own.relation("lines", spark, "none"), own.frame(own.views["lines"], spark, "none")
+    assert made.dtypes == text.dtypes
+    rows = sorted(map(str, made.collect()))
+    assert rows == sorted(map(str, text.collect())) and len(rows) > 480 * 14
+
+
+def test_averages_are_one_sort(spark, chain):
+    """No join of the bars to each of their averages: a task of one stage holds the buffer of a single sort."""
+    own = Portable({}, {}, chain)
+    own.kept |= {"lines": ()}
+    bars = chain.relation("ob", spark, "none").localCheckpoint()
+    own.base("ob", lambda *_: bars)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = own.relation("lines", spark, "none")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert "Join" not in plan and plan.count("Exchange ") == 1 and plan.count(" Sort ") == 1
