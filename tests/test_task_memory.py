@@ -26,7 +26,7 @@ def most_pages(spark, run):
     return most / page
 
 
-@pytest.mark.parametrize("name", ["g3_rubric_sets"])
+@pytest.mark.parametrize("name", ["g3_rubric_sets", "l39_distributional"])
 def test_a_task_holds_few_buffers(spark, tmp_path, name):
     """A view of many joins of the same keys becomes one stage, whose tasks hold the buffers of all of them at once."""
     (tmp_path / "tables").symlink_to("/root/testdata/sf0.01")  # another path, so that no view is read that was written before
